@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,17 @@ def words_of(text: Column) -> Column:
 def quantile(numerator: int, denominator: int) -> int:
     """The division rounded up, at least 1: a number of buckets for so much data."""
     return max(1, -(-numerator // max(1, denominator)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once in a session, for operators that run Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_folio_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="folio-")) / "folio_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._folio_shipped = True

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from folio.llm.mixing import op3_mixing
+from folio.llm.packing import op1_packing
 from folio.llm.sharding import op4_sharding
+from folio.llm.tokenfile import op8_token_file
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_sharding, op8_token_file)}
 ORACLES: dict[str, str] = {}
