@@ -29,8 +29,8 @@ from folio.llm.common import ship, table, written
 
 WINDOW = 4096
 END = 2
-UNITS = 32
-PARTS = 4
+UNITS = 64
+PARTS = 5
 RUNS = 256
 SEED = 10_007
 

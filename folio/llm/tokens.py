@@ -14,9 +14,10 @@ from itertools import chain
 import numpy as np
 
 #: Chunks kept in a worker at most.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 800_000
 #: White space as the byte-level vocabulary's own pattern has it.
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE_SET = frozenset(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_WHITE = "".join(sorted(_WHITE_SET))
 _RUNS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
@@ -30,6 +31,13 @@ def by_run(text: str) -> list[str]:
     return _RUNS.findall(text)
 
 
+#: For each cut: the mark, the chunks that it is not used with, and what stands between chunks.
+MARKS = {
+    "by_space": ("7", lambda c: not c or "7" in c or not c.isprintable(), " 7 "),
+    "by_run": ("\n", lambda c: c[0] in _WHITE_SET and (len(c) < 2 or c[0] != " " or c[1] in _WHITE_SET), "\n"),
+}
+
+
 class Encoder:
     """Ids of texts: one array of all ids and one of the lengths."""
 
@@ -50,20 +58,37 @@ class Encoder:
         self.used = 0
 
     def learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at : at + 20_000], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-            n = len(self.known)
-            while n + len(found) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.start[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
-            self.length[n : n + len(found)] = lengths
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known.update(zip(chunks[at : at + 20_000], range(n, n + len(found)), strict=True))
+        """Many chunks are encoded as one text, between marks that are pre-tokens of their own in any surroundings."""
+        mark, odd, between = MARKS[self.cut.__name__]
+        sign = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        plain = [c for c in chunks if not odd(c)]
+        for at in range(0, len(plain), 10_000):
+            some = plain[at : at + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(["", *some, ""])], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == sign[0])
+            if len(sign) != 1 or len(marks) != len(some) + 1:
+                self.add(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+                continue
+            self.put(some, np.delete(ids, marks), np.diff(marks) - 1)
+        rest = [c for c in chunks if odd(c)]
+        if rest:
+            self.add(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+
+    def add(self, chunks: list[str], found: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.put(chunks, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
+    def put(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
+        while n + len(chunks) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[n : n + len(chunks)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(chunks)] = lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.cut(t) for t in texts]
