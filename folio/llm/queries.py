@@ -6,6 +6,7 @@ from folio.llm.mixing import op3_mixing
 from folio.llm.packing import op1_packing
 from folio.llm.sharding import op4_sharding
 from folio.llm.tokenfile import op8_token_file
+from folio.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_sharding, op8_token_file)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_sharding, op8_token_file, op9_toxicity)}
 ORACLES: dict[str, str] = {}
