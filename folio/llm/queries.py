@@ -7,10 +7,11 @@ from folio.llm.mixing import op3_mixing
 from folio.llm.neardup import op2_minhash
 from folio.llm.packing import op1_packing
 from folio.llm.quality import op10_quality
+from folio.llm.secrets import op5_secrets
 from folio.llm.sharding import op4_sharding
 from folio.llm.substrings import op6_suffix_dedup
 from folio.llm.tokenfile import op8_token_file
 from folio.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_sharding, op6_suffix_dedup, op7_fingerprints, op8_token_file, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_sharding, op5_secrets, op6_suffix_dedup, op7_fingerprints, op8_token_file, op9_toxicity, op10_quality)}
 ORACLES: dict[str, str] = {}

@@ -20,9 +20,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folio.llm.common import ship, table, text_or_empty
 from folio.llm.tokens import in_portions
@@ -299,40 +300,22 @@ def scored(docs: DataFrame, model: Network | float) -> DataFrame:
     docs = docs.select(*columns)
     if isinstance(model, float):
         return docs.withColumn("score", F.lit(model))
-    state = (model.words, {k: v for k, v in model.p.items()})
+    state = (model.words, model.p)
 
-    def run(frames):
+    def run(batches):
         network = Network.__new__(Network)
         network.words, network.p = state
         reader = Reader(network)
-        for f in frames:
-            yield f.assign(score=score_texts(network, reader, f["text"]).astype(float))
+        for b in batches:
+            score = score_texts(network, reader, b.column("text").to_pylist()).astype(float)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "score"])
 
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", score double"
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = train(*labelled(docs, table(spark, folder, "labels")))
-    return score_rows(docs, model)
-
-
-def score_rows(docs: DataFrame, model: Network | float) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    ship(docs.sparkSession)
-    if isinstance(model, float):
-        out = docs.select("doc_id", F.lit(model).alias("score"))
-    else:
-        state = (model.words, model.p)
-
-        def run(frames):
-            network = Network.__new__(Network)
-            network.words, network.p = state
-            reader = Reader(network)
-            for f in frames:
-                yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": score_texts(network, reader, f["text"]).astype(float)})
-
-        out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
