@@ -203,7 +203,8 @@ def checksums(docs: DataFrame, cut: DataFrame, path: str, end: int) -> DataFrame
     pieces = cut.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("pieces"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     same = pieces["doc_id"].eqNullSafe(keyed["doc_id"]) & (pieces["key"] == keyed["key"])
-    texts = keyed.join(pieces, same).select(keyed["doc_id"], keyed["key"], "text", "pieces").dropDuplicates(["doc_id", "key"])
+    # sorted on both sides: whole texts never go to every executor, however few are cut
+    texts = keyed.join(pieces.hint("merge"), same).select(keyed["doc_id"], keyed["key"], "text", "pieces").dropDuplicates(["doc_id", "key"])
 
     def run(frames):
         for f in frames:

@@ -14,30 +14,69 @@ from itertools import chain
 import numpy as np
 
 #: Chunks kept in a worker at most.
-MOST_CHUNKS = 800_000
+MOST_CHUNKS = 1_200_000
 #: White space as the byte-level vocabulary's own pattern has it.
 _WHITE_SET = frozenset(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WHITE = "".join(sorted(_WHITE_SET))
 _RUNS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: Where a comma or a full stop is not a pre-token's beginning.
+_IN_RUN = re.compile(r"[^\w \n][.,]|_[.,]")
+#: Besides, white space other than single spaces and line ends, and what the short keys of by_run can't say.
+_NOT_SHORT = re.compile(r"[\W_][.,]| [ \n]|\n\s|\x00")
 
 
 def by_space(text: str) -> list[str]:
-    """For vocabularies that drop white space: a space or a line end is never inside a pre-token."""
+    """Keys for vocabularies of small letters that drop white space. A key is its chunk.
+
+    A space or a line end is never inside a pre-token. In Latin-1, small letters can be made here as the vocabulary
+    makes them, and a comma or full stop behind a letter or digit begins a pre-token.
+    """
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+        if not _IN_RUN.search(text):
+            text = text.replace(",", " ,").replace(".", " .")
+    except UnicodeEncodeError:  # other signs: small letters may join or come apart
+        pass
     return text.replace("\n", " ").split(" ")
 
 
 def by_run(text: str) -> list[str]:
-    """For byte-level vocabularies: a run of other than white space with the space before it, or white space."""
-    return _RUNS.findall(text)
+    """Keys for byte-level vocabularies: a run of other than white space with the space before it, or white space.
 
+    In ordinary texts keys are short: a word stands for itself with a space before it, unless it begins with a line end,
+    a comma or a full stop; behind a zero stands a chunk as it is.
+    """
+    if _NOT_SHORT.search(text):
+        return ["\0" + c for c in _RUNS.findall(text)]
+    out = text.replace(",", " ,").replace(".", " .").replace("\n", " \n").split(" ")
+    out[0] = "\0" + out[0]
+    return out
 
-#: For each cut: the mark, the chunks that it is not used with, and what stands between chunks.
+
+def _chunk_of_run(key: str) -> str:
+    return key[1:] if key[:1] == "\0" else key if key[:1] in ("\n", ",", ".") and key else " " + key
+
+
+#: For each cut: the mark, the chunks that it is not used with, what stands between chunks, and the chunk of a key.
 MARKS = {
-    "by_space": ("7", lambda c: not c or "7" in c or not c.isprintable(), " 7 "),
-    "by_run": ("\n", lambda c: c[0] in _WHITE_SET and (len(c) < 2 or c[0] != " " or c[1] in _WHITE_SET), "\n"),
+    "by_space": ("7", lambda c: not c or "7" in c or not c.isprintable(), " 7 ", lambda key: key),
+    "by_run": ("\n", lambda c: not c or not c.isprintable() or c[0] in _WHITE_SET and (len(c) < 2 or c[0] != " " or c[1] in _WHITE_SET), "\n", _chunk_of_run),
 }
 
 
+class Numbers(dict):
+    """Numbers for keys; a new key gets the next one and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     """Ids of texts: one array of all ids and one of the lengths."""
 
@@ -51,54 +90,58 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
+        self.done = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, keys: list[str]) -> None:
         """Many chunks are encoded as one text, between marks that are pre-tokens of their own in any surroundings."""
-        mark, odd, between = MARKS[self.cut.__name__]
+        mark, odd, between, chunk = MARKS[self.cut.__name__]
         sign = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        plain = [c for c in chunks if not odd(c)]
-        for at in range(0, len(plain), 10_000):
-            some = plain[at : at + 10_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([between.join(["", *some, ""])], add_special_tokens=False)[0].ids, np.uint32)
+        for at in range(0, len(keys), 10_000):
+            some = [chunk(k) for k in keys[at : at + 10_000]]
+            apart = [i for i, c in enumerate(some) if odd(c)]
+            plain = list(some)
+            for i in apart:
+                plain[i] = "a"
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(["", *plain, ""])], add_special_tokens=False)[0].ids, np.uint32)
             marks = np.flatnonzero(ids == sign[0])
             if len(sign) != 1 or len(marks) != len(some) + 1:
-                self.add(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+                apart, parts = range(len(some)), [np.zeros(0, np.uint32)] * len(some)
+            elif apart:
+                parts = [p[1:] for p in np.split(ids, marks[:-1])[1:]]
+                parts[-1] = parts[-1][:-1]
+            else:
+                self.put(np.delete(ids, marks), np.diff(marks) - 1)
                 continue
-            self.put(some, np.delete(ids, marks), np.diff(marks) - 1)
-        rest = [c for c in chunks if odd(c)]
-        if rest:
-            self.add(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
-
-    def add(self, chunks: list[str], found: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.put(chunks, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
-
-    def put(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.known)
-        while n + len(chunks) > len(self.start):
+            for i, e in zip(apart, self.tokenizer.encode_batch_fast([some[i] for i in apart], add_special_tokens=False), strict=True):
+                parts[i] = np.array(e.ids, np.uint32)
+            self.put(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(lengths)
+        while self.done + n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[n : n + len(chunks)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(chunks)] = lengths
+        self.start[self.done : self.done + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.done : self.done + n] = lengths
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.done += n
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.cut(t) for t in texts]
         if len(self.known) > MOST_CHUNKS:
             self.forget()
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        if new:
-            self.learn(new)
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         lengths = self.length[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.start[at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
