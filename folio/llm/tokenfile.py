@@ -29,7 +29,7 @@ from folio.llm import common, tokens
 from folio.llm.common import quantile, ship, table, written
 
 END = 0
-LIMIT = 16
+LIMIT = 16  # a block's 32-bit reads hold a code of up to 25 bits at any bit offset
 STEP = 256
 BLOCK = 1 << 18
 #: Ids of one part of the files.
@@ -81,60 +81,49 @@ def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[byt
     ends = np.cumsum(size)
     starts = ends - size
     bits = int(ends[-1]) if len(ends) else 0
-    # a code has at most 24 bits, so it lies in the four bytes from its first one
-    word = codes[ids].astype(np.uint64) << (32 - (starts & 7) - size).astype(np.uint64)
-    first, space = starts >> 3, (bits >> 3) + 5
-    out = np.zeros(space, np.uint8)
-    for k in range(4):  # bits of different codes never overlap, so sums are unions
-        out += np.bincount(first + k, weights=(word >> np.uint64(24 - 8 * k)) & np.uint64(255), minlength=space).astype(np.uint8)[:space]
-    return out[: (bits + 7) >> 3].tobytes(), starts[::STEP].astype("<u4")
-
-
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """For all bit strings of the greatest length: the id that they begin with, and its length."""
+    # a code is in the 64 bits from the 32-bit word where it begins; codes of one word stand side by side
+    at = starts >> 5
+    value = codes[ids].astype(np.uint64) << (64 - (starts & 31) - size).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    out = np.zeros((bits >> 5) + 3, np.uint32)
+    if len(at):
+        joined = np.bitwise_or.reduceat(value, first)
+        out[at[first]] = (joined >> np.uint64(32)).astype(np.uint32)
+        out[at[first] + 1] |= (joined & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return out.astype(">u4").tobytes()[: (bits + 7) >> 3], starts[::STEP].astype("<u4")
+
+
+def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """For all bit strings of the greatest length: the id that they begin with, times 32, and its code's length."""
     most = int(lengths.max(initial=1))
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
-    spread = 1 << (most - lengths[order].astype(np.int64))
-    ids = np.zeros(1 << most, np.uint32)
-    size = np.ones(1 << most, np.uint8)
-    n = int(spread.sum())
-    ids[:n], size[:n] = np.repeat(order, spread), np.repeat(lengths[order], spread)
-    return ids, size, most
+    spread = np.repeat(order.astype(np.uint32) << 5 | lengths[order], 1 << (most - lengths[order].astype(np.int64)))
+    return np.concatenate([spread, np.ones((1 << most) - len(spread), np.uint32)]), most
 
 
-def decode(blocks: list[tuple[bytes, np.ndarray, int]], lookup: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
+def decode(blocks: list[tuple[bytes, np.ndarray, int]], lookup: tuple[np.ndarray, int]) -> list[np.ndarray]:
     """The ids of blocks of (bits, checkpoints, number of ids); all their runs advance together."""
-    ids, size, most = lookup
+    table_, most = lookup
     sizes = [len(b[0]) + 8 for b in blocks]
     base = np.concatenate([[0], np.cumsum(sizes)])
     data = np.zeros(int(base[-1]) + 8, np.uint8)
     for b, at in zip(blocks, base, strict=False):
         data[at : at + len(b[0])] = np.frombuffer(b[0], np.uint8)
     word = (data[:-3].astype(np.uint32) << 24) | (data[1:-2].astype(np.uint32) << 16) | (data[2:-1].astype(np.uint32) << 8) | data[3:]
-    at = np.concatenate([b[1].astype(np.int64) + 8 * s for b, s in zip(blocks, base, strict=False)])
+    at = np.concatenate([b[1].astype(np.uint32) + np.uint32(8 * s) for b, s in zip(blocks, base, strict=False)])
     runs = np.array([len(b[1]) for b in blocks])
     left = np.full(len(at), STEP)
     left[np.cumsum(runs)[runs > 0] - 1] = [(b[2] - 1) % STEP + 1 for b in blocks if b[2]]
-    out = np.zeros((len(at), STEP), np.uint32)
-    mask, all_full = np.uint32((1 << most) - 1), int(left.min(initial=STEP))
+    out = np.zeros((STEP, len(at)), np.uint32)
+    shift = np.uint32(32 - most)
+    # past its end a run reads zeros or the next one's bits, in bounds; those ids are not taken
+    last = np.uint32(8 * len(word) - 8)
     for k in range(STEP):
-        if k == all_full:
-            break
-        key = (word[at >> 3] >> (32 - most - (at & 7)).astype(np.uint32)) & mask
-        out[:, k] = ids[key]
-        at += size[key]
-    rest = np.flatnonzero(left > all_full)
-    where = at[rest]
-    for k in range(all_full, STEP):
-        key = (word[where >> 3] >> (32 - most - (where & 7)).astype(np.uint32)) & mask
-        out[rest, k] = ids[key]
-        where = where + size[key]
-        on = left[rest] > k + 1
-        rest, where = rest[on], where[on]
-        if not len(rest):
-            break
-    flat, edge = out.reshape(-1), np.concatenate([[0], np.cumsum(runs)]) * STEP
+        found = table_[(word[at >> 3] << (at & 7)) >> shift]
+        out[k] = found
+        at = np.minimum(at + (found & 31), last)
+    flat, edge = (out >> 5).T.reshape(-1), np.concatenate([[0], np.cumsum(runs)]) * STEP
     return [flat[edge[i] : edge[i] + b[2]] for i, b in enumerate(blocks)]
 
 
@@ -155,8 +144,8 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
     def counted(frames):
         total = np.zeros(vocabulary, np.int64)
         for f in frames:
-            for x in f["ids"]:
-                total += np.bincount(np.frombuffer(x, kind), minlength=vocabulary)
+            for at in range(0, len(f), 500):
+                total += np.bincount(np.frombuffer(b"".join(f["ids"][at : at + 500]), kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
