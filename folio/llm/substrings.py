@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from folio.llm.tokens import in_portions
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
 #: Bytes of text whose anchors or contexts are gathered in one group, on average.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 #: Stands for a null doc_id: before all others.
 NO_ID = -(1 << 63)
 
@@ -92,7 +93,7 @@ def repeated_anchors(docs: DataFrame, groups: int) -> DataFrame:
         for f in frames:
             ids = f["doc_id"].to_numpy(np.int64)
             for first, run in in_portions(f["text"], 2 << 20):
-                t = Texts(run)
+                t = Texts(run, words=False)
                 at, gram = anchors(t)
                 text = np.searchsorted(t.edge, at, "right") - 1
                 doc, place = ids[first + text], (at - t.edge[text]).astype(np.int32)
@@ -123,29 +124,52 @@ def document_group(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def unpacked(blobs) -> bytes:
+    return b"".join(map(zstandard.decompress, blobs))
+
+
 def documents_by_group(docs: DataFrame, groups: int) -> DataFrame:
-    """The texts with their group."""
+    """By group of documents: ids, sizes and compressed bytes of texts."""
 
     def run(frames):
         for f in frames:
-            yield f.assign(group=document_group(f["doc_id"].to_numpy(np.int64), groups))[["group", "doc_id", "text"]]
+            ids = f["doc_id"].to_numpy(np.int64)
+            raw = [x.encode("utf-8", "surrogatepass") for x in f["text"]]
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            group = document_group(ids, groups)
+            out = dealt(group, groups, {"ids": ids, "sizes": sizes})
+            order = np.argsort(group, kind="stable")
+            edge = np.searchsorted(group[order], [*out["group"], groups])
+            yield out.assign(texts=[packed(b"".join(raw[i] for i in order[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+
+    return docs.mapInPandas(run, "group long, ids binary, sizes binary, texts binary")
+
 
-    return docs.mapInPandas(run, "group long, doc_id long, text string")
+TEXTS = ["ids", "sizes", "texts"]
 
 
 def beside_texts(texts: DataFrame, more: DataFrame, names: list[str]) -> DataFrame:
-    """Texts and, in rows without one, the blobs of the same group."""
-    none = [F.lit(None).cast("binary").alias(n) for n in names]
-    return texts.select("group", "doc_id", "text", F.lit(True).alias("is_text"), *none).unionAll(more.select("group", F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(False), *names))
+    """Texts and, in rows without them, the blobs of the same group."""
+    none = lambda some: [F.lit(None).cast("binary").alias(n) for n in some]
+    return texts.select("group", *TEXTS, *none(names)).unionAll(more.select("group", *none(TEXTS), *names))
 
 
-def parted(f: pd.DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, pd.DataFrame]:
+def parted(f: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray, pd.DataFrame]:
     """(ids, texts, which text of its id) in order, and the other rows."""
-    rows = f[f["is_text"].to_numpy(bool)].sort_values(["doc_id", "text"], kind="stable")
-    ids = rows["doc_id"].to_numpy(np.int64)
+    with_texts = f["texts"].notna().to_numpy()
+    rows = f[with_texts]
+    ids, sizes, data = gathered(rows, "ids", np.int64), gathered(rows, "sizes", np.int64), unpacked(rows["texts"])
+    ends = np.cumsum(sizes)
+    raw = [data[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+    order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
+    ids, raw = ids[order], [raw[i] for i in order]
     new = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
     nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
-    return ids, list(rows["text"]), nth.astype(np.int32), f[~f["is_text"].to_numpy(bool)]
+    return ids, raw, nth.astype(np.int32), f[~with_texts]
 
 
 def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
@@ -155,7 +179,7 @@ def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
         ids, raw, nth, rest = parted(f)
         if not len(ids) or not len(rest):
             return pd.DataFrame({"group": np.zeros(0, np.int64), **{n: [] for n in NAMES}})
-        t = Texts(raw)
+        t = Texts(raw, words=False)
         doc, place = gathered(rest, "docs", np.int64), gathered(rest, "places", np.int32).astype(np.int64)
         # an anchor belongs to every text of its id that is long enough; one more anchor does no harm
         low, high = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
@@ -188,7 +212,7 @@ def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
             k = order[edge[g] : edge[g + 1]]
             size = left[k] + right[k]
             take = np.repeat(at[k] - left[k] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            out.append((int(g), t.bytes[take].tobytes(), left[k].astype(np.int32).tobytes(), right[k].astype(np.int32).tobytes(), ids[row[k]].tobytes(), nth[row[k]].tobytes(), place[k].astype(np.int32).tobytes(), None, None))
+            out.append((int(g), packed(t.bytes[take].tobytes()), left[k].astype(np.int32).tobytes(), right[k].astype(np.int32).tobytes(), ids[row[k]].tobytes(), nth[row[k]].tobytes(), place[k].astype(np.int32).tobytes(), None, None))
         made = pd.DataFrame(out, columns=["group", *NAMES])
         return pd.concat([made, sure.assign(bytes=None, lefts=None, rights=None, places=None)[["group", *NAMES]]], ignore_index=True)
 
@@ -248,7 +272,7 @@ def spans(found: DataFrame, groups: int) -> DataFrame:
         out = [f[is_span][["group", *names]]]
         f = f[~is_span]
         if len(f):
-            data, left, right = gathered(f, "bytes", np.uint8), gathered(f, "lefts", np.int32).astype(np.int64), gathered(f, "rights", np.int32).astype(np.int64)
+            data, left, right = np.frombuffer(unpacked(f["bytes"]), np.uint8), gathered(f, "lefts", np.int32).astype(np.int64), gathered(f, "rights", np.int32).astype(np.int64)
             doc, nth, place = gathered(f, "docs", np.int64), gathered(f, "nths", np.int32), gathered(f, "places", np.int32).astype(np.int64)
             order = np.lexsort((place, nth, doc))
             size = left + right
@@ -291,8 +315,7 @@ def remaining(texts: DataFrame, spans_: DataFrame) -> DataFrame:
         row, begin, end = row[order], begin[order], end[order]
         edge = np.searchsorted(row, np.arange(len(ids) + 1))
         out = []
-        for i, text in enumerate(raw):
-            data = text.encode("utf-8", "surrogatepass")
+        for i, data in enumerate(raw):
             kept, removed, runs, until = hashlib.sha256(), 0, 0, 0
             low = high = -1
             for b, e in zip(begin[edge[i] : edge[i + 1]], end[edge[i] : edge[i + 1]], strict=True):

@@ -36,21 +36,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """bytes: all texts, each followed by a line end; edge: where each begins, and the end of all."""
+    """bytes: all texts (or their bytes), each followed by a line end; edge: where each begins, and the end of all."""
 
-    def __init__(self, texts: list[str], lower: bool = False):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list, lower: bool = False, words: bool = True):
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.bytes = np.frombuffer(b"\n".join([*raw, b""]) if raw else b"", np.uint8)
         if lower:
             self.bytes = _LOWER[self.bytes]
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.edge = np.concatenate([[0], np.cumsum(self.sizes + 1)])
+        if words:
+            self._find_words(len(raw))
+
+    def _find_words(self, n: int) -> None:
         space = np.concatenate([[True], _SPACE[self.bytes]])
         change = np.flatnonzero(space[1:] != space[:-1])
         #: Where words begin and end; a word never crosses texts.
         self.begin, self.end = change[::2], change[1::2]
         self.text = np.searchsorted(self.edge, self.begin, "right") - 1
-        self.n_words = np.bincount(self.text, minlength=len(raw)).astype(np.int64)
+        self.n_words = np.bincount(self.text, minlength=n).astype(np.int64)
         self.word_edge = np.concatenate([[0], np.cumsum(self.n_words)])
 
     def sums(self) -> np.ndarray:
