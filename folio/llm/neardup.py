@@ -8,8 +8,9 @@ agrees in none of these has a greater distance; all pairs below that distance me
 
 No bucket emits its pairs. First each document of a bucket is held against the bucket's first, links are confirmed on
 the full sets, and components are formed. Then only buckets that still hold several components are looked at: in
-blocks of bounded size their members' signatures are compared across components, and pairs within the distance
-``reach`` are confirmed on the full sets too. A pair that is left out is connected already. Documents of equal words are
+blocks of bounded size their members' signatures are compared across components, pairs within the distance
+``reach`` are confirmed on the full sets there, and links that join components are all that leaves the task. A pair
+that is left out is connected already. Documents of equal words are
 one document throughout.
 
 Defined cases: letters A to Z count as small ones; a null, empty or blank text has an empty set and no links; with
@@ -114,7 +115,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).alias("blocks")).withColumnRenamed("a", "_a")
     placed = pairs.join(many, F.col("a") == F.col("_a")).withColumn("group", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))), F.lit(groups))).select("group", "a", "b")
     needed = placed.select("group", "a", "b", F.col("b").alias("id")).unionAll(placed.select("group", "a", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct())
-    texts = needed.join(docs.select("doc_id", "text").where("doc_id is not null"), F.col("id") == F.col("doc_id")).select("group", "a", "b", "text")
+    # sorted on both sides: the part that has pairs grows with the corpus
+    texts = needed.join(docs.select("doc_id", "text").where("doc_id is not null").hint("merge"), F.col("id") == F.col("doc_id")).select("group", "a", "b", "text")
 
     def run(f):
         whole = Texts([x or "" for x in f["text"]], lower=True)
@@ -140,35 +142,95 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return written(texts.groupBy("group").applyInPandas(run, "a long, b long"), "confirmed")
 
 
-def across(members: DataFrame, places: int, reach: int) -> DataFrame:
-    """Pairs of different components in the same bucket with signatures within reach. members: bucket, id, component, signature."""
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair (i, j) how many hashes its two sorted sets share."""
+    if len(i) < 4 * len(sets):
+        out = np.zeros(len(i), np.int64)
+        for k, (a, b) in enumerate(zip(i, j, strict=True)):
+            x, y = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
+            if len(x):
+                out[k] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        return out
+    # many pairs of few sets: products of their rows, over the hashes that are in more than one
+    whose = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    more = count[column] > 1
+    whose, column = whose[more], np.unique(column[more], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    whose, column = whose[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[whose[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out[i, j].astype(np.int64)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) join what the ones before have not joined."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = x = top.get(top[x], top[x])
+        return x
+
+    out = np.zeros(len(a), bool)
+    for k in range(len(a)):
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            top[max(x, y)], out[k] = min(x, y), True
+    return out
+
+
+def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places: int, reach: int) -> DataFrame:
+    """Links between different components of the same bucket. members: bucket, id, component, signature.
+
+    Blocks of a bucket's members meet with their texts, so pairs are compared where they are and only links that join
+    components leave the task.
+    """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).select(F.col("bucket").alias("_b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(sizes, members["bucket"] == F.col("_b")).drop("_b").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a block meets each other one, and itself, once
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
-    groups = quantile(rows.count(), 8 * BLOCK)
+    groups = quantile(rows.count(), 4 * BLOCK)
     rows = rows.withColumn("group", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups)))
+    texts = docs.select(F.col("doc_id").alias("_i"), F.col("text")).where("_i is not null").hint("merge")
+    rows = rows.join(texts, rows["id"] == F.col("_i")).select("group", "bucket", "low", "high", "block", "id", "component", "signature", "text")
 
     def run(f):
+        whole = Texts([x or "" for x in f["text"]], lower=True)
+        found, edge = shingles(whole, words)
+        sets = [found[edge[i] : edge[i + 1]] for i in range(len(f))]
+        signature = np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(len(f), places)
+        keys = open_chunks(signature)
+        ids, component, block = (f[c].to_numpy(np.int64) for c in ("id", "component", "block"))
         out = []
-        for (bucket, low, high), g in f.groupby(["bucket", "low", "high"]):
-            left, right = (g, g) if low == high else (g[g["block"] == low], g[g["block"] == high])
-            x, y = (np.frombuffer(b"".join(s["signature"]), np.uint32).reshape(len(s), places) for s in (left, right))
-            keys_x, keys_y = open_chunks(x), open_chunks(y)
-            ids_x, ids_y, c_x, c_y = (s[c].to_numpy(np.int64) for c in ("id", "component") for s in (left, right))
-            for i in range(len(x)):
-                j = np.flatnonzero((ids_y > ids_x[i]) if low == high else (ids_y != ids_x[i]))
-                j = j[c_y[j] != c_x[i]]
-                j = j[(x[i] != y[j]).sum(1) <= reach]
-                # a pair that meets in several buckets is taken in the first of them
+        for (bucket, low, high), at in f.groupby(["bucket", "low", "high"]).indices.items():
+            left, right = at[block[at] == low], at[block[at] == high]
+            pairs = []
+            for i in left:
+                j = right[(component[right] != component[i]) & ((ids[right] > ids[i]) | (low != high))]
+                j = j[(signature[i] != signature[j]).sum(1) <= reach]
+                # a pair that meets in several buckets is compared in the first of them
                 if len(j):
-                    same = keys_x[i] == keys_y[j]
-                    j = j[keys_x[i][same.argmax(1)] == bucket]
-                    out += [(max(ids_x[i], b), min(ids_x[i], b)) for b in ids_y[j]]
+                    j = j[keys[i][(keys[i] == keys[j]).argmax(1)] == bucket]
+                    pairs.append(np.stack([np.full(len(j), i), j], 1))
+            if not any(map(len, pairs)):
+                continue
+            i, j = np.concatenate(pairs).T
+            own, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            both = shared_counts([sets[k] for k in own], place[: len(i)], place[len(i) :])
+            sizes_ = np.diff(edge)
+            good = (both > 0) & (100 * both >= percent * (sizes_[i] + sizes_[j] - both))
+            i, j = i[good], j[good]
+            keep = spanning(component[i], component[j])
+            out += zip(np.maximum(ids[i], ids[j])[keep].tolist(), np.minimum(ids[i], ids[j])[keep].tolist(), strict=True)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return rows.select("group", "bucket", "low", "high", "block", "id", "component", "signature").groupBy("group").applyInPandas(run, "a long, b long")
+    return rows.groupBy("group").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -181,7 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     firsts = written(firsts, "firsts")
     buckets = bucketed(firsts, places)
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1").withColumnRenamed("bucket", "_b")
-    met = written(buckets.join(shared, F.col("bucket") == F.col("_b")).select("bucket", "id", "first", "members"), "met")
+    met = written(buckets.join(shared.hint("merge"), F.col("bucket") == F.col("_b")).select("bucket", "id", "first", "members"), "met")
     pairs = met.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(pairs, docs, words, percent)
     found = components(links.select("a", "b"))
@@ -192,10 +254,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = more.join(mixed_, more["bucket"] == F.col("_b")).drop("_b")
     more = written(more.join(firsts.select(F.col("id").alias("_i"), "signature").dropDuplicates(["_i"]), more["id"] == F.col("_i")).drop("_i"), "open")
     if not more.isEmpty():
-        rest = across(more, places, reach).distinct()
-        rest = rest.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        again = confirmed(rest.select(F.col("b").alias("a"), F.col("a").alias("b")), docs, words, percent)
-        found = components(links.select("a", "b").unionAll(again.select("a", "b")))
+        again = written(across(more, docs, words, percent, places, reach), "across")
+        found = components(links.select("a", "b").unionAll(again))
     same = firsts.select(F.col("key").alias("_k"), F.col("id").alias("_first"))
     found = found.select(F.col("id").alias("_i"), "component")
     out = rows.join(same, (rows["key"] == F.col("_k")) & (rows["n"] > 0), "left").join(found, F.col("_first") == F.col("_i"), "left")
