@@ -1 +1 @@
-
+"""Queries by name, each with the SQL of the same rows."""
