@@ -97,9 +97,9 @@ def a07(spark, folder):
 PRICED = f""", p AS (SELECT * FROM {values(PRICES, 'model_id, i, o, ih, oh')}), c AS (SELECT a.*, prompt_tokens / 1000 * CASE WHEN prompt_tokens <= 128000 THEN i ELSE ih END + completion_tokens / 1000 * CASE WHEN completion_tokens <= 128000 THEN o ELSE oh END AS cost FROM ai_usage a JOIN p USING (model_id)) """
 
 
-@query("f30_call_costs", cte("ai_usage") + PRICED + "SELECT usage_id, model_id, round(cost, 4) AS cost FROM c")
+@query("f30_call_costs", cte("ai_usage") + PRICED + "SELECT usage_id, model_id, round(cost + 0.0000000001, 6) AS cost FROM c")
 def f30(spark, folder):
-    return U.with_model_cost(frame(spark, folder, "ai_usage")).select("usage_id", "model_id", F.round("cost", 4).alias("cost"))
+    return U.with_model_cost(frame(spark, folder, "ai_usage")).select("usage_id", "model_id", F.round(F.col("cost") + 1e-10, 6).alias("cost"))
 
 
 @query("a08_model_usage_totals", cte("ai_usage") + PRICED + "SELECT round(sum(cost), 3) AS cost, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, CAST(sum(prompt_tokens) AS BIGINT) AS prompt, CAST(sum(completion_tokens) AS BIGINT) AS completion FROM c")
