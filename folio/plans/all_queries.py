@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from folio.plans import catalog_queries, reading_queries, text_queries, usage_queries  # noqa: F401
+from folio.plans import catalog_queries, layout_queries, reading_queries, text_queries, usage_queries  # noqa: F401
