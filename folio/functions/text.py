@@ -73,9 +73,10 @@ def without_tags(c: Column, marks_only: bool = False) -> Column:
 
 
 def marked_speech(c: Column) -> Column:
-    """Speech markup with a mark before each word."""
-    marked = F.transform(words(c), lambda w, i: F.concat(F.lit('<mark name="word-'), i.cast("string"), F.lit('"/>'), w))
-    return F.concat(F.lit("<speak>"), F.array_join(marked, " "), F.lit("</speak>"))
+    """Speech markup with a mark, named after word and place, before each word; words are parted by spaces."""
+    parts = F.filter(F.split(c, " "), lambda w: w != "")
+    marked = F.transform(parts, lambda w, i: F.concat(F.lit(' <mark name="'), w, F.lit("-"), i.cast("string"), F.lit('"/> '), w))
+    return F.concat(F.lit("<speak>"), F.array_join(marked, ""), F.lit("</speak>"))
 
 
 def number_of(word: Column) -> Column:

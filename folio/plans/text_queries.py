@@ -92,7 +92,7 @@ def f16(spark, folder):
     return spark.read.parquet(f"{folder}/pages.parquet").select("page_id", T.without_tags(F.col("html")).alias("plain"))
 
 
-@query("f17_marked_speech", cte("books") + """SELECT book_id, '<speak><mark name="word-0"/>' || split_part(title, ' ', 1) || ' <mark name="word-1"/>' || split_part(title, ' ', 2) || '</speak>' AS speech FROM books""")
+@query("f17_marked_speech", cte("books") + """SELECT book_id, '<speak> <mark name="' || split_part(title, ' ', 1) || '-0"/> ' || split_part(title, ' ', 1) || ' <mark name="' || split_part(title, ' ', 2) || '-1"/> ' || split_part(title, ' ', 2) || '</speak>' AS speech FROM books""")
 def f17(spark, folder):
     return frame(spark, folder, "books").select("book_id", T.marked_speech(F.col("title")).alias("speech"))
 
