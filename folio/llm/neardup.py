@@ -6,7 +6,7 @@ differ. Split into ``chunks`` chunks, two signatures at a distance of at most 2
 some chunk. So for each chunk its allowed errors are enumerated: the chunk with each one of its places left open. Who
 agrees in none of these has a greater distance; all pairs below that distance meet in a bucket.
 
-No bucket emits its pairs. First each document of a bucket is held against the bucket's first, links are confirmed on
+No bucket emits its pairs. First each document of a bucket is held against one of it, its first; links are confirmed on
 the full sets, and components are formed. Then only buckets that still hold several components are looked at: in
 blocks of bounded size their members' signatures are compared across components, pairs within the distance
 ``reach`` are confirmed on the full sets there, and links that join components are all that leaves the task. A pair
@@ -36,7 +36,9 @@ from folio.llm.tokens import in_portions
 WIDTH = 5
 SEED = 51_001
 #: Pairs that are confirmed in one task, members of a bucket in one block, and members beside a first one in one group.
-PAIRS, BLOCK, BESIDE = 2000, 256, 256
+PAIRS, BLOCK, BESIDE = 2000, 512, 256
+#: Ways in which a bucket names its first document.
+FIRSTS = 4
 
 
 def shape(percent: int) -> tuple[int, int]:
@@ -187,18 +189,18 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places: int, reach: int) -> DataFrame:
     """Links between different components of the same bucket. members: bucket, id, component, signature.
 
-    Blocks of a bucket's members meet with their texts, so pairs are compared where they are and only links that join
+    A bucket's largest component needs no pairs inside; its rows are dealt to blocks, and those of the others go to
+    every block. They meet there with their texts, so pairs are compared where they are and only links that join
     components leave the task.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).select(F.col("bucket").alias("_b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, members["bucket"] == F.col("_b")).drop("_b").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a block meets each other one, and itself, once
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("bucket", "_b")
+    rows = members.join(mains, members["bucket"] == F.col("_b")).drop("_b").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.col("component") != F.col("main"))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))).drop("blocks", "main")
     groups = quantile(rows.count(), 4 * BLOCK)
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("bucket", "at"), F.lit(groups)))
     texts = docs.select(F.col("doc_id").alias("_i"), F.col("text")).where("_i is not null").hint("merge")
-    rows = rows.join(texts, rows["id"] == F.col("_i")).select("group", "bucket", "low", "high", "block", "id", "component", "signature", "text")
+    rows = rows.join(texts, rows["id"] == F.col("_i")).select("group", "bucket", "at", "block", "other", "id", "component", "signature", "text")
 
     def run(f):
         whole = Texts([x or "" for x in f["text"]], lower=True)
@@ -207,12 +209,12 @@ def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places
         signature = np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(len(f), places)
         keys = open_chunks(signature)
         ids, component, block = (f[c].to_numpy(np.int64) for c in ("id", "component", "block"))
+        other = f["other"].to_numpy(bool)
         out = []
-        for (bucket, low, high), at in f.groupby(["bucket", "low", "high"]).indices.items():
-            left, right = at[block[at] == low], at[block[at] == high]
-            pairs = []
-            for i in left:
-                j = right[(component[right] != component[i]) & ((ids[right] > ids[i]) | (low != high))]
+        for (bucket, here), at in f.groupby(["bucket", "at"]).indices.items():
+            right, pairs = at[other[at]], []
+            for i in at[block[at] == here]:
+                j = right[(component[right] != component[i]) & ((ids[right] > ids[i]) | (not other[i]))]
                 j = j[(signature[i] != signature[j]).sum(1) <= reach]
                 # a pair that meets in several buckets is compared in the first of them
                 if len(j):
@@ -242,9 +244,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     firsts = usable.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "signature"), "doc_id").alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.signature")
     firsts = written(firsts, "firsts")
     buckets = bucketed(firsts, places)
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1").withColumnRenamed("bucket", "_b")
+    # buckets of one group of copies name different firsts, so a copy that is far from one of them is near another
+    shared = buckets.groupBy("bucket").agg(F.min_by("id", F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(FIRSTS))), F.col("id"))).alias("first"), F.count("*").alias("members")).where("members > 1").withColumnRenamed("bucket", "_b")
     met = written(buckets.join(shared.hint("merge"), F.col("bucket") == F.col("_b")).select("bucket", "id", "first", "members"), "met")
-    pairs = met.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = met.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(pairs, docs, words, percent)
     found = components(links.select("a", "b"))
     found = written(found, "components")
