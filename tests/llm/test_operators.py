@@ -419,3 +419,13 @@ def test_estimates_stand_outliers(spark):
     assert np.allclose(e["mean"], 5, atol=0.5)
     spread = np.sqrt(np.diag(np.linalg.inv(np.array(e["inverse"]).reshape(4, 4))))
     assert np.allclose(spread, [1, 2, 3, 4], rtol=0.2)
+
+
+def test_sql_of_near_duplicates(spark, medium):
+    from folio.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{medium}/documents.parquet'")
+    want = sorted(con.sql(ORACLES["op2_minhash"]).fetchall())
+    got = neardup.op2_minhash(spark, medium).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == want
