@@ -89,7 +89,7 @@ def candidates(text: Column) -> Column:
 
         def is_candidate(i: Column) -> Column:
             x, last = F.get(w, i), before(i, 1)
-            long_ = (F.octet_length(x) >= 16) & x.rlike(LONG) & x.rlike("[0-9]")
+            long_ = (F.octet_length(x) >= 16) & x.rlike(LONG) & (x.rlike("[0-9]") | F.regexp_extract(x, LONG, 1).rlike(FORMS))
             assigned = (F.octet_length(x) >= 10) & x.rlike(ASSIGNED)
             behind = (F.octet_length(x) >= 6) & (last.endswith("=") | last.endswith(":")) & F.concat_ws(" ", before(i, 2), last).rlike(rf"(?i)(?:{NAMES})[\"']?\s*[:=]+$")
             return long_ | assigned | behind
@@ -121,10 +121,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
     def secret() -> str:
         value = rng.choice([
             lambda: take(hexes, rng.choice([18, 20, 24, 32, 40, 64])), lambda: take(letters + digits, rng.randint(16, 44)),
-            lambda: take(letters + digits + "+/", rng.choice([32, 40, 44])) + rng.choice(["", "="]), lambda: take(letters, 4) + take(digits, 4) + take(letters + digits, 8),
+            lambda: take(letters + digits + "+/", rng.choice([32, 40, 44])) + rng.choice(["", "="]), lambda: take(letters, 4) + take(digits, 4) + take(letters + digits, 8), lambda: take(digits + digits + hexes, rng.choice([16, 18, 24])) + rng.choice("abcdef") + take(digits, 2),
         ])()
         return rng.choice([
-            lambda: rng.choice(["AKIA", "AKIA", "ASIA"]) + take(string.ascii_uppercase + digits, 16), lambda: f"{name()}={value}", lambda: f'{name()} = "{value}"', lambda: f"{name()}: {value}", lambda: f"{name()}='{value}'",
+            lambda: rng.choice(["AKIA", "AKIA", "ASIA"]) + take(string.ascii_uppercase + rng.choice([digits, ""]), 16), lambda: f"{name()}={value}", lambda: f'{name()} = "{value}"', lambda: f"{name()}: {value}", lambda: f"{name()}='{value}'",
             lambda: f"bearer {value}", lambda: rng.choice(["ghp_", "gho_", "xoxb-", "sk-", "AIza", "glpat-", "npm_"]) + take(letters + digits, 34) + "1", lambda: "eyJ" + take(letters + digits, 30) + "1." + take(letters + digits, 40),
         ])()
 
