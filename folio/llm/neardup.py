@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import quantile, ship, table, written
 from folio.llm.components import components
 from folio.llm.textbytes import Texts, mixed, shingles
-from folio.llm.tokens import in_portions
+from folio.llm.tokens import drop_encoders, in_portions
 
 WIDTH = 5
 SEED = 51_001
@@ -90,6 +90,7 @@ def sketched(docs: DataFrame, words: int, places: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(frames):
+        drop_encoders()
         for f in frames:
             keys, sizes, signature = signatures([x or "" for x in f["text"]], words, places)
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "key": keys, "n": sizes, "signature": [s.tobytes() for s in signature]})

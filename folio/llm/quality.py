@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import ship, table, written
 from folio.llm.textbytes import Texts, mixed, runs_of
-from folio.llm.tokens import in_portions
+from folio.llm.tokens import drop_encoders, in_portions
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WORDS = 8
@@ -96,6 +96,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(frames):
+        drop_encoders()
         for f in frames:
             yield pd.concat([pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "lang": f["lang"], "source": f["source"]}), base_statistics(list(f["text"]))], axis=1)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import quantile, ship, table, text_or_empty, written
 from folio.llm.suffixes import suffix_order
 from folio.llm.textbytes import BYTE, Texts, mixed, powers
-from folio.llm.tokens import in_portions
+from folio.llm.tokens import drop_encoders, in_portions
 
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
@@ -90,6 +90,7 @@ def repeated_anchors(docs: DataFrame, groups: int) -> DataFrame:
     """(group, docs, places): the anchors whose gram is there more than once, by group of documents."""
 
     def find(frames):
+        drop_encoders()
         for f in frames:
             ids = f["doc_id"].to_numpy(np.int64)
             for first, run in in_portions(f["text"], 2 << 20):
@@ -190,6 +191,10 @@ def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
         row, place = row[fits], place[fits]
         order = np.lexsort((place, row))
         row, place = row[order], place[order]
+        # rows of one id have each named its anchors
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+        row, place = row[new], place[new]
         at = t.edge[row] + place
         left, right = np.minimum(place, LEFT), np.minimum(t.sizes[row] - place, LENGTH)
         long_enough = left + right >= LENGTH

@@ -19,13 +19,20 @@ _LOWER[65:91] += 32
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: Powers that are kept; more are made when needed.
+_KEPT_POWERS = 1 << 21
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """BASE (or its inverse) to the powers from 0 to n."""
-    if len(_powers[inverse]) <= n:
-        step = np.full(max(n + 1, 1 << 20), _INVERSE if inverse else BASE, np.uint64)
-        step[0] = 1
-        _powers[inverse] = np.multiply.accumulate(step)
-    return _powers[inverse]
+    if len(_powers[inverse]) > n:
+        return _powers[inverse]
+    step = np.full(max(n + 1, _KEPT_POWERS), _INVERSE if inverse else BASE, np.uint64)
+    step[0] = 1
+    out = np.multiply.accumulate(step)
+    if len(out) == _KEPT_POWERS:
+        _powers[inverse] = out
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,28 +1,28 @@
 """Token ids of whole texts by the tokenizers library, in executors.
 
 Encoding a text is encoding its chunks, if the chunks are cut where no pre-token of the vocabulary can reach across.
-Texts repeat their chunks a lot, so the ids of a chunk are looked up after its first time. The lookup is emptied when
-full: a worker's memory has a bound. ``tests/llm`` compares with the library's own encoding of whole texts.
+Texts repeat their chunks a lot, so the ids of a chunk are looked up after its first time. ``tests/llm`` compares with the library's own encoding of whole texts.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from itertools import chain
 
 import numpy as np
 
-#: Chunks kept in a worker at most.
-MOST_CHUNKS = 1_200_000
+#: Chunks in one of the two generations that a worker keeps.
+MOST_CHUNKS = 230_000
 #: White space as the byte-level vocabulary's own pattern has it.
 _WHITE_SET = frozenset(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WHITE = "".join(sorted(_WHITE_SET))
 _RUNS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: Where a comma or a full stop is not a pre-token's beginning.
-_IN_RUN = re.compile(r"[^\w \n][.,]|_[.,]")
-#: Besides, white space other than single spaces and line ends, and what the short keys of by_run can't say.
-_NOT_SHORT = re.compile(r"[\W_][.,]| [ \n]|\n\s|\x00")
+#: A comma or full stop that is not a pre-token's beginning. Patterns begin with the rare signs, which are found fast.
+_IN_RUN = re.compile(r"[.,](?<=(?:[^\w \n]|_)[.,])")
+#: That, also behind a space, and white space behind a line end.
+_NOT_SHORT = re.compile(r"[.,\n](?:(?<=[\W_][.,])|(?<=\n)\s)")
 
 
 def by_space(text: str) -> list[str]:
@@ -47,7 +47,7 @@ def by_run(text: str) -> list[str]:
     In ordinary texts keys are short: a word stands for itself with a space before it, unless it begins with a line end,
     a comma or a full stop; behind a zero stands a chunk as it is.
     """
-    if _NOT_SHORT.search(text):
+    if "\0" in text or "  " in text or " \n" in text or _NOT_SHORT.search(text):
         return ["\0" + c for c in _RUNS.findall(text)]
     out = text.replace(",", " ,").replace(".", " .").replace("\n", " \n").split(" ")
     out[0] = "\0" + out[0]
@@ -65,6 +65,13 @@ MARKS = {
 }
 
 
+#: For each cut: keys that are one pre-token of Latin letters, which the vocabulary's model can take as it is, and what stands before.
+SIMPLE = {"by_space": (re.compile("[a-zß-öø-ÿ]+"), ""), "by_run": (re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), "Ġ")}
+#: The sign of each byte in byte-level vocabularies: printable bytes are themselves, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+
+
 class Numbers(dict):
     """Numbers for keys; a new key gets the next one and is noted."""
 
@@ -78,7 +85,11 @@ class Numbers(dict):
 
 
 class Encoder:
-    """Ids of texts: one array of all ids and one of the lengths."""
+    """Ids of texts: one array of all ids and one of the lengths.
+
+    Lookups are kept in two generations: when the young one is full it becomes the old one, and only what is asked
+    for again is taken over from there. So common chunks stay and the memory has a bound.
+    """
 
     def __init__(self, path: str, cut):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,18 +98,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = cut
-        self.forget()
+        self.old = ({}, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+        self.renew()
 
-    def forget(self) -> None:
+    def renew(self) -> None:
         self.known = Numbers()
-        self.done = 0
         self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     def learn(self, keys: list[str]) -> None:
+        """Ids of new keys, which have the last numbers. Plain words go to the vocabulary's model one by one."""
+        first = len(self.known) - len(keys)
+        while len(self.known) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        known, start, length, flat = self.old
+        had = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+        again = np.flatnonzero(had >= 0)
+        if len(again):
+            n = length[had[again]].astype(np.int64)
+            ends = np.cumsum(n)
+            self.put(first + again, flat[np.repeat(start[had[again]] - ends + n, n) + np.arange(int(ends[-1]))], n)
+        fresh = np.flatnonzero(had < 0)
+        keys = [keys[i] for i in fresh]
+        simple, before = SIMPLE[self.cut.__name__]
+        tokenize, fits = self.tokenizer.model.tokenize, simple.fullmatch
+        plain = [bool(fits(k)) for k in keys]
+        parts = iter(self.learn_rest([k for k, p in zip(keys, plain, strict=True) if not p]))
+        found = [[x.id for x in tokenize(before + (k if k.isascii() else k.encode().decode("latin-1").translate(_SIGNS)))] if p else next(parts) for k, p in zip(keys, plain, strict=True)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.put(first + fresh, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
+    def learn_rest(self, keys: list[str]) -> list[list[int]]:
         """Many chunks are encoded as one text, between marks that are pre-tokens of their own in any surroundings."""
+        out: list[list[int]] = []
         mark, odd, between, chunk = MARKS[self.cut.__name__]
         sign = self.tokenizer.encode(mark, add_special_tokens=False).ids
         for at in range(0, len(keys), 10_000):
@@ -107,42 +141,36 @@ class Encoder:
             plain = list(some)
             for i in apart:
                 plain[i] = "a"
-            ids = np.array(self.tokenizer.encode_batch_fast([between.join(["", *plain, ""])], add_special_tokens=False)[0].ids, np.uint32)
-            marks = np.flatnonzero(ids == sign[0])
+            ids = self.tokenizer.encode_batch_fast([between.join(["", *plain, ""])], add_special_tokens=False)[0].ids
+            marks = [i for i, x in enumerate(ids) if x == sign[0]]
             if len(sign) != 1 or len(marks) != len(some) + 1:
-                apart, parts = range(len(some)), [np.zeros(0, np.uint32)] * len(some)
-            elif apart:
-                parts = [p[1:] for p in np.split(ids, marks[:-1])[1:]]
-                parts[-1] = parts[-1][:-1]
+                apart, parts = range(len(some)), [[]] * len(some)
             else:
-                self.put(np.delete(ids, marks), np.diff(marks) - 1)
-                continue
+                parts = [ids[a + 1 : b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
             for i, e in zip(apart, self.tokenizer.encode_batch_fast([some[i] for i in apart], add_special_tokens=False), strict=True):
-                parts[i] = np.array(e.ids, np.uint32)
-            self.put(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
+                parts[i] = e.ids
+            out += parts
+        return out
 
-    def put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(lengths)
-        while self.done + n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+    def put(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[self.done : self.done + n] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.done : self.done + n] = lengths
+        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.done += n
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.cut(t) for t in texts]
         if len(self.known) > MOST_CHUNKS:
-            self.forget()
+            self.old = (self.known, self.start, self.length, self.flat)
+            self.renew()
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
         if self.known.new:
             self.learn(self.known.new)
             self.known.new = []
-        lengths = self.length[at]
+        lengths = self.length[at].astype(np.int64)
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.start[at] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
         ends = np.concatenate([[0], ends])
@@ -161,6 +189,13 @@ def encoder(path: str, cut) -> Encoder:
     return _encoders[key]
 
 
+def drop_encoders() -> None:
+    """Free what a worker has kept; operators that don't tokenize call it, as workers are used again."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+
+
 def in_portions(texts, most: int = 4 << 20):
     """Runs of texts of about so many characters: (first, texts)."""
     first, size, run = 0, 0, []
@@ -177,7 +212,7 @@ def in_portions(texts, most: int = 4 << 20):
 def documents_ids(texts, path: str, cut, end: int):
     """For each text its ids with ``end`` behind them, as an unsigned 32-bit array."""
     encode = encoder(path, cut)
-    for _, run in in_portions(texts):
+    for _, run in in_portions(texts, 2 << 20):
         ids, lengths = encode(run)
         edge = np.concatenate([[0], np.cumsum(lengths)])
         for i in range(len(run)):

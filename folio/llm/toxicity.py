@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folio.llm.common import ship, table, text_or_empty
-from folio.llm.tokens import in_portions
+from folio.llm.tokens import drop_encoders, in_portions
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 6, 8
@@ -38,7 +38,7 @@ EPOCHS = 24
 LED = 6
 THRESHOLD = 0.3
 #: Different words that a worker remembers at most.
-MOST_KNOWN = 150_000
+MOST_KNOWN = 120_000
 SEED = 7
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -303,6 +303,7 @@ def scored(docs: DataFrame, model: Network | float) -> DataFrame:
     state = (model.words, model.p)
 
     def run(batches):
+        drop_encoders()
         network = Network.__new__(Network)
         network.words, network.p = state
         reader = Reader(network)
