@@ -76,14 +76,14 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of the ids, and the bit offset of every STEP-th."""
-    size = lengths[ids].astype(np.int64)
+    """The bits of the ids, and the bit offset of every STEP-th. ``lengths`` of 64 bits and ``codes`` too spare copies."""
+    size = lengths.astype(np.int64, copy=False)[ids]
     ends = np.cumsum(size)
     starts = ends - size
     bits = int(ends[-1]) if len(ends) else 0
     # a code is in the 64 bits from the 32-bit word where it begins; codes of one word stand side by side
     at = starts >> 5
-    value = codes[ids].astype(np.uint64) << (64 - (starts & 31) - size).astype(np.uint64)
+    value = codes.astype(np.uint64, copy=False)[ids] << (64 - (starts & 31) - size).astype(np.uint64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
     out = np.zeros((bits >> 5) + 3, np.uint32)
     if len(at):
@@ -137,31 +137,36 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def tokenized(frames):
+        total = np.zeros(vocabulary, np.int64)
         for f in frames:
             ids = [x.astype(kind).tobytes() for x in tokens.documents_ids(f["text"], path, tokens.by_run, end)]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "ids": ids})
+            for at in range(0, len(ids), 500):
+                total += np.bincount(np.frombuffer(b"".join(ids[at : at + 500]), kind), minlength=vocabulary)
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "ids": ids, "counts": None})
+        # the last row of a task has its counts, so the ids aren't read again for them
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [total.tobytes()]})
 
     def counted(frames):
-        total = np.zeros(vocabulary, np.int64)
         for f in frames:
-            for at in range(0, len(f), 500):
-                total += np.bincount(np.frombuffer(b"".join(f["ids"][at : at + 500]), kind), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+            for x in f["counts"]:
+                total = np.frombuffer(x, np.int64)
+                used = np.flatnonzero(total)
+                yield pd.DataFrame({"id": used, "n": total[used]})
 
-    ids = written(docs.select("doc_id", "text").mapInPandas(tokenized, "doc_id long, ids binary"), "ids")
+    both = written(docs.select("doc_id", "text").mapInPandas(tokenized, "doc_id long, ids binary, counts binary"), "ids")
+    ids = both.where("ids is not null").select("doc_id", "ids")
     counts = np.zeros(vocabulary, np.int64)
-    for r in ids.select("ids").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in both.where("counts is not null").select("counts").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    codes = canonical(lengths)
+    codes, wide = canonical(lengths).astype(np.uint64), lengths.astype(np.int64)
     parts = quantile(int(counts.sum()), PART)
 
     def coded(frames):
         part, block = TaskContext.get().partitionId(), 0
 
         def close(doc_ids, run):
-            bits, marks = encode(np.concatenate(run), codes, lengths)
+            bits, marks = encode(np.concatenate(run), codes, wide)
             return pd.DataFrame({"part": [part], "block": [block], "doc_ids": [doc_ids], "doc_lengths": [[len(x) for x in run]], "n_ids": [sum(map(len, run))], "bits": [bits], "checkpoints": [marks.tobytes()]})
 
         doc_ids, run, n = [], [], 0
