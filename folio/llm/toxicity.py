@@ -17,7 +17,6 @@ share of label 1 (0 without labels); repeated rows get a row each; an empty tabl
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,19 +52,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character trigrams of all words, one after another, and where each word's begin (and the end)."""
+    parts = [_trigrams(words[k : k + at_once]) for k in range(0, len(words), at_once)]
+    counts = np.concatenate([np.zeros(1, np.int64), *(n for _, n in parts)])
+    return np.concatenate([np.zeros(0, np.int16), *(c for c, _ in parts)]), np.cumsum(counts)
+
+
+def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter((len(w) for w in words), np.int64, len(words))
     begin = np.concatenate([[0], np.cumsum(sizes + 2)])
     data = np.concatenate([data, np.zeros(2, np.uint64)])
     code = data[:-2] * np.uint64(0x9E3779B97F4A7C15) + data[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + data[2:] * np.uint64(0x165667B19E3779F9)
     code = (code >> np.uint64(40)).astype(np.int64) % TRIGRAMS
-    count = np.maximum(sizes, 1)
     keep = np.ones(len(code), bool)
     keep[begin[1:] - 1] = False
     keep[(begin[1:] - 2)[sizes > 0]] = False
-    return code[keep], np.concatenate([[0], np.cumsum(count)])
+    return code[keep].astype(np.int16), np.maximum(sizes, 1)
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +98,12 @@ class Network:
 
     def inputs(self, ids: np.ndarray, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """The input vectors of different words from their ids and trigrams."""
-        char = np.add.reduceat(self.p["char"][codes], begin[:-1], axis=0) / np.diff(begin)[:, None] if len(ids) else np.zeros((0, CHAR_DIM), np.float32)
-        return np.concatenate([self.p["word"][ids], char], 1).astype(np.float32)
+        out = np.zeros((len(ids), WORD_DIM + CHAR_DIM), np.float32)
+        for k in range(0, len(ids), 20_000):
+            edge = begin[k : k + 20_001]
+            out[k : k + 20_000, WORD_DIM:] = np.add.reduceat(self.p["char"][codes[edge[0] : edge[-1]]], edge[:-1] - edge[0], axis=0) / np.diff(edge)[:, None]
+        out[:, :WORD_DIM] = self.p["word"][ids]
+        return out
 
     def one_way(self, way: str, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """States of all places; x: projected inputs of different words, at: (batch, place) rows of x."""
@@ -236,21 +244,25 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if not 0 < labels_.sum() < len(labels_):
         return float(labels_.mean()) if len(labels_) else 0.0
     rng = np.random.default_rng(seed)
-    split = [[bare(w) for w in t.lower().split()] for t in texts]
-    seen = [Counter(w for s, y in zip(split, labels, strict=True) if y == c for w in set(s)) for c in (0, 1)]
+    row: dict[str, int] = {}
+    parts = [np.fromiter((row.setdefault(bare(w), len(row)) for w in t.lower().split()), np.int32) for t in texts]
+    different = list(row)
+    row.clear()
+    # documents of each label that have a word
+    seen = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(np.unique(p) for p, y in zip(parts, labels, strict=True) if y == c)]), minlength=len(different)) for c in (0, 1)]
     both = seen[0] + seen[1]
-    vocabulary = sorted(w for w, n in both.most_common(MOST_WORDS) if n >= 4)
+    top = np.argsort(-both, kind="stable")[:MOST_WORDS]
+    top = top[both[top] >= 4]
     total = [float((labels_ == c).sum()) for c in (0, 1)]
-    odds = np.array([np.log((seen[1][w] + 0.5) / (total[1] + 1)) - np.log((seen[0][w] + 0.5) / (total[0] + 1)) for w in vocabulary], np.float32)
+    odds = np.log((seen[1][top] + 0.5) / (total[1] + 1)) - np.log((seen[0][top] + 0.5) / (total[0] + 1))
     # few documents say little: the odds are shrunk by their number
-    odds *= np.array([(n := both[w]) / (n + 8) for w in vocabulary], np.float32) / 2
-    network = Network(vocabulary, odds, rng)
-    different = sorted({w for s in split for w in s})
-    row = {w: i for i, w in enumerate(different)}
-    rows = np.array([row[w] for s in split for w in s], np.int64)
-    ids = np.array([network.words.get(w, 0) for w in different], np.int64)
+    odds = (odds * both[top] / (both[top] + 8) / 2).astype(np.float32)
+    network = Network([different[k] for k in top], odds, rng)
+    rows = np.concatenate([np.zeros(0, np.int32), *parts])
+    ids = np.zeros(len(different), np.int64)
+    ids[top] = np.arange(1, len(top) + 1)
     codes, begin = trigrams(different)
-    spans, text = windows(np.array([len(s) for s in split], np.int64))
+    spans, text = windows(np.array([len(p) for p in parts], np.int64))
     positive, negative = np.flatnonzero(labels_[text] == 1), np.flatnonzero(labels_[text] == 0)
     for epoch in range(epochs):
         x = np.concatenate([network.inputs(ids, codes, begin), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
