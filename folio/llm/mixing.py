@@ -24,15 +24,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import DOCUMENT_COLUMNS, SPACE_RUN, table, text_or_empty, written
+from folio.llm.common import DOCUMENT_COLUMNS, SPACE_RUN, quantile, table, text_or_empty, written
 
 SEED = 31_013
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
 SHARDS = 32
 BLOCKS_PER_SHARD = 64
-#: Runs of the random order into which a source is dealt for its running sums: a hot source is never in one task.
-RUNS = 512
+#: Runs of the random order into which a source is dealt for its running sums, at least, and the documents of one: a hot source is never in one task.
+RUNS, RUN_ROWS = 512, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -130,7 +130,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_passes: int =
     spark = docs.sparkSession
     made = ("source_size", "target", "taken", "draws")
     sized = docs.select(*[c for c in docs.columns if c not in made and c != "size"], F.col("size") if "size" in docs.columns else word_count(text_or_empty()).alias("size"))
-    sized = sized.withColumn("_order", F.xxhash64("doc_id", F.lit(seed))).withColumn("_run", F.shiftrightunsigned("_order", 64 - RUNS.bit_length() + 1).cast("int"))
+    bits = max(RUNS, quantile(docs.count(), RUN_ROWS)).bit_length() - 1
+    sized = sized.withColumn("_order", F.xxhash64("doc_id", F.lit(seed))).withColumn("_run", F.shiftrightunsigned("_order", 64 - bits).cast("int"))
     sums = sized.groupBy("source", "_run").agg(F.sum("size").alias("words"))
     have = {r["source"]: int(r["words"] or 0) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()}
     goal = targets(have, weights, most_passes, total)

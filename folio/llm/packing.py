@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
-from folio.llm.common import ship, table, written
+from folio.llm.common import quantile, ship, table, written
 
 WINDOW = 4096
 END = 2
 UNITS = 64
 PARTS = 5
-RUNS = 256
+#: Runs into which documents are dealt for ranks and running sums, at least, and the documents of one.
+RUNS, RUN_ROWS = 256, 100_000
 SEED = 10_007
 
 
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     base = written(measured(docs, path, window, end), "measured")
-    base = base.withColumn("_run", F.pmod(F.xxhash64("doc_id", "key", F.lit(SEED)), F.lit(RUNS)).cast("int"))
+    base = base.withColumn("_run", F.pmod(F.xxhash64("doc_id", "key", F.lit(SEED)), F.lit(max(RUNS, quantile(base.count(), RUN_ROWS)))).cast("int"))
     unit = window // units
     rests = base.withColumn("rest", F.col("n") % window).where("rest > 0").withColumn("class", F.ceil(F.col("rest") / unit).cast("int"))
     histogram = {r["class"]: (r["count"], r["ids"]) for r in rests.groupBy("class").agg(F.count("*").alias("count"), F.sum("rest").alias("ids")).collect()}
