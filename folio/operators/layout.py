@@ -86,11 +86,15 @@ def images_of_chapters(chapters: DataFrame, images: DataFrame) -> DataFrame:
     return spans.join(placed, "_bucket").where(F.col("page_number").between(F.col("first_page"), F.col("last_page"))).drop("_bucket")
 
 
-def images_by_place(slots: DataFrame, files: DataFrame) -> DataFrame:
-    """The i-th file for the i-th place of slots (page, images); a place without a file is one to be filled."""
-    places = slots.where("images > 0").select("page", F.explode(F.sequence(F.lit(1), F.col("images").cast("int"))).alias("nth"))
-    numbered = places.withColumn("i", F.row_number().over(Window.orderBy("page", "nth")))
-    return numbered.join(files.withColumn("i", F.row_number().over(Window.orderBy("file_name"))), "i", "left").select("page", "nth", "file_name", F.col("file_name").isNull().alias("placeholder"))
+def images_by_place(slots: DataFrame, files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The i-th file for the i-th place of slots (page, images); a place without a file is one to be filled.
+
+    Both are of one document, or of many that ``keys`` tell apart: then each is ranked by itself.
+    """
+    places = slots.where("images > 0").select(*keys, "page", F.explode(F.sequence(F.lit(1), F.col("images").cast("int"))).alias("nth"))
+    w = Window.partitionBy(*keys)
+    numbered = places.withColumn("i", F.row_number().over(w.orderBy("page", "nth")))
+    return numbered.join(files.withColumn("i", F.row_number().over(w.orderBy("file_name"))), [*keys, "i"], "left").select(*keys, "page", "nth", "file_name", F.col("file_name").isNull().alias("placeholder"))
 
 
 def estimated_rectangles(chunks: DataFrame, height: float = 792.0) -> DataFrame:

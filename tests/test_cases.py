@@ -149,6 +149,13 @@ def test_images_by_place(spark):
     assert sorted(r[0] for r in got) == ["page-001-image-1.jpg", "page-004-image-1.jpg", "page-004-image-2.jpg"]
 
 
+def test_images_by_place_of_many_documents(spark):
+    slots = spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], "doc string, page long, images long")
+    names = spark.createDataFrame([("a", "x"), ("b", "y")], "doc string, file_name string")
+    got = layout.images_by_place(slots, names, ("doc",)).collect()
+    assert sorted((r["doc"], r["nth"], r["file_name"]) for r in got if not r["placeholder"]) == [("a", 1, "x"), ("b", 1, "y")] and len(got) == 3
+
+
 def test_speech_markup(spark):
     marked = T.marked_speech(F.lit("Hello world"))
     assert len(value(spark, T.without_tags(marked))) == 14
