@@ -6,6 +6,8 @@ Texts repeat their chunks a lot, so the ids of a chunk are looked up after its f
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -14,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Chunks in one of the two generations that a worker keeps.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 230_000
 #: White space as the byte-level vocabulary's own pattern has it.
 _WHITE_SET = frozenset(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WHITE = "".join(sorted(_WHITE_SET))
@@ -49,7 +51,7 @@ def by_run(text: str) -> list[str]:
     """
     if "\0" in text or "  " in text or " \n" in text or _NOT_SHORT.search(text):
         return ["\0" + c for c in _RUNS.findall(text)]
-    out = text.replace(",", " ,").replace(".", " .").replace("\n", " \n").split(" ")
+    out = text.replace(",", " ,").replace(".", " .").replace("\n", " \n \0").split(" ")
     out[0] = "\0" + out[0]
     return out
 
@@ -65,8 +67,9 @@ MARKS = {
 }
 
 
-#: For each cut: keys that are one pre-token of Latin letters, which the vocabulary's model can take as it is, and what stands before.
-SIMPLE = {"by_space": (re.compile("[a-zß-öø-ÿ]+"), ""), "by_run": (re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), "Ġ")}
+#: For each cut: keys of Latin letters, with signs behind or not, and what stands before the letters. Each of the two parts is
+#: one pre-token, which the vocabulary's model can take as it is; a zero in front says that nothing stands before.
+SIMPLE = {"by_space": (re.compile("()([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)"), ""), "by_run": (re.compile("(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)"), "Ġ")}
 #: The sign of each byte in byte-level vocabularies: printable bytes are themselves, the others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
@@ -124,9 +127,17 @@ class Encoder:
         keys = [keys[i] for i in fresh]
         simple, before = SIMPLE[self.cut.__name__]
         tokenize, fits = self.tokenizer.model.tokenize, simple.fullmatch
-        plain = [bool(fits(k)) for k in keys]
+        plain = [fits(k) for k in keys]
         parts = iter(self.learn_rest([k for k, p in zip(keys, plain, strict=True) if not p]))
-        found = [[x.id for x in tokenize(before + (k if k.isascii() else k.encode().decode("latin-1").translate(_SIGNS)))] if p else next(parts) for k, p in zip(keys, plain, strict=True)]
+        found = []
+        for p in plain:
+            if p is None:
+                found.append(next(parts))
+                continue
+            bare, letters, signs = p.groups()
+            letters = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SIGNS)
+            ids = [x.id for x in tokenize(letters if bare else before + letters)]
+            found.append(ids + [x.id for x in tokenize(signs)] if signs else ids)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.put(first + fresh, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
@@ -194,6 +205,8 @@ def drop_encoders() -> None:
     if _encoders:
         _encoders.clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give freed memory back where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def in_portions(texts, most: int = 4 << 20):
