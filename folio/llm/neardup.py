@@ -36,7 +36,7 @@ from folio.llm.tokens import drop_encoders, in_portions
 WIDTH = 5
 SEED = 51_001
 #: Pairs that are confirmed in one task, members of a bucket in one block, and members beside a first one in one group.
-PAIRS, BLOCK, BESIDE = 2000, 512, 256
+PAIRS, BLOCK, BESIDE = 1000, 512, 256
 #: Ways in which a bucket names its first document.
 FIRSTS = 4
 
@@ -56,7 +56,7 @@ def signatures(texts: list[str], words: int, places: int) -> tuple[np.ndarray, n
     factor = rng.integers(1, 1 << 63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     offset = rng.integers(1, 1 << 63, places, dtype=np.uint64)
     keys, sizes, out = [], [], []
-    for _, run in in_portions(texts, 2 << 20):
+    for _, run in in_portions(texts, 1 << 20):
         t = Texts(run, lower=True)
         found, edge = shingles(t, words)
         size = np.diff(edge)
@@ -77,6 +77,15 @@ def signatures(texts: list[str], words: int, places: int) -> tuple[np.ndarray, n
     return np.concatenate(keys), np.concatenate(sizes), np.concatenate(out)
 
 
+def sets_of(texts, words: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's shingles; a few texts at a time, as what is made for each byte is much larger."""
+    out: list[np.ndarray] = []
+    for _, run in in_portions(texts, 1 << 20):
+        found, edge = shingles(Texts(run, lower=True), words)
+        out += [found[a:b].copy() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return out
+
+
 def open_chunks(signature: np.ndarray) -> np.ndarray:
     """For each row the keys of all its chunks with one place left open."""
     places = signature.shape[1]
@@ -122,10 +131,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     texts = needed.join(docs.select("doc_id", "text").where("doc_id is not null").hint("merge"), F.col("id") == F.col("doc_id")).select("group", "a", "b", "text")
 
     def run(f):
-        whole = Texts([x or "" for x in f["text"]], lower=True)
-        found, edge = shingles(whole, words)
         first: dict[int, list[np.ndarray]] = {}
-        sets = [found[edge[i] : edge[i + 1]] for i in range(len(f))]
+        sets = sets_of(f["text"], words)
         a, b, is_first = f["a"].to_numpy(np.int64), f["b"].fillna(0).to_numpy(np.int64), f["b"].isna().to_numpy()
         for i in np.flatnonzero(is_first):
             first.setdefault(int(a[i]), []).append(sets[i])
@@ -198,19 +205,18 @@ def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places
     mains = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("bucket", "_b")
     rows = members.join(mains, members["bucket"] == F.col("_b")).drop("_b").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.col("component") != F.col("main"))
     rows = rows.withColumn("at", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))).drop("blocks", "main")
-    groups = quantile(rows.count(), 4 * BLOCK)
+    groups = quantile(rows.count(), BLOCK)
     rows = rows.withColumn("group", F.pmod(F.xxhash64("bucket", "at"), F.lit(groups)))
     texts = docs.select(F.col("doc_id").alias("_i"), F.col("text")).where("_i is not null").hint("merge")
     rows = rows.join(texts, rows["id"] == F.col("_i")).select("group", "bucket", "at", "block", "other", "id", "component", "signature", "text")
 
     def run(f):
-        whole = Texts([x or "" for x in f["text"]], lower=True)
-        found, edge = shingles(whole, words)
-        sets = [found[edge[i] : edge[i + 1]] for i in range(len(f))]
+        sets = sets_of(f["text"], words)
         signature = np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(len(f), places)
         keys = open_chunks(signature)
         ids, component, block = (f[c].to_numpy(np.int64) for c in ("id", "component", "block"))
         other = f["other"].to_numpy(bool)
+        sizes_ = np.array([len(x) for x in sets])
         out = []
         for (bucket, here), at in f.groupby(["bucket", "at"]).indices.items():
             right, pairs = at[other[at]], []
@@ -226,7 +232,6 @@ def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places
             i, j = np.concatenate(pairs).T
             own, place = np.unique(np.concatenate([i, j]), return_inverse=True)
             both = shared_counts([sets[k] for k in own], place[: len(i)], place[len(i) :])
-            sizes_ = np.diff(edge)
             good = (both > 0) & (100 * both >= percent * (sizes_[i] + sizes_[j] - both))
             i, j = i[good], j[good]
             keep = spanning(component[i], component[j])
