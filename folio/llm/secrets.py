@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a word with a long run of letters and digits (some of each or of a known form) or a value that is
-assigned to a name of secrets. Its features are its length, shares of character classes, transitions between classes,
+A candidate is a long run of letters and digits (some of each or of a known form) or a value that is assigned to a name
+of secrets; a word can hold many, and each is scored with the part of the word it stands in. Its features are its length, shares of character classes, transitions between classes,
 coverage by a small dictionary, whether it looks like a path or address, and what its neighbouring words say. The
 forest is grown in numpy from labelled findings (``labelled_findings``: a seeded list of secrets and of what is taken
 for them, with words around them), whose features are found by the same expressions, and is then an expression itself:
@@ -38,8 +38,14 @@ FORMS = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^glpat-|^xox[abprs]-|^sk[-_](?
 #: Fragments of ordinary words.
 DICTIONARY = "example|sample|test|dummy|change|your|here|user|name|file|data|index|image|page|value|string|config|public|static|assets|version|service|server|client|number|report|module|handler|manager|factory|request|response|update|create|delete|the|and|ing|ion|ent|ver|ter|for|con|pro|com|ment|able"
 
-LONG = r"(?:^|[^A-Za-z0-9+/_.\-])([A-Za-z0-9+/_.\-]{16,}={0,2})"
+LONG = r"(?<![A-Za-z0-9+/_.\-])([A-Za-z0-9+/_.\-]{16,}={0,2})"
 ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[=:]+[\"']?([^\s\"',;&<>]{{6,}})"
+#: As ASSIGNED, but the value is only looked at, so that one inside it is found too.
+EACH_ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[=:]+[\"']?(?=([^\s\"',;&<>]{{6,}}))"
+#: From where on a value is the next assignment.
+NEXT_ASSIGNED = rf"(?i)[^A-Za-z0-9](?:{NAMES})[\"']?[=:].*$"
+#: Between the parts of a word.
+PARTS = r"[?&|,;]+(?=.)"
 HAS_NAME = rf"(?i)(?:{NAMES})"
 FEATURES = ("length", "digits", "upper", "lower", "transitions", "dictionary", "path", "named", "no_secret", "hex", "uuid", "form", "assigned")
 
@@ -53,7 +59,7 @@ def _flag(c: Column) -> Column:
 
 
 def features(word: Column, value: Column, near: Column) -> dict[str, Column]:
-    """word: as it stands; value: the candidate in it; near: the three words before."""
+    """word: the word or part of a word; value: the candidate in it; near: the three words before."""
     low = F.lower(value)
     return {
         "length": F.char_length(value).cast("double"),
@@ -87,22 +93,42 @@ def candidates(text: Column) -> Column:
         def before(i: Column, k: int) -> Column:
             return F.when(i >= k, F.get(w, i - k)).otherwise("")
 
-        def is_candidate(i: Column) -> Column:
+        def is_behind(i: Column) -> Column:
             x, last = F.get(w, i), before(i, 1)
-            long_ = (F.octet_length(x) >= 16) & x.rlike(LONG) & (x.rlike("[0-9]") | F.regexp_extract(x, LONG, 1).rlike(FORMS))
+            return (F.octet_length(x) >= 6) & (last.endswith("=") | last.endswith(":")) & F.concat_ws(" ", before(i, 2), last).rlike(rf"(?i)(?:{NAMES})[\"']?\s*[:=]+$")
+
+        def is_candidate(i: Column) -> Column:
+            x = F.get(w, i)
+            long_ = (F.octet_length(x) >= 16) & x.rlike(LONG) & (x.rlike("[0-9]") | F.exists(F.regexp_extract_all(x, F.lit(LONG), F.lit(1)), lambda v: v.rlike(FORMS)))
             assigned = (F.octet_length(x) >= 10) & x.rlike(ASSIGNED)
-            behind = (F.octet_length(x) >= 6) & (last.endswith("=") | last.endswith(":")) & F.concat_ws(" ", before(i, 2), last).rlike(rf"(?i)(?:{NAMES})[\"']?\s*[:=]+$")
-            return long_ | assigned | behind
+            return long_ | assigned | is_behind(i)
+
+        def values(word: Column, parts: Column, behind: Column) -> Column:
+            """All candidates of a word, each once."""
+            none = F.array().cast("array<string>")
+            assigned = F.regexp_extract_all(word, F.lit(EACH_ASSIGNED), F.lit(1))
+            cut = F.transform(F.filter(assigned, lambda v: v.rlike(NEXT_ASSIGNED)), lambda v: F.regexp_replace(v, NEXT_ASSIGNED, ""))
+            long_ = F.filter(F.regexp_extract_all(word, F.lit(LONG), F.lit(1)), lambda v: word.rlike("[0-9]") | v.rlike(FORMS))
+            head = F.when(behind & (F.size(parts) > 1), F.array(F.regexp_replace(F.get(parts, 0), r"^[\"'(\[{]+|[\"')\]}]+$", ""))).otherwise(none)
+            found = F.concat(assigned, long_, F.filter(F.concat(cut, head), lambda v: F.char_length(v) >= 6))
+            bare = F.regexp_replace(word, r"^[\"'(\[]+|[\"')\],;#.]+$", "")
+            found = bound(found, lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(F.coalesce(F.nullif(F.regexp_extract(word, LONG, 1), F.lit("")), bare))))
+            return F.array_distinct(F.transform(found, lambda v: F.regexp_replace(v, r"[.\-]+$", "")))
 
         def found(i: Column) -> Column:
             word, near = F.get(w, i), F.concat_ws(" ", before(i, 3), before(i, 2), before(i, 1))
-            bare = F.regexp_replace(word, r"^[\"'(\[]+|[\"')\],;#.]+$", "")
-            value = F.coalesce(F.nullif(F.regexp_extract(word, ASSIGNED, 1), F.lit("")), F.nullif(F.regexp_extract(word, LONG, 1), F.lit("")), bare)
-            value = F.regexp_replace(value, r"[.\-]+$", "")
-            return F.struct(i.alias("at"), word.alias("word"), value.alias("value"), near.alias("near"))
+
+            def of_parts(parts: Column) -> Column:
+                def part(value: Column) -> Column:
+                    mine = F.filter(parts, lambda p: p.contains(value))
+                    return F.coalesce(F.get(F.filter(mine, lambda p: p.rlike(ASSIGNED)), 0), F.get(mine, 0), word)
+
+                return F.transform(values(word, parts, is_behind(i)), lambda v: F.struct(i.alias("at"), part(v).alias("word"), v.alias("value"), near.alias("near")))
+
+            return bound(F.split(word, PARTS), of_parts)
 
         at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), is_candidate)
-        raw = F.when(F.size(w) == 0, F.array().cast("array<struct<at:int,word:string,value:string,near:string>>")).otherwise(F.transform(at, found))
+        raw = F.when(F.size(w) == 0, F.array().cast("array<struct<at:int,word:string,value:string,near:string>>")).otherwise(F.flatten(F.transform(at, found)))
         return F.transform(raw, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), kind(c["word"], c["value"]).alias("kind"), *[v.alias(k) for k, v in features(c["word"], c["value"], c["near"]).items()]))
 
     return bound(F.filter(F.split(text, SPACE_RUN), lambda x: x != ""), of)
@@ -193,8 +219,8 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
 
 def feature_rows(spark: SparkSession, findings: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the candidates in labelled texts."""
-    rows = literal_table(spark, [{"t": t, "y": y} for t, y in findings], "t string, y int").select("y", F.explode(candidates(F.col("t"))).alias("c")).select("y", *[F.col(f"c.{f}") for f in FEATURES]).collect()
+    """Features and labels of the first candidates in labelled texts."""
+    rows = literal_table(spark, [{"t": t, "y": y} for t, y in findings], "t string, y int").select("y", F.explode(F.slice(candidates(F.col("t")), 1, 1)).alias("c")).select("y", *[F.col(f"c.{f}") for f in FEATURES]).collect()
     return np.array([[float(r[f]) for f in FEATURES] for r in rows]), np.array([float(r["y"]) for r in rows])
 
 
@@ -212,13 +238,18 @@ def scanned(docs: DataFrame, trees: list[Tree], limit: float = LIMIT) -> DataFra
             total = total + v
         return F.struct(c["at"], c["value"], c["kind"], (total / len(trees)).alias("score"))
 
-    findings = F.filter(F.transform(candidates(text_or_empty()), scored), lambda c: c["score"] >= limit)
+    # a finding inside another one of its word is that one's
+    def widest(f: Column) -> Column:
+        return F.filter(f, lambda c: ~F.exists(f, lambda d: (d["at"] == c["at"]) & (d["value"] != c["value"]) & d["value"].contains(c["value"])))
+
+    findings = bound(F.filter(F.transform(candidates(text_or_empty()), scored), lambda c: c["score"] >= limit), widest)
     return docs.select(*[c for c in docs.columns if c != "findings"], findings.alias("findings"))
 
 
 def redacted(text: Column, findings: Column) -> Column:
-    """The text with a mark in place of each secret's value."""
-    return F.aggregate(findings, text, lambda t, c: F.replace(t, c["value"], F.lit(MARK)))
+    """The text with a mark in place of each secret's value, long ones first, as one value can be part of another."""
+    longest = F.array_sort(findings, lambda a, b: F.char_length(b["value"]) - F.char_length(a["value"]))
+    return F.aggregate(longest, text, lambda t, c: F.replace(t, c["value"], F.lit(MARK)))
 
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
