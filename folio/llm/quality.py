@@ -37,12 +37,18 @@ KEPT_SHARE = 0.75
 STEPS = 4
 LEAST = 60
 #: Chance that a document of a normal distribution is further than the limit.
-FAR = 1e-9
+FAR = 1e-3
 DIMS = 4
-#: Least standard deviation of: logarithm of the mean word length, roots of symbols a letter, of repeated lines a line, of repeated words a word.
-FLOOR = (0.03, 0.06, 0.12, 0.12)
-#: Words of an average document that a document's mean word length is mixed with, so that short ones vary no more than long ones.
-PRIOR_WORDS = 200
+#: Least standard deviation of: mean word length (its unit is below), roots of symbols a letter, of repeated lines a line,
+#: of repeated words a word. Most groups have none of the last three in most documents, so theirs is the only spread.
+FLOOR = (0.05, 0.03, 0.12, 0.12)
+#: Least covariance: a repeated line repeats its words too.
+LEAST_COVARIANCE = np.diag(np.square(FLOOR))
+LEAST_COVARIANCE[2, 3] = LEAST_COVARIANCE[3, 2] = 0.6 * FLOOR[2] * FLOOR[3]
+#: Lines that are added to a document's, so that one repeated line of a few is no habit.
+PRIOR_LINES = 2
+#: The logarithm of a document's mean word length varies as the root of 1 / its words + 1 / so many.
+LONG_WORDS = 2000
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -126,15 +132,18 @@ def consistency(share: float, degrees: int) -> float:
     return share / chi_square(chi_square_quantile(share, degrees), degrees + 2)
 
 
-def vectors(passed: DataFrame) -> DataFrame:
+def vectors(passed: DataFrame, least: int = LEAST) -> DataFrame:
     """The transformed statistics x0 to x3, of rows that passed the base rules."""
-    means = passed.groupBy("lang").agg((F.sum("word_chars") / F.sum("n_words")).alias("_mean")).withColumnRenamed("lang", "_lang")
-    df = passed.join(means, passed["lang"].eqNullSafe(means["_lang"])).drop("_lang")
+    length = F.log(F.col("word_chars") / F.col("n_words"))
+    of_lang = passed.groupBy("lang").agg(F.percentile_approx(length, 0.5, 1000).alias("_of_lang")).withColumnRenamed("lang", "_l")
+    middle = passed.groupBy("lang", "source").agg(F.percentile_approx(length, 0.5, 1000).alias("_middle"), F.count("*").alias("_n"))
+    middle = middle.join(of_lang, middle["lang"].eqNullSafe(of_lang["_l"])).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(F.col("_n") >= least, F.col("_middle")).otherwise(F.col("_of_lang")).alias("_middle"))
+    df = passed.join(middle, passed["lang"].eqNullSafe(middle["_lang"]) & passed["source"].eqNullSafe(middle["_source"])).drop("_lang", "_source")
     return df.select(
         *[c for c in passed.columns],
-        F.log((F.col("word_chars") + PRIOR_WORDS * F.col("_mean")) / (F.col("n_words") + PRIOR_WORDS)).alias("x0"),
+        ((length - F.col("_middle")) / F.sqrt(1 / F.col("n_words") + 1 / LONG_WORDS)).alias("x0"),
         F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))).alias("x1"),
-        F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("x2"),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + PRIOR_LINES)).alias("x2"),
         F.sqrt(F.col("n_repeat_words") / F.greatest("n_words", F.lit(1))).alias("x3"),
     )
 
@@ -148,7 +157,7 @@ def estimate(sums: DataFrame, scale: float) -> DataFrame:
             for r in f.itertuples():
                 mean = np.array([getattr(r, f"s{i}") for i in range(DIMS)]) / r.n
                 second = np.array([[getattr(r, f"p{min(i, j)}{max(i, j)}") for j in range(DIMS)] for i in range(DIMS)]) / r.n
-                cov = (second - np.outer(mean, mean)) * scale + np.diag(np.square(FLOOR))
+                cov = (second - np.outer(mean, mean)) * scale + LEAST_COVARIANCE
                 out.append((r.level, r.lang, r.source, int(r.n), mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
             yield pd.DataFrame(out, columns=["level", "lang", "source", "n", "mean", "inverse"])
 
@@ -197,7 +206,7 @@ def judged(statistics: DataFrame, far: float = FAR, least: int = LEAST) -> DataF
     """The rows of ``with_statistics`` with base_failed, distance (null where base rules failed) and kept."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     rows = statistics.withColumn("base_failed", failed)
-    passed = vectors(rows.where(~F.col("base_failed")))
+    passed = vectors(rows.where(~F.col("base_failed")), least)
     sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = W.partitionBy("lang")
     sizes = sizes.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.when(F.col("n") >= least, 0).when(F.sum("n").over(by_lang) >= least, 1).otherwise(2).alias("level"))

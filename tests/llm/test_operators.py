@@ -427,6 +427,19 @@ def test_quality(spark, request, texts, which):
         assert np.mean(good) > 0.99 and np.mean(bad) < 0.3
 
 
+def test_quality_rejects_what_base_rules_pass(spark):
+    rng = np.random.default_rng(8)
+    n = rng.integers(50, 800, 400)
+    chars = (n * 5 * np.exp(rng.normal(0, 0.5, 400) / np.sqrt(n))).astype(int)
+    rows = [(i, "en", "a", int(w), int(c), 0, 0, 0, 10) for i, (w, c) in enumerate(zip(n, chars))]
+    # many symbols, long words, repeated lines, repeated words
+    bad = [(900, "en", "a", 200, 1000, 150, 0, 0, 10), (901, "en", "a", 50, 500, 0, 0, 0, 10), (902, "en", "a", 200, 1000, 0, 6, 0, 10), (903, "en", "a", 200, 1000, 0, 0, 59, 10)]
+    df = spark.createDataFrame(rows + bad, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    got = {r["doc_id"]: r for r in quality.judged(df).collect()}
+    assert not any(got[b[0]]["kept"] or got[b[0]]["base_failed"] for b in bad)
+    assert np.mean([got[r[0]]["kept"] for r in rows]) > 0.98
+
+
 def test_estimates_stand_outliers(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1, (2000, 4)) @ np.diag([1, 2, 3, 4]) + 5
