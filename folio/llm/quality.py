@@ -2,8 +2,9 @@
 
 Base rules count words, symbols, repeated lines and repeated windows of words in whole texts. What passes them becomes
 a vector of transformed statistics (word length, symbols, repeated lines, repeated words), and for each language and
-source a minimum-covariance-determinant estimate of mean and covariance is made from all its documents: from robust
-starts, concentration steps take the part ``KEPT_SHARE`` of nearest documents and estimate again from these. A document
+source a minimum-covariance-determinant estimate of mean and covariance is made from all its documents: from several
+starts (``STARTS``), concentration steps take the part ``KEPT_SHARE`` of nearest documents and estimate again from these,
+until the determinant stops falling; the estimate of least determinant is taken. A document
 further than a far quantile of the chi-square distribution (squared Mahalanobis distance) is rejected.
 
 All steps are sums by group, with a partial sum before the shuffle, so a hot source is no one's task; the nearest part is
@@ -18,6 +19,7 @@ their own; repeated rows count and are returned as often as they stand there; an
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,13 @@ SYMBOLS = b"#*$%&|<>"
 REPEAT_WORDS = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
-KEPT_SHARE = 0.75
-STEPS = 4
+KEPT_SHARE = 0.55
+#: Each start: the quantiles whose middle is its centre and whose distance is its spread, for all statistics.
+STARTS = ((0.25, 0.5, 0.75), (0.4, 0.5, 0.6), (0.05, 0.25, 0.45), (0.55, 0.75, 0.95))
+#: The part of a normal distribution that the last estimate is made from.
+CLOSE = 0.975
+#: A determinant that falls by a smaller part has stopped.
+STOPPED = 1e-4
 LEAST = 60
 #: Chance that a document of a normal distribution is further than the limit.
 FAR = 1e-3
@@ -149,7 +156,7 @@ def vectors(passed: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def estimate(sums: DataFrame, scale: float) -> DataFrame:
-    """Mean and inverse covariance of each group from its sums (level, lang, source, n, s0.., p00..)."""
+    """Mean and inverse covariance of each group from its sums (level, lang, source, start, n, s0.., p00..), and the logarithm of the determinant."""
 
     def run(frames):
         for f in frames:
@@ -158,10 +165,10 @@ def estimate(sums: DataFrame, scale: float) -> DataFrame:
                 mean = np.array([getattr(r, f"s{i}") for i in range(DIMS)]) / r.n
                 second = np.array([[getattr(r, f"p{min(i, j)}{max(i, j)}") for j in range(DIMS)] for i in range(DIMS)]) / r.n
                 cov = (second - np.outer(mean, mean)) * scale + LEAST_COVARIANCE
-                out.append((r.level, r.lang, r.source, int(r.n), mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["level", "lang", "source", "n", "mean", "inverse"])
+                out.append((r.level, r.lang, r.source, r.start, int(r.n), mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(out, columns=["level", "lang", "source", "start", "n", "mean", "inverse", "det"])
 
-    return sums.mapInPandas(run, "level int, lang string, source string, n long, mean array<double>, inverse array<double>")
+    return sums.mapInPandas(run, "level int, lang string, source string, start int, n long, mean array<double>, inverse array<double>, det double")
 
 
 def moments() -> list[Column]:
@@ -175,31 +182,60 @@ def distance() -> Column:
 
 
 def near(df: DataFrame, estimates: DataFrame) -> DataFrame:
-    e = estimates.select(F.col("level").alias("_level"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "mean", "inverse")
+    e = estimates.select(F.col("level").alias("_level"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "start", "mean", "inverse")
     joined = df.join(e, (df["level"] == e["_level"]) & df["lang"].eqNullSafe(e["_lang"]) & df["source"].eqNullSafe(e["_source"]))
     return joined.withColumn("distance", distance()).drop("_level", "_lang", "_source", "mean", "inverse")
 
 
-def robust_estimates(df: DataFrame, share: float = KEPT_SHARE, steps: int = STEPS) -> DataFrame:
-    """The estimates of rows (level, lang, source, x0..): concentration steps over all rows."""
-    keys = ["level", "lang", "source"]
-    # start: all rows, with coordinates cut at the middle ones of the group
-    mid = df.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 200).alias(f"q{i}") for i in range(DIMS)], F.count("*").alias("n"))
-    start = mid.select(
-        *keys, "n", F.array(*[F.col(f"q{i}")[1] for i in range(DIMS)]).alias("mean"),
-        F.array(*[(1 / (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)) for i in range(DIMS) for j in range(DIMS)]).alias("inverse"),
-    )
-    estimates = written(start, "estimates")
+def same_group(a: DataFrame, b: DataFrame) -> Column:
+    """a's keys with those of b that have a line before their names."""
+    return (a["level"] == b["_level"]) & a["lang"].eqNullSafe(b["_lang"]) & a["source"].eqNullSafe(b["_source"]) & (a["start"] == b["_start"])
+
+
+def robust_estimates(df: DataFrame, share: float = KEPT_SHARE) -> DataFrame:
+    """The estimates of rows (level, lang, source, x0..): concentration steps over all rows, of all starts at once."""
+    group = ["level", "lang", "source"]
+    keys = [*group, "start"]
+    quantiles = sorted({q for start in STARTS for q in start})
+    mid = df.groupBy(*group).agg(*[F.percentile_approx(f"x{i}", quantiles, 1000).alias(f"q{i}") for i in range(DIMS)], F.count("*").alias("n"))
+    at = lambda i, q: F.col(f"q{i}")[quantiles.index(q)]
+    normal = NormalDist().inv_cdf
+
+    def start(k: int) -> Column:
+        low, middle, high = STARTS[k]
+        spread = lambda i: (at(i, high) - at(i, low)) / (normal(high) - normal(low))
+        inverse = [1 / (F.pow(spread(i), 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]
+        return F.struct(F.lit(k).alias("start"), F.array(*[at(i, middle) for i in range(DIMS)]).alias("mean"), F.array(*inverse).alias("inverse"))
+
+    starts = mid.select(*group, "n", F.explode(F.array(*[start(k) for k in range(len(STARTS))])).alias("s")).select(*group, "s.start", "n", "s.mean", "s.inverse", F.lit(float("inf")).alias("det"))
+    moving = written(starts, "estimates")
     scale = consistency(share, DIMS)
-    for _ in range(steps):
-        d = near(df, estimates).withColumn("bin", F.floor(F.log1p(F.col("distance")) * 100).cast("int"))
+    stopped = []
+    while True:
+        d = near(df, moving).withColumn("bin", F.floor(F.log1p(F.col("distance")) * 100).cast("int"))
         bins = d.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
         w = W.partitionBy(*keys)
         bins = bins.select(*keys, "bin", (F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1))).alias("before"), F.sum("n").over(w).alias("all"))
-        limits = bins.where(F.coalesce("before", F.lit(0)) < share * F.col("all")).groupBy(*keys).agg(F.max("bin").alias("limit")).select(F.col("level").alias("_level"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "limit")
-        nearest = d.join(limits, (d["level"] == limits["_level"]) & d["lang"].eqNullSafe(limits["_lang"]) & d["source"].eqNullSafe(limits["_source"])).where("bin <= limit")
-        estimates = written(estimate(nearest.groupBy(*keys).agg(*moments()), scale), "estimates")
-    return estimates
+        limits = bins.where(F.coalesce("before", F.lit(0)) < share * F.col("all")).groupBy(*keys).agg(F.max("bin").alias("limit")).select(*[F.col(k).alias(f"_{k}") for k in keys], "limit")
+        nearest = d.join(limits, same_group(d, limits)).where("bin <= limit")
+        new = estimate(nearest.groupBy(*keys).agg(*moments()), scale)
+        before = moving.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("det").alias("_det"), F.col("mean").alias("_mean"), F.col("inverse").alias("_inverse"))
+        fell = F.col("det") < F.col("_det") - STOPPED
+        less = F.col("det") < F.col("_det")
+        step = new.join(before, same_group(new, before)).select(*keys, "n", F.when(less, F.col("mean")).otherwise(F.col("_mean")).alias("mean"), F.when(less, F.col("inverse")).otherwise(F.col("_inverse")).alias("inverse"), F.least("det", "_det").alias("det"), fell.alias("_fell"))
+        step = written(step, "estimates")
+        stopped.append(step.where(~F.col("_fell")).drop("_fell"))
+        moving = step.where("_fell").drop("_fell")
+        if moving.isEmpty():
+            break
+    every = stopped[0]
+    for s in stopped[1:]:
+        every = every.unionByName(s)
+    least = W.partitionBy(*group).orderBy("det", "start")
+    best = written(every.withColumn("_nth", F.row_number().over(least)).where("_nth = 1").drop("_nth"), "estimates")
+    # the usual last step: once more from all rows that are not far
+    close = near(df, best).where(F.col("distance") <= chi_square_quantile(CLOSE, DIMS))
+    return written(estimate(close.groupBy(*keys).agg(*moments()), consistency(CLOSE, DIMS)), "estimates")
 
 
 def judged(statistics: DataFrame, far: float = FAR, least: int = LEAST) -> DataFrame:

@@ -451,6 +451,17 @@ def test_estimates_stand_outliers(spark):
     assert np.allclose(spread, [1, 2, 3, 4], rtol=0.2)
 
 
+@pytest.mark.parametrize("share", [0.35, 0.4])
+def test_estimates_stand_many_outliers(spark, share):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (2000, 4)) @ np.diag([1, 2, 3, 4]) + 5
+    x[: int(2000 * share)] += [8, 14, 20, 26]
+    df = spark.createDataFrame([(0, "l", "s", *map(float, r)) for r in x], "level int, lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    e = quality.robust_estimates(df).first()
+    spread = np.sqrt(np.diag(np.linalg.inv(np.array(e["inverse"]).reshape(4, 4))))
+    assert np.allclose(e["mean"], 5, atol=0.8) and np.allclose(spread, [1, 2, 3, 4], rtol=0.3)
+
+
 def test_sql_of_near_duplicates(spark, medium):
     from folio.llm.queries import ORACLES
 
