@@ -11,7 +11,8 @@ Histogram, plan and combinations are as large as ``units`` says, not as the corp
 steps (inside a run of the documents by hash, and over the runs), so no class and no stream is one task's.
 
 Defined cases: a null text is empty, and a document is never empty, as the end id belongs to it; a null ``doc_id`` is
-a document of its own; repeated rows are packed as often as they stand there; an empty table gives no rows.
+a document of its own; repeated rows are packed as often as they stand there; the string of a
+special token in a text is that token, as in the library's own call; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -109,13 +110,13 @@ def plan(histogram: dict[int, tuple[int, int]], units: int = UNITS, parts: int =
         share -= 0.01
 
 
-def measured(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
+def measured(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, special: bool = True) -> DataFrame:
     """doc_id, key (of the text), n, the checksums of its whole windows, and the rest's. Texts are tokenized here."""
 
     def run(frames):
         for f in frames:
             n, heads, rests = [], [], []
-            for ids in tokens.documents_ids(f["text"], path, tokens.by_space, end):
+            for ids in tokens.documents_ids(f["text"], path, tokens.by_space, end, special):
                 n.append(len(ids))
                 heads.append([zlib.crc32(ids[i : i + window]) for i in range(0, len(ids) - window + 1, window)])
                 rests.append(zlib.crc32(ids[len(ids) // window * window :]))
@@ -138,10 +139,10 @@ def running(df: DataFrame, value: str, name: str, group: list[str], order: list[
     return df.withColumn("_in", inside).join(runs, [*group, "_run"]).withColumn(name, F.col("_first") + F.col("_in")).drop("_first", "_in")
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units: int = UNITS, parts: int = PARTS) -> DataFrame:
-    """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units: int = UNITS, parts: int = PARTS, special: bool = True) -> DataFrame:
+    """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``special``: as ``tokens`` has it."""
     spark = docs.sparkSession
-    base = written(measured(docs, path, window, end), "measured")
+    base = written(measured(docs, path, window, end, special), "measured")
     base = base.withColumn("_run", F.pmod(F.xxhash64("doc_id", "key", F.lit(SEED)), F.lit(max(RUNS, quantile(base.count(), RUN_ROWS)))).cast("int"))
     unit = window // units
     rests = base.withColumn("rest", F.col("n") % window).where("rest > 0").withColumn("class", F.ceil(F.col("rest") / unit).cast("int"))
@@ -186,7 +187,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units
     stream = int(placed.where("sequence_id is null").agg(F.sum("rest")).first()[0] or 0)
     further = -(-max(0, stream - room) // window)
     uncut = cut.where("length = rest").withColumn("ids_crc32", F.col("rest_crc"))
-    cut_pieces = checksums(docs, cut.where("length < rest"), path, end)
+    cut_pieces = checksums(docs, cut.where("length < rest"), path, end, special)
     # whole windows
     heads = base.where(F.size("heads") > 0).withColumn("_blocks", F.size("heads").cast("long"))
     heads = running(heads, "_blocks", "first", [], order).select("doc_id", "n", "first", F.posexplode("heads").alias("block", "ids_crc32"))
@@ -199,7 +200,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units
     return out
 
 
-def checksums(docs: DataFrame, cut: DataFrame, path: str, end: int) -> DataFrame:
+def checksums(docs: DataFrame, cut: DataFrame, path: str, end: int, special: bool = True) -> DataFrame:
     """The pieces with their ids_crc32: the texts of the documents that are cut are tokenized again."""
     pieces = cut.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("pieces"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
@@ -210,7 +211,7 @@ def checksums(docs: DataFrame, cut: DataFrame, path: str, end: int) -> DataFrame
     def run(frames):
         for f in frames:
             rows = []
-            for doc, pieces_, ids in zip(f["doc_id"], f["pieces"], tokens.documents_ids(f["text"], path, tokens.by_space, end), strict=True):
+            for doc, pieces_, ids in zip(f["doc_id"], f["pieces"], tokens.documents_ids(f["text"], path, tokens.by_space, end, special), strict=True):
                 for p in pieces_:
                     rows.append((doc, p["start"], p["length"], zlib.crc32(ids[p["start"] : p["start"] + p["length"]]), p["doc_tokens"], p["sequence_id"], p["offset"]))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

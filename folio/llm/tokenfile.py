@@ -10,7 +10,8 @@ Code lengths come from the counts of all ids (package-merge, at most ``LIMIT`` b
 in use than so many bits can tell apart). A block holds whole documents, so its size is bounded by ``BLOCK`` ids and the longest document.
 
 Defined cases: a null text is empty, and a document is never empty, as the end id belongs to it; a null ``doc_id``
-comes first; repeated rows are written as often as they stand there; an empty table gives files without blocks.
+comes first; repeated rows are written as often as they stand there; the string of a special token in a text is that
+token, as in the library's own call; an empty table gives files without blocks.
 """
 
 from __future__ import annotations
@@ -127,8 +128,8 @@ def decode(blocks: list[tuple[bytes, np.ndarray, int]], lookup: tuple[np.ndarray
     return [flat[edge[i] : edge[i] + b[2]] for i, b in enumerate(blocks)]
 
 
-def write(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
-    """Encode the texts of ``docs`` (doc_id, text) by the vocabulary at ``path`` and write the files."""
+def write(docs: DataFrame, folder: str, path: str, end: int = END, special: bool = True) -> None:
+    """Encode the texts of ``docs`` (doc_id, text) by the vocabulary at ``path`` and write the files. ``special``: as ``tokens`` has it."""
     spark = docs.sparkSession
     ship(spark)
     from tokenizers import Tokenizer
@@ -139,7 +140,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END) -> None:
     def tokenized(frames):
         total = np.zeros(vocabulary, np.int64)
         for f in frames:
-            ids = [x.astype(kind).tobytes() for x in tokens.documents_ids(f["text"], path, tokens.by_run, end)]
+            ids = [x.astype(kind).tobytes() for x in tokens.documents_ids(f["text"], path, tokens.by_run, end, special)]
             for at in range(0, len(ids), 500):
                 total += np.bincount(np.frombuffer(b"".join(ids[at : at + 500]), kind), minlength=vocabulary)
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "ids": ids, "counts": None})

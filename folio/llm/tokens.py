@@ -1,7 +1,10 @@
 """Token ids of whole texts by the tokenizers library, in executors.
 
-Encoding a text is encoding its chunks, if the chunks are cut where no pre-token of the vocabulary can reach across.
-Texts repeat their chunks a lot, so the ids of a chunk are looked up after its first time. ``tests/llm`` compares with the library's own encoding of whole texts.
+Ids are those of the library's own call: where a text has the string of a special token, that token's id stands
+(``special=False`` takes it for ordinary text). Special tokens are cut out first, as the library does, and what is
+between them is encoded part by part. Encoding a part is encoding its chunks, if the chunks are cut where no pre-token
+of the vocabulary can reach across. Texts repeat their chunks a lot, so the ids of a chunk are looked up after its first
+time. ``tests/llm`` compares with the library's own encoding of whole texts.
 """
 
 from __future__ import annotations
@@ -75,6 +78,10 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
 
 
+#: Begins the key of a special token; keys of chunks never begin with a space.
+SPECIAL = " "
+
+
 class Numbers(dict):
     """Numbers for keys; a new key gets the next one and is noted."""
 
@@ -94,11 +101,17 @@ class Encoder:
     for again is taken over from there. So common chunks stay and the memory has a bound.
     """
 
-    def __init__(self, path: str, cut):
+    def __init__(self, path: str, cut, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that reach beyond their own string are not supported")
+        self.special = {t.content: i for i, t in added.items()}
+        self.at_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
+        # chunks have no special tokens left, and small letters must not make any
         self.tokenizer.encode_special_tokens = True
         self.cut = cut
         self.old = ({}, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
@@ -111,6 +124,18 @@ class Encoder:
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def keys(self, text: str) -> list[str]:
+        """The keys of a text's chunks and special tokens, in order."""
+        if not any(t in text for t in self.special):
+            return self.cut(text)
+        out: list[str] = []
+        for i, part in enumerate(self.at_special.split(text)):
+            if i % 2:
+                out.append(SPECIAL + part)
+            elif part:
+                out += self.cut(part)
+        return out
+
     def learn(self, keys: list[str]) -> None:
         """Ids of new keys, which have the last numbers. Plain words go to the vocabulary's model one by one."""
         first = len(self.known) - len(keys)
@@ -128,9 +153,12 @@ class Encoder:
         simple, before = SIMPLE[self.cut.__name__]
         tokenize, fits = self.tokenizer.model.tokenize, simple.fullmatch
         plain = [fits(k) for k in keys]
-        parts = iter(self.learn_rest([k for k, p in zip(keys, plain, strict=True) if not p]))
+        parts = iter(self.learn_rest([k for k, p in zip(keys, plain, strict=True) if not p and k[:1] != SPECIAL]))
         found = []
-        for p in plain:
+        for k, p in zip(keys, plain, strict=True):
+            if k[:1] == SPECIAL:
+                found.append([self.special[k[1:]]])
+                continue
             if p is None:
                 found.append(next(parts))
                 continue
@@ -172,7 +200,7 @@ class Encoder:
         self.used += len(ids)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self.cut(t) for t in texts]
+        cut = [self.keys(t) for t in texts]
         if len(self.known) > MOST_CHUNKS:
             self.old = (self.known, self.start, self.length, self.flat)
             self.renew()
@@ -192,11 +220,11 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cut) -> Encoder:
+def encoder(path: str, cut, special: bool = True) -> Encoder:
     """One for each vocabulary and worker."""
-    key = (path, cut.__name__)
+    key = (path, cut.__name__, special)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, cut)
+        _encoders[key] = Encoder(path, cut, special)
     return _encoders[key]
 
 
@@ -222,9 +250,9 @@ def in_portions(texts, most: int = 4 << 20):
         yield first, run
 
 
-def documents_ids(texts, path: str, cut, end: int):
+def documents_ids(texts, path: str, cut, end: int, special: bool = True):
     """For each text its ids with ``end`` behind them, as an unsigned 32-bit array."""
-    encode = encoder(path, cut)
+    encode = encoder(path, cut, special)
     for _, run in in_portions(texts, 2 << 20):
         ids, lengths = encode(run)
         edge = np.concatenate([[0], np.cumsum(lengths)])

@@ -22,7 +22,6 @@ def ids_of(rows, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch([x for _, x in rows], add_special_tokens=False)]
 
 
@@ -339,13 +338,18 @@ def test_chunks_are_encoded_as_whole_texts_are(name, cut):
     import random
 
     rng = random.Random(7)
-    parts = ["a", "b", "Z", "é", "É", "ñ", "ß", "Σ", "İ", "7", "²", " ", " ", "  ", "\n", "\n\n", "\t", ",", ".", "!", "'", "'s", "_", "-", "\x00", "\x1c", "\x85", "　", "́", "漢", "\U0001f600", "<|endoftext|>", "...", "don't", "word", " The"]
+    parts = ["a", "b", "Z", "é", "É", "ñ", "ß", "Σ", "İ", "7", "²", " ", " ", "  ", "\n", "\n\n", "\t", ",", ".", "!", "'", "'s", "_", "-", "\x00", "\x1c", "\x85", "　", "́", "漢", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "...", "don't", "word", " The"]
     raw = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
-    e = tokens.Encoder(P.path(name), cut)
-    ids, lengths = e(raw)
-    edge = np.concatenate([[0], np.cumsum(lengths)])
-    for i, want in enumerate(e.tokenizer.encode_batch(raw, add_special_tokens=False)):
-        assert ids[edge[i] : edge[i + 1]].tolist() == want.ids
+    from tokenizers import Tokenizer
+
+    for special in (True, False):
+        ids, lengths = tokens.Encoder(P.path(name), cut, special)(raw)
+        edge = np.concatenate([[0], np.cumsum(lengths)])
+        own = Tokenizer.from_file(P.path(name))
+        if not special:
+            own.encode_special_tokens = True
+        for i, want in enumerate(own.encode_batch(raw, add_special_tokens=False)):
+            assert ids[edge[i] : edge[i + 1]].tolist() == want.ids
 
 
 def test_toxicity_on_held_out_rows(spark, medium):
