@@ -8,7 +8,7 @@ classes leaves. Ranks inside a class then say which rest goes to which slot. The
 as one stream they are cut into the gaps, in order, and then into further sequences, of which only the last is short.
 
 Histogram, plan and combinations are as large as ``units`` says, not as the corpus. Ranks and running sums are in two
-steps (inside a run of the documents by hash, and over the runs), so no class and no stream is one task's.
+steps (inside a run of the rows by hash, and over the runs), so no class, no stream and no repeated row is one task's.
 
 Defined cases: a null text is empty, and a document is never empty, as the end id belongs to it; a null ``doc_id`` is
 a document of its own; repeated rows are packed as often as they stand there; the string of a
@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,20 +112,25 @@ def plan(histogram: dict[int, tuple[int, int]], units: int = UNITS, parts: int =
 
 
 def measured(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, special: bool = True) -> DataFrame:
-    """doc_id, key (of the text), n, the checksums of its whole windows, and the rest's. Texts are tokenized here."""
+    """row, doc_id, n, the checksums of its whole windows, its rest's and the rest's ids. Texts are tokenized here, once.
+
+    ``row`` tells rows apart, repeated ones too; it is fixed once this is written.
+    """
 
     def run(frames):
+        row = TaskContext.get().partitionId() << 40
         for f in frames:
-            n, heads, rests = [], [], []
+            n, heads, rests, crcs = [], [], [], []
             for ids in tokens.documents_ids(f["text"], path, tokens.by_space, end, special):
                 n.append(len(ids))
                 heads.append([zlib.crc32(ids[i : i + window]) for i in range(0, len(ids) - window + 1, window)])
-                rests.append(zlib.crc32(ids[len(ids) // window * window :]))
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "key": f["key"], "n": n, "heads": heads, "rest_crc": rests})
+                rests.append(ids[len(ids) // window * window :].tobytes())
+                crcs.append(zlib.crc32(rests[-1]))
+            yield pd.DataFrame({"row": np.arange(row, row + len(f)), "doc_id": f["doc_id"].astype("Int64"), "n": n, "heads": heads, "rest_crc": crcs, "rest_ids": rests})
+            row += len(f)
 
     ship(docs.sparkSession)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    return keyed.mapInPandas(run, "doc_id long, key long, n long, heads array<long>, rest_crc long")
+    return docs.select("doc_id", "text").mapInPandas(run, "row long, doc_id long, n long, heads array<long>, rest_crc long, rest_ids binary")
 
 
 def before(value: Column, *partition: str, order: list) -> Column:
@@ -143,12 +149,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``special``: as ``tokens`` has it."""
     spark = docs.sparkSession
     base = written(measured(docs, path, window, end, special), "measured")
-    base = base.withColumn("_run", F.pmod(F.xxhash64("doc_id", "key", F.lit(SEED)), F.lit(max(RUNS, quantile(base.count(), RUN_ROWS)))).cast("int"))
+    base = base.withColumn("_run", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(max(RUNS, quantile(base.count(), RUN_ROWS)))).cast("int"))
     unit = window // units
-    rests = base.withColumn("rest", F.col("n") % window).where("rest > 0").withColumn("class", F.ceil(F.col("rest") / unit).cast("int"))
+    rests = base.drop("heads", "rest_ids").withColumn("rest", F.col("n") % window).where("rest > 0").withColumn("class", F.ceil(F.col("rest") / unit).cast("int"))
     histogram = {r["class"]: (r["count"], r["ids"]) for r in rests.groupBy("class").agg(F.count("*").alias("count"), F.sum("rest").alias("ids")).collect()}
     planned = plan(histogram, units, parts, window)
-    order = ["doc_id", "key", "n"]
+    order = ["doc_id", "row"]
     # slots: for each class the ranks that go to a place of a combination's repeats
     slots, taken, first = [], dict.fromkeys(range(1, units + 1), 0), 0
     for combo, n in planned:
@@ -160,7 +166,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units
     slot_table = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "class int, low long, high long, first long, place int")
     ranked = running(rests.withColumn("_one", F.lit(1)), "_one", "rank", ["class"], order).drop("_one")
     placed = ranked.join(F.broadcast(slot_table), (ranked["class"] == slot_table["class"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left").drop(slot_table["class"])
-    placed = written(placed.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("low")).select("doc_id", "key", "n", "rest", "rest_crc", "_run", "sequence_id", "place"), "placed")
+    placed = written(placed.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("low")).select("row", "doc_id", "n", "rest", "rest_crc", "_run", "sequence_id", "place"), "placed")
     in_combos = placed.where("sequence_id is not null").withColumn("offset", before(F.col("rest"), "sequence_id", order=["place"]))
     combo_pieces = in_combos.select("doc_id", (F.col("n") - F.col("rest")).alias("start"), F.col("rest").alias("length"), F.col("rest_crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
     # the gaps on one axis, and the rests left over as a stream on the same axis
@@ -169,25 +175,25 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units
     gaps = running(gaps, "gap", "at", [], ["sequence_id"])
     room = placed.where("sequence_id is not null").agg(F.sum("rest"), F.count_distinct("sequence_id")).first()
     room = int((room[1] or 0) * window - (room[0] or 0))
-    left = running(placed.where("sequence_id is null").select("doc_id", "key", "n", "rest", "rest_crc", "_run"), "rest", "at", [], order)
+    left = running(placed.where("sequence_id is null").select("row", "doc_id", "n", "rest", "rest_crc", "_run"), "rest", "at", [], order)
     left = left.withColumn("until", F.col("at") + F.col("rest"))
     blocks = lambda a, b: F.explode(F.sequence(F.floor(a / window), F.floor((b - 1) / window)))
     g = gaps.select(F.col("at").alias("g_at"), (F.col("at") + F.col("gap")).alias("g_until"), "filled", "sequence_id", blocks(F.col("at"), F.col("at") + F.col("gap")).alias("block"))
     s = left.where(F.col("at") < room).withColumn("_until", F.least("until", F.lit(room))).withColumn("block", blocks(F.col("at"), F.col("_until")))
     low, high = F.greatest("at", "g_at"), F.least("_until", "g_until")
     in_gaps = s.join(g, "block").where((low < high) & (F.floor(low / window) == F.col("block")))
-    in_gaps = in_gaps.select("doc_id", "key", "n", "rest", "rest_crc", "at", low.alias("low"), high.alias("high"), "sequence_id", (F.col("filled") + low - F.col("g_at")).alias("offset"))
+    in_gaps = in_gaps.select("row", "doc_id", "n", "rest", "rest_crc", "at", low.alias("low"), high.alias("high"), "sequence_id", (F.col("filled") + low - F.col("g_at")).alias("offset"))
     more = left.where(F.col("until") > room).withColumn("_from", F.greatest("at", F.lit(room)) - room)
     more = more.withColumn("block", blocks(F.col("_from"), F.col("until") - room))
     low, high = F.greatest(F.col("_from"), F.col("block") * window), F.least(F.col("until") - room, (F.col("block") + 1) * window)
-    in_more = more.select("doc_id", "key", "n", "rest", "rest_crc", "at", (low + room).alias("low"), (high + room).alias("high"), (F.col("block") + combined).alias("sequence_id"), (low - F.col("block") * window).alias("offset"))
+    in_more = more.select("row", "doc_id", "n", "rest", "rest_crc", "at", (low + room).alias("low"), (high + room).alias("high"), (F.col("block") + combined).alias("sequence_id"), (low - F.col("block") * window).alias("offset"))
     cut = in_gaps.unionByName(in_more)
-    cut = cut.select("doc_id", "key", (F.col("n") - F.col("rest") + F.col("low") - F.col("at")).alias("start"), (F.col("high") - F.col("low")).alias("length"), "rest", "rest_crc", F.col("n").alias("doc_tokens"), "sequence_id", "offset")
+    cut = cut.select("row", "doc_id", (F.col("n") - F.col("rest") + F.col("low") - F.col("at")).alias("start"), (F.col("low") - F.col("at")).alias("inside"), (F.col("high") - F.col("low")).alias("length"), "rest", "rest_crc", F.col("n").alias("doc_tokens"), "sequence_id", "offset")
     cut = written(cut, "cut")
     stream = int(placed.where("sequence_id is null").agg(F.sum("rest")).first()[0] or 0)
     further = -(-max(0, stream - room) // window)
     uncut = cut.where("length = rest").withColumn("ids_crc32", F.col("rest_crc"))
-    cut_pieces = checksums(docs, cut.where("length < rest"), path, end, special)
+    cut_pieces = checksums(base, cut.where("length < rest"))
     # whole windows
     heads = base.where(F.size("heads") > 0).withColumn("_blocks", F.size("heads").cast("long"))
     heads = running(heads, "_blocks", "first", [], order).select("doc_id", "n", "first", F.posexplode("heads").alias("block", "ids_crc32"))
@@ -200,24 +206,13 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, units
     return out
 
 
-def checksums(docs: DataFrame, cut: DataFrame, path: str, end: int, special: bool = True) -> DataFrame:
-    """The pieces with their ids_crc32: the texts of the documents that are cut are tokenized again."""
-    pieces = cut.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("pieces"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    same = pieces["doc_id"].eqNullSafe(keyed["doc_id"]) & (pieces["key"] == keyed["key"])
-    # sorted on both sides: whole texts never go to every executor, however few are cut
-    texts = keyed.join(pieces.hint("merge"), same).select(keyed["doc_id"], keyed["key"], "text", "pieces").dropDuplicates(["doc_id", "key"])
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for doc, pieces_, ids in zip(f["doc_id"], f["pieces"], tokens.documents_ids(f["text"], path, tokens.by_space, end, special), strict=True):
-                for p in pieces_:
-                    rows.append((doc, p["start"], p["length"], zlib.crc32(ids[p["start"] : p["start"] + p["length"]]), p["doc_tokens"], p["sequence_id"], p["offset"]))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return texts.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def checksums(base: DataFrame, cut: DataFrame) -> DataFrame:
+    """The pieces with their ids_crc32, from the ids of the rests that are cut."""
+    ids = base.select(F.col("row").alias("_row"), "rest_ids")
+    # sorted on both sides: the ids never go to every executor, however few rests are cut
+    found = cut.join(ids.hint("merge"), F.col("row") == F.col("_row"))
+    part = F.substring("rest_ids", (4 * F.col("inside") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return found.withColumn("ids_crc32", F.crc32(part))
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
