@@ -2,14 +2,15 @@
 
 Every source gets a target number of words: its share of all words by weight, stopped at ``most_passes`` times what it
 has, the excess shared again by weight. A source's documents stand in a seeded random order; whole passes over it and
-then the documents at its head, up to the target, are what the mix takes. That sequence of draws is cut into blocks. A
-binary tree over the output shards splits the blocks' quotas: at each node the number of a source's blocks that go
-left is drawn from the multivariate hypergeometric distribution, given the room on the left, so the quotas of all
-leaves add up exactly. A leaf takes its quota of disjoint blocks from the (random) order and a seeded hash shuffles
-what the shard has got.
+then the documents at its head, up to the target, are cut into blocks, whose number is the source's quota. A binary tree
+over the output shards splits the quotas: at each node the number of a source's blocks that go left is drawn from the
+multivariate hypergeometric distribution, given the room on the left, so the quotas of all leaves add up exactly. A leaf
+draws its quota of blocks, disjoint from all others', from a seeded permutation of the source's blocks; a document is
+taken as often as a leaf draws a block that it begins in. A seeded hash shuffles what a shard has got.
 
 Only one row for each source comes to the driver (a mix names its sources with weights, so their number is that of a
-configuration) and the quotas are a table of sources by shards.
+configuration), and which leaf draws a block is a table of ``shards`` x ``BLOCKS_PER_SHARD`` numbers. Sizes are counted
+once; equal rows are one row with a count until they are drawn; whole texts move twice, to their draws and to their shards.
 
 Defined cases: null source is a source of its own, last in order; a null or blank text has size 0 and is not taken; a
 source without words has target 0; repeated rows are documents of their own; an empty table gives no rows.
@@ -18,6 +19,7 @@ source without words has target 0; repeated rows are documents of their own; an
 from __future__ import annotations
 
 import json
+import math
 import random
 from collections.abc import Sequence
 
@@ -31,6 +33,12 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
 SHARDS = 32
 BLOCKS_PER_SHARD = 64
+#: Documents of a source that close what its head leaves open of the target, at most.
+CLOSING_DOCUMENTS = 4
+#: Documents in a block on average, at least; it has more where the corpus is larger.
+BLOCK_DOCUMENTS = 4
+#: Words of a shard that are shuffled together, on average.
+PIECE_WORDS = 8_000_000
 #: Runs of the random order into which a source is dealt for its running sums, at least, and the documents of one: a hot source is never in one task.
 RUNS, RUN_ROWS = 512, 100_000
 
@@ -120,69 +128,109 @@ def literal_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_passes: int = MOST_PASSES, shards: int = SHARDS, seed: int = SEED, total: float | None = None) -> DataFrame:
-    """All rows of ``docs`` (with a ``size`` or else a ``text``) with size, source_size, target, taken and draws.
+def dealt(quotas: Sequence[Sequence[int]], blocks: Sequence[int], seed: int = SEED) -> list[list[int]]:
+    """For each source the shard that draws each of its blocks, -1 where none does: leaves take their quotas of a permutation."""
+    out = []
+    for i, n in enumerate(blocks):
+        order = list(range(n))
+        random.Random(seed + i).shuffle(order)
+        mine, at = [-1] * n, 0
+        for shard, quota in enumerate(quotas):
+            for b in order[at : at + quota[i]]:
+                mine[b] = shard
+            at += quota[i]
+        out.append(mine)
+    return out
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and two hashes of the whole row, which tell different documents apart."""
+    size = F.col("size") if "size" in docs.columns else word_count(text_or_empty())
+    return docs.select("doc_id", "source", size.alias("size"), *[F.xxhash64(F.lit(k), *docs.columns).alias(f"_k{k}") for k in (1, 2)])
+
+
+def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most_passes: int = MOST_PASSES, shards: int = SHARDS, seed: int = SEED, total: float | None = None) -> DataFrame:
+    """The rows of ``rows_of`` (written) with source_size, target, taken and draws.
 
     ``draws`` is an array of (pass, block, shard, place); a row with an empty one is not in the mix; ``place`` orders
-    a shard's rows. What the documents at the head leave open is closed, as far as one document can, by the document
-    of the source whose size is nearest to it.
+    a shard's rows. What the documents at the head leave open is closed, as far as a few documents can, by those of
+    the source whose sizes are nearest to it.
     """
-    spark = docs.sparkSession
-    made = ("source_size", "target", "taken", "draws")
-    sized = docs.select(*[c for c in docs.columns if c not in made and c != "size"], F.col("size") if "size" in docs.columns else word_count(text_or_empty()).alias("size"))
-    bits = max(RUNS, quantile(docs.count(), RUN_ROWS)).bit_length() - 1
-    sized = sized.withColumn("_order", F.xxhash64("doc_id", F.lit(seed))).withColumn("_run", F.shiftrightunsigned("_order", 64 - bits).cast("int"))
-    sums = sized.groupBy("source", "_run").agg(F.sum("size").alias("words"))
-    have = {r["source"]: int(r["words"] or 0) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+    spark = rows.sparkSession
+    bits = max(RUNS, quantile(rows.count(), RUN_ROWS)).bit_length() - 1
+    keys = ["doc_id", "source", "size", "_k1", "_k2"]
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_copies"))
+    groups = groups.withColumn("_order", F.xxhash64("doc_id", "_k1", F.lit(seed))).withColumn("_run", F.shiftrightunsigned("_order", 64 - bits).cast("int"))
+    groups = written(groups, "mix-rows")
+    size = F.col("size")
+    sums = groups.groupBy("source", "_run").agg(F.sum(size * F.col("_copies")).alias("words"), F.sum(F.when(size > 0, F.col("_copies"))).alias("documents"))
+    found = sums.groupBy("source").agg(F.sum("words").alias("words"), F.sum("documents").alias("documents")).collect()
+    have = {r["source"]: int(r["words"] or 0) for r in found}
+    mean = sum(have.values()) / max(1, sum(r["documents"] or 0 for r in found))
     goal = targets(have, weights, most_passes, total)
     names = sorted(have, key=lambda s: (s is None, s or ""))
-    block_words = max(1.0, sum(goal.values()) / (shards * BLOCKS_PER_SHARD))
+    block_words = max(1.0, sum(goal.values()) / (shards * BLOCKS_PER_SHARD), BLOCK_DOCUMENTS * mean)
     blocks = [int(-(-goal[s] // block_words)) if goal[s] else 0 for s in names]
-    ends, rows = [0] * len(names), [[] for _ in names]
-    for quota in split_quotas(blocks, shards, seed):
-        for i, n in enumerate(quota):
-            ends[i] += n
-            rows[i].append(ends[i])
-    facts = literal_table(spark, [{"i": i, "name": s, "source_size": have[s], "target": goal[s], "ends": rows[i]} for i, s in enumerate(names)], "i int, name string, source_size bigint, target double, ends array<int>")
+    deal = dealt(split_quotas(blocks, shards, seed), blocks, seed)
+    facts = literal_table(spark, [{"name": s, "source_size": have[s], "target": goal[s], "deal": deal[i]} for i, s in enumerate(names)], "name string, source_size bigint, target double, deal array<int>")
     before = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     heads = sums.select("source", "_run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_head"))
-    heads = heads.join(facts, heads["source"].eqNullSafe(facts["name"])).select(F.col("source").alias("_s"), F.col("_run").alias("_r"), "_head", "source_size", "target", "ends")
-    inside = Window.partitionBy("source", "_run").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    whole, size = F.col("source_size"), F.col("size")
+    heads = heads.join(facts.drop("deal"), heads["source"].eqNullSafe(facts["name"])).select(F.col("source").alias("_s"), F.col("_run").alias("_r"), "_head", "source_size", "target")
+    inside = Window.partitionBy("source", "_run").orderBy("_order", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.col("source_size")
     passes = F.when(whole > 0, F.least(F.floor(F.col("target") / whole), F.lit(most_passes))).otherwise(0).cast("int")
-
-    def placed(rows_: DataFrame) -> DataFrame:
-        out = rows_.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        out = out.join(heads, out["source"].eqNullSafe(heads["_s"]) & (out["_run"] == heads["_r"])).drop("_s", "_r")
-        out = out.withColumn("_at", F.col("_head") + F.col("_inside")).withColumn("_passes", passes).withColumn("_rest", F.col("target") - F.col("_passes") * whole)
-        return out.withColumn("_head_of_source", (size > 0) & (F.col("_passes") < most_passes) & (F.col("_at") + size / 2 <= F.col("_rest")))
-
-    narrow = placed(sized.select("doc_id", "source", "size", "_order", "_run"))
-    open_ = narrow.groupBy("source").agg((F.max("_rest") - F.coalesce(F.sum(F.when(F.col("_head_of_source"), size)), F.lit(0))).alias("_open"))
-    open_ = literal_table(spark, [{"name": r["source"], "open": r["_open"]} for r in open_.collect()], "name string, open double")
-    # a document that is not taken closes an open rest, one that is taken an excess
-    near = narrow.join(open_, narrow["source"].eqNullSafe(open_["name"])).where((size > 0) & (F.col("_passes") < most_passes) & (F.col("_head_of_source") == (F.col("open") < 0)) & (size < 2 * F.abs("open")))
-    fix = near.groupBy("source").agg(F.min_by(F.struct("_order", "doc_id", "_at"), F.struct(F.abs(size - F.abs("open")), "_order", "_at")).alias("_fix"))
-    fixed = literal_table(spark, [{"name": r["source"], "o": r["_fix"]["_order"], "at": r["_fix"]["_at"]} for r in fix.collect()], "name string, o bigint, at bigint")
-    out = placed(sized)
-    out = out.join(fixed, out["source"].eqNullSafe(fixed["name"]) & (out["_order"] == fixed["o"]) & (out["_at"] == fixed["at"]) & (size > 0), "left")
-    out = out.withColumn("_n", F.when(size == 0, 0).otherwise(F.col("_passes") + (F.col("_head_of_source") != F.col("o").isNotNull()).cast("int")))
+    placed = groups.withColumn("_inside", F.coalesce(F.sum(size * F.col("_copies")).over(inside), F.lit(0)))
+    placed = placed.join(heads, placed["source"].eqNullSafe(heads["_s"]) & (placed["_run"] == heads["_r"])).drop("_s", "_r")
+    placed = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    placed = placed.withColumn("_at", F.col("_head") + F.col("_inside") + F.col("_copy") * size).withColumn("_passes", passes).withColumn("_rest", F.col("target") - F.col("_passes") * whole)
+    placed = placed.withColumn("_is_head", (size > 0) & (F.col("_passes") < most_passes) & (F.col("_at") + size / 2 <= F.col("_rest")))
+    placed = written(placed.drop("_inside", "_head", "_copy", "_copies", "_run"), "mix-placed")
+    found = placed.groupBy("source").agg((F.max("_rest") - F.coalesce(F.sum(F.when(F.col("_is_head"), size)), F.lit(0))).alias("open")).collect()
+    open_, moved = {r["source"]: float(r["open"]) for r in found}, {r["source"]: [] for r in found}
+
+    def with_moved(rows_: DataFrame) -> DataFrame:
+        """The rows with what is open of their source and whether they were moved into or out of the mix's head."""
+        state = literal_table(spark, [{"name": s, "open": open_[s], "moved": moved[s]} for s in open_], "name string, open double, moved array<struct<o:bigint,at:bigint>>")
+        out = rows_.join(state, rows_["source"].eqNullSafe(state["name"])).drop("name")
+        return out.withColumn("_moved", F.exists("moved", lambda m: (m["o"] == F.col("_order")) & (m["at"] == F.col("_at"))) & (size > 0))
+
+    for _ in range(CLOSING_DOCUMENTS):
+        # a document that is not taken closes an open rest, one that is taken an excess
+        near = with_moved(placed).where(~F.col("_moved") & (size > 0) & (F.col("_passes") < most_passes) & (F.col("_is_head") == (F.col("open") < 0)) & (size < 2 * F.abs("open")))
+        best = near.groupBy("source").agg(F.min_by(F.struct("_order", "_at", "size"), F.struct(F.abs(size - F.abs("open")), "_order", "_at")).alias("m")).collect()
+        for r in best:
+            open_[r["source"]] -= math.copysign(r["m"]["size"], open_[r["source"]])
+            moved[r["source"]].append({"o": r["m"]["_order"], "at": r["m"]["_at"]})
+        if not best:
+            break
+    out = with_moved(placed)
+    out = out.join(facts.select("name", "deal"), out["source"].eqNullSafe(facts["name"]))
+    wanted = F.when(size == 0, 0).otherwise(F.col("_passes") + (F.col("_is_head") != F.col("_moved")).cast("int"))
 
     def draw(p: Column) -> Column:
-        block = F.floor((p * whole + F.col("_at")) / F.lit(block_words)).cast("int")
-        shard = F.least(F.size(F.filter("ends", lambda e: e <= block)), F.lit(shards - 1))
-        return F.struct(p.alias("pass"), block.alias("block"), shard.alias("shard"), F.xxhash64("_order", p, F.lit(seed + 1)).alias("place"))
+        # the document that closes a rest may stand anywhere; it goes with the last block
+        block = F.least(F.floor((p * whole + F.col("_at")) / F.lit(block_words)).cast("int"), F.size("deal") - 1)
+        return F.struct(p.alias("pass"), block.alias("block"), F.get("deal", block).alias("shard"), F.xxhash64("_order", "_at", p, F.lit(seed + 1)).alias("place"))
 
-    draws = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), draw)).otherwise(F.array())
-    return out.select(*[c for c in docs.columns if c not in made and c != "size"], "size", "source_size", "target", (size * F.col("_n")).alias("taken"), draws.alias("draws"))
+    draws = F.when(wanted > 0, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(wanted - 1, F.lit(0))), draw), lambda d: d["shard"] >= 0)).otherwise(F.array())
+    out = out.withColumn("draws", draws)
+    return out.select(*keys, "source_size", "target", (size * F.size("draws")).alias("taken"), "draws")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
     """The mix itself: a row of the documents' columns for each draw, in shards that are shuffled locally."""
-    drawn = mix(docs.select(*DOCUMENT_COLUMNS), **options).select(*DOCUMENT_COLUMNS, F.explode("draws").alias("_d"))
-    return drawn.repartition(F.col("_d.shard"), F.pmod("_d.place", F.lit(16))).sortWithinPartitions("_d.shard", "_d.place").select(*DOCUMENT_COLUMNS)
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    rows = written(rows_of(docs), "mix-sizes")
+    drawn = mix(rows, shards=shards, **options)
+    words = rows.agg(F.sum("size")).first()[0] or 0
+    pieces = quantile(words, shards * PIECE_WORDS)
+    drawn = drawn.select(F.col("_k1").alias("_d1"), F.col("_k2").alias("_d2"), F.explode("draws").alias("_d")).select("_d1", "_d2", F.col("_d.shard").alias("_shard"), F.col("_d.place").alias("_place"))
+    # equal rows have their draws together, so one of their texts is enough
+    whole = docs.select("*", *[F.xxhash64(F.lit(k), *docs.columns).alias(f"_k{k}") for k in (1, 2)]).dropDuplicates(["_k1", "_k2"])
+    out = drawn.join(whole.hint("merge"), (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).withColumn("_piece", F.pmod("_place", F.lit(pieces)))
+    return out.repartition("_shard", "_piece").sortWithinPartitions("_shard", "_piece", "_place").select(*DOCUMENT_COLUMNS)
 
 
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", word_count(text_or_empty()).alias("size"))
-    return mix(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("draws"))
+    drawn = mix(written(rows_of(table(spark, folder, "documents").select("doc_id", "source", "text")), "mix-sizes"))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken", *[F.col(f"draws.{k}").alias(f"{k}s") for k in ("block", "shard", "place")])

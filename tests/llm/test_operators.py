@@ -151,6 +151,55 @@ def test_mixing(spark, medium):
     assert dict(zip(got["doc_id"], got["taken"])) == dict(zip(again["doc_id"], again["taken"]))
 
 
+def test_mixing_draws_what_the_tree_says(spark, medium, monkeypatch):
+    """A leaf has the blocks of its quotas, no two leaves have the same, and other quotas give another mix."""
+    seen = {}
+
+    def noted(blocks, shards, seed):
+        seen["quotas"] = split(blocks, shards, seed)
+        return seen["quotas"]
+
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", noted)
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    rows = mixing.rows_of(docs).cache()
+    got = mixing.mix(rows).toPandas()
+    names = sorted(got["source"].unique())
+    owner = {}
+    for r in got.itertuples():
+        assert r.taken == r.size * len(r.draws)
+        for d in r.draws:
+            assert owner.setdefault((r.source, d["block"]), d["shard"]) == d["shard"]
+    drawn = Counter((s, shard) for (s, _), shard in owner.items())
+    blocks = Counter(s for s, _ in owner)
+    for i, s in enumerate(names):
+        quota = [q[i] for q in seen["quotas"]]
+        # a block in which no document begins is drawn too, but has no rows
+        assert all(drawn[s, k] <= n for k, n in enumerate(quota)) and sum(quota) >= blocks[s] > 0.5 * sum(quota)
+    monkeypatch.setattr(mixing, "split_quotas", lambda b, n, seed: [[0] * len(b) for _ in range(n)])
+    assert mixing.mix(rows).agg(F.sum("taken")).first()[0] == 0
+    # a leaf that gets nothing leaves its blocks out
+    monkeypatch.setattr(mixing, "split_quotas", lambda b, n, seed: [*split(b, n, seed)[:-1], [0] * len(b)])
+    last = sum(r.size for r in got.itertuples() for d in r.draws if d["shard"] == mixing.SHARDS - 1)
+    assert last > 0 and mixing.mix(rows).agg(F.sum("taken")).first()[0] == got["taken"].sum() - last
+    monkeypatch.setattr(mixing, "split_quotas", split)
+    mixed = mixing.mixed_documents(docs).groupBy("doc_id").count().toPandas()
+    assert dict(zip(mixed["doc_id"], mixed["count"])) == {r.doc_id: len(r.draws) for r in got.itertuples() if len(r.draws)}
+
+
+def test_mixing_of_equal_and_alike_rows(spark):
+    """Rows of one id, of equal and of different texts, are documents of their own."""
+    rows = [(1, "a b c d", "en", "x", 7)] * 40 + [(1, "a b c e", "en", "x", 7), (1, "a", "en", "x", 1)] + [(i, "v w x y z " * 10, "en", "y", 100) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mix(mixing.rows_of(docs).repartition(3)).toPandas()
+    again = mixing.mix(mixing.rows_of(docs).repartition(5)).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
+    key = ["doc_id", "source", "size", "_k1", "taken"]
+    assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, again[key].values.tolist()))
+    n = mixing.mixed_documents(docs)
+    assert n.where("source = 'x' and text = 'a b c d'").count() == sum(len(d) for d in got[(got["size"] == 4) & (got["source"] == "x")]["draws"]) - n.where("text = 'a b c e'").count()
+
+
 def test_splitting_tree_deals_all_blocks():
     blocks = [500, 3, 0, 77, 1000]
     quotas = mixing.split_quotas(blocks, 16)
