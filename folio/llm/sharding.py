@@ -1,29 +1,42 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters the records by seeded hashes: a record's shard is the one of highest random weight for its
-``doc_id`` (so the key and the number of shards decide, and one more shard only takes rows), and a second seeded
-hash picks one of the shard's buckets, whose number follows the bytes of the corpus so that a bucket fits in memory.
-Pass two Fisher-Yates shuffles each bucket (``shuffle`` of Spark SQL is one) and writes it; a record's slot is the
-number of records in the buckets before its own plus its place in the shuffled bucket.
+Pass one scatters the rows by seeded hashes: a row's shard is the one of highest random weight for its ``doc_id`` (so
+the key and the number of shards decide, and one more shard only takes rows), and a second seeded hash, of the whole
+row, picks one of the shard's buckets, whose number follows the bytes of the corpus. Pass two shuffles each bucket and
+writes it, a folder for each shard. A bucket's rows stand in the order of a third seeded hash of the whole row: Spark's
+own ``shuffle`` starts from the number of the task, so its order would change with the plan. A row's slot, given when
+shards are read, is the number of rows in the shard's buckets before its own plus its place in the bucket.
+
+Buckets are sorted, which spills, and never gathered; rows of one ``doc_id`` with different texts are in different
+buckets of its shard. Only equal whole rows share a place in the order, and which of them has which slot is all the same.
 
 Defined cases: a null text has no bytes and the checksum of the empty text; a null ``doc_id`` is a key of its own;
-repeated rows stay, each with a slot of its own; an empty table gives no rows; other columns are ignored by ``deal``
-and kept by ``write_shards``.
+repeated rows stay, each with a slot of its own; an empty table gives no rows; other columns are written too, but for
+those of this module's own names (``MADE``), which are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from folio.llm import common
 from folio.llm.common import quantile, table, text_or_empty
 
 SHARDS = 40
 SEED = 20_011
-#: Bytes of records that one bucket may hold on average.
+#: Bytes of rows that one bucket may hold on average.
 BUCKET_BYTES = 64 << 20
-#: Bytes that a record needs besides its text.
+#: Bytes that a row needs besides its text.
 RECORD_BYTES = 16
+MADE = ("shard", "grown_shard", "bucket", "place", "slot")
+
+
+def size_of(text: str = "text") -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD_BYTES
 
 
 def weights(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -36,47 +49,47 @@ def highest(weight: Column) -> Column:
 
 
 def scatter(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Pass one: every row with size, text_crc32, shard, grown_shard and bucket; other columns are kept."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + RECORD_BYTES
-    total = docs.agg(F.sum(size)).first()[0] or 0
+    """Pass one: every row with shard, grown_shard (with one shard more) and bucket."""
+    total = docs.agg(F.sum(size_of())).first()[0] or 0
     buckets = quantile(total, shards * bucket_bytes)
-    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "grown_shard", "bucket", "_weight")]
+    kept = [c for c in docs.columns if c not in MADE]
     return (
-        docs.select(*kept, size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), weights(F.col("doc_id"), shards + 1, seed).alias("_weight"))
+        docs.select(*kept, weights(F.col("doc_id"), shards + 1, seed).alias("_weight"))
         .withColumn("shard", highest(F.slice("_weight", 1, shards)))
         .withColumn("grown_shard", highest(F.col("_weight")))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed - 1)), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed - 1), *kept), F.lit(buckets)).cast("int"))
         .drop("_weight")
     )
 
 
-def shuffled(scattered: DataFrame, columns: list[str], seed: int = SEED) -> DataFrame:
-    """Pass two: the rows with their slot in the shard. Slots are gapless from 0 in each shard."""
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    )
-    grouped = (
-        scattered.groupBy("shard", "bucket").agg(F.collect_list(F.struct(*columns)).alias("records"))
-        .join(offsets, ["shard", "bucket"])
-        .sortWithinPartitions("shard", "bucket")
-        .select("shard", "first_slot", F.shuffle(F.array_sort("records"), seed).alias("records"))
-    )
-    return grouped.select("shard", "first_slot", F.posexplode("records").alias("place", "record")).select("shard", (F.col("first_slot") + F.col("place")).alias("slot"), "record.*")
+def shuffled(scattered: DataFrame, seed: int = SEED) -> DataFrame:
+    """Pass two: the rows in a random order within their buckets, with their place there."""
+    kept = [c for c in scattered.columns if c not in MADE]
+    order = [F.xxhash64(F.lit(seed - k), *kept) for k in (2, 3)]
+    inside = Window.partitionBy("shard", "bucket").orderBy(*order)
+    return scattered.withColumn("place", F.row_number().over(inside).cast("long") - 1)
 
 
-def deal(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot and grown_shard of each row."""
-    return shuffled(scatter(docs.select("doc_id", "text"), shards, seed), ["doc_id", "size", "text_crc32", "grown_shard"], seed)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> StructType:
+    """Write the whole rows, a folder for each shard, and return the schema of what was written."""
+    rows = shuffled(scatter(docs, shards, seed, bucket_bytes), seed)
+    rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return rows.schema
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write the whole rows, a folder for each shard, in the order of their slots within each bucket."""
-    scattered = scatter(docs, shards, seed)
-    rows = shuffled(scattered, [c for c in scattered.columns if c not in ("shard", "bucket")], seed)
-    rows.write.partitionBy("shard").parquet(path)
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all shards with their slot; slots are gapless from 0 in each shard."""
+    rows = spark.read.schema(schema).parquet(path)
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    first = counts.select(F.col("shard").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(first, (rows["shard"] == first["_s"]) & (rows["bucket"] == first["_b"])).withColumn("slot", F.col("_first") + F.col("place")).drop("_s", "_b", "_first", "bucket", "place")
 
 
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return deal(table(spark, folder, "documents")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    path = f"{common.shared_folder(spark)}/folio/shards-{uuid.uuid4().hex}"
+    common._written.append((spark, path))
+    schema = write_shards(table(spark, folder, "documents").select("doc_id", "text"), path)
+    rows = read_shards(spark, path, schema)
+    crc = F.crc32(text_or_empty().cast("binary"))
+    return rows.select("doc_id", size_of().alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

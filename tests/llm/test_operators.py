@@ -223,12 +223,46 @@ def test_sharding(spark, medium, texts):
         assert sorted(s["slot"]) == list(range(len(s)))
 
 
-def test_buckets_follow_bytes(spark, medium):
-    docs = spark.read.parquet(f"{medium}/documents.parquet")
-    rows = sharding.shuffled(sharding.scatter(docs, 4, bucket_bytes=50_000), ["doc_id"]).toPandas()
-    assert len(rows) == docs.count()
-    for _, s in rows.groupby("shard"):
+@pytest.mark.parametrize("which", ["medium", "odd"])
+def test_written_shards(spark, tmp_path, request, which):
+    """Whole rows come back, with gapless slots that don't hang on the plan."""
+    folder = request.getfixturevalue(which)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("bucket", "shard")
+    schema = sharding.write_shards(docs, f"{tmp_path}/a", 4, bucket_bytes=50_000)
+    rows = sharding.read_shards(spark, f"{tmp_path}/a", schema)
+    assert rows.select(docs.columns).exceptAll(docs).isEmpty() and rows.count() == docs.count()
+    got = rows.select("doc_id", "shard", "slot", F.xxhash64("text").alias("h")).toPandas()
+    for _, s in got.groupby("shard"):
         assert sorted(s["slot"]) == list(range(len(s)))
+    if which == "medium":
+        assert spark.read.parquet(f"{tmp_path}/a").select("shard", "bucket").distinct().count() > 40
+        places = got.merge(got.groupby("shard").size().rename("n").reset_index(), on="shard")
+        assert abs(np.corrcoef(places["doc_id"], places["slot"] / places["n"])[0, 1]) < 0.1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        schema = sharding.write_shards(docs.repartition(5), f"{tmp_path}/b", 4, bucket_bytes=50_000)
+        again = sharding.read_shards(spark, f"{tmp_path}/b", schema).select("doc_id", "shard", "slot", F.xxhash64("text").alias("h")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, got.astype(str).values.tolist())) == sorted(map(tuple, again.astype(str).values.tolist()))
+
+
+def test_slots_are_those_of_plain_sorting(spark, tmp_path):
+    """Places and slots beside plain Python over Spark's hashes; rows of one id and of none have buckets of their own."""
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i % 50, f"text {i}") for i in range(600)], "doc_id long, text string")
+    schema = sharding.write_shards(docs, f"{tmp_path}/s", 3, bucket_bytes=1000)
+    seed = sharding.SEED
+    hashed = docs.select("doc_id", "text", *[F.xxhash64(F.lit(seed - k), "doc_id", "text").alias(f"h{k}") for k in (1, 2)], *[F.xxhash64("doc_id", F.lit(seed + k)).alias(f"w{k}") for k in range(4)]).collect()
+    buckets = -(-sum(len(r["text"]) + 16 for r in hashed) // 3000)
+    rows = {}
+    for r in hashed:
+        w = [r[f"w{k}"] for k in range(4)]
+        rows.setdefault(w[:3].index(max(w[:3])), []).append((r["h1"] % buckets, r["h2"], r["text"], w.index(max(w))))
+    want = {text: (shard, slot, grown) for shard, some in rows.items() for slot, (_, _, text, grown) in enumerate(sorted(some))}
+    got = {r["text"]: (r["shard"], r["slot"], r["grown_shard"]) for r in sharding.read_shards(spark, f"{tmp_path}/s", schema).collect()}
+    assert got == want and len({r["h1"] % buckets for r in hashed if r["doc_id"] is None}) == buckets
 
 
 def test_forest_is_the_same_in_spark(spark):
