@@ -71,6 +71,23 @@ def quantile(numerator: int, denominator: int) -> int:
     return max(1, -(-numerator // max(1, denominator)))
 
 
+#: A key is hot that has more than one part in so many of all rows; so there are no more hot keys than this.
+HOT_KEYS = 1000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """The rows with the columns of ``facts``, which has one row for each key and how many of all ``total`` rows have it.
+
+    Hot keys' facts, at most ``HOT_KEYS``, are broadcast, so their rows stay where they are; the others are joined sorted.
+    """
+    facts = facts.withColumnRenamed(key, "_fact_key").where("_fact_key is not null")
+    is_hot = F.col(n) > max(1, total // HOT_KEYS)
+    hot, usual = facts.where(is_hot), facts.where(~is_hot)
+    many = rows.join(F.broadcast(hot), F.col(key) == F.col("_fact_key")).drop("_fact_key")
+    few = rows.join(F.broadcast(hot.select("_fact_key")), F.col(key) == F.col("_fact_key"), "left_anti")
+    return many.unionByName(few.join(usual.hint("merge"), F.col(key) == F.col("_fact_key")).drop("_fact_key"))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once in a session, for operators that run Python there."""
     sc = spark.sparkContext

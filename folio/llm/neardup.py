@@ -8,15 +8,15 @@ agrees in none of these has a greater distance; all pairs below that distance me
 
 No bucket emits its pairs. First each document of a bucket is held against one of it, its first; links are confirmed on
 the full sets, and components are formed. Then only buckets that still hold several components are looked at: in
-blocks of bounded size their members' signatures are compared across components, pairs within the distance
-``reach`` are confirmed on the full sets there, and links that join components are all that leaves the task. A pair
-that is left out is connected already. Documents of equal words are
-one document throughout.
+pairs of blocks of bounded size their members' signatures are compared across components, pairs within the distance
+``reach`` are confirmed on the full sets, in the same pairs of blocks, and links that join components are all that leaves
+the task. A pair that is left out is connected already. Documents of equal words are one text throughout, and facts about
+a bucket, a first or a component that very many rows share are broadcast, so none of these is one task's.
 
 Defined cases: letters A to Z count as small ones; a null, empty or blank text has an empty set and no links; with
 fewer words than a shingle has, the whole sequence is the one shingle; a null ``doc_id`` is not linked and has no
-component, and its row is kept; rows of one ``doc_id`` are one document, linked if any of its texts is; an empty table
-gives no rows.
+component, and its row is kept; rows of one ``doc_id`` are one document, which is linked with all that any of its texts
+is linked with; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import quantile, ship, table, written
+from folio.llm.common import quantile, ship, table, text_or_empty, with_facts, written
 from folio.llm.components import components
 from folio.llm.textbytes import Texts, mixed, shingles
 from folio.llm.tokens import drop_encoders, in_portions
 
 WIDTH = 5
 SEED = 51_001
-#: Pairs that are confirmed in one task, members of a bucket in one block, and members beside a first one in one group.
+#: Pairs that are confirmed in one group, members of a bucket in one block, and members beside a first one in one group.
 PAIRS, BLOCK, BESIDE = 1000, 512, 256
 #: Ways in which a bucket names its first document.
 FIRSTS = 4
@@ -96,15 +96,27 @@ def open_chunks(signature: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, places: int) -> DataFrame:
+    """doc_id, hash of the text, and of its words the key, the size of the set and the signature."""
     ship(docs.sparkSession)
 
     def run(frames):
         drop_encoders()
         for f in frames:
             keys, sizes, signature = signatures([x or "" for x in f["text"]], words, places)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "key": keys, "n": sizes, "signature": [s.tobytes() for s in signature]})
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text_hash": f["text_hash"], "key": keys, "n": sizes, "signature": [s.tobytes() for s in signature]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key long, n long, signature binary")
+    hashed = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash"))
+    return hashed.mapInPandas(run, "doc_id long, text_hash long, key long, n long, signature binary")
+
+
+def with_texts(needed: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``needed`` with the text of their ``id``. All is joined sorted: what is needed grows with the corpus."""
+    places = firsts.select(F.col("id").alias("_i"), F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"))
+    placed = needed.join(places.hint("merge"), F.col("id") == F.col("_i")).drop("_i")
+    wanted = placed.select(F.col("_doc").alias("_d"), F.col("_hash").alias("_h")).distinct()
+    texts = docs.select(F.col("doc_id").alias("_of"), F.xxhash64(text_or_empty()).alias("_of_hash"), "text").where("_of is not null")
+    texts = texts.join(wanted.hint("merge"), (F.col("_of") == F.col("_d")) & (F.col("_of_hash") == F.col("_h")), "left_semi").dropDuplicates(["_of", "_of_hash"])
+    return placed.join(texts.hint("merge"), (F.col("_doc") == F.col("_of")) & (F.col("_hash") == F.col("_of_hash"))).drop("_doc", "_hash", "_of", "_of_hash")
 
 
 def bucketed(firsts: DataFrame, places: int) -> DataFrame:
@@ -119,34 +131,31 @@ def bucketed(firsts: DataFrame, places: int) -> DataFrame:
     return firsts.select("id", "signature").mapInPandas(run, "bucket long, id long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets are similar enough."""
     pairs = written(pairs, "pairs")
-    n = pairs.count()
-    groups = quantile(n, PAIRS)
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).alias("blocks")).withColumnRenamed("a", "_a")
-    placed = pairs.join(many, F.col("a") == F.col("_a")).withColumn("group", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))), F.lit(groups))).select("group", "a", "b")
-    needed = placed.select("group", "a", "b", F.col("b").alias("id")).unionAll(placed.select("group", "a", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct())
-    # sorted on both sides: the part that has pairs grows with the corpus
-    texts = needed.join(docs.select("doc_id", "text").where("doc_id is not null").hint("merge"), F.col("id") == F.col("doc_id")).select("group", "a", "b", "text")
+    total = pairs.count()
+    groups = quantile(total, PAIRS)
+    placed = with_facts(pairs, pairs.groupBy("a").agg(F.count("*").alias("n")), "a", total)
+    beside = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BESIDE))
+    placed = placed.select(F.pmod(F.xxhash64("a", beside), F.lit(groups)).alias("group"), "a", "b")
+    needed = placed.select("group", "a", F.col("b").alias("id")).unionAll(placed.select("group", "a", F.col("a").alias("id")).distinct())
+    texts = with_texts(needed, firsts, docs).select("group", "a", "id", "text")
 
     def run(f):
-        first: dict[int, list[np.ndarray]] = {}
         sets = sets_of(f["text"], words)
-        a, b, is_first = f["a"].to_numpy(np.int64), f["b"].fillna(0).to_numpy(np.int64), f["b"].isna().to_numpy()
-        for i in np.flatnonzero(is_first):
-            first.setdefault(int(a[i]), []).append(sets[i])
+        a, b = f["a"].to_numpy(np.int64), f["id"].to_numpy(np.int64)
+        is_first = a == b
+        first = {a[i]: sets[i] for i in np.flatnonzero(is_first)}
         out = []
         for i in np.flatnonzero(~is_first):
-            y = sets[i]
-            for x in first[int(a[i])]:
-                less, more = min(len(x), len(y)), max(len(x), len(y))
-                if less and 100 * less >= percent * more:
-                    at = np.searchsorted(x, y)
-                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        out.append((a[i], b[i]))
-                        break
+            x, y = first[a[i]], sets[i]
+            less, more = min(len(x), len(y)), max(len(x), len(y))
+            if less and 100 * less >= percent * more:
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a[i], b[i]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return written(texts.groupBy("group").applyInPandas(run, "a long, b long"), "confirmed")
@@ -194,42 +203,72 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places: int, reach: int) -> DataFrame:
-    """Links between different components of the same bucket. members: bucket, id, component, signature.
+def block_pairs(members: DataFrame, total: int) -> DataFrame:
+    """The members, in each pair of blocks (x, y) of their bucket that they belong to; y holds no rows of the largest component.
 
-    A bucket's largest component needs no pairs inside; its rows are dealt to blocks, and those of the others go to
-    every block. They meet there with their texts, so pairs are compared where they are and only links that join
-    components leave the task.
+    A bucket's largest component needs no pairs inside; its rows are dealt to blocks of their own, the others' to further
+    ones, and every block of others meets each block before it and itself. So no task gets more than two blocks.
     """
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mains = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("bucket", "_b")
-    rows = members.join(mains, members["bucket"] == F.col("_b")).drop("_b").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.col("component") != F.col("main"))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))).drop("blocks", "main")
-    groups = quantile(rows.count(), BLOCK)
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("bucket", "at"), F.lit(groups)))
-    texts = docs.select(F.col("doc_id").alias("_i"), F.col("text")).where("_i is not null").hint("merge")
-    rows = rows.join(texts, rows["id"] == F.col("_i")).select("group", "bucket", "at", "block", "other", "id", "component", "signature", "text")
+    mains = counts.groupBy("bucket").agg(F.max_by(F.struct("component", "n"), F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    mains = mains.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("o"), "n")
+    rows = with_facts(members, mains, "bucket", total)
+    m, o, mine = F.col("m"), F.col("o"), F.col("block")
+    other = F.col("component") != F.col("main")
+    rows = rows.withColumn("block", F.when(other, m + F.pmod(F.xxhash64("id"), o)).otherwise(F.pmod(F.xxhash64("id"), m)).cast("int"))
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    before = F.transform(F.sequence(F.lit(0), mine), lambda x: pair(x, mine))
+    behind = F.when(mine + 1 < m + o, F.transform(F.sequence(mine + 1, m + o - 1), lambda y: pair(mine, y))).otherwise(none)
+    pairs = F.when(other, F.concat(before, behind)).otherwise(F.transform(F.sequence(m, m + o - 1), lambda y: pair(mine, y)))
+    return rows.select("bucket", "id", "component", "signature", "block", F.explode(pairs).alias("_p")).select("bucket", "id", "component", "signature", "block", "_p.x", "_p.y")
+
+
+def close_pairs(f: pd.DataFrame, places: int, reach: int):
+    """For each pair of blocks of a frame: (i, j), the rows of different components whose signatures are near."""
+    signature = np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(len(f), places)
+    keys = open_chunks(signature)
+    ids, component, block, x, y = (f[c].to_numpy(np.int64) for c in ("id", "component", "block", "x", "y"))
+    for (bucket, _, _), at in f.groupby(["bucket", "x", "y"]).indices.items():
+        left, right, pairs = at[block[at] == x[at]], at[block[at] == y[at]], []
+        inside = x[at[0]] == y[at[0]]
+        for i in left:
+            j = right[component[right] != component[i]]
+            if inside:
+                j = j[ids[j] > ids[i]]
+            j = j[(signature[i] != signature[j]).sum(1) <= reach]
+            # a pair that meets in several buckets is compared in the first of them
+            if len(j):
+                j = j[keys[i][(keys[i] == keys[j]).argmax(1)] == bucket]
+                pairs.append(np.stack([np.full(len(j), i), j], 1))
+        if any(map(len, pairs)):
+            i, j = np.concatenate(pairs).T
+            yield i, j
+
+
+def across(members: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, percent: int, places: int, reach: int) -> DataFrame:
+    """Links between different components of the same bucket. members: bucket, id, component, signature.
+
+    Signatures are compared first, by pairs of blocks. Only who is near another one there comes again, with its text, once
+    for each pair of blocks; pairs are compared where they are, and only links that join components leave the task.
+    """
+    rows = written(block_pairs(members, members.count()), "blocks")
+    # which pair of blocks goes to which task is the same both times
+    dealt = lambda df, most: df.withColumn("group", F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(quantile(df.count(), most))))
+    columns = "bucket long, id long, component long, signature binary, block int, x int, y int"
+
+    def near(f):
+        own = [np.unique(np.concatenate([i, j])) for i, j in close_pairs(f, places, reach)]
+        return f.iloc[np.concatenate(own) if own else []].drop(columns="group")
+
+    some = written(dealt(rows, 8 * BLOCK).groupBy("group").applyInPandas(near, columns), "near")
 
     def run(f):
         sets = sets_of(f["text"], words)
-        signature = np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(len(f), places)
-        keys = open_chunks(signature)
-        ids, component, block = (f[c].to_numpy(np.int64) for c in ("id", "component", "block"))
-        other = f["other"].to_numpy(bool)
+        ids, component = f["id"].to_numpy(np.int64), f["component"].to_numpy(np.int64)
         sizes_ = np.array([len(x) for x in sets])
         out = []
-        for (bucket, here), at in f.groupby(["bucket", "at"]).indices.items():
-            right, pairs = at[other[at]], []
-            for i in at[block[at] == here]:
-                j = right[(component[right] != component[i]) & ((ids[right] > ids[i]) | (not other[i]))]
-                j = j[(signature[i] != signature[j]).sum(1) <= reach]
-                # a pair that meets in several buckets is compared in the first of them
-                if len(j):
-                    j = j[keys[i][(keys[i] == keys[j]).argmax(1)] == bucket]
-                    pairs.append(np.stack([np.full(len(j), i), j], 1))
-            if not any(map(len, pairs)):
-                continue
-            i, j = np.concatenate(pairs).T
+        for i, j in close_pairs(f, places, reach):
             own, place = np.unique(np.concatenate([i, j]), return_inverse=True)
             both = shared_counts([sets[k] for k in own], place[: len(i)], place[len(i) :])
             good = (both > 0) & (100 * both >= percent * (sizes_[i] + sizes_[j] - both))
@@ -238,42 +277,49 @@ def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places
             out += zip(np.maximum(ids[i], ids[j])[keep].tolist(), np.minimum(ids[i], ids[j])[keep].tolist(), strict=True)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return rows.groupBy("group").applyInPandas(run, "a long, b long")
+    return with_texts(dealt(some, BLOCK), firsts, docs).groupBy("group").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+    """doc_id, n_shingles, component_id and kept of each row.
+
+    What is linked are different texts, each with an ``id``, the hash of its words; ``doc`` is the least of its documents.
+    """
     chunks, reach = shape(percent)
     places = chunks * WIDTH
     rows = written(sketched(docs, words, places), "signatures")
     usable = rows.where("doc_id is not null and n > 0")
-    firsts = usable.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "signature"), "doc_id").alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.signature")
-    firsts = written(firsts, "firsts")
-    buckets = bucketed(firsts, places)
+    firsts = usable.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_hash", "signature"), F.struct("doc_id", "text_hash")).alias("x"), F.count("*").alias("n"))
+    firsts = written(firsts.select(F.col("key").alias("id"), F.col("x.doc_id").alias("doc"), "x.text_hash", "x.signature", "n"), "firsts")
+    buckets = written(bucketed(firsts, places), "buckets")
     # buckets of one group of copies name different firsts, so a copy that is far from one of them is near another
-    shared = buckets.groupBy("bucket").agg(F.min_by("id", F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(FIRSTS))), F.col("id"))).alias("first"), F.count("*").alias("members")).where("members > 1").withColumnRenamed("bucket", "_b")
-    met = written(buckets.join(shared.hint("merge"), F.col("bucket") == F.col("_b")).select("bucket", "id", "first", "members"), "met")
+    shared = buckets.groupBy("bucket").agg(F.min_by("id", F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(FIRSTS))), F.col("id"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = written(with_facts(buckets, shared, "bucket", buckets.count()).select("bucket", "id", "first", F.col("n").alias("members")), "met")
     pairs = met.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(pairs, docs, words, percent)
-    found = components(links.select("a", "b"))
-    found = written(found, "components")
-    more = met.where("members > 2").select("bucket", "id").distinct()
-    more = more.join(found.withColumnRenamed("id", "_i"), more["id"] == F.col("_i"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed_ = more.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("bucket").alias("_b"))
-    more = more.join(mixed_, more["bucket"] == F.col("_b")).drop("_b")
-    more = written(more.join(firsts.select(F.col("id").alias("_i"), "signature").dropDuplicates(["_i"]), more["id"] == F.col("_i")).drop("_i"), "open")
+    links = confirmed(pairs, firsts, docs, words, percent).unionAll(of_one_document(usable, rows.count()))
+    found = written(components(links), "components")
+    more = written(met.where("members > 2").select("bucket", "id").distinct().join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "more")
+    mixed_ = more.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+    more = with_facts(more, mixed_, "bucket", more.count()).drop("n")
+    more = written(more.join(firsts.select(F.col("id").alias("_i"), "signature").hint("merge"), F.col("id") == F.col("_i")).drop("_i"), "open")
     if not more.isEmpty():
-        again = written(across(more, docs, words, percent, places, reach), "across")
-        found = components(links.select("a", "b").unionAll(again))
-    same = firsts.select(F.col("key").alias("_k"), F.col("id").alias("_first"))
-    found = found.select(F.col("id").alias("_i"), "component")
-    out = rows.join(same, (rows["key"] == F.col("_k")) & (rows["n"] > 0), "left").join(found, F.col("_first") == F.col("_i"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_first", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    # rows of one id are one document
-    least = out.groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_d"), "_least")
-    out = out.join(least, out["doc_id"] == F.col("_d"), "left").withColumn("component_id", F.coalesce("_least", "component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        again = written(across(more, firsts, docs, words, percent, places, reach), "across")
+        found = written(components(links.unionAll(again)), "components")
+    # the least document of a component, then of each text, then of each row
+    labelled = firsts.select("id", "doc", F.col("n").alias("rows_")).join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", "doc", "rows_", F.coalesce("component", "id").alias("label"))
+    labelled = written(labelled, "labels")
+    least = labelled.groupBy("label").agg(F.min("doc").alias("component_id"), F.count("*").alias("n"))
+    of_text = with_facts(labelled, least, "label", labelled.count()).select(F.col("id").alias("key"), "component_id", F.col("rows_").alias("copies"))
+    linked = with_facts(usable.select("doc_id", "key", F.col("n").alias("n_shingles")), of_text, "key", rows.count(), "copies").select("doc_id", "n_shingles", "component_id")
+    alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def of_one_document(usable: DataFrame, total: int) -> DataFrame:
+    """Links between the different texts of rows with the same doc_id, which are one document."""
+    several = usable.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high").select("doc_id", "low", "n")
+    found = with_facts(usable.select("doc_id", "key"), several, "doc_id", total).where("key != low")
+    return written(found.select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "same-ids")
 
 
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:

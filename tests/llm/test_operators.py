@@ -107,6 +107,34 @@ def test_near_copies_without_their_original(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_one_document_with_several_texts(spark):
+    """Its texts join what they are near to, also over other documents."""
+    a, b, c = (" ".join(f"{s}{i}" for i in range(60)) for s in "abc")
+    near_b = b.replace("b30 ", "x ")
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, near_b), (8, c), (9, c), (20, "alone with these words"), (None, c)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"]) == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (8, 1, False), (8, 1, False), (9, 1, False), (20, 20, True)]
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
+
+
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    """A template that makes many documents alike, but not enough, with a few pairs that are: blocks meet pairwise."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for d in range(90):
+        words = list(base)
+        at = int(rng.integers(0, 240))
+        words[at : at + 55] = [f"z{d}x{k}" for k in range(55)]
+        rows.append((d, " ".join(words)))
+    for d in range(0, 90, 9):
+        rows.append((100 + d, rows[d][1].replace("w5 ", "q ").replace("w290 ", "r ")))
+    want = linked({d: shingles(t, 3) for d, t in rows}, 85)
+    assert 1 < len(set(want.values())) < 100
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(60)]
