@@ -13,11 +13,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from folio.functions.fixed import ABBREVIATIONS
+from folio.functions.fixed import ABBREVIATIONS, PLAIN_ABBREVIATIONS
+from folio.functions.text import HEADING_CLOSES, HEADING_OPENS
 
 _SHORT = tuple(a.lower() for a in ABBREVIATIONS)
+_PLAIN_SHORT = frozenset(PLAIN_ABBREVIATIONS)
 _END = re.compile(r"[.!?]\Z")
-HEADING = re.compile("⟨⟨HEADING⟩⟩(.*?)⟨⟨/HEADING⟩⟩")
+HEADING = re.compile(f"{HEADING_OPENS}(.*?){HEADING_CLOSES}")
 
 
 @dataclass
@@ -26,14 +28,24 @@ class Chunk:
     kind: str = "text"
 
 
-def sentences(words: list[str]) -> Iterator[list[str]]:
+def ends_short(words: list[str]) -> bool:
+    """Whether the last words, as letters, end in an abbreviation."""
+    return " ".join(words[-4:]).lower().endswith(_SHORT)
+
+
+def is_plain_short(words: list[str]) -> bool:
+    """Whether the last word, without its closing signs, is just an abbreviation, capitals and all."""
+    return words[-1].rstrip(".!?") in _PLAIN_SHORT
+
+
+def sentences(words: list[str], short=ends_short) -> Iterator[list[str]]:
     """Runs of words up to a closing sign; an abbreviation before a small letter doesn't close."""
     begin = 0
     for i, word in enumerate(words):
         if not _END.search(word):
             continue
         small = i + 1 < len(words) and "a" <= words[i + 1][0] <= "z"
-        if small and " ".join(words[max(begin, i - 3) : i + 1]).lower().endswith(_SHORT):
+        if small and short(words[max(begin, i - 3) : i + 1]):
             continue
         yield words[begin : i + 1]
         begin = i + 1
@@ -82,8 +94,10 @@ def joined(chunks: list[Chunk], most: int, small: int = 10, tiny: int = 5) -> li
     return out
 
 
-def chunked(text: str | None, least: int = 5, most: int = 15, merge: bool = True) -> list[Chunk]:
-    """The chunks of a text with marked headings; an empty text has none."""
+def chunked(text: str | None, least: int = 5, most: int = 15, plain: bool = False) -> list[Chunk]:
+    """The chunks of a text with marked headings; an empty text has none. Plain: no headings, no joining, fewer abbreviations."""
+    if plain:
+        return list(filled(sentences((text or "").split(), is_plain_short), least, most))
     raw: list[Chunk] = []
     pieces = HEADING.split(text or "")
     for i, piece in enumerate(pieces):
@@ -92,10 +106,10 @@ def chunked(text: str | None, least: int = 5, most: int = 15, merge: bool = True
             raw.append(Chunk(words, "header"))
         elif words:
             raw.extend(filled(sentences(words), least, most))
-    return joined(raw, most) if merge else raw
+    return joined(raw, most)
 
 
-def chunk_table(texts: DataFrame, key: str, text: str, least: int = 5, most: int = 15, merge: bool = True) -> DataFrame:
+def chunk_table(texts: DataFrame, key: str, text: str, least: int = 5, most: int = 15, plain: bool = False) -> DataFrame:
     """(key, chunk_index, type, text, word_count, start_word, end_word) of each chunk."""
 
     def run(frames):
@@ -103,7 +117,7 @@ def chunk_table(texts: DataFrame, key: str, text: str, least: int = 5, most: int
             rows = []
             for k, t in zip(f[key], f[text], strict=True):
                 at = 0
-                for i, c in enumerate(chunked(t, least, most, merge)):
+                for i, c in enumerate(chunked(t, least, most, plain)):
                     rows.append((k, i, c.kind, " ".join(c.words), len(c.words), at, at + len(c.words) - 1))
                     at += len(c.words)
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "type", "text", "word_count", "start_word", "end_word"])

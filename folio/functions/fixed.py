@@ -69,6 +69,12 @@ ABBREVIATIONS = [
     "Inc", "Inc.", "Co", "Co.", "Corp", "Corp.", "Ltd", "Ltd.", "St", "St.", "Ave", "Ave.", "Blvd", "Blvd.",
 ]
 
+# fixed values: last words that don't end a sentence, for the plain chunker
+PLAIN_ABBREVIATIONS = [
+    "Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "Inc", "Ltd", "Co", "Corp", "vs", "etc", "eg", "ie", "al", "et", "cf", "ca", "pp", "Ch", "Sec",
+    "Fig", "No", "Vol", "Rev", "Ed", "St", "Ave", "Blvd", "Mt", "Ft",
+]
+
 # fixed values: numbers as words, and small Roman numerals
 NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty"]
 ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv"]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions.fixed import ABBREVIATIONS, NUMBER_WORDS, ROMAN
 
+#: The marks around a heading in a page's text.
+HEADING_OPENS, HEADING_CLOSES = "⟨⟨HEADING⟩⟩", "⟨⟨/HEADING⟩⟩"
 SPACE = r"(?U)[\s\x{FEFF}]+"
 
 
@@ -57,17 +59,19 @@ def folded(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?i)\s+(?:ix|xi{1,3}|[0-9]+)\s*\z", ""))
 
 
-def title_match(line: Column, title: Column) -> Column:
-    """Whether a line is, begins with, or has a title, or all of it but its first letters."""
-    a, b = folded(line), folded(title)
+def folded_match(a: Column, b: Column) -> Column:
+    """Whether a line is, begins with, or has a title, or begins with all of it but its first letters; both folded."""
     long_ = F.char_length(b) > 10
-    rest = [F.substring(b, k + 1, 10_000) for k in (1, 2, 3)]
     cut = F.lit(False)
-    for r in rest:
-        cut = cut | ((F.char_length(r) > 8) & a.startswith(r))
+    for k in (1, 2, 3):
+        cut = cut | ((F.char_length(b) - k > 8) & a.startswith(F.substring(b, k + 1, 10_000)))
     return a.startswith(b) | (long_ & (a.contains(b) | cut))
 
 
+def title_match(line: Column, title: Column) -> Column:
+    return folded_match(folded(line), folded(title))
+
+
 def without_tags(c: Column, marks_only: bool = False) -> Column:
     return F.regexp_replace(c, "<mark[^>]*/>" if marks_only else "<[^>]*>", "")
 
@@ -106,6 +110,12 @@ def is_heading(line: Column, following: Column, previous: Column) -> Column:
     return shape & F.coalesce(after_end, F.lit(True)) & ~F.coalesce(symbol, F.lit(False)) & ~index & (strong | weak)
 
 
+def marked_heading(line: Column, following: Column, previous: Column) -> Column:
+    """A trimmed line, in a heading's marks where it is one."""
+    t = F.trim(line)
+    return F.when(is_heading(line, following, previous), F.concat(F.lit(HEADING_OPENS), t, F.lit(HEADING_CLOSES))).otherwise(t)
+
+
 def without_page_number(c: Column, page: Column) -> Column:
     """A page's text without the printed number (one less than the page's) or a small Roman numeral at its beginning."""
     own = F.when(page > 1, F.regexp_replace(c, F.concat(F.lit(r"^\s*"), (page - 1).cast("string"), F.lit(r"\s+")), F.lit(""))).otherwise(c)
@@ -128,10 +138,22 @@ def index_pages(c: Column) -> Column:
 
 
 def toc_entry(line: Column) -> Column:
-    """(number, title, page) of a table of contents' line such as "3. A Title ..... 25"."""
-    pattern = r"^\s*(?:(?:chapter\s+)?(\d+)[.:]?\s+)?(.+?)[\s.]+(\d+|[ivxlc]+)\s*\z"
-    part = lambda k: F.nullif(F.regexp_extract(line, "(?i)" + pattern, k), F.lit(""))
-    return F.struct(part(1).cast("int").alias("number"), F.trim(part(2)).alias("title"), part(3).alias("page"))
+    """(number, label, title, page) of a table of contents' line; null where it is none, or only names a column or the contents.
+
+    Four forms are tried in turn: a number, a title and a page; an introduction (number 0) with a page, that may be Roman;
+    an appendix with its letter; letters and a page.
+    """
+    t = F.trim(line)
+    forms = [(r"^(\d+)\.?\s+(.+?)\s+(\d+)\z", 2, 3), (r"(?i)^(introduction[:\s]*.*?)\s+([ivx]+|\d+)\z", 1, 2), (r"(?i)^(appendix\s+[a-z][:\s]*.*?)\s+(\d+)\z", 1, 2), (r"^([A-Za-z\s]+)\s+(\d+)\z", 1, 2)]
+    out = F.when(t.rlike(r"(?i)^(?:contents?|table of contents|page|chapter)\z"), None)
+    for form, at_title, at_page in forms:
+        title = F.trim(F.regexp_extract(t, form, at_title))
+        number = F.regexp_extract(t, form, 1).cast("int") if at_title == 2 else F.when(F.lower(title).contains("introduction"), 0)
+        letter = F.regexp_extract(title, r"(?i)appendix\s+([a-z])", 1)
+        label = F.when((F.lit(at_title == 1)) & number.isNull() & (letter != ""), F.concat(F.lit("Appendix "), letter))
+        entry = F.struct(number.alias("number"), label.alias("label"), title.alias("title"), F.regexp_extract(t, form, at_page).alias("page"))
+        out = out.when(t.rlike(form), entry)
+    return out
 
 
 def chapter_of_title(title: Column) -> Column:

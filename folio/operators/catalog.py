@@ -62,11 +62,33 @@ def refused(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def updated(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """The table with the values of the changes' columns where they are not null."""
+    """The table after the changes, a row for each key: the values of their columns, nulls too, take the place of what was there."""
     names = [c for c in changes.columns if c not in key]
-    renamed = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in names])
+    renamed = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in names], F.lit(True).alias("_changed"))
     joined = table.join(renamed, key, "left")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in table.columns])
+    return joined.select(*[F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns])
+
+
+def pushed(table: DataFrame, entries: DataFrame, key: str, into: str) -> DataFrame:
+    """The table with the entries (key, entry) behind those of its array, in their order."""
+    more = entries.groupBy(key).agg(F.array_sort(F.collect_list("entry")).alias("_more"))
+    none = F.array().cast(dict(table.dtypes)[into])
+    return table.join(more, key, "left").withColumn(into, F.concat(F.coalesce(into, none), F.coalesce("_more", none))).drop("_more")
+
+
+def reset(table: DataFrame, defaults: dict) -> DataFrame:
+    """The table with these columns at their defaults."""
+    return table.withColumns({name: F.lit(value).cast(dict(table.dtypes)[name]) for name, value in defaults.items()})
+
+
+def stamped(rows: DataFrame, now: Column) -> DataFrame:
+    """Rows with generated ids, and the time as that of their making and last change."""
+    return rows.withColumns({"id": F.uuid(), "created_at": now, "updated_at": now})
+
+
+def in_batches(rows: DataFrame, order: list[str], key: str, size: int = 10) -> DataFrame:
+    """The rows of each key with the number of their batch, of so many rows in order."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size))
 
 
 def deleted(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
@@ -136,12 +158,15 @@ def backfilled_start(books: DataFrame, chapters: DataFrame) -> DataFrame:
     return books.join(low, "book_id", "left").withColumn("chapter_start_number", F.coalesce("chapter_start_number", "_low", F.lit(1))).drop("_low")
 
 
-def with_uploaded_names(chunks: Column, names: Column) -> Column:
-    """Image chunks (url, name) whose file is among the names carry the name and no address."""
-
-    def one(c: Column) -> Column:
-        base = F.element_at(F.split(c["url"], "/"), -1)
-        there = (c["type"] == "image") & F.array_contains(names, base)
-        return F.when(there, c.withField("name", base).withField("url", F.lit(None).cast("string"))).otherwise(c)
+def with_uploaded_names(chapters: DataFrame, key: list[str], files: DataFrame) -> DataFrame:
+    """Chapters (key, chunks of type, url, name) whose image chunks that are among the files (file_name) carry the name and no address.
 
-    return F.transform(chunks, one)
+    Chunks meet the files by the last part of their address, and go back to their chapters in order.
+    """
+    rows = chapters.select(*key, F.posexplode_outer("chunks").alias("_pos", "_c")).withColumn("_base", F.element_at(F.split("_c.url", "/"), -1))
+    there = files.select(F.col("file_name").alias("_base")).distinct().withColumn("_there", F.col("_base"))
+    joined = rows.join(there, "_base", "left")
+    named = (F.col("_c.type") == "image") & F.col("_there").isNotNull()
+    chunk = F.when(named, F.col("_c").withField("name", F.col("_base")).withField("url", F.lit(None).cast("string"))).otherwise(F.col("_c"))
+    back = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", chunk.alias("_c"))))).alias("_rows"))
+    return back.select(*key, F.transform("_rows", lambda r: r["_c"]).alias("chunks"))

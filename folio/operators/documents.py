@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.sources.files import shared_path
+
+SENTENCE = re.compile(r"[^.!?]+[.!?]")
 
 LEAST_CHAPTER = 200
 LEAST_PAGE = 50
 
 
-def outline_paths(spark: SparkSession, outline: DataFrame) -> DataFrame:
-    """Entries (id, parent, title, pos) of an outline with depth and a path that sorts depth first; what is called contents is left out with all below."""
-    outline.createOrReplaceTempView("_outline")
-    return spark.sql("""
-        WITH RECURSIVE tree(id, title, depth, path) AS (
-          SELECT id, title, 0, lpad(CAST(pos AS STRING), 6, '0') FROM _outline WHERE parent IS NULL AND lower(title) <> 'contents'
-          UNION ALL
-          SELECT o.id, o.title, t.depth + 1, concat(t.path, '.', lpad(CAST(o.pos AS STRING), 6, '0')) FROM _outline o JOIN tree t ON o.parent = t.id WHERE lower(o.title) <> 'contents'
-        ) SELECT id, title, depth, path FROM tree""")
+def outline_paths(outline: DataFrame, most_levels: int = 100) -> DataFrame:
+    """Entries (id, parent, title, pos) of an outline with depth and a path that sorts depth first; what is called contents is left out with all below.
+
+    Level by level, each written before the next is joined to it, so plans don't grow with the depth.
+    """
+    spark = outline.sparkSession
+    path = shared_path(spark, "outline")
+    entries = outline.where(F.lower("title") != "contents").withColumn("_place", F.lpad(F.col("pos").cast("string"), 6, "0"))
+    level = entries.where("parent is null").select("id", "title", F.lit(0).alias("depth"), F.col("_place").alias("path"))
+    for depth in range(most_levels):
+        level.write.parquet(f"{path}/level-{depth}")
+        done = spark.read.schema(level.schema).parquet(f"{path}/level-{depth}")
+        if done.isEmpty():
+            return spark.read.schema(level.schema).parquet(f"{path}/*")
+        above = done.select(F.col("id").alias("_id"), F.col("path").alias("_path"))
+        level = entries.join(above, F.col("parent") == F.col("_id")).select("id", "title", F.lit(depth + 1).alias("depth"), F.concat("_path", F.lit("."), "_place").alias("path"))
+    raise ValueError(f"an outline with more than {most_levels} levels, or one that goes round")
 
 
 # fixed values: what a chapter's line begins with, what a line of publishing data begins with, and what a reference has
@@ -50,13 +65,17 @@ def joined_first_letter(text: Column) -> Column:
     return F.regexp_replace(text, r"^([A-Z])\s+([a-z])", "$1$2")
 
 
-def goes_on(first: Column, second: Column) -> Column:
-    """Whether a second piece of text goes on with the first one's sentence."""
+def goes_on(first: Column, second: Column, first_kind: Column | None = None, second_kind: Column | None = None) -> Column:
+    """Whether a second piece of text goes on with the first one's sentence; never a header, nor what looks like a heading behind the first."""
     a, b = F.trim(first), F.trim(second)
+    plain = ~T.is_heading(b, F.lit(None).cast("string"), a)
+    for kind in (first_kind, second_kind):
+        if kind is not None:
+            plain = plain & F.coalesce(kind != "header", F.lit(True))
     small = b.rlike("^[a-z]")
     open_ = ~a.rlike(r"[.!?;:]\z")
     short = a.rlike(r"\b\w{1,3}\.\z") | T.ends_abbreviated(a)
-    return (F.char_length(a) > 0) & (F.char_length(b) > 0) & small & (open_ | (a.endswith(".") & short))
+    return plain & (F.char_length(a) > 0) & (F.char_length(b) > 0) & small & (open_ | (a.endswith(".") & short))
 
 
 def sections(lines: DataFrame, heading: Column) -> DataFrame:
@@ -87,17 +106,28 @@ def preferred(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataF
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
 
 
-def buffered_sentences(text: Column, least: int = 5) -> Column:
-    """Sentences, joined until each has so many words; what is left at the end stands alone."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]"), F.lit(0))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-
-    def step(acc: Column, part: Column) -> Column:
-        held = F.trim(F.concat_ws(" ", acc["held"], F.trim(part)))
-        full = F.size(T.words(held)) >= least
-        return F.struct(F.when(full, F.array_append(acc["done"], held)).otherwise(acc["done"]).alias("done"), F.when(full, "").otherwise(held).alias("held"))
-
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["held"])))
+def buffered_sentences(texts: DataFrame, key: str, text: str, least: int = 5) -> DataFrame:
+    """(key, nth, text): sentences, joined until each has so many words; what is left at the end stands alone. In batches, as a sentence's place hangs on those before."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for k, t in zip(f[key], f[text], strict=True):
+                held, n, nth = [], 0, 0
+                for part in SENTENCE.findall(t or ""):
+                    words = part.split()
+                    if words:
+                        held.append(part.strip())
+                        n += len(words)
+                    if n >= least:
+                        rows.append((k, nth, " ".join(held)))
+                        held, n, nth = [], 0, nth + 1
+                if held:
+                    rows.append((k, nth, " ".join(held)))
+            yield pd.DataFrame(rows, columns=[key, "nth", "text"])
+
+    kind = dict(texts.dtypes)[key]
+    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, nth int, text string")
 
 
 def split_at(text: Column, markers: list[str]) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
+
 LINE_GAP = 5
 TOLERANCE = 50
 
@@ -20,18 +25,26 @@ def lines_of_items(items: DataFrame) -> DataFrame:
 
 
 def lines_by_first_item(items: DataFrame) -> DataFrame:
-    """As above, but against the first item of the line: a fold over the page's items."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.round("y").alias("y"), "text")))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<struct<line:int,text:string>>").alias("rows"), F.lit(0).alias("line"))
-
-    def step(acc: Column, r: Column) -> Column:
-        far = acc["y"].isNotNull() & (F.abs(r["y"] - acc["y"]) > LINE_GAP)
-        line = acc["line"] + far.cast("int")
-        return F.struct(F.when(acc["y"].isNull() | far, r["y"]).otherwise(acc["y"]).alias("y"), F.array_append(acc["rows"], F.struct(line.alias("line"), r["text"].alias("text"))).alias("rows"), line.alias("line"))
-
-    folded = items.groupBy("doc_id", "page").agg(F.aggregate(rows, start, step)["rows"].alias("rows"))
-    exploded = folded.select("doc_id", "page", F.posexplode("rows").alias("pos", "r"))
-    return exploded.groupBy("doc_id", "page", F.col("r.line").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("r.text").alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    """As above, but against the first item of the line, which is carried from item to item: a page's items in batches of pages."""
+    pages = items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", F.round("y").alias("y"), "text"))).alias("items"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for doc, page, rows in zip(f["doc_id"], f["page"], f["items"], strict=True):
+                first, line, texts = None, 0, []
+                for r in rows:
+                    if first is None:
+                        first = r["y"]
+                    elif abs(r["y"] - first) > LINE_GAP:
+                        out.append((doc, page, line, " ".join(texts)))
+                        first, line, texts = r["y"], line + 1, []
+                    texts.append(r["text"])
+                out.append((doc, page, line, " ".join(texts)))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "line", "text"])
+
+    kinds = dict(items.dtypes)
+    return pages.mapInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, line int, text string")
 
 
 def overlaps(a: str, b: str) -> Column:
@@ -40,23 +53,24 @@ def overlaps(a: str, b: str) -> Column:
 
 
 def text_under(links: DataFrame, items: DataFrame) -> DataFrame:
-    """links (link_id, page, l..) with the items (page, pos, text, i..) that their rectangle touches, in order; "Link" if none."""
-    touched = links.join(items.withColumnRenamed("page", "_page"), (F.col("page") == F.col("_page")) & overlaps("l", "i"), "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), " ")
-    return touched.where("pos is not null or _page is null").groupBy("link_id", "page").agg(F.when(F.count("pos") == 0, "Link").otherwise(text).alias("text"))
+    """links (link_id, doc_id, page, l..) with the items (doc_id, page, pos, text, i..) that their rectangle touches, in order; "Link" if none."""
+    placed = items.withColumnRenamed("page", "_page").withColumnRenamed("doc_id", "_doc")
+    touched = links.join(placed, (F.col("doc_id") == F.col("_doc")) & (F.col("page") == F.col("_page")) & overlaps("l", "i"), "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "text")))), lambda r: r["text"]), " ")
+    return touched.groupBy("link_id", "doc_id", "page").agg(F.when(F.count("pos") == 0, "Link").otherwise(text).alias("text"))
 
 
 def nearest_chunk(points: DataFrame, chunks: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """points (point_id, page, x, y) with the chunk of the page whose rectangle, widened, has the point and whose middle is nearest."""
-    inside = (F.col("page") == F.col("_page")) & F.col("x").between(F.col("cx1") - tolerance, F.col("cx2") + tolerance) & F.col("y").between(F.col("cy1") - tolerance, F.col("cy2") + tolerance)
+    """points (point_id, doc_id, page, x, y) with the chunk of the page whose rectangle, widened, has the point and whose middle is nearest."""
+    inside = F.col("x").between(F.col("cx1") - tolerance, F.col("cx2") + tolerance) & F.col("y").between(F.col("cy1") - tolerance, F.col("cy2") + tolerance)
     middle = F.pow(F.col("x") - (F.col("cx1") + F.col("cx2")) / 2, 2) + F.pow(F.col("y") - (F.col("cy1") + F.col("cy2")) / 2, 2)
-    met = points.join(chunks.withColumnRenamed("page", "_page"), inside)
+    met = points.join(chunks, ["doc_id", "page"]).where(inside)
     return met.groupBy("point_id").agg(F.min_by("chunk_id", F.struct(middle, F.col("chunk_id"))).alias("chunk_id"))
 
 
 def resolved(links: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each link's chunk on its target page: one that its point is in, one that has its text as a mark, one that has its text, or the first."""
-    met = links.join(chunks.withColumnRenamed("page", "target"), "target", "left")
+    """Each link's chunk on its document's target page: one that its point is in, one that has its text as a mark, one that has its text, or the first."""
+    met = links.join(chunks.withColumnRenamed("page", "target"), ["doc_id", "target"], "left")
     t = F.trim("link_text")
     in_point = F.coalesce(F.col("link_y").between(F.col("cy1"), F.col("cy2")), F.lit(False))
     marked = (F.char_length(t) <= 3) & F.concat(F.lit(" "), F.col("chunk_text"), F.lit(" ")).contains(F.concat(F.lit(" "), t, F.lit(" ")))
@@ -64,18 +78,61 @@ def resolved(links: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.groupBy("link_id").agg(F.min_by(F.struct("chunk_id", level.alias("level")), F.struct(level, F.col("chunk_id"))).alias("b")).select("link_id", "b.chunk_id", F.when(F.col("b.chunk_id").isNotNull(), F.col("b.level")).alias("level"))
 
 
+def resolved_by_index(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Links (link_id, doc_id, target, link_text, entry) of an index or of footnotes: the first chunk that has the footnote's pattern, on the
+    pages that the entry names or else on the target page, or the first chunk of these pages."""
+    named = F.transform(T.index_pages(F.col("entry")), lambda p: p.cast("bigint"))
+    pages = links.select("link_id", "doc_id", "link_text", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.col("target").cast("bigint")))).alias("page"))
+    met = pages.join(chunks, ["doc_id", "page"])
+    plain = F.when(F.regexp(F.col("chunk_text"), T.footnote_pattern(F.col("link_text"))), 0).otherwise(1)
+    return met.groupBy("link_id").agg(F.min_by(F.struct("chunk_id", plain.alias("plain")), F.struct(plain, F.col("page"), F.col("chunk_id"))).alias("b")).select("link_id", "b.chunk_id", (F.col("b.plain") == 0).alias("by_pattern"))
+
+
 def link_faults(links: DataFrame, pages: DataFrame) -> DataFrame:
     """What is wrong with each link, as a list."""
-    known = pages.select(F.col("page").alias("target"), F.lit(True).alias("_there"))
-    joined = links.join(known, "target", "left")
+    known = pages.select("doc_id", F.col("page").alias("target"), F.lit(True).alias("_there"))
+    joined = links.join(known, ["doc_id", "target"], "left")
     faults = F.array_compact(F.array(F.when(F.col("target").isNull(), "no target"), F.when(F.col("target").isNotNull() & F.col("_there").isNull(), "out of range"), F.when(F.trim("link_text") == "", "empty text")))
     return joined.select("link_id", faults.alias("faults"))
 
 
+def with_targets(chunks: DataFrame, links: DataFrame) -> DataFrame:
+    """Chunks with ``is_target``: whether a link of their document goes to their page."""
+    targets = links.select("doc_id", F.col("target").alias("page")).distinct().withColumn("_target", F.lit(True))
+    return chunks.join(targets, ["doc_id", "page"], "left").withColumn("is_target", F.coalesce("_target", F.lit(False))).drop("_target")
+
+
 def with_links(chunks: DataFrame, links: DataFrame) -> DataFrame:
     """Chunks with all links of their page."""
-    by_page = links.groupBy("page").agg(F.sort_array(F.collect_list("link_id")).alias("links"))
-    return chunks.join(by_page, "page", "left").withColumn("links", F.coalesce("links", F.array().cast("array<bigint>")))
+    by_page = links.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("link_id")).alias("links"))
+    return chunks.join(by_page, ["doc_id", "page"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<bigint>")))
+
+
+def page_aware(chunks: DataFrame, links: DataFrame) -> DataFrame:
+    """Chunks (book_id, chapter_number, chunk_index, start_page, end_page and what else) with ids, pages and the links of their page.
+
+    Ids run over a book's chapters from 1. A chapter's pages share its chunks evenly, the last page has what is left.
+    """
+    chapters = chunks.groupBy("book_id", "chapter_number").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("book_id").orderBy("chapter_number").rowsBetween(Window.unboundedPreceding, -1)
+    chapters = chapters.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    pages = F.col("end_page") - F.col("start_page") + 1
+    placed = chunks.join(chapters, ["book_id", "chapter_number"])
+    inside = F.row_number().over(Window.partitionBy("book_id", "chapter_number").orderBy("chunk_index"))
+    placed = placed.withColumn("chunk_id", F.col("_earlier") + inside).withColumn("page", (F.col("start_page") + F.least(pages - 1, F.floor((inside - 1) / F.ceil(F.col("_n") / pages)))).cast("long"))
+    of_page = links.groupBy("book_id", "page").agg(F.sort_array(F.collect_list("link_id")).alias("links"))
+    return placed.drop("_n", "_earlier").join(of_page, ["book_id", "page"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<bigint>")))
+
+
+def chapters_of_chunks(chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """Chapters of ``page_aware`` chunks with words, chunks, links, their pages in order, and the images from the first to the last page."""
+    chapters = chunks.groupBy("book_id", "chapter_number").agg(
+        F.sum("word_count").alias("words"), F.count("*").alias("chunks"), F.sum(F.size("links")).alias("links"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sort_array(F.collect_set("page")).alias("pages"),
+    )
+    spans = chapters.select("book_id", "chapter_number", "first_page", "last_page")
+    shown = spans.join(images, "book_id").where(F.col("page_number").between(F.col("first_page"), F.col("last_page")))
+    shown = shown.groupBy("book_id", "chapter_number").agg(F.array_sort(F.collect_list(F.struct("page_number", "image"))).alias("images"))
+    return chapters.join(shown, ["book_id", "chapter_number"], "left").withColumn("images", F.transform(F.coalesce("images", F.array().cast("array<struct<page_number:bigint,image:string>>")), lambda i: i["image"]))
 
 
 def images_of_chapters(chapters: DataFrame, images: DataFrame) -> DataFrame:
@@ -86,11 +143,10 @@ def images_of_chapters(chapters: DataFrame, images: DataFrame) -> DataFrame:
     return spans.join(placed, "_bucket").where(F.col("page_number").between(F.col("first_page"), F.col("last_page"))).drop("_bucket")
 
 
-def images_by_place(slots: DataFrame, files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The i-th file for the i-th place of slots (page, images); a place without a file is one to be filled.
-
-    Both are of one document, or of many that ``keys`` tell apart: then each is ranked by itself.
-    """
+def images_by_place(slots: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The i-th file of a document for its i-th place, of slots (keys, page, images); a place without a file is one to be filled."""
+    if not keys:
+        raise ValueError("places are counted by document: name the columns that tell documents apart")
     places = slots.where("images > 0").select(*keys, "page", F.explode(F.sequence(F.lit(1), F.col("images").cast("int"))).alias("nth"))
     w = Window.partitionBy(*keys)
     numbered = places.withColumn("i", F.row_number().over(w.orderBy("page", "nth")))
@@ -98,18 +154,19 @@ def images_by_place(slots: DataFrame, files: DataFrame, keys: tuple[str, ...] =
 
 
 def estimated_rectangles(chunks: DataFrame, height: float = 792.0) -> DataFrame:
-    """Chunks of a page share its height from the top."""
-    w = Window.partitionBy("page")
+    """Chunks of a document's page share its height from the top."""
+    w = Window.partitionBy("doc_id", "page")
     n, i = F.count("*").over(w), F.row_number().over(w.orderBy("chunk_id")) - 1
     return chunks.withColumn("cy2", height - i * height / n).withColumn("cy1", height - (i + 1) * height / n)
 
 
 def word_at(times: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """As-of join: for each time the word whose mark is the latest not after it, the first before all marks.
+    """As-of join: for each time the word whose mark is the latest not after it, the first before all marks; none without marks.
 
-    Marks become half-open intervals by ``lead``, so equal keys and one range condition do it.
+    Marks (keys, word, mark) and times (keys, t, ..) stand in one order, and a time looks back to the last mark.
     """
-    w = Window.partitionBy(*keys).orderBy("mark", "word")
-    spans = marks.withColumn("_end", F.lead("mark").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    low = F.when(F.col("_first"), F.lit(float("-inf"))).otherwise(F.col("mark"))
-    return times.join(spans.withColumn("_low", low), keys).where((F.col("t") >= F.col("_low")) & (F.col("_end").isNull() | (F.col("t") < F.col("_end")))).drop("_end", "_first", "_low", "mark")
+    w = Window.partitionBy(*keys)
+    both = marks.select(*keys, F.col("mark").alias("_at"), F.lit(0).alias("_kind"), "word").unionByName(times.withColumns({"_at": F.col("t"), "_kind": F.lit(1)}), allowMissingColumns=True)
+    last = F.last("word", ignorenulls=True).over(w.orderBy("_at", "_kind", "word").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min_by("word", F.when(F.col("_kind") == 0, F.struct("_at", "word"))).over(w)
+    return both.withColumn("word", F.coalesce(last, first)).where("_kind = 1 and word is not null").select(*times.columns, "word")

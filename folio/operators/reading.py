@@ -32,15 +32,27 @@ def sessionized(logs: DataFrame, keys: tuple[str, ...] = ("user_id",), ts: str =
     return logs.join(starts, [*keys, "_day"]).withColumn("session", F.col("_earlier") + running).drop("_day", "_before", "_new", "_earlier")
 
 
-def sessions(logs: DataFrame, gap_minutes: float = GAP_MINUTES) -> DataFrame:
-    """A row for each session, named after its earliest log."""
-    first = F.struct("ts", "log_id")
-    rows = sessionized(logs, gap_minutes=gap_minutes).groupBy("user_id", "session").agg(
-        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("logs"), F.min_by("book_id", first).alias("book_id"), F.min_by("chapter_number", first).alias("chapter_number"),
-        F.array_sort(F.collect_list(F.struct("ts", "log_id"))).alias("_rows"),
-    )
+def sessions(logs: DataFrame, gap_minutes: float = GAP_MINUTES, with_rows: bool = True) -> DataFrame:
+    """A row for each session, named after its earliest log. ``with_rows``: with the ids of its logs.
+
+    First the sessions inside each day of a user, then those of a user that follow each other closely are joined: logs are
+    dealt once, and what a user with very many logs has in one task are only their sessions.
+    """
+    inside = Window.partitionBy("user_id", "_day").orderBy("ts", "log_id")
+    is_new = F.coalesce((minutes_between(F.lag("ts").over(inside), F.col("ts")) > gap_minutes).cast("int"), F.lit(1))
+    rows = logs.withColumn("_day", F.to_date("ts")).withColumn("_new", is_new)
+    rows = rows.withColumn("_part", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.struct("ts", "log_id", "book_id", "chapter_number")
+    ids = [F.array_sort(F.collect_list(F.struct("ts", "log_id"))).alias("_rows")] if with_rows else []
+    parts = rows.groupBy("user_id", "_day", "_part").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("logs"), F.min(first).alias("_first"), *ids)
+    order = Window.partitionBy("user_id").orderBy("started", "_first.log_id")
+    begins = F.coalesce((minutes_between(F.lag("ended").over(order), F.col("started")) > gap_minutes).cast("int"), F.lit(1))
+    parts = parts.withColumn("_begins", begins).withColumn("session", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ids = [F.array_sort(F.flatten(F.collect_list("_rows"))).alias("_rows")] if with_rows else []
+    whole = parts.groupBy("user_id", "session").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("logs").alias("logs"), F.min("_first").alias("_first"), *ids)
     name = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.unix_millis(F.col("started").cast("timestamp")).cast("string"))
-    return rows.select(name.alias("session_id"), "user_id", "session", "started", "ended", F.round(minutes_between(F.col("started"), F.col("ended")), 4).alias("minutes"), "logs", "book_id", "chapter_number", F.transform("_rows", lambda r: r["log_id"]).alias("log_ids"))
+    listed = [F.transform("_rows", lambda r: r["log_id"]).alias("log_ids")] if with_rows else []
+    return whole.select(name.alias("session_id"), "user_id", "session", "started", "ended", F.round(minutes_between(F.col("started"), F.col("ended")), 4).alias("minutes"), "logs", "_first.book_id", "_first.chapter_number", *listed)
 
 
 def named(sessions_: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -52,10 +64,26 @@ def by_day(sessions_: DataFrame) -> DataFrame:
     return sessions_.groupBy(F.date_format("started", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("sessions"), F.round(F.sum("minutes"), 3).alias("minutes"), F.sort_array(F.collect_list("session_id")).alias("ids"))
 
 
+def with_running(chunks: DataFrame) -> DataFrame:
+    """Chunks (book_id, chapter_number, chunk_index, word_count) with the words and chunks before each: ``words_inside`` and ``chunks_inside`` its
+    chapter, ``words_earlier`` and ``chunks_earlier`` in the chapters before. In two steps, so a book is not one task's."""
+    chapters = chunks.groupBy("book_id", "chapter_number").agg(F.sum("word_count").alias("_words"), F.count("*").alias("_chunks"))
+    earlier = Window.partitionBy("book_id").orderBy("chapter_number").rowsBetween(Window.unboundedPreceding, -1)
+    chapters = chapters.select("book_id", "chapter_number", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"{n}_earlier") for n in ("words", "chunks")])
+    inside = Window.partitionBy("book_id", "chapter_number").orderBy("chunk_index")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunks.withColumns({"words_inside": F.coalesce(F.sum("word_count").over(before), F.lit(0)), "chunks_inside": F.row_number().over(inside) - 1})
+    return rows.join(chapters, ["book_id", "chapter_number"])
+
+
 def words_before(chunks: DataFrame) -> DataFrame:
-    """Chunks (book_id, chapter_number, chunk_index, word_count) with the words before each in its book."""
-    w = Window.partitionBy("book_id").orderBy("chapter_number", "chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("words_before", F.coalesce(F.sum("word_count").over(w), F.lit(0)))
+    """Chunks with the words before each in its book."""
+    return with_running(chunks).select(*chunks.columns, (F.col("words_earlier") + F.col("words_inside")).alias("words_before"))
+
+
+def running_ids(chunks: DataFrame) -> DataFrame:
+    """Chunks with ids that run over a book's chapters from 1."""
+    return with_running(chunks).select(*chunks.columns, (F.col("chunks_earlier") + F.col("chunks_inside") + 1).cast("int").alias("chunk_id"))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -66,21 +94,24 @@ def percent(part: Column, whole: Column) -> Column:
 def progress(positions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Book and chapter percentages and completed chapters at each position; 0, 0, 0 where its chapter isn't there.
 
-    Words read are those of earlier chapters and of earlier chunks of the current one, as sums over the chapters of
-    the book, not over its chunks' rows.
+    Words read are those of earlier chapters and of earlier chunks of the current one. A chapter's chunks count from 0 without
+    gaps, so a position finds its chunk by equality; behind the last one all of the chapter is read.
     """
-    chapters = chunks.groupBy("book_id", "chapter_number").agg(F.sum("word_count").alias("words"), F.array_sort(F.collect_list(F.struct("chunk_index", "word_count"))).alias("chunks"))
-    books = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_number", "words"))).alias("chapters"), F.sum("words").alias("book_words"))
-    here = chapters.withColumnRenamed("chapter_number", "current_chapter")
-    joined = positions.join(books, "book_id", "left").join(here, ["book_id", "current_chapter"], "left")
-    add = lambda rows, field, keep: F.aggregate(F.filter(rows, keep), F.lit(0).cast("long"), lambda a, r: a + r[field])
-    earlier = add(F.col("chapters"), "words", lambda c: c["chapter_number"] < F.col("current_chapter"))
-    inside = add(F.col("chunks"), "word_count", lambda c: c["chunk_index"] < F.col("current_chunk"))
-    done = F.size(F.filter("chapters", lambda c: c["chapter_number"] < F.col("current_chapter")))
-    there = F.col("words").isNotNull()
+    chapters = chunks.groupBy("book_id", "chapter_number").agg(F.sum("word_count").alias("_words"), F.max("chunk_index").alias("_last"))
+    book = Window.partitionBy("book_id")
+    order = book.orderBy("chapter_number")
+    chapters = chapters.select(
+        "book_id", F.col("chapter_number").alias("current_chapter"), "_words", "_last", F.sum("_words").over(book).alias("_book_words"),
+        F.coalesce(F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"), (F.row_number().over(order) - 1).alias("_done"),
+    )
+    inside = Window.partitionBy("book_id", "chapter_number").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    at = chunks.select("book_id", F.col("chapter_number").alias("current_chapter"), F.col("chunk_index").alias("current_chunk"), F.coalesce(F.sum("word_count").over(inside), F.lit(0)).alias("_at"))
+    joined = positions.join(chapters, ["book_id", "current_chapter"], "left").join(at, ["book_id", "current_chapter", "current_chunk"], "left")
+    read = F.when(F.col("_at").isNotNull(), F.col("_at")).when(F.col("current_chunk") > F.col("_last"), F.col("_words")).otherwise(0)
+    there = F.col("_words").isNotNull()
     return joined.select(
-        *positions.columns, F.when(there, percent(earlier + inside, F.col("book_words"))).otherwise(0).alias("book_percent"), F.when(there, percent(inside, F.col("words"))).otherwise(0).alias("chapter_percent"),
-        F.when(there, done).otherwise(0).cast("long").alias("completed"),
+        *positions.columns, F.when(there, percent(F.col("_earlier") + read, F.col("_book_words"))).otherwise(0).alias("book_percent"), F.when(there, percent(read, F.col("_words"))).otherwise(0).alias("chapter_percent"),
+        F.when(there, F.col("_done")).otherwise(0).cast("long").alias("completed"),
     )
 
 
@@ -127,3 +158,16 @@ def active_minutes(logs: DataFrame, most_seconds: int = 10) -> DataFrame:
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "log_id")
     gap = minutes_between(F.col("ts"), F.lead("ts").over(w)) * 60
     return logs.withColumn("_gap", gap).groupBy("user_id").agg(F.round(F.sum(F.when(F.col("_gap") < most_seconds, F.col("_gap")).otherwise(0.0)) / 60, 4).alias("minutes"))
+
+
+def saved_minutes(logs: DataFrame, most_seconds: int = 10) -> DataFrame:
+    """(log_id, user_id, seconds, minutes) of each log of the type ``saved``: the active time since the save before, and its rounded minutes.
+
+    What is less than half a minute is lost with a save, as the count begins anew.
+    """
+    w = Window.partitionBy("user_id").orderBy("ts", "log_id")
+    gap = minutes_between(F.lag("ts").over(w), F.col("ts")) * 60
+    counted = logs.withColumn("_active", F.when(gap < most_seconds, gap).otherwise(0.0)).withColumn("_is_save", (F.col("event_type") == "saved").cast("int"))
+    spans = counted.withColumn("_span", F.sum("_is_save").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_is_save"))
+    seconds = F.sum("_active").over(Window.partitionBy("user_id", "_span"))
+    return spans.withColumn("seconds", F.round(seconds, 3)).where("_is_save = 1").select("log_id", "user_id", "seconds", F.round(F.col("seconds") / 60).cast("long").alias("minutes"))

@@ -83,6 +83,12 @@ def with_model_cost(df: DataFrame) -> DataFrame:
     return joined.withColumn("cost", known.otherwise(side("prompt_tokens", "input", "input_over") + side("completion_tokens", "output", "output_over"))).drop("input", "output", "input_over", "output_over")
 
 
+def estimated_cost(df: DataFrame) -> DataFrame:
+    """Calls (model_id, prompt_tokens, expected_tokens) with ``completion_tokens``, half of the prompt's where none are expected, and ``cost``."""
+    expected = F.coalesce(F.nullif("expected_tokens", F.lit(0)), F.ceil(F.col("prompt_tokens") / 2))
+    return with_model_cost(df.withColumn("completion_tokens", expected))
+
+
 def character_price(provider: Column, tier: Column) -> Column:
     """Price of a character of speech."""
     polly = F.when(tier == "neural", 0.000025).when(tier == "long-form", 0.0001).when(tier == "generative", 0.0002).otherwise(0.000004)

@@ -76,9 +76,9 @@ def p22(spark, folder):
     return frame(spark, folder, "users").select("username", is_id(h).alias("whole"), is_id(F.substring(h, 1, 24)).alias("cut"))
 
 
-@query("o03_bookmarks_in_order", cte("bookmarks") + "SELECT DISTINCT user_id, book_id, chapter_number, chunk_index FROM bookmarks WHERE user_id < 20 ORDER BY 1, 2, 3, 4")
+@query("o03_bookmarks_in_order", cte("bookmarks") + "SELECT DISTINCT user_id, book_id, chapter_number, chunk_index FROM bookmarks ORDER BY 1, 2, 3, 4")
 def o03(spark, folder):
-    return frame(spark, folder, "bookmarks").where("user_id < 20").select(*POSITION).distinct().orderBy(*POSITION)
+    return frame(spark, folder, "bookmarks").select(*POSITION).distinct().orderBy(*POSITION)
 
 
 @query("o04_chapters_in_order", cte("chunk_rows") + ", " + CHAPTERS + " SELECT chapter_number, chapter_words FROM chapters WHERE book_id = 17 ORDER BY chapter_number")
@@ -152,17 +152,17 @@ def j22(spark, folder):
     return joined.select("log_id", F.coalesce("m", F.lit(False)).alias("marked"))
 
 
-@query("k05_updated_users", cte("users", "settings") + "SELECT u.user_id, coalesce(s.theme, u.segment) AS segment, username FROM users u LEFT JOIN settings s USING (user_id)")
+@query("k05_updated_users", cte("users", "settings") + "SELECT u.user_id, CASE WHEN s.user_id IS NULL THEN u.segment ELSE s.theme END AS segment, username FROM users u LEFT JOIN settings s ON s.user_id = u.user_id")
 def k05(spark, folder):
     changes = frame(spark, folder, "settings").select("user_id", F.col("theme").alias("segment"))
     return C.updated(frame(spark, folder, "users").select("user_id", "segment", "username"), changes, ["user_id"])
 
 
-@query("k06_upserted_positions", cte("progress", "reading_logs") + """, p AS (SELECT user_id, book_id, max(current_chapter) AS current_chapter, max(current_chunk) AS current_chunk, CAST(sum(minutes) AS BIGINT) AS words, max(minutes) AS minutes FROM progress WHERE user_id < 150 GROUP BY ALL),
+@query("k06_upserted_positions", cte("progress", "reading_logs") + """, p AS (SELECT user_id, book_id, max(current_chapter) AS current_chapter, max(current_chunk) AS current_chunk, CAST(sum(minutes) AS BIGINT) AS words, max(minutes) AS minutes FROM progress GROUP BY ALL),
  s AS (SELECT user_id, book_id, max(chapter_number) AS c, max(chunk_index) AS k, count(*) AS w, count(*) AS m FROM reading_logs GROUP BY ALL)
  SELECT coalesce(p.user_id, s.user_id) AS user_id, coalesce(p.book_id, s.book_id) AS book_id, coalesce(c, current_chapter) AS current_chapter, coalesce(k, current_chunk) AS current_chunk, coalesce(words, 0) + coalesce(w, 0) AS words, coalesce(minutes, 0) + coalesce(m, 0) AS minutes FROM p FULL JOIN s ON p.user_id = s.user_id AND p.book_id = s.book_id""")
 def k06(spark, folder):
-    p = frame(spark, folder, "progress").where("user_id < 150").groupBy("user_id", "book_id").agg(F.max("current_chapter").alias("current_chapter"), F.max("current_chunk").alias("current_chunk"), F.sum("minutes").alias("words"), F.max("minutes").alias("minutes"))
+    p = frame(spark, folder, "progress").groupBy("user_id", "book_id").agg(F.max("current_chapter").alias("current_chapter"), F.max("current_chunk").alias("current_chunk"), F.sum("minutes").alias("words"), F.max("minutes").alias("minutes"))
     s = frame(spark, folder, "reading_logs").groupBy("user_id", "book_id").agg(F.max("chapter_number").alias("current_chapter"), F.max("chunk_index").alias("current_chunk"), F.count("*").alias("words"), F.count("*").alias("minutes"))
     return C.upserted_positions(p, s)
 
@@ -210,11 +210,20 @@ def k18(spark, folder):
     return C.backfilled_start(frame(spark, folder, "books"), chapters(spark, folder)).select("book_id", "chapter_start_number")
 
 
-@query("k17_j18_uploaded_images", cte("images", "chunk_rows") + ", names AS (SELECT file_name FROM images WHERE image_id % 2 = 0), c AS (SELECT DISTINCT side FROM chunk_rows WHERE type = 'image'), u AS (SELECT side, 'Supplier#' || lpad(CAST(side AS VARCHAR), 9, '0') AS base FROM c) SELECT side, CASE WHEN base IN (SELECT file_name FROM names) THEN base END AS name, CASE WHEN base IN (SELECT file_name FROM names) THEN NULL ELSE 'https://x/y/' || base END AS url FROM u")
+IMAGE_CHUNKS = "c AS (SELECT book_id, chapter_number, line, side, type, 'https://x/y/Supplier#' || lpad(CAST(side AS VARCHAR), 9, '0') AS url, 'Supplier#' || lpad(CAST(side AS VARCHAR), 9, '0') AS base FROM chunk_rows)"
+
+
+@query("k17_j18_uploaded_images", cte("images", "chunk_rows") + ", names AS (SELECT DISTINCT file_name FROM images WHERE image_id % 2 = 0), " + IMAGE_CHUNKS + ", u AS (SELECT c.*, type = 'image' AND n.file_name IS NOT NULL AS hit FROM c LEFT JOIN names n ON n.file_name = c.base) SELECT book_id, chapter_number, count(*) AS chunks, count(*) FILTER (hit) AS named, md5(string_agg(CASE WHEN hit THEN base ELSE url END, ',' ORDER BY line, side, type)) AS names FROM u GROUP BY ALL")
 def k17(spark, folder):
-    names = frame(spark, folder, "images").where("image_id % 2 = 0").agg(F.collect_set("file_name").alias("names"))
-    sides = frame(spark, folder, "chunk_rows").where("type = 'image'").select("side").distinct()
+    files = frame(spark, folder, "images").where("image_id % 2 = 0").select("file_name")
     url = F.concat(F.lit("https://x/y/Supplier#"), F.lpad(F.col("side").cast("string"), 9, "0"))
-    chunk = F.array(F.struct(F.lit("image").alias("type"), url.alias("url"), F.lit(None).cast("string").alias("name")))
-    done = sides.withColumn("chunks", chunk).crossJoin(F.broadcast(names)).select("side", F.explode(C.with_uploaded_names(F.col("chunks"), F.col("names"))).alias("c"))
-    return done.select("side", "c.name", "c.url")
+    chunk = F.struct("line", "side", "type", url.alias("url"), F.lit(None).cast("string").alias("name"))
+    chapters = frame(spark, folder, "chunk_rows").groupBy("book_id", "chapter_number").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    done = C.with_uploaded_names(chapters, ["book_id", "chapter_number"], files)
+    shown = F.array_join(F.transform("chunks", lambda c: F.coalesce(c["name"], c["url"])), ",")
+    return done.select("book_id", "chapter_number", F.size("chunks").cast("long").alias("chunks"), F.size(F.filter("chunks", lambda c: c["name"].isNotNull())).cast("long").alias("named"), F.md5(shown.cast("binary")).alias("names"))
+
+
+@query("k04_batches_of_ten", cte("bookmarks") + "SELECT user_id, (n - 1) // 10 AS batch, count(*) AS rows FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, bookmark_id) AS n FROM bookmarks) GROUP BY ALL")
+def k04(spark, folder):
+    return C.in_batches(frame(spark, folder, "bookmarks"), ["created_at", "bookmark_id"], "user_id").groupBy("user_id", "batch").agg(F.count("*").alias("rows"))

@@ -6,23 +6,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import catalog, documents, layout, usage
+from folio.operators import catalog, documents, usage
 from folio.plans.base import cte, frame
-from folio.plans.layout_queries import RECTS, boxes, links
 from folio.plans.reading_queries import CHUNKS, chunks
 from folio.plans.registry import query
 from folio.plans.text_queries import LINES, docs, lines
-from folio.sources import files
 
-OUTLINE = "outline AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 4 END AS parent, CASE WHEN p_partkey = 7 THEN 'Contents' ELSE p_name END AS title, p_partkey % 4 AS pos FROM part WHERE p_partkey < 900)"
+OUTLINE = "outline AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 4 END AS parent, CASE WHEN p_partkey = 7 THEN 'Contents' ELSE p_name END AS title, p_partkey % 4 AS pos FROM part)"
 
 
 @query("x10_outline", "WITH RECURSIVE " + OUTLINE + """, tree(id, title, depth, path) AS (SELECT id, title, 0, lpad(CAST(pos AS VARCHAR), 6, '0') FROM outline WHERE parent IS NULL AND lower(title) <> 'contents'
  UNION ALL SELECT o.id, o.title, t.depth + 1, t.path || '.' || lpad(CAST(o.pos AS VARCHAR), 6, '0') FROM outline o JOIN tree t ON o.parent = t.id WHERE lower(o.title) <> 'contents') SELECT * FROM tree""")
 def x10(spark, folder):
     k = F.col("p_partkey")
-    outline = spark.read.parquet(f"{folder}/part.parquet").where("p_partkey < 900").select(k.alias("id"), F.when(k >= 10, F.floor(k / 4)).alias("parent"), F.when(k == 7, "Contents").otherwise(F.col("p_name")).alias("title"), (k % 4).alias("pos"))
-    return documents.outline_paths(spark, outline)
+    outline = spark.read.parquet(f"{folder}/part.parquet").select(k.alias("id"), F.when(k >= 10, F.floor(k / 4)).alias("parent"), F.when(k == 7, "Contents").otherwise(F.col("p_name")).alias("title"), (k % 4).alias("pos"))
+    return documents.outline_paths(outline)
 
 
 SHAPE = """regexp_matches(trim(text), '^(?i:chapter)\\s+\\w+|^\\d+[.:]\\s+\\S|^[A-Za-z][A-Za-z\\s]{4,}$') AND NOT regexp_matches(trim(text), '^(?i:page\\s+)?\\d+$') AND NOT regexp_matches(trim(text), '(?i)^(?:isbn|copyright|typeset|printed|published|all rights|first published|volume)')
@@ -34,9 +32,10 @@ def p16(spark, folder):
     return lines(spark, folder).where(documents.chapter_line(F.col("text"))).select("doc_id", "line")
 
 
-SECTIONS = LINES + f""", m AS (SELECT doc_id, line, text, {SHAPE} AS h FROM lines), s AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS chapter FROM m),
+SECTIONS_OF_LINES = f"""m AS (SELECT doc_id, line, text, {SHAPE} AS h FROM lines), s AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS chapter FROM m),
  p AS (SELECT doc_id, CAST(chapter AS BIGINT) AS chapter, max(CASE WHEN h THEN trim(text) END) AS title, CAST(sum(CASE WHEN h THEN 0 ELSE length(text) END) AS BIGINT) AS chars FROM s WHERE chapter > 0 GROUP BY doc_id, chapter HAVING sum(CASE WHEN h THEN 0 ELSE length(text) END) > 200),
  sections AS (SELECT * FROM p UNION ALL SELECT doc_id, 0, 'Full Text', CAST(sum(length(text)) AS BIGINT) FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM p) GROUP BY doc_id)"""
+SECTIONS = LINES + ", " + SECTIONS_OF_LINES
 
 
 @query("x15_chapters_by_pattern", "WITH " + SECTIONS + " SELECT * FROM sections")
@@ -60,36 +59,9 @@ def x17(spark, folder):
     return contents(spark, folder)
 
 
-@query("x18_contents_or_text", "WITH " + BY_TOC + " SELECT doc_id, chapter, pages FROM t UNION ALL SELECT conv_id, 0, count(*) FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM t) GROUP BY conv_id")
-def x18(spark, folder):
-    whole = spark.read.parquet(f"{folder}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("pages")).select("doc_id", F.lit(0).cast("long").alias("chapter"), "pages")
-    return documents.preferred(contents(spark, folder).select("doc_id", "chapter", "pages"), whole)
-
-
-@query("x14_chapters_by_title", "WITH " + LINES + ", t AS (SELECT doc_id, line, text FROM lines WHERE starts_with(text, 'The ') AND length(text) < 300), b AS (SELECT doc_id, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM t) SELECT b.doc_id, b.line, count(l.line) AS content_lines FROM b LEFT JOIN lines l ON l.doc_id = b.doc_id AND l.line > b.line AND l.line < coalesce(b.nxt, 1000000) AND length(trim(l.text)) > 10 GROUP BY ALL")
-def x14(spark, folder):
-    flagged = lines(spark, folder).withColumn("is_title", F.col("text").startswith("The ") & (F.char_length("text") < 300))
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    at = flagged.withColumn("title_line", F.last(F.when(F.col("is_title"), F.col("line")), ignorenulls=True).over(w)).where("title_line is not null")
-    content = (~F.col("is_title") & (F.char_length(F.trim("text")) > 10)).cast("long")
-    return at.groupBy("doc_id", F.col("title_line").alias("line")).agg(F.sum(content).alias("content_lines"))
-
-
-@query("x13_content_start", "WITH " + LINES + " SELECT doc_id, min(line) AS start FROM lines WHERE line < 200 AND contains(lower(text), 'the') GROUP BY doc_id")
-def x13(spark, folder):
-    return lines(spark, folder).where((F.col("line") < 200) & F.lower("text").contains("the")).groupBy("doc_id").agg(F.min("line").alias("start"))
-
-
-@query("x19_page_aware_chunks", "WITH " + RECTS + ", l AS (SELECT page, count(*) AS n FROM links WHERE link_id % 7 = 0 GROUP BY 1) SELECT pos AS chunk_id, CAST(row_number() OVER (PARTITION BY i.page // 10 ORDER BY i.page, pos) AS INT) AS nth, i.page, coalesce(n, 0) AS links, min(i.page) OVER (PARTITION BY i.page // 10) AS first_page FROM pieces i LEFT JOIN l ON l.page = i.page")
-def x19(spark, folder):
-    linked = layout.with_links(boxes(spark, folder), links(spark, folder).where("link_id % 7 = 0")).withColumn("chapter", F.floor(F.col("page") / 10))
-    w = Window.partitionBy("chapter")
-    return linked.select("chunk_id", F.row_number().over(w.orderBy("page", "chunk_id")).alias("nth"), "page", F.size("links").cast("long").alias("links"), F.min("page").over(w).alias("first_page"))
-
-
 @query("x22_buffered_sentences")
 def x22(spark, folder):
-    return docs(spark, folder).select("doc_id", F.posexplode(documents.buffered_sentences(F.col("text"))).alias("nth", "text"))
+    return documents.buffered_sentences(docs(spark, folder), "doc_id", "text")
 
 
 @query("x23_parts_between_markers", cte("users") + "SELECT user_id, CAST(unnest([0, 1]) AS INT) AS nth, unnest(['ONE ' || segment || ' ', 'TWO ' || username]) AS text FROM users")
@@ -129,34 +101,22 @@ def a26(spark, folder):
     return frame(spark, folder, "chunk_rows").groupBy("book_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("type") == "image").alias("images"))
 
 
-@query("p18_usable_links", "WITH " + RECTS + " SELECT link_id FROM links WHERE target < 40 AND link_text NOT LIKE '%9'")
-def p18(spark, folder):
-    return links(spark, folder).where((F.col("target") < 40) & ~F.col("link_text").endswith("9")).select("link_id")
-
-
 @query("j21_markers_without_prefix", cte("users", "books") + "SELECT DISTINCT segment AS folder FROM users WHERE segment NOT IN (SELECT description FROM books)")
 def j21(spark, folder):
     prefixes = frame(spark, folder, "books").select(F.col("description").alias("folder"))
     return catalog.deleted(frame(spark, folder, "users").select(F.col("segment").alias("folder")).distinct(), prefixes, ["folder"])
 
 
-@query("j23_index_resolved_links", "WITH " + RECTS + " SELECT link_id, min(pos) AS chunk_id FROM links l JOIN pieces i ON i.page BETWEEN l.target AND l.target + 1 WHERE link_id < 500 GROUP BY 1")
-def j23(spark, folder):
-    entry = F.concat(F.lit("Smith "), F.col("target").cast("string"), F.lit("-"), (F.col("target") + 1).cast("string"))
-    pages = links(spark, folder).where("link_id < 500").select("link_id", F.explode(T.index_pages(entry)).alias("page")).withColumn("page", F.col("page").cast("long"))
-    return pages.join(boxes(spark, folder).select("page", "chunk_id"), "page").groupBy("link_id").agg(F.min("chunk_id").alias("chunk_id"))
-
-
 @query("o13_o14_first_positions", cte("chunk_rows") + ", " + CHUNKS + " SELECT book_id, arg_min(word_count, (chapter_number, chunk_index)) AS first_words, max(chapter_number) AS last_chapter FROM chunks GROUP BY 1 ORDER BY 1")
 def o14(spark, folder):
     first = F.min_by("word_count", F.struct("chapter_number", "chunk_index"))
     return chunks(spark, folder).groupBy("book_id").agg(first.alias("first_words"), F.max("chapter_number").alias("last_chapter")).orderBy("book_id")
 
 
-@query("f06_joined_texts", cte("chunk_rows") + ", " + CHUNKS + " SELECT book_id, string_agg(type || ':' || word_count, ' ' ORDER BY chapter_number, chunk_index) AS joined FROM chunks WHERE book_id < 100 GROUP BY 1")
+@query("f06_joined_texts", cte("chunk_rows") + ", " + CHUNKS + " SELECT book_id, string_agg(type || ':' || word_count, ' ' ORDER BY chapter_number, chunk_index) AS joined FROM chunks GROUP BY 1")
 def f06(spark, folder):
     rows = F.array_sort(F.collect_list(F.struct("chapter_number", "chunk_index", F.concat_ws(":", "type", F.col("word_count").cast("string")).alias("t"))))
-    return chunks(spark, folder).where("book_id < 100").groupBy("book_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias("joined"))
+    return chunks(spark, folder).groupBy("book_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias("joined"))
 
 
 @query("f12_folded_titles", cte("books") + "SELECT book_id, title AS folded FROM books")
@@ -178,10 +138,11 @@ def f33(spark, folder):
     return usage.with_voice_tier(rows).select("provider", "voice_id", "tier")
 
 
-@query("f42_k02_generated_ids", "SELECT count(*) AS n, count(*) AS different, true AS stamped FROM orders WHERE o_orderkey < 500")
+@query("f42_k02_generated_ids", "SELECT count(*) AS n, count(*) AS different, count(*) AS well_formed, true AS stamped FROM orders")
 def f42(spark, folder):
-    stamped = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderkey < 500").select("o_orderkey", F.uuid().alias("id"), F.current_timestamp().alias("created_at"))
-    return stamped.agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.every(F.col("created_at").isNotNull()).alias("stamped"))
+    rows = catalog.stamped(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), F.current_timestamp())
+    form = F.col("id").rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.count_if(form).alias("well_formed"), F.every(F.col("created_at") == F.col("updated_at")).alias("stamped"))
 
 
 @query("f46_footnote_patterns", cte("images") + "SELECT image_id, CASE WHEN length(CAST(image_id * 37 AS VARCHAR)) <= 3 THEN '(^|\\s)' || image_id * 37 || '(\\.|\\s|$)' ELSE CAST(image_id * 37 AS VARCHAR) END AS pattern FROM images")
@@ -189,16 +150,19 @@ def f46(spark, folder):
     return frame(spark, folder, "images").select("image_id", T.footnote_pattern((F.col("image_id") * 37).cast("string")).alias("pattern"))
 
 
-@query("k07_appended_history", cte("reading_logs") + "SELECT user_id, count(*) + 1 AS entries FROM reading_logs GROUP BY 1")
+@query("k07_appended_history", cte("reading_logs") + "SELECT user_id, string_agg(CAST(log_id AS VARCHAR), ',' ORDER BY log_id % 2, log_id) AS history FROM reading_logs GROUP BY 1")
 def k07(spark, folder):
-    history = frame(spark, folder, "reading_logs").groupBy("user_id").agg(F.collect_list(F.struct("ts", "log_id")).alias("history"))
-    more = F.array_append("history", F.struct(F.lit("2024-02-01").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("log_id")))
-    return history.select("user_id", F.size(more).cast("long").alias("entries"))
+    logs = frame(spark, folder, "reading_logs")
+    history = logs.select("user_id").distinct().join(logs.where("log_id % 2 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list("log_id")).alias("history")), "user_id", "left")
+    done = catalog.pushed(history, logs.where("log_id % 2 = 1").select("user_id", F.col("log_id").alias("entry")), "user_id", "history")
+    return done.select("user_id", F.array_join("history", ",").alias("history"))
 
 
-@query("k14_settings_reset", cte("settings") + "SELECT user_id, 1.0 AS playback_speed, 'light' AS theme FROM settings")
+@query("k14_settings_reset", cte("settings") + "SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE CAST(playback_speed AS DOUBLE) END AS playback_speed, voice_id, CASE WHEN user_id % 3 = 0 THEN 'light' ELSE theme END AS theme FROM settings")
 def k14(spark, folder):
-    return frame(spark, folder, "settings").select("user_id", F.lit(1.0).alias("playback_speed"), F.lit("light").alias("theme"))
+    settings = frame(spark, folder, "settings").withColumn("playback_speed", F.col("playback_speed").cast("double"))
+    asked = settings.where("user_id % 3 = 0")
+    return catalog.updated(settings, catalog.reset(asked, {"playback_speed": 1.0, "theme": "light"}).select("user_id", "playback_speed", "theme"), ["user_id"])
 
 
 @query("s18_values_with_defaults", cte("users", "settings") + "SELECT user_id, coalesce(s.theme, 'light') AS theme FROM users LEFT JOIN settings s USING (user_id)")
@@ -206,34 +170,14 @@ def s18(spark, folder):
     return catalog.with_defaults(frame(spark, folder, "users"), frame(spark, folder, "settings").select("user_id", "theme"), "user_id", {"theme": "light"})
 
 
-@query("s16_image_files", "SELECT 'a' || s_suppkey % 3 AS folder, count(*) AS images FROM supplier WHERE s_suppkey < 30 AND s_suppkey % 2 = 0 GROUP BY 1")
-def s16(spark, folder):
-    path = files.shared_path(spark, "images")
-    rows = spark.read.parquet(f"{folder}/supplier.parquet").where("s_suppkey < 30")
-    names = rows.select((F.col("s_suppkey") % 3).alias("k"), F.when(F.col("s_suppkey") % 2 == 0, "png").otherwise("txt").alias("kind"), F.col("s_name").alias("value"))
-    # Spark names files itself, so the kind stands in the folder here and the listing filters by it
-    names.repartition("k", "kind").write.partitionBy("k", "kind").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    in_folder = found.where(F.col("path").contains("kind=png")).select(F.concat(F.lit("a"), F.regexp_extract("path", r"k=(\d+)", 1)).alias("folder")).distinct()
-    counts = rows.where("s_suppkey % 2 = 0").groupBy(F.concat(F.lit("a"), (F.col("s_suppkey") % 3).cast("string")).alias("folder")).agg(F.count("*").alias("images"))
-    return counts.join(in_folder, "folder", "left_semi")
-
-
-@query("s07_o11_one_record", "SELECT '7' AS id, (SELECT round(o_totalprice, 2) FROM orders WHERE o_orderkey = 7) AS cost")
-def s07(spark, folder):
-    rows = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderkey < 12").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("cost"))
-    path = files.shared_path(spark, "records")
-    rows.repartition(12, "id").write.json(path)
-    return spark.read.schema(files.RECORD_SCHEMA).json(path).where("id = '7'").select("id", F.round("cost", 2).alias("cost"))
-
-
-@query("t05_streamed_words", "SELECT event_id, CAST(floor(value / 10) AS BIGINT) AS word FROM events WHERE user_id < 40")
+@query("t05_streamed_words", "SELECT event_id, CAST(floor(value / 10) AS BIGINT) AS word FROM events")
 def t05(spark, folder):
     from folio.streaming import logs as S
 
     path = f"{folder}/events.parquet"
-    stream = S.stream_of(spark, path, spark.read.parquet(path)).where("user_id < 40")
-    marks = spark.range(0, 100_000).select(F.col("id").alias("word"), (F.col("id") * 10).cast("double").alias("low"), (F.col("id") * 10 + 10).cast("double").alias("high"), F.col("id").alias("slot"))
+    stream = S.stream_of(spark, path, spark.read.parquet(path))
+    slots = spark.read.parquet(path).select(F.floor(F.col("value") / 10).alias("slot")).distinct()
+    marks = slots.select(F.col("slot").alias("word"), (F.col("slot") * 10).cast("double").alias("low"), (F.col("slot") * 10 + 10).cast("double").alias("high"), "slot")
     # each word's interval is found by its slot, so the stream is joined by equality
     met = stream.withColumn("slot", F.floor(F.col("value") / 10)).join(marks, "slot").where((F.col("value") >= F.col("low")) & (F.col("value") < F.col("high")))
     return S.run_once(met.select("event_id", "word"), "append").select("event_id", "word")

@@ -60,17 +60,17 @@ def w01_window(spark, folder):
 
 @query("a12_session_lengths", cte("reading_logs") + ", " + SESSIONS + " SELECT user_id, count(*) AS sessions, round(sum(minutes), 3) AS minutes, max(logs) AS longest FROM ss GROUP BY user_id")
 def a12(spark, folder):
-    return R.sessions(logs(spark, folder)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.round(F.sum("minutes"), 3).alias("minutes"), F.max("logs").alias("longest"))
+    return R.sessions(logs(spark, folder), with_rows=False).groupBy("user_id").agg(F.count("*").alias("sessions"), F.round(F.sum("minutes"), 3).alias("minutes"), F.max("logs").alias("longest"))
 
 
 @query("a13_sessions_by_day", cte("reading_logs") + ", " + SESSIONS + " SELECT strftime(started, '%Y-%m-%d') AS day, count(*) AS sessions, round(sum(minutes), 3) AS minutes, string_agg(session_id, ',' ORDER BY session_id) AS ids FROM ss GROUP BY 1")
 def a13(spark, folder):
-    return R.by_day(R.sessions(logs(spark, folder))).withColumn("ids", F.array_join("ids", ","))
+    return R.by_day(R.sessions(logs(spark, folder), with_rows=False)).withColumn("ids", F.array_join("ids", ","))
 
 
 @query("o06_session_page", cte("reading_logs") + ", " + SESSIONS + " SELECT session_id, (SELECT count(*) FROM ss WHERE user_id = 7) AS total FROM ss WHERE user_id = 7 ORDER BY started DESC, session LIMIT 5 OFFSET 3")
 def o06(spark, folder):
-    mine = R.sessions(logs(spark, folder).where("user_id = 7"))
+    mine = R.sessions(logs(spark, folder).where("user_id = 7"), with_rows=False)
     return mine.crossJoin(F.broadcast(mine.agg(F.count("*").alias("total")))).orderBy(F.desc("started"), "session").offset(3).limit(5).select("session_id", "total")
 
 
@@ -111,9 +111,9 @@ def a23(spark, folder):
     return by_chapter.groupBy("book_id").agg(F.sum("words").alias("words"), F.count("*").alias("chapters"), F.sum("chunks").alias("chunks"))
 
 
-@query("j03_book_with_progress", cte("books", "progress") + " SELECT b.book_id, title, user_id, coalesce(current_chapter, 1) AS current_chapter, coalesce(minutes, 0) AS minutes FROM books b LEFT JOIN (SELECT * FROM progress WHERE user_id % 10 = 3) p USING (book_id)")
+@query("j03_book_with_progress", cte("books", "progress") + " SELECT b.book_id, title, user_id, coalesce(current_chapter, 1) AS current_chapter, coalesce(minutes, 0) AS minutes FROM books b LEFT JOIN progress p USING (book_id)")
 def j03(spark, folder):
-    joined = frame(spark, folder, "books").join(frame(spark, folder, "progress").where("user_id % 10 = 3"), "book_id", "left")
+    joined = frame(spark, folder, "books").join(frame(spark, folder, "progress"), "book_id", "left")
     return joined.select("book_id", "title", "user_id", F.coalesce("current_chapter", F.lit(1)).alias("current_chapter"), F.coalesce("minutes", F.lit(0)).alias("minutes"))
 
 
@@ -127,10 +127,10 @@ def j05(spark, folder):
     return frame(spark, folder, "users").select("user_id").join(latest, "user_id", "left").crossJoin(F.broadcast(first)).select("user_id", F.coalesce("book_id", "first_book").alias("book_id"), "last_read_at")
 
 
-@query("j04_o10_library_by_last_read", cte("books", "progress") + ", p AS (SELECT book_id, max(last_read_at) AS last_read_at FROM progress WHERE user_id % 50 = 1 GROUP BY 1) SELECT b.book_id, title, last_read_at FROM books b LEFT JOIN p USING (book_id) ORDER BY last_read_at DESC NULLS LAST, b.book_id LIMIT 400")
+@query("j04_o10_library_by_last_read", cte("books", "progress") + ", p AS (SELECT book_id, max(last_read_at) AS last_read_at FROM progress GROUP BY 1) SELECT b.book_id, title, last_read_at FROM books b LEFT JOIN p USING (book_id) ORDER BY last_read_at DESC NULLS LAST, b.book_id")
 def j04(spark, folder):
-    p = frame(spark, folder, "progress").where("user_id % 50 = 1").groupBy("book_id").agg(F.max("last_read_at").alias("last_read_at"))
-    return frame(spark, folder, "books").join(p, "book_id", "left").select("book_id", "title", "last_read_at").orderBy(F.desc_nulls_last("last_read_at"), "book_id").limit(400)
+    p = frame(spark, folder, "progress").groupBy("book_id").agg(F.max("last_read_at").alias("last_read_at"))
+    return frame(spark, folder, "books").join(p, "book_id", "left").select("book_id", "title", "last_read_at").orderBy(F.desc_nulls_last("last_read_at"), "book_id")
 
 
 @query("o02_progress_newest_first", cte("progress") + " SELECT progress_id, book_id, last_read_at FROM progress WHERE user_id = 9 ORDER BY last_read_at DESC, progress_id")
@@ -176,6 +176,15 @@ def t03(spark, folder):
     return R.active_minutes(logs(spark, folder), 600)
 
 
+SAVES = "e AS (SELECT event_id AS log_id, user_id, ts, event_type FROM events)"
+
+
+@query("t03_saved_minutes", "WITH " + SAVES + ", g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000 AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, log_id)), s AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS save FROM g), p AS (SELECT *, sum(save) OVER (PARTITION BY user_id ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) - save AS span FROM s), t AS (SELECT *, round(sum(CASE WHEN gap < 900 THEN gap ELSE 0 END) OVER (PARTITION BY user_id, span), 3) AS seconds FROM p) SELECT log_id, user_id, seconds, CAST(round(seconds / 60) AS BIGINT) AS minutes FROM t WHERE save = 1")
+def t03_saved(spark, folder):
+    e = spark.read.parquet(f"{folder}/events.parquet").select(F.col("event_id").alias("log_id"), "user_id", "ts", F.when(F.col("event_type") == "purchase", "saved").otherwise(F.col("event_type")).alias("event_type"))
+    return R.saved_minutes(e, 900)
+
+
 @query("t06_cache_states", cte("reading_logs") + f", a AS (SELECT log_id, epoch(TIMESTAMP {NOW!r}) - epoch(ts) AS age FROM reading_logs) SELECT log_id, CASE WHEN age < 86400 THEN 'fresh' WHEN age <= 7 * 86400 THEN 'stale' ELSE 'expired' END AS state FROM a")
 def t06(spark, folder):
     age = R.minutes_between(F.col("ts"), F.lit(NOW).cast("timestamp_ntz")) * 60
@@ -202,7 +211,7 @@ def w09(spark, folder):
 
 @query("w11_running_chunk_ids", cte("chunk_rows") + ", " + CHUNKS + " SELECT book_id, chapter_number, chunk_index, CAST(row_number() OVER (PARTITION BY book_id ORDER BY chapter_number, chunk_index) AS INT) AS chunk_id FROM chunks")
 def w11(spark, folder):
-    return chunks(spark, folder).select("book_id", "chapter_number", "chunk_index", F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_number", "chunk_index")).alias("chunk_id"))
+    return R.running_ids(chunks(spark, folder)).select("book_id", "chapter_number", "chunk_index", "chunk_id")
 
 
 @query("w12_estimated_pages", cte("chunk_rows") + ", " + CHUNKS + ", n AS (SELECT *, count(*) OVER (PARTITION BY book_id, chapter_number) AS n, chapter_number + 1 AS pages FROM chunks) SELECT book_id, chapter_number, chunk_index, CAST(chapter_number * 10 + least(pages - 1, floor(chunk_index / ceil(n / pages))) AS BIGINT) AS page FROM n")

@@ -38,31 +38,94 @@ def t01_changes(spark, folder):
 @query("t03_streamed_active_time", cte("reading_logs") + ", g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, log_id))) / 1000000 AS gap FROM reading_logs) SELECT user_id, round(sum(CASE WHEN gap < 600 THEN gap ELSE 0 END), 3) AS seconds FROM g GROUP BY user_id")
 def t03(spark, folder):
     out = S.run_once(S.live_active_seconds(log_stream(spark, folder), 600.0), "update")
-    return out.groupBy("user_id").agg(F.round(F.max_by("seconds", "_batch"), 3).alias("seconds"))
+    return out.where("saved_minutes is null").groupBy("user_id").agg(F.round(F.max_by("seconds", "_batch"), 3).alias("seconds"))
 
 
-@query("s06_k20_json_lake", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS provider, CAST(o_custkey AS BIGINT) AS prompt, round(o_totalprice, 2) AS cost FROM orders WHERE o_orderkey < 2000")
+@query("t03_streamed_saves", "WITH e AS (SELECT event_id AS log_id, user_id, ts, event_type FROM events), g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000 AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, log_id)), s AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS save FROM g), p AS (SELECT *, sum(save) OVER (PARTITION BY user_id ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) - save AS span FROM s) SELECT user_id, span, round(sum(CASE WHEN gap < 900 THEN gap ELSE 0 END), 3) AS seconds FROM p GROUP BY user_id, span HAVING sum(save) = 1".replace("SELECT user_id, span, round", "SELECT user_id, round"))
+def t03_saves(spark, folder):
+    path = f"{folder}/events.parquet"
+    events = S.stream_of(spark, path, spark.read.parquet(path)).select(F.col("event_id").alias("log_id"), "user_id", "ts", F.when(F.col("event_type") == "purchase", "saved").otherwise(F.col("event_type")).alias("event_type"))
+    return S.run_once(S.live_active_seconds(events, 900.0), "update").where("saved_minutes is not null").select("user_id", F.round("seconds", 3).alias("seconds"))
+
+
+def record_files(spark, folder, where="true", path=None):
+    """A folder with a JSON document in a file of its own for each supplier."""
+    path = path or files.shared_path(spark, "lake")
+    rows = spark.read.parquet(f"{folder}/supplier.parquet").where(where)
+    record = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("provider"), F.struct(F.col("s_nationkey").cast("long").alias("promptTokens")).alias("usage"), F.col("s_acctbal").alias("cost"))
+    rows.select(F.col("s_suppkey").alias("record"), F.to_json(record).alias("value")).repartition(8, "record").write.mode("append").partitionBy("record").text(path)
+    return path
+
+
+@query("s06_k20_json_lake", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS provider, CAST(s_nationkey AS BIGINT) AS prompt, round(s_acctbal, 2) AS cost FROM supplier")
 def s06(spark, folder):
-    rows = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderkey < 2000")
-    records = rows.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("provider"), F.struct(F.col("o_custkey").alias("promptTokens")).alias("usage"), F.col("o_totalprice").alias("cost"))
-    path = files.shared_path(spark, "lake")
-    # a file for each record would be one array of records here: several, each read as a whole
-    packed = records.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8))).groupBy("part").agg(F.to_json(F.collect_list(F.struct("id", "provider", "usage", "cost"))).alias("value"))
-    packed.repartition(8, "part").write.partitionBy("part").text(path)
-    return files.json_lake(spark, path).select("id", "provider", F.col("usage.promptTokens").alias("prompt"), F.round("cost", 2).alias("cost"))
+    rows = files.json_lake(spark, record_files(spark, folder))
+    return rows.select("id", "provider", F.col("usage.promptTokens").alias("prompt"), F.round("cost", 2).alias("cost"))
 
 
-@query("s08_a19_folder_sizes", "SELECT 'k=' || (o_orderkey % 4) AS folder, 1 AS files FROM orders GROUP BY 1")
-def s08(spark, folder):
-    path = files.shared_path(spark, "listing")
-    rows = spark.read.parquet(f"{folder}/orders.parquet").select((F.col("o_orderkey") % 4).alias("k"), F.col("o_orderkey").cast("string").alias("value"))
-    rows.repartition(4, "k").write.partitionBy("k").text(path)
-    return files.listing(spark, path).where("folder like 'k=%'").select("folder", F.when(F.col("files") > 0, 1).alias("files"))
+@query("s07_one_record", "SELECT CAST(s_suppkey AS VARCHAR) AS id, round(s_acctbal, 2) AS cost FROM supplier WHERE s_suppkey = 7")
+def s07(spark, folder):
+    return files.one_record(spark, record_files(spark, folder), "7").select("id", F.round("cost", 2).alias("cost"))
+
+
+@query("o11_newest_records", "SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_suppkey % 3 = 0")
+def o11(spark, folder):
+    path = record_files(spark, folder, "s_suppkey % 3 <> 0")
+    record_files(spark, folder, "s_suppkey % 3 = 0", path)
+    newest = spark.read.parquet(f"{folder}/supplier.parquet").where("s_suppkey % 3 = 0").count()
+    return files.json_lake(spark, path, most=newest).select("id")
 
 
-@query("s14_speech_marks", "SELECT 'word-' || event_id AS value, round(event_id * 250 / 1000, 3) AS seconds FROM events WHERE event_id < 500 AND event_id % 3 = 0")
+@query("s08_a19_folder_sizes", "SELECT 'k=' || (o_orderkey % 4) AS folder, CAST(count(DISTINCT o_orderkey % 3) AS BIGINT) AS files, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1")
+def s08(spark, folder):
+    path = files.shared_path(spark, "listing")
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{folder}/orders.parquet").select((k % 4).alias("k"), (k % 3).alias("j"), k.cast("string").alias("value"))
+    rows.repartition(4, "k", "j").write.partitionBy("k", "j").text(path)
+    return files.listing(spark, path).where("folder like 'k=%'")
+
+
+@query("s09_objects", "SELECT 's=' || s_suppkey AS object, s_name || chr(10) AS text, CAST(length(s_name) + 1 AS BIGINT) AS bytes FROM supplier")
+def s09(spark, folder):
+    path = files.shared_path(spark, "objects")
+    rows = spark.read.parquet(f"{folder}/supplier.parquet").select(F.col("s_suppkey").alias("s"), F.col("s_name").alias("value"))
+    rows.repartition(8, "s").write.partitionBy("s").text(path)
+    return files.objects(spark, path + "/*/*.txt").select(F.regexp_extract("path", r"/(s=\d+)/", 1).alias("object"), "text", F.col("length").alias("bytes"))
+
+
+@query("s10_book_settings", "SELECT p_partkey AS book_id, CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 2 = 0 THEN p_name ELSE 'no title' END AS title, 'no author' AS author, CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 3 = 0 THEN 1 ELSE 0 END AS names FROM part")
+def s10(spark, folder):
+    k = F.col("p_partkey")
+    given = F.struct(F.when(k % 2 == 0, F.struct(F.col("p_name").alias("title"))).alias("metadata"), F.when(k % 3 == 0, F.array(F.lit("One"))).alias("chapterNames"))
+    text = F.when(k % 5 == 4, "{broken").otherwise(F.to_json(given))
+    c = files.settings_of_books(text, {"metadata": {"title": "no title", "author": "no author"}, "chapterNames": []})
+    return spark.read.parquet(f"{folder}/part.parquet").select(k.alias("book_id"), c.alias("c")).select("book_id", "c.metadata.title", "c.metadata.author", F.size("c.chapterNames").alias("names"))
+
+
+@query("s16_image_files", "SELECT CAST(s_suppkey % 3 AS VARCHAR) AS folder, count(DISTINCT s_nationkey) AS images FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1")
+def s16(spark, folder):
+    path = files.shared_path(spark, "images")
+    rows = spark.read.parquet(f"{folder}/supplier.parquet").select((F.col("s_suppkey") % 3).alias("k"), F.col("s_nationkey").alias("n"), "s_suppkey", F.col("s_name").alias("value"))
+    # Spark names files after their format: JSON stands for the kinds of images, text for what is none
+    rows.where("s_suppkey % 2 = 0").drop("s_suppkey").repartition(4, "k", "n").write.partitionBy("k", "n").json(path)
+    rows.where("s_suppkey % 2 = 1").drop("s_suppkey").repartition(4, "k", "n").write.mode("append").partitionBy("k", "n").text(path)
+    found = files.images(spark, path, ("json", "png"))
+    return found.groupBy(F.regexp_extract("path", r"/k=(\d+)/", 1).alias("folder")).agg(F.count("*").alias("images"))
+
+
+@query("k23_e01_cached_results", "SELECT count(*) AS n, 'fresh' AS early, 'stale' AS late, 'expired' AS later, true AS gone FROM part")
+def k23(spark, folder):
+    cache = files.ResultCache(spark, seconds=100)
+    cache.put("parts", spark.read.parquet(f"{folder}/part.parquet").select("p_partkey"), 1000)
+    again = files.ResultCache(spark, cache.folder, 100)  # another user of the same folder
+    states = [again.state("parts", 1000 + t) for t in (5, 50, 200)]
+    out = again.get("parts", 1050).agg(F.count("*").alias("n")).select("n", *[F.lit(s).alias(c) for s, c in zip(states, ("early", "late", "later"), strict=True)], F.lit(again.get("parts", 1101) is None and again.get("other", 1000) is None).alias("gone"))
+    return out
+
+
+@query("s14_speech_marks", "SELECT 'word-' || event_id AS value, round(event_id * 250 / 1000, 3) AS seconds FROM events WHERE event_id % 3 = 0")
 def s14(spark, folder):
-    e = spark.read.parquet(f"{folder}/events.parquet").where("event_id < 500")
+    e = spark.read.parquet(f"{folder}/events.parquet")
     kind = F.when(F.col("event_id") % 3 == 0, "ssml").otherwise("word")
     lines = e.select(F.when(F.col("event_id") % 7 == 5, "{broken").otherwise(F.to_json(F.struct((F.col("event_id") * 250).alias("time"), kind.alias("type"), F.concat(F.lit("word-"), F.col("event_id").cast("string")).alias("value")))).alias("value"))
     path = files.shared_path(spark, "marks")
@@ -78,11 +141,11 @@ def s15(spark, folder):
     return words.groupBy("key").agg(F.max(F.when(F.col("word") == 0, F.col("text"))).alias("first"), F.max(F.when(F.col("word") == 1, F.col("text"))).alias("second"), F.max(F.when(F.col("word") == 1, F.col("seconds"))).cast("long").alias("second_at"))
 
 
-@query("s13_whole_texts", "SELECT count(*) AS files, CAST(sum(length(p_name) + 1) AS BIGINT) AS chars FROM part WHERE p_partkey < 40")
+@query("s13_whole_texts", "SELECT CAST(s_suppkey AS VARCHAR) AS file, s_name || chr(10) AS text FROM supplier")
 def s13(spark, folder):
     path = files.shared_path(spark, "texts")
-    spark.read.parquet(f"{folder}/part.parquet").where("p_partkey < 40").select("p_partkey", "p_name").repartition(40, "p_partkey").write.partitionBy("p_partkey").text(path)
-    return files.whole_texts(spark, path).agg(F.count("*").alias("files"), F.sum(F.char_length("text")).alias("chars"))
+    spark.read.parquet(f"{folder}/supplier.parquet").select("s_suppkey", F.col("s_name").alias("value")).repartition(8, "s_suppkey").write.partitionBy("s_suppkey").text(path)
+    return files.whole_texts(spark, path).select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).alias("file"), "text")
 
 
 @query("k01_k03_appended_tables", cte("tts_usage") + "SELECT provider, count(*) AS n FROM tts_usage GROUP BY 1")
@@ -94,9 +157,9 @@ def k01(spark, folder):
     return spark.read.parquet(path).groupBy("provider").agg(F.count("*").alias("n"))
 
 
-@query("k19_s17_parsed_books", "SELECT l_partkey AS book_id, count(DISTINCT l_linenumber) AS chapters, '' AS faults FROM lineitem WHERE l_partkey < 30 GROUP BY 1")
+@query("k19_s17_parsed_books", "SELECT l_partkey AS book_id, count(DISTINCT l_linenumber) AS chapters, '' AS faults FROM lineitem GROUP BY 1")
 def k19(spark, folder):
-    rows = frame(spark, folder, "chunk_rows").where("book_id < 30")
+    rows = frame(spark, folder, "chunk_rows")
     chunk = F.struct(F.col("line").cast("int").alias("index"), F.lit("words").alias("text"), F.col("word_count").alias("wordCount"), F.lit("text").alias("type"))
     chapters = rows.groupBy("book_id", "chapter_number").agg(F.sum("word_count").cast("int").alias("wordCount"), F.array_sort(F.collect_list(chunk)).alias("chunks"))
     chapter = F.struct(F.col("chapter_number").alias("chapterNumber"), F.concat(F.lit("Chapter "), F.col("chapter_number").cast("string")).alias("title"), "wordCount", F.struct("chunks").alias("content"))

@@ -160,17 +160,11 @@ def f45(spark, folder):
     return c.withColumn("before", before).where("role = 'user'").select("conv_id", "turn", T.prompt(F.lit(""), F.lit(""), F.col("before"), F.col("text")).alias("prompt"))
 
 
-@query("p14_p15_content_lines", "WITH " + LINES + " SELECT doc_id, count(*) AS n FROM lines WHERE length(text) > 50 GROUP BY doc_id")
+@query("p15_content_lines", "WITH " + LINES + " SELECT doc_id, count(*) AS n FROM lines WHERE length(text) > 50 GROUP BY doc_id")
 def p15(spark, folder):
     return lines(spark, folder).where(F.char_length("text") > 50).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("p17_content_lines", "WITH " + LINES + " SELECT doc_id, line FROM lines WHERE length(trim(text)) > 10 AND NOT regexp_full_match(trim(text), '\\d+')")
-def p17(spark, folder):
-    t = F.trim("text")
-    return lines(spark, folder).where((F.char_length(t) > 10) & ~t.rlike(r"^\d+\z")).select("doc_id", "line")
-
-
 @query("p20_chunk_violations", cte("chunk_rows") + "SELECT count(*) FILTER (type NOT IN ('text', 'image', 'header')) AS bad_type, count(*) FILTER (word_count <= 0) AS no_words FROM chunk_rows")
 def p20(spark, folder):
     return frame(spark, folder, "chunk_rows").agg(F.count_if(~F.col("type").isin("text", "image", "header")).alias("bad_type"), F.count_if(F.col("word_count") <= 0).alias("no_words"))
@@ -209,12 +203,6 @@ def w19(spark, folder):
     return s.groupBy("doc_id", "section").agg(F.min("line").alias("first_line"), F.count("*").alias("lines"))
 
 
-@query("x05_j12_title_matches", "WITH " + LINES + ", t AS (SELECT item_id, substr(text, 1, 24) AS title FROM benchmark WHERE item_id < 20), n AS (SELECT item_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS b FROM t), a AS (SELECT doc_id, line, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '(?i)\\s+(?:ix|xi{1,3}|[0-9]+)\\s*$', '')) AS a FROM lines) SELECT doc_id, line, item_id FROM a JOIN n ON starts_with(a, b) OR (length(b) > 10 AND (contains(a, b) OR (length(b) > 9 AND starts_with(a, substr(b, 2))) OR (length(b) > 10 AND starts_with(a, substr(b, 3))) OR (length(b) > 11 AND starts_with(a, substr(b, 4)))))")
-def x05(spark, folder):
-    titles = spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id < 20").select("item_id", F.substring("text", 1, 24).alias("title"))
-    return lines(spark, folder).join(F.broadcast(titles), T.title_match(F.col("text"), F.col("title"))).select("doc_id", "line", "item_id")
-
-
 @query("x06_abbreviated_ends", "WITH " + LINES + f" SELECT doc_id, line FROM lines WHERE {' OR '.join(f'ends_with(lower(trim(text)), {chr(39)}{a.lower()}{chr(39)})' for a in ABBREVIATIONS)}")
 def x06(spark, folder):
     return lines(spark, folder).where(T.ends_abbreviated(F.col("text"))).select("doc_id", "line")
@@ -232,12 +220,6 @@ def x11(spark, folder):
     return rows.select("raw", T.chapter_of_title(F.col("raw")).alias("c")).select("raw", "c.number", "c.label", "c.title")
 
 
-@query("x12_contents_lines", "SELECT * FROM (VALUES ('1. The Search 25', 1, 'The Search', '25'), ('A Title ..... 7', NULL, 'A Title', '7'), ('Preface    ix', NULL, 'Preface', 'ix'), ('Chapter 3: Deep Air 101', 3, 'Deep Air', '101')) t(raw, number, title, page)")
-def x12(spark, folder):
-    rows = spark.createDataFrame([(t,) for t in ("1. The Search 25", "A Title ..... 7", "Preface    ix", "Chapter 3: Deep Air 101")], "raw string")
-    return rows.select("raw", T.toc_entry(F.col("raw")).alias("c")).select("raw", "c.number", "c.title", "c.page")
-
-
 @query("x16_index_pages", cte("images") + "SELECT image_id, array_to_string(list_sort(list_distinct(list_concat(range(150 + image_id % 40, 152 + image_id % 40), [CAST(7 AS BIGINT)]))), ',') AS pages FROM images")
 def x16(spark, folder):
     n = (F.lit(150) + F.col("image_id") % 40).cast("string")
@@ -245,14 +227,38 @@ def x16(spark, folder):
     return frame(spark, folder, "images").select("image_id", F.array_join(T.index_pages(entry), ",").alias("pages"))
 
 
+def marked(spark, folder):
+    """Documents with marks around their headings, lines joined."""
+    w = Window.partitionBy("doc_id").orderBy("line")
+    around = lines(spark, folder).withColumn("previous", F.lag("text").over(w)).withColumn("following", F.lead("text").over(w))
+    kept = around.where(F.trim("text") != "").withColumn("text", T.marked_heading(F.col("text"), F.col("following"), F.col("previous")))
+    rows = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), " ").alias("text"))
+
+
+@query("x03_marked_texts", "WITH " + LINES + ", " + HEAD + f" SELECT doc_id, md5(string_agg(CASE WHEN heading THEN '{T.HEADING_OPENS}' || t || '{T.HEADING_CLOSES}' ELSE t END, ' ' ORDER BY line)) AS text FROM (SELECT d.*, t FROM d JOIN h USING (doc_id, line)) WHERE t <> '' GROUP BY doc_id")
+def x03(spark, folder):
+    return marked(spark, folder).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 @query("x02_chunks")
 def x02(spark, folder):
-    return chunker.chunk_table(docs(spark, folder), "doc_id", "text")
+    return chunker.chunk_table(marked(spark, folder), "doc_id", "text")
+
+
+@query("x02_headers", "WITH " + LINES + ", " + HEAD + " SELECT doc_id, count(*) AS headers, CAST(sum(len(ws)) AS BIGINT) AS words FROM (SELECT d.*, ws FROM d JOIN h USING (doc_id, line)) WHERE heading GROUP BY doc_id")
+def x02_headers(spark, folder):
+    return x02(spark, folder).where("type = 'header'").groupBy("doc_id").agg(F.count("*").alias("headers"), F.sum("word_count").alias("words"))
 
 
 @query("x21_plain_chunks")
 def x21(spark, folder):
-    return chunker.chunk_table(docs(spark, folder), "doc_id", "text", merge=False)
+    return chunker.chunk_table(docs(spark, folder), "doc_id", "text", plain=True)
+
+
+@query("x21_plain_totals", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 0")
+def x21_totals(spark, folder):
+    return x21(spark, folder).groupBy("doc_id").agg(F.sum("word_count").alias("words"))
 
 
 @query("x02_chunk_totals", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 0")

@@ -206,9 +206,11 @@ def f29(spark, folder):
     return flat.select("provider", "voice_type", F.round(F.col("n").cast("double") * U.character_price(F.col("provider"), F.col("voice_type")), 4).alias("cost"))
 
 
-@query("f31_estimated_tokens", cte("ai_usage") + "SELECT usage_id, prompt_tokens, CAST(ceil(prompt_tokens / 2) AS BIGINT) AS expected FROM ai_usage")
+@query("f31_estimated_costs", cte("ai_usage") + f", p AS (SELECT * FROM {values(PRICES, 'model_id, i, o, ih, oh')}), e AS (SELECT *, CAST(CASE WHEN usage_id % 5 < 2 THEN ceil(prompt_tokens / 2) ELSE completion_tokens END AS BIGINT) AS expected FROM ai_usage) SELECT usage_id, expected, round(prompt_tokens / 1000 * CASE WHEN prompt_tokens <= 128000 THEN i ELSE ih END + expected / 1000 * CASE WHEN expected <= 128000 THEN o ELSE oh END + 0.0000000001, 6) AS cost FROM e JOIN p USING (model_id)")
 def f31(spark, folder):
-    return frame(spark, folder, "ai_usage").select("usage_id", "prompt_tokens", F.ceil(F.col("prompt_tokens") / 2).alias("expected"))
+    expected = F.when(F.col("usage_id") % 5 == 0, 0).when(F.col("usage_id") % 5 != 1, F.col("completion_tokens"))
+    done = U.estimated_cost(frame(spark, folder, "ai_usage").withColumn("expected_tokens", expected).drop("completion_tokens"))
+    return done.select("usage_id", F.col("completion_tokens").alias("expected"), F.round(F.col("cost") + 1e-10, 6).alias("cost"))
 
 
 @query("f32_token_counts", "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS by_four, CAST(ceil(length(text) / 3.5) AS BIGINT) AS by_three_and_half FROM documents")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
@@ -16,24 +17,44 @@ CHUNK_KINDS = ("text", "image", "header")
 BOOK_SCHEMA = "book struct<title string, author string, totalWords bigint>, chapters array<struct<chapterNumber int, title string, wordCount int, content struct<chunks array<struct<index int, text string, wordCount int, type string, imageName string>>>>>"
 
 
+#: What a file of an image ends with.
+IMAGE_KINDS = ("jpg", "jpeg", "png", "gif", "webp")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors see."""
+    """A new path in the folder that the driver and all executors see, the setting ``spark.checkpoint.dir``.
+
+    Without the setting a temporary folder is made and set, but only where driver and executors are one process.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/folio-files/{name}-{uuid.uuid4().hex}"
 
 
-def json_lake(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, most: int = 10_000) -> DataFrame:
-    """Records of a folder with a JSON document in each file, the newest files first; what can't be read is left out."""
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, which knows all kinds of folders."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
+    """All records of a folder with a JSON document in each file, with ``_modified`` and ``_file``; what can't be read is left out."""
     rows = spark.read.schema(schema + ", _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    rows = rows.select("*", F.col("_metadata.file_modification_time").alias("_modified"), F.col("_metadata.file_name").alias("_file"))
-    return rows.where("_broken is null").orderBy(F.desc("_modified"), "_file").limit(most).drop("_broken", "_modified", "_file")
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("_modified"), F.col("_metadata.file_name").alias("_file")).where("_broken is null").drop("_broken")
+
+
+def json_lake(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, most: int = 10_000) -> DataFrame:
+    """The records of the newest files, at most so many."""
+    return records(spark, path, schema).orderBy(F.desc("_modified"), "_file").limit(most).drop("_modified", "_file")
 
 
 def one_record(spark: SparkSession, path: str, record: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    return json_lake(spark, path, schema).where(F.col("id") == record)
+    """The record of this id, of the newest file that has it; however many files are newer."""
+    return records(spark, path, schema).where(F.col("id") == record).orderBy(F.desc("_modified"), "_file").limit(1).drop("_modified", "_file")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +65,15 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files of a folder and those below."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png,gif,webp}").load(path).select("path", "length", "modificationTime")
+def images(spark: SparkSession, path: str, kinds: tuple[str, ...] = IMAGE_KINDS) -> DataFrame:
+    """Files of these kinds of a folder and those below; contents are not read."""
+    pattern = "*.{" + ",".join(kinds) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
+
+
+def objects(spark: SparkSession, path: str) -> DataFrame:
+    """Objects by path (one, or a pattern of many) with their bytes and, as UTF-8, their text."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content", F.decode("content", "UTF-8").alias("text"))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -75,6 +102,15 @@ def book_config(path: str, defaults: dict) -> dict:
     return defaults | found | {"metadata": defaults.get("metadata", {}) | found.get("metadata", {})}
 
 
+def settings_of_books(text: Column, defaults: dict) -> Column:
+    """The same from a column of JSON texts: title and author of ``metadata``, and the lists of names and patterns."""
+    lists = [k for k in ("chapterNames", "chapterPatterns", "excludePatterns") if k in defaults]
+    found = F.from_json(text, "metadata struct<title string, author string>, " + ", ".join(f"{k} array<string>" for k in lists))
+    metadata = F.struct(*[F.coalesce(found["metadata"][k], F.lit(defaults.get("metadata", {}).get(k))).alias(k) for k in ("title", "author")])
+    default_list = lambda k: F.array(*[F.lit(x) for x in defaults[k]]).cast("array<string>")
+    return F.struct(metadata.alias("metadata"), *[F.coalesce(found[k], default_list(k)).alias(k) for k in lists])
+
+
 def parsed_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOOK_SCHEMA).option("multiLine", True).json(path)
 
@@ -107,32 +143,53 @@ def json_documents(df: DataFrame, path: str) -> None:
 
 
 class ResultCache:
-    """Results by key with a time to live, as tables in a folder: get, put, delete, clear, status."""
+    """Results by key with a time to live, as tables in a folder: put, get, delete, clear, keys, state.
+
+    The folder itself is the index: a folder for each key, in it one for the time of its entry. So a cache outlives its session.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, seconds: float = 3600):
         self.spark, self.folder, self.seconds = spark, folder or shared_path(spark, "cache"), seconds
-        self.entries: dict[str, tuple[str, float]] = {}
+
+    def _of(self, key: str) -> str:
+        return f"{self.folder}/{hashlib.md5(key.encode()).hexdigest()}"
+
+    def _below(self, path: str) -> list[str]:
+        fs, p = hadoop_path(self.spark, path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _drop(self, path: str) -> bool:
+        fs, p = hadoop_path(self.spark, path)
+        return bool(fs.delete(p, True))
+
+    def _made(self, key: str) -> str | None:
+        made = self._below(self._of(key))
+        return made[-1] if made else None
 
     def put(self, key: str, df: DataFrame, now: float) -> DataFrame:
-        path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.entries[key] = (path, now)
+        before = self._below(self._of(key))
+        path = f"{self._of(key)}/{round(now * 1000):020d}"
+        df.write.mode("overwrite").parquet(path)
+        for old in before:
+            if not path.endswith(old):
+                self._drop(f"{self._of(key)}/{old}")
         return self.spark.read.parquet(path)
 
     def get(self, key: str, now: float) -> DataFrame | None:
-        path, made = self.entries.get(key, (None, 0.0))
-        return self.spark.read.parquet(path) if path and now <= made + self.seconds else None
+        made = self._made(key)
+        return self.spark.read.parquet(f"{self._of(key)}/{made}") if made is not None and now <= int(made) / 1000 + self.seconds else None
 
     def state(self, key: str, now: float, fresh: float = 10) -> str:
-        if key not in self.entries:
+        made = self._made(key)
+        if made is None:
             return "missing"
-        age = now - self.entries[key][1]
+        age = now - int(made) / 1000
         return "fresh" if age < fresh else "stale" if age <= self.seconds else "expired"
 
     def delete(self, key: str) -> bool:
-        return self.entries.pop(key, None) is not None
+        return self._drop(self._of(key))
 
     def clear(self) -> int:
-        n = len(self.entries)
-        self.entries.clear()
-        return n
+        there = self._below(self.folder)
+        self._drop(self.folder)
+        return len(there)

@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folio.sources.files import shared_path
+from folio.sources.files import hadoop_path, shared_path
 
 
-def stream_of(spark: SparkSession, path: str, like: DataFrame, files_at_once: int = 1) -> DataFrame:
-    """A stream of a Parquet table's files. ``like`` has the schema."""
+#: Idle state goes after so long, by the time of the events.
+KEEP = "60 days"
+
+
+def stream_of(spark: SparkSession, path: str, like: DataFrame, files_at_once: int = 100_000) -> DataFrame:
+    """A stream of a Parquet table's files. ``like`` has the schema.
+
+    The files of a table that is there already need not be in order of time, so they come in one batch, unless told otherwise.
+    """
     found = path[:-1] + f"[{path[-1]}]"  # a pattern, so a single file will do as well as a folder
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_at_once).parquet(found)
 
@@ -32,45 +39,81 @@ def live_days(logs: DataFrame, late: str = "1 day") -> DataFrame:
     return timed.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("logs")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "logs")
 
 
-def live_changes(logs: DataFrame) -> DataFrame:
-    """Logs whose chunk differs from the last one that the stream has seen of the same user, book and chapter."""
+def _kept_until(state: GroupState, last: float, days: float) -> None:
+    """Let idle state go so long after its last event (seconds), but not before what has passed already."""
+    until = int((last + days * 86400) * 1000)
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+
+def live_changes(logs: DataFrame, late: str = KEEP, keep_days: float = 60) -> DataFrame:
+    """Logs whose chunk differs from the last one that the stream has seen of the same user, book and chapter, if that was not too long ago."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["ts", "log_id"])
         before = rows["chunk_index"].shift(1)
         before.iloc[0] = -1 if last is None else last
         state.update((int(rows["chunk_index"].iloc[-1]),))
+        _kept_until(state, rows["ts"].max().timestamp(), keep_days)
         yield rows[rows["chunk_index"] != before][["log_id", "user_id", "chunk_index"]]
 
-    keyed = logs.select("log_id", "user_id", "book_id", "chapter_number", "chunk_index", "ts")
-    return keyed.groupBy("user_id", "book_id", "chapter_number").applyInPandasWithState(step, "log_id long, user_id long, chunk_index int", "last int", "append", GroupStateTimeout.NoTimeout)
+    keyed = logs.select("log_id", "user_id", "book_id", "chapter_number", "chunk_index", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return keyed.groupBy("user_id", "book_id", "chapter_number").applyInPandasWithState(step, "log_id long, user_id long, chunk_index int", "last int", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def live_active_seconds(logs: DataFrame, most: float = 10.0, late: str = KEEP, keep_days: float = 60) -> DataFrame:
+    """Active time of each user, over all batches: each gap of less than so many seconds between logs counts.
 
-def live_active_seconds(logs: DataFrame, most: float = 10.0) -> DataFrame:
-    """Running active time of each user: gaps of less than so many seconds between logs, over all batches."""
+    A log of the type ``saved``, where ``logs`` have one, ends a count: its minutes, rounded, are given out and the count begins anew.
+    Rows are (user_id, seconds, saved_minutes), the last of them a user's running count.
+    """
+    has_type = "event_type" in logs.columns
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, total = state.get if state.exists else (None, 0.0)
-        for t in sorted(pd.concat(list(frames))["second"]):
+        rows, out = pd.concat(list(frames)).sort_values(["ts", "log_id"]), []
+        for t, saved in zip(rows["ts"].map(lambda x: x.timestamp()), rows["saved"], strict=True):
             if last is not None and 0 <= t - last < most:
                 total += t - last
             last = t
+            if saved:
+                out.append((key[0], total, int(total / 60 + 0.5)))
+                total = 0.0
         state.update((last, total))
-        yield pd.DataFrame({"user_id": [key[0]], "seconds": [total]})
+        _kept_until(state, last, keep_days)
+        yield pd.DataFrame([*out, (key[0], total, None)], columns=["user_id", "seconds", "saved_minutes"]).astype({"saved_minutes": "Int64"})
+
+    saved = F.col("event_type") == "saved" if has_type else F.lit(False)
+    timed = logs.select("user_id", "log_id", F.col("ts").cast("timestamp").alias("ts"), saved.alias("saved")).withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, seconds double, saved_minutes long", "last double, total double", "update", GroupStateTimeout.EventTimeTimeout)
 
-    timed = logs.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("second"))
-    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, seconds double", "last double, total double", "update", GroupStateTimeout.NoTimeout)
 
+def run_once(stream: DataFrame, mode: str, seconds: int | None = None) -> DataFrame:
+    """Run over all that is there, write to a table in the shared folder and read it, with the batch of each row.
 
-def run_once(stream: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
-    """Run over all that is there, write to a table in the shared folder and read it."""
+    A batch that comes again takes its own place. With ``seconds`` a stream that needs longer is stopped and is an error.
+    """
     spark = stream.sparkSession
     path = shared_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination(seconds)
-    return spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(path)
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream had not ended after {seconds} seconds")
+    fs, folder = hadoop_path(spark, path)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+    out = spark.createDataFrame([], StructType([*stream.schema.fields, StructField("_batch", IntegerType(), False)]))
+    for name in names:
+        out = out.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/{name}").withColumn("_batch", F.lit(int(name.split("-")[1]))))
+    return out

@@ -107,7 +107,7 @@ def words_in(text, **k):
 
 def test_chunks():
     text = "One two three. Four five six seven. Eight."
-    assert words_in(text, merge=False) == [7, 1]
+    assert words_in(text, plain=True) == [7, 1]
     assert words_in(text) == [8]
     assert words_in(" ".join(["word"] * 40)) == [40]
     assert words_in("") == [] and words_in(None) == []
@@ -143,8 +143,8 @@ def test_word_at_time(spark):
 
 
 def test_images_by_place(spark):
-    slots = spark.createDataFrame([(1, 1), (4, 2)], "page long, images long")
-    names = spark.createDataFrame([(f"{i}",) for i in range(3)], "file_name string")
+    slots = spark.createDataFrame([(1, 1, 1), (1, 4, 2)], "doc_id long, page long, images long")
+    names = spark.createDataFrame([(1, f"{i}") for i in range(3)], "doc_id long, file_name string")
     got = layout.images_by_place(slots, names).select(T.image_name(F.col("page"), F.col("nth")).alias("n")).collect()
     assert sorted(r[0] for r in got) == ["page-001-image-1.jpg", "page-004-image-1.jpg", "page-004-image-2.jpg"]
 
