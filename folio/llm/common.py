@@ -78,14 +78,18 @@ HOT_KEYS = 1000
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """The rows with the columns of ``facts``, which has one row for each key and how many of all ``total`` rows have it.
 
-    Hot keys' facts, at most ``HOT_KEYS``, are broadcast, so their rows stay where they are; the others are joined sorted.
+    Hot keys' facts, at most ``HOT_KEYS`` of them, are broadcast, so their rows stay where they are; the others' are joined sorted.
     """
-    facts = facts.withColumnRenamed(key, "_fact_key").where("_fact_key is not null")
-    is_hot = F.col(n) > max(1, total // HOT_KEYS)
-    hot, usual = facts.where(is_hot), facts.where(~is_hot)
-    many = rows.join(F.broadcast(hot), F.col(key) == F.col("_fact_key")).drop("_fact_key")
-    few = rows.join(F.broadcast(hot.select("_fact_key")), F.col(key) == F.col("_fact_key"), "left_anti")
-    return many.unionByName(few.join(usual.hint("merge"), F.col(key) == F.col("_fact_key")).drop("_fact_key"))
+    spark = rows.sparkSession
+    facts = written(facts.withColumnRenamed(key, "_fact_key").where("_fact_key is not null"), "facts")
+    same = F.col(key) == F.col("_fact_key")
+    hot = facts.where(F.col(n) > max(1, total // HOT_KEYS)).collect()
+    if not hot:
+        return rows.join(facts.hint("merge"), same).drop("_fact_key")
+    keys = [r["_fact_key"] for r in hot]
+    many = rows.join(F.broadcast(spark.createDataFrame(hot, facts.schema)), same)
+    few = rows.where(~F.col(key).isin(keys)).join(facts.where(~F.col("_fact_key").isin(keys)).hint("merge"), same)
+    return many.unionByName(few).drop("_fact_key")
 
 
 def ship(spark: SparkSession) -> None:

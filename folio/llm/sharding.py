@@ -32,6 +32,8 @@ SEED = 20_011
 BUCKET_BYTES = 64 << 20
 #: Bytes that a row needs besides its text.
 RECORD_BYTES = 16
+#: Buckets whose first slots may be broadcast.
+MOST_BROADCAST = 100_000
 MADE = ("shard", "grown_shard", "bucket", "place", "slot")
 
 
@@ -78,18 +80,26 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of all shards with their slot; slots are gapless from 0 in each shard."""
-    rows = spark.read.schema(schema).parquet(path)
+    """The written rows with their shard, bucket and place."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def with_slots(rows: DataFrame) -> DataFrame:
+    """Rows of ``read_shards`` with their slot; slots are gapless from 0 in each shard.
+
+    The first slots of buckets are broadcast while there are few buckets, so rows stay where they are; else they are joined sorted.
+    """
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = counts.select(F.col("shard").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    return rows.join(first, (rows["shard"] == first["_s"]) & (rows["bucket"] == first["_b"])).withColumn("slot", F.col("_first") + F.col("place")).drop("_s", "_b", "_first", "bucket", "place")
+    first = first.hint("broadcast" if first.count() <= MOST_BROADCAST else "merge")
+    return rows.join(first, (F.col("shard") == F.col("_s")) & (F.col("bucket") == F.col("_b"))).withColumn("slot", F.col("_first") + F.col("place")).drop("_s", "_b", "_first", "bucket", "place")
 
 
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{common.shared_folder(spark)}/folio/shards-{uuid.uuid4().hex}"
     common._written.append((spark, path))
     schema = write_shards(table(spark, folder, "documents").select("doc_id", "text"), path)
-    rows = read_shards(spark, path, schema)
     crc = F.crc32(text_or_empty().cast("binary"))
-    return rows.select("doc_id", size_of().alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = read_shards(spark, path, schema).select("doc_id", size_of().alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "grown_shard", "bucket", "place")
+    return with_slots(rows)

@@ -257,7 +257,7 @@ def test_written_shards(spark, tmp_path, request, which):
     folder = request.getfixturevalue(which)
     docs = spark.read.parquet(f"{folder}/documents.parquet").drop("bucket", "shard")
     schema = sharding.write_shards(docs, f"{tmp_path}/a", 4, bucket_bytes=50_000)
-    rows = sharding.read_shards(spark, f"{tmp_path}/a", schema)
+    rows = sharding.with_slots(sharding.read_shards(spark, f"{tmp_path}/a", schema))
     assert rows.select(docs.columns).exceptAll(docs).isEmpty() and rows.count() == docs.count()
     got = rows.select("doc_id", "shard", "slot", F.xxhash64("text").alias("h")).toPandas()
     for _, s in got.groupby("shard"):
@@ -270,7 +270,7 @@ def test_written_shards(spark, tmp_path, request, which):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
         schema = sharding.write_shards(docs.repartition(5), f"{tmp_path}/b", 4, bucket_bytes=50_000)
-        again = sharding.read_shards(spark, f"{tmp_path}/b", schema).select("doc_id", "shard", "slot", F.xxhash64("text").alias("h")).toPandas()
+        again = sharding.with_slots(sharding.read_shards(spark, f"{tmp_path}/b", schema)).select("doc_id", "shard", "slot", F.xxhash64("text").alias("h")).toPandas()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
@@ -289,7 +289,7 @@ def test_slots_are_those_of_plain_sorting(spark, tmp_path):
         w = [r[f"w{k}"] for k in range(4)]
         rows.setdefault(w[:3].index(max(w[:3])), []).append((r["h1"] % buckets, r["h2"], r["text"], w.index(max(w))))
     want = {text: (shard, slot, grown) for shard, some in rows.items() for slot, (_, _, text, grown) in enumerate(sorted(some))}
-    got = {r["text"]: (r["shard"], r["slot"], r["grown_shard"]) for r in sharding.read_shards(spark, f"{tmp_path}/s", schema).collect()}
+    got = {r["text"]: (r["shard"], r["slot"], r["grown_shard"]) for r in sharding.with_slots(sharding.read_shards(spark, f"{tmp_path}/s", schema)).collect()}
     assert got == want and len({r["h1"] % buckets for r in hashed if r["doc_id"] is None}) == buckets
 
 
