@@ -26,10 +26,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing, which is so on one machine only, a temporary folder is set and used.
+    Where the setting is missing a temporary folder is set and used, but only where driver and executors are one process.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,8 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folio/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    df.write.option("compression", "zstd").parquet(noted(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,9 +53,19 @@ def mark() -> int:
 def release(since: int = 0) -> None:
     """Delete the tables written after ``since``; call it once what was made from them is stored."""
     while len(_written) > since:
-        spark, path = _written.pop()
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        drop(*_written.pop())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def noted(spark: SparkSession, path: str) -> str:
+    """A folder that ``release`` is to delete as well."""
+    _written.append((spark, path))
+    return path
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -7,7 +7,7 @@ an empty fingerprint.
 
 Defined cases: a null text is empty; with fewer words than a shingle has, the whole sequence is the one shingle; two
 documents without words are alike (1), one of them and one with words are not (0); a null ``doc_id`` is the least;
-repeated rows have fingerprints of their own and follow each other, those of one id in the order of their texts; a
+repeated rows have fingerprints of their own and follow each other, those of one id in descending order of their texts' hashes; a
 single row is its own next; an empty table gives no rows.
 """
 
@@ -21,8 +21,10 @@ from folio.llm.common import SPACE_RUN, quantile, table, text_or_empty
 WORDS = 5
 #: Hashes have 42 bits; those below are kept: a quarter of all.
 BITS, BELOW = 42, 1 << 40
-#: Bytes of text in one run of neighbouring ids, on average.
-RUN_BYTES = 8 << 20
+#: Bytes of text in one run of neighbouring ids, on average, while there are fewer runs than the most; a run is sorted, which spills.
+RUN_BYTES, MOST_RUNS = 8 << 20, 100_000
+#: Quantiles of ids at which runs are cut first.
+COARSE = 256
 
 
 def bound(value: Column, f) -> Column:
@@ -77,27 +79,45 @@ def as_text(print_: Column) -> Column:
     return F.array_join(F.transform(print_, F.hex), ",")
 
 
+def runs_of_ids(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """docs (doc_id, _id, _hash, text) with ``_run``: neighbours by (_id, _hash) have neighbouring numbers, and a run has so many bytes.
+
+    Ids are cut at quantiles and evenly between these; rows of an id that is a quantile are cut by their texts' hashes, so an
+    id that very many rows share is many runs. Only the quantiles are collected, at most ``COARSE``.
+    """
+    quantiles = [i / COARSE for i in range(1, COARSE)]
+    facts = docs.agg(F.sum(F.octet_length("text")).alias("total"), F.percentile_approx("_id", quantiles, 10_000).alias("cuts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    runs = min(MOST_RUNS, quantile(facts["total"] or 0, run_bytes))
+    if runs == 1:
+        return docs.withColumn("_run", F.lit(0).cast("long"))
+    values = sorted(set(facts["cuts"]))
+    slices = quantile(runs, len(values))
+    known = F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+    cut = bound(known, lambda c: F.size(F.filter(c, lambda x: x <= F.col("_id"))))
+    low = F.coalesce(F.get(known, F.col("_cut") - 1), F.lit(facts["low"])).cast("double")
+    high = F.coalesce(F.get(known, F.col("_cut")), F.lit(facts["high"])).cast("double")
+    is_value = F.coalesce(F.get(known, F.col("_cut") - 1) == F.col("_id"), F.lit(False))
+    part = F.when(is_value, F.col("_hash").cast("double") / 2.0**64 + 0.5).otherwise(F.coalesce((F.col("_id").cast("double") - low) / (high - low + 1), F.lit(0.0)))
+    inside = F.least(F.greatest(F.floor(part * slices), F.lit(0)), F.lit(slices - 1))
+    return docs.withColumn("_cut", cut).withColumn("_run", ((2 * F.col("_cut") + (~is_value).cast("int")) * slices + inside).cast("long")).drop("_cut")
+
+
 def with_next(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, text, next_text and both fingerprints; the next is by descending doc_id, after the last the first.
 
-    Ids are cut into runs at quantiles, so each run is sorted by itself; the first row of a run also stands behind
-    the run before. The texts are dealt once.
+    Each run of neighbouring ids is sorted by itself; the first row of a run also stands behind the run before. Which rows
+    these are is a table of one row for each run, at most about ``MOST_RUNS``, and broadcast. The texts are dealt once.
     """
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), text_or_empty().alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    runs = min(4096, quantile(total, run_bytes))
-    cuts = docs.agg(F.percentile_approx("_id", [i / runs for i in range(1, runs)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if runs > 1 else []
-    run = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("_id"))) if cuts else F.lit(0)
-    docs = docs.withColumn("_run", run)
-    heads = {r["_run"]: r["head"] for r in docs.groupBy("_run").agg(F.max("_id").alias("head")).collect()}
-    order = sorted(heads, reverse=True)
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), text_or_empty().alias("text")).withColumn("_hash", F.xxhash64("text"))
+    docs = runs_of_ids(docs, run_bytes)
+    heads = docs.groupBy("_run").agg(F.max(F.struct("_id", "_hash")).alias("_head"))
     # a run's last row is followed by the head of the run below, the lowest run's by the highest head
-    after = {heads[b]: a for a, b in zip(order, [*order[1:], *order[:1]], strict=True)}
-    behind = docs.where(F.col("_id").isin(list(after))) if after else docs.limit(0)
-    to = F.element_at(F.create_map(*[F.lit(x) for pair in after.items() for x in pair]), F.col("_id")) if after else F.lit(0)
-    rows = docs.withColumn("_guest", F.lit(False)).unionByName(behind.withColumn("_run", to).withColumn("_guest", F.lit(True)))
-    w = Window.partitionBy("_run").orderBy("_guest", F.desc("_id"), "text")
+    order = Window.orderBy("_run")
+    lowest = F.first("_run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = heads.select(F.col("_head._id").alias("_i"), F.col("_head._hash").alias("_h"), F.coalesce(F.lead("_run").over(order), lowest).alias("_to"))
+    behind = docs.join(F.broadcast(after), (F.col("_id") == F.col("_i")) & (F.col("_hash") == F.col("_h"))).select(*[c for c in docs.columns if c != "_run"], F.col("_to").alias("_run"))
+    rows = docs.withColumn("_guest", F.lit(False)).unionByName(behind.withColumn("_guest", F.lit(True)))
+    w = Window.partitionBy("_run").orderBy("_guest", F.desc("_id"), F.desc("_hash"), F.desc("text"))
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("print", fingerprint(F.col("text"))).withColumn("next_print", F.lead("print").over(w))
     return rows.where(~F.col("_guest")).select("doc_id", "text", "next_text", "print", "next_print")
 

@@ -97,8 +97,7 @@ def with_slots(rows: DataFrame) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{common.shared_folder(spark)}/folio/shards-{uuid.uuid4().hex}"
-    common._written.append((spark, path))
+    path = common.noted(spark, f"{common.shared_folder(spark)}/folio/shards-{uuid.uuid4().hex}")
     schema = write_shards(table(spark, folder, "documents").select("doc_id", "text"), path)
     crc = F.crc32(text_or_empty().cast("binary"))
     rows = read_shards(spark, path, schema).select("doc_id", size_of().alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "grown_shard", "bucket", "place")

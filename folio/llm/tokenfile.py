@@ -226,7 +226,6 @@ def digest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_token_file(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{common.shared_folder(spark)}/folio/tokens-{uuid.uuid4().hex}"
+    path = common.noted(spark, f"{common.shared_folder(spark)}/folio/tokens-{uuid.uuid4().hex}")
     write(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    common._written.append((spark, path))
     return digest(spark, path)

@@ -394,6 +394,21 @@ def test_fingerprints(spark, medium, texts, monkeypatch):
     assert np.sqrt(np.square(errors).mean(0)).max() < 0.08
 
 
+@pytest.mark.parametrize("run_bytes", [40, 400, 1 << 30])
+def test_next_documents(spark, run_bytes):
+    """The order over all runs, with sparse ids, an id of very many rows, and rows without one."""
+    import random
+
+    rng = random.Random(3)
+    ids = [rng.choice([rng.randint(-(10**15), 10**15), rng.randint(0, 60), 7, 7, 7, None]) for _ in range(900)]
+    df = spark.createDataFrame([(d, f"text {i % 700}") for i, d in enumerate(ids)], "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((-(2**63) if d is None else d, hashes[f"text {i % 700}"], f"text {i % 700}") for i, d in enumerate(ids)), reverse=True)
+    want = Counter((d, text, order[(k + 1) % len(order)][2]) for k, (d, _, text) in enumerate(order))
+    got = Counter((-(2**63) if r["doc_id"] is None else r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(df.repartition(3), run_bytes).collect())
+    assert got == want
+
+
 def test_fingerprints_merge_and_contain(spark):
     one, more = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(4000))
     df = spark.createDataFrame([(one, more, f"{one} {more}")], "a string, b string, c string").select(*[fingerprints.fingerprint(F.col(c)).alias(c) for c in "abc"])
