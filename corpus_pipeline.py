@@ -59,11 +59,17 @@ STAGES = [("toxicity", without_toxic), ("near_duplicates", without_copies), ("se
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    """All stages. What a stage wrote for itself goes when it has ended, in whatever way, and its documents when the next stage's are there."""
+    docs, before = table(spark, folder, "documents"), None
     for name, stage in STAGES[:-1]:
         since = common.mark()
         path = f"{common.shared_folder(spark)}/folio/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, folder).write.parquet(path)
-        common.release(since)
-        docs = spark.read.parquet(path)
+        try:
+            stage(spark, docs, folder).write.parquet(path)
+        finally:
+            common.release(since)
+        if before:
+            common.drop(spark, before)
+        docs, before = spark.read.parquet(path), path
+    common.noted(spark, before)
     return STAGES[-1][1](spark, docs, folder)
