@@ -2,7 +2,7 @@
 
 A candidate is a long run of letters and digits (some of each or of a known form) or a value that is assigned to a name
 of secrets; a word can hold many, and each is scored with the part of the word it stands in. Its features are its length, shares of character classes, transitions between classes,
-coverage by a small dictionary, whether it looks like a path or address, and what its neighbouring words say. The
+coverage by the words of a vocabulary, whether it looks like a path or address, and what its neighbouring words say. The
 forest is grown in numpy from labelled findings (``labelled_findings``: a seeded list of secrets and of what is taken
 for them, with words around them), whose features are found by the same expressions, and is then an expression itself:
 scanning is one projection of the documents, with no shuffle and no Python on the executors.
@@ -13,10 +13,15 @@ each; an empty table gives no rows; other columns are kept by ``scanned``.
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import string
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +36,12 @@ LIMIT = 0.5
 MARK = "[SECRET]"
 
 #: Names that secrets are assigned to, and words that stand before what is no secret.
-NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private|client[_-]?key|signing[_-]?key"
+NAMES = "(?:secret|auth|private|refresh|access|session)[_-]?(?:key|token|secret)|password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private|client[_-]?key|signing[_-]?key"
 NO_SECRET = "sha|md5|commit|checksum|digest|uuid|guid|hash|etag|revision|build|serial|isbn|order|invoice|phone|card|account|version|id"
 #: Beginnings of well-known kinds of secrets.
 FORMS = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^glpat-|^xox[abprs]-|^sk[-_](?:live|test)?|^AIza|^eyJ|^npm_|^SG\."
-#: Fragments of ordinary words.
-DICTIONARY = "example|sample|test|dummy|change|your|here|user|name|file|data|index|image|page|value|string|config|public|static|assets|version|service|server|client|number|report|module|handler|manager|factory|request|response|update|create|delete|the|and|ing|ion|ent|ver|ter|for|con|pro|com|ment|able"
+#: Words of the vocabulary that coverage is measured with: its first ones of so many letters, as frequent words come first.
+VOCABULARY, DICTIONARY_WORDS, WORD_LETTERS = "word_bpe_49k.json", 1500, (3, 9)
 
 LONG = r"(?<![A-Za-z0-9+/_.\-])([A-Za-z0-9+/_.\-]{16,}={0,2})"
 ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[=:]+[\"']?([^\s\"',;&<>]{{6,}})"
@@ -50,6 +55,16 @@ HAS_NAME = rf"(?i)(?:{NAMES})"
 FEATURES = ("length", "digits", "upper", "lower", "transitions", "dictionary", "path", "named", "no_secret", "hex", "uuid", "form", "assigned")
 
 
+@lru_cache(maxsize=4)
+def dictionary(path: str | None = None) -> str:
+    """A pattern of ordinary words, the long ones first, from a vocabulary's whole words."""
+    ids = json.loads(Path(path or public_tokenizers.path(VOCABULARY)).read_text(encoding="utf-8"))["model"]["vocab"]
+    low, high = WORD_LETTERS
+    whole = re.compile(rf"([a-z]{{{low},{high}}})</w>")
+    words = [m[1] for t in sorted(ids, key=ids.get) if (m := whole.fullmatch(t))][:DICTIONARY_WORDS]
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
 def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.greatest(F.char_length(value), F.lit(1))
 
@@ -67,7 +82,7 @@ def features(word: Column, value: Column, near: Column) -> dict[str, Column]:
         "upper": _share(value, "[A-Z]"),
         "lower": _share(value, "[a-z]"),
         "transitions": _share(value, r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
-        "dictionary": 1 - F.char_length(F.regexp_replace(low, DICTIONARY, "")) / F.greatest(F.char_length(value), F.lit(1)),
+        "dictionary": 1 - F.char_length(F.regexp_replace(low, dictionary(), "")) / F.greatest(F.char_length(value), F.lit(1)),
         "path": _flag(word.rlike(r"://|^[./~]|\.[a-z]{2,4}$|/[^/]+/|\\")),
         "named": _flag(near.rlike(HAS_NAME) | word.rlike(HAS_NAME)),
         "no_secret": _flag(near.rlike(rf"(?i)\b(?:{NO_SECRET})\b|(?i)\b(?:sha|md5)") | word.rlike(r"(?i)^(?:sha\d*|md5|id|uuid|commit)[:=]")),
@@ -147,20 +162,23 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
     def secret() -> str:
         value = rng.choice([
             lambda: take(hexes, rng.choice([18, 20, 24, 32, 40, 64])), lambda: take(letters + digits, rng.randint(16, 44)),
-            lambda: take(letters + digits + "+/", rng.choice([32, 40, 44])) + rng.choice(["", "="]), lambda: take(letters, 4) + take(digits, 4) + take(letters + digits, 8), lambda: take(digits + digits + hexes, rng.choice([16, 18, 24])) + rng.choice("abcdef") + take(digits, 2),
+            lambda: take(letters + digits + "+/", rng.choice([32, 40, 44])) + rng.choice(["", "="]), lambda: take(letters, 4) + take(digits, 4) + take(letters + digits, 8), lambda: take(letters + digits + "!@$%^*_-", rng.randint(12, 24)), lambda: take(digits + digits + hexes, rng.choice([16, 18, 24])) + rng.choice("abcdef") + take(digits, 2),
         ])()
         return rng.choice([
             lambda: rng.choice(["AKIA", "AKIA", "ASIA"]) + take(string.ascii_uppercase + rng.choice([digits, ""]), 16), lambda: f"{name()}={value}", lambda: f'{name()} = "{value}"', lambda: f"{name()}: {value}", lambda: f"{name()}='{value}'",
             lambda: f"bearer {value}", lambda: rng.choice(["ghp_", "gho_", "xoxb-", "sk-", "AIza", "glpat-", "npm_"]) + take(letters + digits, 34) + "1", lambda: "eyJ" + take(letters + digits, 30) + "1." + take(letters + digits, 40),
         ])()
 
+    ordinary = dictionary().split("|")
+
     def other() -> str:
-        word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+        # ordinary words, and made-up ones of other languages
+        word = lambda: rng.choice(ordinary) if rng.random() < 0.5 else "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
         return rng.choice([
             lambda: f"{rng.choice(['sha1', 'md5', 'checksum', 'commit', 'digest', 'etag', 'revision', 'sha256'])} {take(hexes, rng.choice([32, 40, 64]))}", lambda: f"sha256:{take(hexes, 64)}",
             lambda: f"{rng.choice(['id', 'uuid', 'see', 'of'])} {take(hexes, 8)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 12)}", lambda: take(digits, rng.randint(16, 19)), lambda: f"card {take(digits, 16)}",
             lambda: f"/{word()}/{word()}/{word()}{rng.randint(1, 99)}.{rng.choice(['txt', 'png', 'py', 'html'])}", lambda: f"https://{word()}.com/{word()}/{rng.randint(1, 9999)}/{word()}", lambda: f"{word()}-{word()}-{word()}-{rng.randint(1, 2030)}",
-            lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}{rng.randint(1, 99)}", lambda: f"{word()}.{word()}.{word()}{rng.randint(1, 9)}", lambda: f"{name()}=your_{word()}_here1", lambda: f"{name()}: example{word()}{rng.randint(1, 99)}", lambda: f"{name()}={rng.choice(['changeme', 'example', 'dummy', 'xxxxxxxx', '********', 'test1234'])}",
+            lambda: f"{word()}{''.join(word().capitalize() for _ in range(rng.randint(2, 5)))}{rng.randint(1, 99)}{rng.choice(['', word().capitalize()])}", lambda: f"{''.join(word().capitalize() for _ in range(rng.randint(3, 6)))}{rng.randint(1, 9)}", lambda: f"{word()}{word().capitalize()}{rng.randint(1, 99)}{word().capitalize()}{word().capitalize()}()", lambda: f"{word()}.{word()}.{word()}{rng.randint(1, 9)}", lambda: f"{name()}=your_{word()}_here1", lambda: f"{name()}: example{word()}{rng.randint(1, 99)}", lambda: f"{name()}={rng.choice(['changeme', 'example', 'dummy', 'xxxxxxxx', '********', 'test1234'])}",
             lambda: f"20{take(digits, 2)}-{take(digits, 2)}-{take(digits, 2)}T{take(digits, 2)}-{take(digits, 2)}-{take(digits, 2)}", lambda: f"{word()}{word()}{word()}_{rng.randint(1, 9)}_{word()}", lambda: f"version-{rng.randint(1, 9)}.{rng.randint(1, 20)}.{rng.randint(1, 99)}-{word()}{rng.randint(1, 9)}",
             lambda: f"the secret of {word()}{word()}{word()}{word()}{rng.randint(1, 9)}", lambda: f"order {take(string.ascii_uppercase, 3)}-{take(digits, 6)}-{take(digits, 6)}",
         ])()
@@ -246,13 +264,40 @@ def scanned(docs: DataFrame, trees: list[Tree], limit: float = LIMIT) -> DataFra
     return docs.select(*[c for c in docs.columns if c != "findings"], findings.alias("findings"))
 
 
+#: A run of spaces or a word.
+_RUN = r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+"
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
+
+
+def _first_word(text: Column) -> Column:
+    """The place of the first word among the runs: 1 behind spaces, else 0."""
+    return text.rlike(r"^[\x20\x09-\x0D]").cast("int")
+
+
 def redacted(text: Column, findings: Column) -> Column:
-    """The text with a mark in place of each secret's value, long ones first, as one value can be part of another."""
+    """The text with a mark in place of each secret, in the word that it was found in and nowhere else; long ones first, as one can be part of another."""
     longest = F.array_sort(findings, lambda a, b: F.char_length(b["value"]) - F.char_length(a["value"]))
-    return F.aggregate(longest, text, lambda t, c: F.replace(t, c["value"], F.lit(MARK)))
+
+    def word(run: Column, i: Column) -> Column:
+        mine = F.filter(longest, lambda c: 2 * c["at"] + _first_word(text) == i)
+        return F.aggregate(mine, run, lambda t, c: F.replace(t, c["value"], F.lit(MARK)))
+
+    return F.array_join(F.transform(_runs(text), word), "")
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """A row for each finding of ``scanned`` with its first place in the text: start and length, in code points."""
+    rows = found.where(F.size("findings") > 0).withColumn("_runs", _runs(F.col("text"))).withColumn("_c", F.explode("findings"))
+    run = 2 * F.col("_c.at") + _first_word(F.col("text"))
+    before = F.char_length(F.array_join(F.slice("_runs", F.lit(1), run), ""))
+    start = before + F.instr(F.get("_runs", run), F.col("_c.value")) - 1
+    return rows.select(*[c for c in found.columns if c not in ("findings", "start", "length")], F.col("_c").alias("finding"), start.cast("long").alias("start"), F.char_length("_c.value").cast("long").alias("length"))
 
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = scanned(docs, trained(spark)).select("doc_id", F.explode("findings").alias("c"))
-    return found.select("doc_id", F.col("c.at").alias("word_at"), F.col("c.kind").alias("kind"), F.col("c.value").alias("value"), F.round("c.score", 6).alias("score"))
+    found = spans(scanned(docs, trained(spark)))
+    return found.select("doc_id", F.col("finding.at").alias("word_at"), "start", "length", F.col("finding.kind").alias("kind"), F.col("finding.value").alias("value"), F.round("finding.score", 6).alias("score"))

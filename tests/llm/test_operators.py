@@ -335,6 +335,88 @@ def test_secrets_in_one_word(spark, tmp_path):
     assert [rows[8]["findings"], rows[9]["findings"]] == [[], []]
 
 
+def test_secrets_of_unseen_kinds(spark):
+    """Kinds that the labelled findings are not made from: nearly all of those that are secrets, and none of the others."""
+    import random
+    import string
+
+    rng, some, hexes = random.Random(77), string.ascii_letters + string.digits, "0123456789abcdef"
+    take = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    secret = [
+        lambda: f"charge rk_live_{take(some, 24)} now", lambda: f"use ya29.{take(some + '-_', 60)} for it", lambda: f"AccountName=store;AccountKey={take(some + '+/', 86)}==", lambda: f"HEROKU_API_KEY={take(hexes, 8)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 12)}",
+        lambda: f"  secret_key: {take(some + '!@$%', 20)}", lambda: f"pypi-{take(some + '-_', 60)}9", lambda: f"auth SK{take(hexes, 32)} there", lambda: f"Authorization: Basic {take(some, 36)}==",
+    ]
+    other = [
+        lambda: f"index {take(hexes, 7)}..{take(hexes, 7)} 100644", lambda: f"src/main/java/com/acme/{take(string.ascii_lowercase, 6)}/Handler{rng.randint(1, 9)}.java", lambda: f"{take(string.ascii_lowercase, 6)}.{take(string.ascii_lowercase, 7)}{rng.randint(1, 99)}@example.com",
+        lambda: f"https://docs.site.org/en/latest/{take(string.ascii_lowercase, 8)}-{rng.randint(1, 9)}.html", lambda: "the state-of-the-art-method-of-2019 is", lambda: "password=<your-password-here> please", lambda: f"getUserAccountById{rng.randint(10, 99)}FromCache", lambda: f"image@sha256:{take(hexes, 64)} pulled",
+    ]
+    rows = [(y, f()) for y, kinds in ((1, secret), (0, other)) for f in kinds for _ in range(15)]
+    found = secrets.scanned(spark.createDataFrame(rows, "y int, text string"), secrets.trained(spark)).groupBy("y").agg(F.avg((F.size("findings") > 0).cast("int")).alias("share")).collect()
+    share = {r["y"]: r["share"] for r in found}
+    assert share[1] > 0.95 and share[0] < 0.02, share
+
+
+def test_redaction_keeps_to_its_word(spark):
+    a = "9fK2mQ8xLz7Rt5Vw3Yb1"
+    text = f" \n{a}x is no secret,\tbut password={a} is\n"
+    docs = secrets.scanned(spark.createDataFrame([(text,)], "text string"), secrets.trained(spark)).withColumn("findings", F.filter("findings", lambda c: c["value"] == a))
+    assert docs.select(secrets.redacted(F.col("text"), F.col("findings"))).first()[0] == text.replace(f"={a}", f"={secrets.MARK}")
+    r = secrets.spans(docs).first()
+    assert text[r["start"] : r["start"] + r["length"]] == a and text[r["start"] - 1] == "="
+
+
+def plain_findings(text, trees):
+    """Candidates, features and votes in plain Python."""
+    s = secrets
+    word_like, runs = re.compile(s.PARTS), re.compile
+    named_end = runs(rf"(?i)(?:{s.NAMES})[\"']?\s*[:=]+\Z")
+    words, out = WORD.findall(text), []
+    for i, w in enumerate(words):
+        before = lambda k: words[i - k] if i >= k else ""  # noqa: B023, E731
+        behind = len(w.encode()) >= 6 and before(1)[-1:] in ("=", ":") and bool(named_end.search(f"{before(2)} {before(1)}"))
+        longs = [m for m in re.findall(s.LONG, w)]
+        assigned = [m[-1] if isinstance(m, tuple) else m for m in re.findall(s.EACH_ASSIGNED, w)]
+        is_long = len(w.encode()) >= 16 and longs and (re.search("[0-9]", w) or any(re.search(s.FORMS, v) for v in longs))
+        if not (is_long or (len(w.encode()) >= 10 and re.search(s.ASSIGNED, w)) or behind):
+            continue
+        parts = word_like.split(w)
+        cut = [re.sub(s.NEXT_ASSIGNED, "", v) for v in assigned if re.search(s.NEXT_ASSIGNED, v)]
+        head = [re.sub(r"^[\"'(\[{]+|[\"')\]}]+\Z", "", parts[0])] if behind and len(parts) > 1 else []
+        found = assigned + [v for v in longs if re.search("[0-9]", w) or re.search(s.FORMS, v)] + [v for v in cut + head if len(v) >= 6]
+        if not found:
+            found = [longs[0] if longs else re.sub(r"^[\"'(\[]+|[\"')\],;#.]+\Z", "", w)]
+        values = list(dict.fromkeys(re.sub(r"[.\-]+\Z", "", v) for v in found))
+        near = " ".join((before(3), before(2), before(1)))
+        for v in values:
+            mine = [p for p in parts if v in p]
+            x = next((p for p in mine if re.search(s.ASSIGNED, p)), mine[0] if mine else w)
+            n, low = max(len(v), 1), v.lower()
+            count = lambda p: len(re.findall(p, v)) / n  # noqa: B023, E731
+            flag = lambda *tests: float(any(tests))
+            row = [
+                float(len(v)), count("[0-9]"), count("[A-Z]"), count("[a-z]"), count(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"), 1 - len(re.sub(s.dictionary(), "", low)) / n,
+                flag(re.search(r"://|^[./~]|\.[a-z]{2,4}\Z|/[^/]+/|\\", x)), flag(re.search(s.HAS_NAME, near), re.search(s.HAS_NAME, x)),
+                flag(re.search(rf"(?i)\b(?:{s.NO_SECRET})\b|\b(?:sha|md5)", near), re.search(r"(?i)^(?:sha\d*|md5|id|uuid|commit)[:=]", x)), flag(re.search(r"^[0-9a-f]+\Z|^[0-9A-F]+\Z", v)),
+                flag(re.search(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-", v)), flag(re.search(s.FORMS, v)), flag(re.search(s.ASSIGNED, x), re.search(rf"(?i)(?:{s.NAMES})[\"']?\s*[:=]+\Z", near)),
+            ]
+            score = np.mean([t.predict(np.array([row]))[0] for t in trees])
+            if score >= s.LIMIT:
+                out.append((i, v))
+    return {(i, v) for i, v in out if not any(j == i and u != v and v in u for j, u in out)}
+
+
+def test_secrets_beside_plain_python(spark, medium, texts):
+    trees = secrets.trained(spark)
+    got = {}
+    for r in secrets.op5_secrets(spark, medium).collect():
+        got.setdefault(r["doc_id"], set()).add((r["word_at"], r["value"]))
+    raw = dict(texts(medium))
+    want = {d: f for d, t in raw.items() if (f := plain_findings(t, trees))}
+    assert got == want and len(want) > 5
+    for r in secrets.op5_secrets(spark, medium).collect():
+        assert raw[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"]
+
+
 def removed_by_brute_force(rows, length=100):
     seen, out = set(), []
     for doc, text in rows:
