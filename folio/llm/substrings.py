@@ -13,8 +13,9 @@ anchor, so equal strings have theirs at the same place. Steps, each dealt by has
 Equal grams of a batch are one row before the shuffle, and equal contexts are one before theirs, so a passage that very
 many documents share isn't gathered as often as it stands; what is gathered at its edges are the different contexts.
 
-Defined cases: a null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; a null ``doc_id`` comes before
-all; rows of one ``doc_id`` follow each other in the order of their texts; an empty table gives no rows.
+Defined cases: a null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; rows with a null ``doc_id`` come
+before all, in the order of their texts' hashes; rows of one ``doc_id`` follow each other in the order of their texts; a
+``doc_id`` below -2^62 is an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
 #: Bytes of text whose anchors or contexts are gathered in one group, on average.
 GROUP_BYTES = 4 << 20
-#: Stands for a null doc_id: before all others.
-NO_ID = -(1 << 63)
+#: Where ids begin; null ones have numbers below, by their texts.
+LEAST_ID = -(1 << 62)
 
 
 def sliding(x: np.ndarray, width: int, f: np.ufunc, fill: int) -> np.ndarray:
@@ -183,6 +184,12 @@ def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
         t = Texts(raw, words=False)
         doc, place = gathered(rest, "docs", np.int64), gathered(rest, "places", np.int32).astype(np.int64)
         # an anchor belongs to every text of its id that is long enough; one more anchor does no harm
+        # rows of one id have each named its anchors, so each is taken once before it goes to all of them
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        doc, place = doc[new], place[new]
         low, high = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
         n = high - low
         row = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -191,10 +198,6 @@ def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
         row, place = row[fits], place[fits]
         order = np.lexsort((place, row))
         row, place = row[order], place[order]
-        # rows of one id have each named its anchors
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
-        row, place = row[new], place[new]
         at = t.edge[row] + place
         left, right = np.minimum(place, LEFT), np.minimum(t.sizes[row] - place, LENGTH)
         long_enough = left + right >= LENGTH
@@ -204,7 +207,7 @@ def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
         gram = mixed((sums[at + GRAM] - sums[at]) * inverse[at])
         whole = mixed((sums[at + right] - sums[at - left]) * inverse[at - left])
         other = mixed(whole + mixed(gram + (left * 256 + right).astype(np.uint64)))
-        first = first_of(whole, other)
+        first = first_of(whole, other, t.bytes, at - left, left + right)
         group = (gram % np.uint64(groups)).astype(np.int64)
         later = np.flatnonzero(~first)
         sure = dealt(document_group(ids[row[later]], groups), groups, {"docs": ids[row[later]], "nths": nth[row[later]], "begins": (place - left)[later].astype(np.int32), "ends": (place + right)[later].astype(np.int32)})
@@ -228,12 +231,24 @@ def contexts(texts: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
 NAMES = ["bytes", "lefts", "rights", "docs", "nths", "places", "begins", "ends"]
 
 
-def first_of(key: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which rows are the first of their (key, other)."""
+def first_of(key: np.ndarray, other: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray, at_once: int = 50_000) -> np.ndarray:
+    """Which pieces (size bytes of data from at) are the first of their bytes. Hashes (key, other) name those that may be the same, their bytes decide."""
     order = np.lexsort((other, key))
     out = np.ones(len(key), bool)
-    if len(key):
-        out[order[1:]] = (key[order[1:]] != key[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+    if not len(key):
+        return out
+    new = np.concatenate([[True], (key[order[1:]] != key[order[:-1]]) | (other[order[1:]] != other[order[:-1]])])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.flatnonzero(~new)
+    for k in range(0, len(later), at_once):
+        i, f = order[later[k : k + at_once]], first[later[k : k + at_once]]
+        alike = size[i] == size[f]
+        i, f = i[alike], f[alike]
+        n = size[i]
+        edge = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(edge, n)
+        different = data[np.repeat(at[i], n) + step] != data[np.repeat(at[f], n) + step]
+        out[i] = np.add.reduceat(different, edge) > 0 if len(i) else False
     return out
 
 
@@ -289,7 +304,7 @@ def spans(found: DataFrame, groups: int) -> DataFrame:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(np.arange(256, dtype=np.uint64) + np.uint64(9))[data] * powers(len(data))[: len(data)], dtype=np.uint64)])
             whole = mixed((sums[at + size] - sums[at]) * powers(len(data), True)[at])
             gram = gram_numbers(data, at + left)
-            first = first_of(whole, mixed(gram + (left * 256 + right).astype(np.uint64)))
+            first = first_of(whole, mixed(gram + (left * 256 + right).astype(np.uint64)), data, at, size)
             again = np.flatnonzero(~first)
             groups_of = lambda k: document_group(doc[k], groups)
             out.append(dealt(groups_of(again), groups, {"docs": doc[again], "nths": nth[again], "begins": (place - left)[again].astype(np.int32), "ends": (place + right)[again].astype(np.int32)}))
@@ -345,14 +360,17 @@ def remaining(texts: DataFrame, spans_: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     ship(docs.sparkSession)
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = quantile(total, GROUP_BYTES)
+    of_text = F.xxhash64(text_or_empty()).bitwiseAND(F.lit(-LEAST_ID - 1)) + F.lit(2 * LEAST_ID)
+    facts = docs.agg(F.sum(F.octet_length("text")).alias("total"), F.min("doc_id").alias("least")).first()
+    if facts["least"] is not None and facts["least"] < LEAST_ID:
+        raise ValueError(f"a doc_id below {LEAST_ID}")
+    docs = docs.select(F.coalesce("doc_id", of_text).alias("doc_id"), text_or_empty().alias("text"))
+    groups = quantile(facts["total"] or 0, GROUP_BYTES)
     repeated = written(repeated_anchors(docs, groups), "anchors")
     texts = documents_by_group(docs, groups)
     found = spans(contexts(texts, repeated, groups), groups)
     out = remaining(texts, written(found, "spans"))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id")))
 
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -135,7 +135,19 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-def test_components(spark):
+def test_facts_of_hot_keys(spark, monkeypatch):
+    """Rows meet their key's facts, whether these are broadcast, joined sorted or, in small tables, as Spark likes."""
+    from folio.llm import common
+
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(400)], "v long, k long")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("n > 1 or k > 100")
+    want = sorted(map(tuple, rows.join(facts, "k").select("v", "k", "n", "least").collect()))
+    for small in (0, 1000):
+        monkeypatch.setattr(common, "SMALL", small)
+        assert sorted(map(tuple, common.with_facts(rows, facts, "k", 400).select("v", "k", "n", "least").collect())) == want
+
+
+def test_components(spark, monkeypatch):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(60)]
     top = {}
@@ -148,8 +160,12 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         top[max(x, y)] = min(x, y)
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for e in edges for x in e}
+    from folio.llm import common
+
+    for small in (common.SMALL, 0):
+        monkeypatch.setattr(common, "SMALL", small)
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: find(x) for e in edges for x in e}
 
 
 def sizes(folder):
@@ -444,6 +460,36 @@ def test_suffix_dedup_in_many_groups(spark, small, texts, monkeypatch):
     assert sorted(map(tuple, substrings.op6_suffix_dedup(spark, small).collect())) == removed_by_brute_force(texts(small))
 
 
+def test_suffix_dedup_of_rows_without_ids(spark):
+    """They come before all others, whatever the order among them: of each string one stays."""
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = text(300)
+    rows = [(None, text(80) + shared), (None, shared + text(90)), (3, text(20) + shared + text(20)), (3, shared), (None, "short"), (None, "short")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] is None) == [0, 0, 0, 300]
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 3) == [300, 300]
+
+
+def test_equal_pieces_are_told_by_their_bytes():
+    """Hashes that agree for different bytes don't merge these."""
+    data = np.frombuffer(b"abcabcabd", np.uint8)
+    same = np.zeros(3, np.uint64)
+    first = substrings.first_of(same, same, data, np.array([0, 3, 6]), np.array([3, 3, 3]))
+    assert first.tolist() == [True, False, True]
+
+
+def test_many_edges_of_one_passage(spark):
+    """A passage that very many documents share, each with its own text before and behind: all contexts of its edges are one group."""
+    rng = np.random.default_rng(13)
+    passage = "".join(rng.choice(list("abcdefghij "), 150))
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.hex(F.xxhash64("id", F.lit(1))), F.hex(F.xxhash64("id", F.lit(2))), F.lit(passage), F.hex(F.xxhash64("id", F.lit(3))), F.hex(F.xxhash64("id", F.lit(4)))).alias("text"))
+    got = substrings.remove_repeats(rows)
+    r = got.agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id") > 0, F.col("n_removed"))).alias("least"), F.max("n_removed").alias("most"), F.sum(F.when(F.col("doc_id") == 0, F.col("n_removed"))).alias("first")).first()
+    assert r["n"] == n and r["least"] >= 150 and r["most"] <= 156 and r["first"] == 0
+
+
 def test_suffix_order():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -580,6 +626,40 @@ def test_windows_cover_all_words():
         assert (np.diff(mine[:, 0]) == toxicity.STRIDE).all()
 
 
+def plain_score(net, text):
+    """The score of a text by loops over windows, words and both directions."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    vectors = []
+    for w in (toxicity.bare(w) for w in text.lower().split()):
+        codes, _ = toxicity.trigrams([w])
+        vectors.append(np.concatenate([p["word"][net.words.get(w, 0)], p["char"][codes].mean(0)]))
+    scores = []
+    for first in range(0, max(1, len(vectors) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        window = vectors[first : first + toxicity.WINDOW]
+        states = np.zeros((len(window), 2 * h))
+        for i, way in enumerate("fb"):
+            state = np.zeros(h)
+            for t in range(len(window)) if way == "f" else reversed(range(len(window))):
+                x, q = window[t] @ p[f"w{way}"] + p[f"c{way}"], state @ p[f"u{way}"]
+                z, r = sig(x[:h] + q[:h]), sig(x[h : 2 * h] + q[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * q[2 * h :])
+                states[t, i * h : (i + 1) * h] = state
+        e = np.exp(states @ p["a"]) if len(window) else np.zeros(0)
+        pooled = (e / e.sum()) @ states if len(window) else np.zeros(2 * h)
+        scores.append(sig(pooled @ p["o"] + p["bias"][0]))
+    return max(scores)
+
+
+def test_scores_beside_plain_loops():
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in ("ab", "cde", "f", "ghij") for b in ("x", "yz", "")]
+    net = toxicity.Network(words[:7], rng.normal(0, 1, 7).astype(np.float32), rng)
+    texts = [" ".join(rng.choice([*words, "Other,", "(AB)"], n)) for n in (0, 1, 5, 31, 32, 33, 47, 48, 49, 100)]
+    got = toxicity.score_texts(net, toxicity.Reader(net), texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(["aa", "bb"], np.zeros(2, np.float32), rng)
@@ -674,6 +754,45 @@ def test_estimates_stand_many_outliers(spark, share):
     assert np.allclose(e["mean"], 5, atol=0.8) and np.allclose(spread, [1, 2, 3, 4], rtol=0.3)
 
 
+def plain_mcd(x, share, rng, starts=60):
+    """Mean and covariance of the subset of least determinant, from random starts, by plain concentration steps over the nearest."""
+    best = (np.inf, None, None)
+    h = int(np.ceil(share * len(x)))
+    for _ in range(starts):
+        some = x[rng.choice(len(x), 12, replace=False)]
+        mean, cov, last = some.mean(0), np.cov(some.T, bias=True) + quality.LEAST_COVARIANCE, np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d, kind="stable")[:h]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality.consistency(share, 4) + quality.LEAST_COVARIANCE
+            det = np.linalg.slogdet(cov)[1]
+            if det > last - 1e-9:
+                break
+            last = det
+        if det < best[0]:
+            best = (det, mean, cov)
+    d = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    close = x[d <= quality.chi_square_quantile(quality.CLOSE, 4)]
+    return close.mean(0), np.cov(close.T, bias=True) * quality.consistency(quality.CLOSE, 4) + quality.LEAST_COVARIANCE
+
+
+def test_verdicts_beside_plain_mcd(spark):
+    """Each document's verdict is that of estimates made in numpy from random starts, but for a few at the limit."""
+    statistics = quality.with_statistics(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).cache()
+    got = quality.judged(statistics).toPandas()
+    rows = quality.vectors(statistics.where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words")).toPandas()
+    limit, rng, wrong, n = quality.chi_square_quantile(1 - quality.FAR, 4), np.random.default_rng(1), 0, 0
+    kept = dict(zip(got["doc_id"], got["kept"]))
+    for _, group in rows.groupby(["lang", "source"]):
+        if len(group) >= quality.LEAST:
+            x = group[["x0", "x1", "x2", "x3"]].to_numpy()
+            mean, cov = plain_mcd(x, quality.KEPT_SHARE, rng)
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            wrong += sum(kept[doc] != (v <= limit) for doc, v in zip(group["doc_id"], d) if abs(v - limit) > 0.15 * limit)
+            n += len(group)
+    assert n > 300 and wrong <= 0.005 * n, (wrong, n)
+
+
 def test_sql_of_near_duplicates(spark, medium):
     from folio.llm.queries import ORACLES
 
