@@ -16,12 +16,12 @@ TOLERANCE = 50
 
 def lines_of_items(items: DataFrame) -> DataFrame:
     """Lines of a page: a new one where an item is further than the gap from the item before. Blank items only move the place."""
-    w = Window.partitionBy("doc_id", "page").orderBy("pos")
+    w = Window.partitionBy("doc_id", "page").orderBy("pos", "y")
     y = F.round("y")
     new = F.when(F.abs(y - F.lag(y).over(w)) > LINE_GAP, 1).otherwise(0)
     marked = items.withColumn("_new", new).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     full = marked.where(F.trim("text") != "")
-    return full.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), " ").alias("text"), F.count("*").alias("items"))
+    return full.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "y", "text"))), lambda r: r["text"]), " ").alias("text"), F.count("*").alias("items"))
 
 
 def lines_by_first_item(items: DataFrame) -> DataFrame:
