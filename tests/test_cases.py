@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.functions.chunker import chunked, sentences
-from folio.operators import catalog, layout, reading, usage
+from folio.operators import catalog, chapters, documents, layout, reading, usage
 from folio.sources import files
+from folio.streaming import logs as streams
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -180,3 +181,54 @@ def test_result_cache(spark):
     assert cache.get("k", 50).count() == 3 and cache.get("k", 101) is None
     assert [cache.state("k", t) for t in (5, 50, 200)] == ["fresh", "stale", "expired"]
     assert cache.delete("k") and not cache.delete("k") and cache.clear() == 0
+
+
+@pytest.mark.parametrize("line, want", [
+    ("1. The Search 25", (1, None, "The Search", "25")), ("Introduction: The Old Idea ix", (0, None, "Introduction: The Old Idea", "ix")), ("Appendix A: Brain Basics 302", (None, "Appendix A", "Appendix A: Brain Basics", "302")),
+    ("Bibliography 321", (None, None, "Bibliography", "321")), ("Contents", None), ("Table of contents", None), ("Some dots .... 7", None),
+])
+def test_lines_of_contents(spark, line, want):
+    got = value(spark, T.toc_entry(F.lit(line)))
+    assert (tuple(got) if got else None) == want
+
+
+def test_chapters_by_title(spark):
+    """The contents name both titles, but what follows them stands further on; the second title is broken over two lines."""
+    text = ["Contents", "The First Part 1", "The Second Part 9", "x", "", "The First Part", "a long line of content, number one", "a long line of content, number two", "The Second", "Part", "the content of the second one here", "12", "Copyright of somebody"]
+    lines = chapters.book_lines(spark.createDataFrame([(1, "\n".join(text))], "doc_id long, text string"))
+    titles = spark.createDataFrame([(1, 0, "The First Part"), (1, 1, "The Second Part")], "doc_id long, nth int, title string")
+    got = chapters.chapters_by_title(lines, titles).orderBy("chapter").collect()
+    assert [(r["chapter"], r["title"], r["line"], r["content_lines"]) for r in got] == [(1, "The First Part", 4, 2), (2, "The Second Part", 7, 1)]
+    assert got[1]["content"] == "the content of the second one here"
+
+
+def test_saved_minutes_begin_anew(spark):
+    rows = [(1, 5, "view", at(0)), (2, 5, "view", at(8)), (3, 5, "saved", at(17)), (4, 5, "view", at(40)), (5, 5, "saved", at(49)), (6, 6, "saved", at(0))]
+    df = spark.createDataFrame(rows, "log_id long, user_id long, event_type string, ts timestamp_ntz")
+    assert [(r["log_id"], r["seconds"], r["minutes"]) for r in reading.saved_minutes(df).orderBy("log_id").collect()] == [(3, 17.0, 0), (5, 9.0, 0), (6, 0.0, 0)]
+
+
+def test_an_outline_that_goes_round_is_an_error(spark):
+    rows = spark.createDataFrame([(1, None, "a", 0), (2, 1, "b", 0), (3, 2, "contents", 1), (4, 3, "c", 0)], "id long, parent long, title string, pos int")
+    assert [(r["id"], r["path"]) for r in documents.outline_paths(rows).orderBy("id").collect()] == [(1, "000000"), (2, "000000.000000")]
+    with pytest.raises(ValueError, match="levels"):
+        documents.outline_paths(rows, most_levels=1)
+
+
+def test_a_stream_that_takes_too_long_is_an_error(spark, small):
+    path = f"{small}/events.parquet"
+    with pytest.raises(TimeoutError):
+        streams.run_once(streams.stream_of(spark, path, spark.read.parquet(path)), "append", 0.001)
+
+
+def test_a_record_behind_many_newer_files_is_found(spark, tmp_path):
+    (tmp_path / "old.json").write_text('{"id": "a", "cost": 1.5}')
+    (tmp_path / "broken.json").write_text("{")
+    assert files.one_record(spark, str(tmp_path), "a").first()["cost"] == 1.5
+    assert files.one_record(spark, str(tmp_path), "b").count() == 0
+
+
+def test_updates_can_set_null(spark):
+    table = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    changes = spark.createDataFrame([(1, None)], "k long, v string")
+    assert {r["k"]: r["v"] for r in catalog.updated(table, changes, ["k"]).collect()} == {1: None, 2: "y"}
