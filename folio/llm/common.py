@@ -77,6 +77,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
+def row_hash(seed: int, columns: list[str]) -> Column:
+    """A seeded hash of a row; it also tells in which columns nulls stand, which Spark's hash alone passes over."""
+    return F.xxhash64(F.lit(seed), *columns, *[F.col(c).isNull() for c in columns])
+
+
 def quantile(numerator: int, denominator: int) -> int:
     """The division rounded up, at least 1: a number of buckets for so much data."""
     return max(1, -(-numerator // max(1, denominator)))

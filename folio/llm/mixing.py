@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import DOCUMENT_COLUMNS, SPACE_RUN, quantile, table, text_or_empty, written
+from folio.llm.common import DOCUMENT_COLUMNS, SPACE_RUN, quantile, row_hash, table, text_or_empty, written
 
 SEED = 31_013
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -146,7 +146,7 @@ def dealt(quotas: Sequence[Sequence[int]], blocks: Sequence[int], seed: int = SE
 def rows_of(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and two hashes of the whole row, which tell different documents apart."""
     size = F.col("size") if "size" in docs.columns else word_count(text_or_empty())
-    return docs.select("doc_id", "source", size.alias("size"), *[F.xxhash64(F.lit(k), *docs.columns).alias(f"_k{k}") for k in (1, 2)])
+    return docs.select("doc_id", "source", size.alias("size"), *[row_hash(k, docs.columns).alias(f"_k{k}") for k in (1, 2)])
 
 
 def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most_passes: int = MOST_PASSES, shards: int = SHARDS, seed: int = SEED, total: float | None = None) -> DataFrame:
@@ -226,7 +226,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFra
     pieces = quantile(words, shards * PIECE_WORDS)
     drawn = drawn.select(F.col("_k1").alias("_d1"), F.col("_k2").alias("_d2"), F.explode("draws").alias("_d")).select("_d1", "_d2", F.col("_d.shard").alias("_shard"), F.col("_d.place").alias("_place"))
     # equal rows have their draws together, so one of their texts is enough
-    whole = docs.select("*", *[F.xxhash64(F.lit(k), *docs.columns).alias(f"_k{k}") for k in (1, 2)]).dropDuplicates(["_k1", "_k2"])
+    whole = docs.select("*", *[row_hash(k, docs.columns).alias(f"_k{k}") for k in (1, 2)]).dropDuplicates(["_k1", "_k2"])
     out = drawn.join(whole.hint("merge"), (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2"))).withColumn("_piece", F.pmod("_place", F.lit(pieces)))
     return out.repartition("_shard", "_piece").sortWithinPartitions("_shard", "_piece", "_place").select(*DOCUMENT_COLUMNS)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folio.llm import common
-from folio.llm.common import quantile, table, text_or_empty
+from folio.llm.common import quantile, row_hash, table, text_or_empty
 
 SHARDS = 40
 SEED = 20_011
@@ -59,7 +59,7 @@ def scatter(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
         docs.select(*kept, weights(F.col("doc_id"), shards + 1, seed).alias("_weight"))
         .withColumn("shard", highest(F.slice("_weight", 1, shards)))
         .withColumn("grown_shard", highest(F.col("_weight")))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed - 1), *kept), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(row_hash(seed - 1, kept), F.lit(buckets)).cast("int"))
         .drop("_weight")
     )
 
@@ -67,7 +67,7 @@ def scatter(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
 def shuffled(scattered: DataFrame, seed: int = SEED) -> DataFrame:
     """Pass two: the rows in a random order within their buckets, with their place there."""
     kept = [c for c in scattered.columns if c not in MADE]
-    order = [F.xxhash64(F.lit(seed - k), *kept) for k in (2, 3)]
+    order = [row_hash(seed - k, kept) for k in (2, 3)]
     inside = Window.partitionBy("shard", "bucket").orderBy(*order)
     return scattered.withColumn("place", F.row_number().over(inside).cast("long") - 1)
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import fingerprints, mixing, neardup, packing, quality, secrets, sharding, substrings, suffixes, tokenfile, tokens, toxicity
+from folio.llm.common import row_hash
 from folio.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -240,6 +241,9 @@ def test_mixing_of_equal_and_alike_rows(spark):
     assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
     key = ["doc_id", "source", "size", "_k1", "taken"]
     assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, again[key].values.tolist()))
+    # nulls in different columns are different rows
+    swapped = spark.createDataFrame([(1, "one two", None, "a", 7), (1, "one two", "a", None, 7)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r["lang"], r["source"]) for r in mixing.mixed_documents(swapped).collect()} == {(None, "a"), ("a", None)}
     n = mixing.mixed_documents(docs)
     assert n.where("source = 'x' and text = 'a b c d'").count() == sum(len(d) for d in got[(got["size"] == 4) & (got["source"] == "x")]["draws"]) - n.where("text = 'a b c e'").count()
 
@@ -298,7 +302,7 @@ def test_slots_are_those_of_plain_sorting(spark, tmp_path):
     docs = spark.createDataFrame([(None if i % 3 == 0 else i % 50, f"text {i}") for i in range(600)], "doc_id long, text string")
     schema = sharding.write_shards(docs, f"{tmp_path}/s", 3, bucket_bytes=1000)
     seed = sharding.SEED
-    hashed = docs.select("doc_id", "text", *[F.xxhash64(F.lit(seed - k), "doc_id", "text").alias(f"h{k}") for k in (1, 2)], *[F.xxhash64("doc_id", F.lit(seed + k)).alias(f"w{k}") for k in range(4)]).collect()
+    hashed = docs.select("doc_id", "text", *[row_hash(seed - k, ["doc_id", "text"]).alias(f"h{k}") for k in (1, 2)], *[F.xxhash64("doc_id", F.lit(seed + k)).alias(f"w{k}") for k in range(4)]).collect()
     buckets = -(-sum(len(r["text"]) + 16 for r in hashed) // 3000)
     rows = {}
     for r in hashed:
