@@ -56,13 +56,22 @@ FEATURES = ("length", "digits", "upper", "lower", "transitions", "dictionary", "
 
 
 @lru_cache(maxsize=4)
-def dictionary(path: str | None = None) -> str:
-    """A pattern of ordinary words, the long ones first, from a vocabulary's whole words."""
+def ordinary_words(path: str | None = None) -> tuple[str, ...]:
+    """Whole words of a vocabulary, frequent ones first."""
     ids = json.loads(Path(path or public_tokenizers.path(VOCABULARY)).read_text(encoding="utf-8"))["model"]["vocab"]
     low, high = WORD_LETTERS
     whole = re.compile(rf"([a-z]{{{low},{high}}})</w>")
-    words = [m[1] for t in sorted(ids, key=ids.get) if (m := whole.fullmatch(t))][:DICTIONARY_WORDS]
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    return tuple([m[1] for t in sorted(ids, key=ids.get) if (m := whole.fullmatch(t))][:DICTIONARY_WORDS])
+
+
+@lru_cache(maxsize=4)
+def dictionary(path: str | None = None) -> str:
+    """A pattern of ordinary words, of those with the same beginning the long ones first; by their first two letters, so few are tried at a place."""
+    by_letters: dict[str, dict[str, list[str]]] = {}
+    for w in sorted(ordinary_words(path), key=lambda w: (-len(w), w)):
+        by_letters.setdefault(w[0], {}).setdefault(w[1], []).append(w[2:])
+    second = lambda words: "|".join(f"{b}(?:{'|'.join(words[b])})" for b in sorted(words))
+    return "|".join(f"{a}(?:{second(by_letters[a])})" for a in sorted(by_letters))
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -169,7 +178,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
             lambda: f"bearer {value}", lambda: rng.choice(["ghp_", "gho_", "xoxb-", "sk-", "AIza", "glpat-", "npm_"]) + take(letters + digits, 34) + "1", lambda: "eyJ" + take(letters + digits, 30) + "1." + take(letters + digits, 40),
         ])()
 
-    ordinary = dictionary().split("|")
+    ordinary = sorted(ordinary_words(), key=lambda w: (-len(w), w))
 
     def other() -> str:
         # ordinary words, and made-up ones of other languages
