@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.plans.base import TABLES, cte, frame
 from folio.plans.reading_queries import sessionized_sql
 from folio.plans.registry import query
-from folio.sources import files
+from folio.sources import files, objects
 from folio.streaming import logs as S
 
 
@@ -49,17 +49,19 @@ def t03_saves(spark, folder):
 
 
 def record_files(spark, folder, where="true", path=None):
-    """A folder with a JSON document in a file of its own for each supplier."""
+    """A folder with a JSON document in an object of its own for each supplier, and a broken one for each nation."""
     path = path or files.shared_path(spark, "lake")
     rows = spark.read.parquet(f"{folder}/supplier.parquet").where(where)
     record = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("provider"), F.struct(F.col("s_nationkey").cast("long").alias("promptTokens")).alias("usage"), F.col("s_acctbal").alias("cost"))
-    rows.select(F.col("s_suppkey").alias("record"), F.to_json(record).alias("value")).repartition(8, "record").write.mode("append").partitionBy("record").text(path)
+    good = rows.select(F.col("s_suppkey").cast("string").alias("id"), F.to_json(record).alias("content"))
+    objects.put_objects(good.unionByName(rows.groupBy("s_nationkey").count().select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("id"), F.lit("{broken").alias("content"))), path)
     return path
 
 
 @query("s06_k20_json_lake", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS provider, CAST(s_nationkey AS BIGINT) AS prompt, round(s_acctbal, 2) AS cost FROM supplier")
 def s06(spark, folder):
-    rows = files.json_lake(spark, record_files(spark, folder))
+    path = record_files(spark, folder)
+    rows = files.json_lake(spark, path, most=objects.read_objects(spark, path).count())
     return rows.select("id", "provider", F.col("usage.promptTokens").alias("prompt"), F.round("cost", 2).alias("cost"))
 
 
@@ -72,7 +74,8 @@ def s07(spark, folder):
 def o11(spark, folder):
     path = record_files(spark, folder, "s_suppkey % 3 <> 0")
     record_files(spark, folder, "s_suppkey % 3 = 0", path)
-    newest = spark.read.parquet(f"{folder}/supplier.parquet").where("s_suppkey % 3 = 0").count()
+    late = spark.read.parquet(f"{folder}/supplier.parquet").where("s_suppkey % 3 = 0")
+    newest = late.count() + late.select("s_nationkey").distinct().count()
     return files.json_lake(spark, path, most=newest).select("id")
 
 
@@ -85,12 +88,11 @@ def s08(spark, folder):
     return files.listing(spark, path).where("folder like 'k=%'")
 
 
-@query("s09_objects", "SELECT 's=' || s_suppkey AS object, s_name || chr(10) AS text, CAST(length(s_name) + 1 AS BIGINT) AS bytes FROM supplier")
+@query("s09_objects", "SELECT CAST(s_suppkey AS VARCHAR) AS object, s_name AS text, CAST(strlen(s_name) AS BIGINT) AS bytes FROM supplier")
 def s09(spark, folder):
     path = files.shared_path(spark, "objects")
-    rows = spark.read.parquet(f"{folder}/supplier.parquet").select(F.col("s_suppkey").alias("s"), F.col("s_name").alias("value"))
-    rows.repartition(8, "s").write.partitionBy("s").text(path)
-    return files.objects(spark, path + "/*/*.txt").select(F.regexp_extract("path", r"/(s=\d+)/", 1).alias("object"), "text", F.col("length").alias("bytes"))
+    objects.put_objects(spark.read.parquet(f"{folder}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("content")), path)
+    return objects.read_objects(spark, path).select(F.substring_index("path", "/", -1).alias("object"), F.col("content").alias("text"), F.col("size").alias("bytes"))
 
 
 @query("s10_book_settings", "SELECT p_partkey AS book_id, CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 2 = 0 THEN p_name ELSE 'no title' END AS title, 'no author' AS author, CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 3 = 0 THEN 1 ELSE 0 END AS names FROM part")

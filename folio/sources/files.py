@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.sources.objects import read_objects
+
 RECORD_SCHEMA = "id string, timestamp string, modelId string, provider string, usage struct<promptTokens bigint, completionTokens bigint, totalTokens bigint>, cost double, endpoint string"
 MARK_SCHEMA = "time bigint, type string, start int, end int, value string"
 CHUNK_KINDS = ("text", "image", "header")
@@ -41,20 +43,21 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    """All records of a folder with a JSON document in each file, with ``_modified`` and ``_file``; what can't be read is left out."""
-    rows = spark.read.schema(schema + ", _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return rows.select("*", F.col("_metadata.file_modification_time").alias("_modified"), F.col("_metadata.file_name").alias("_file")).where("_broken is null").drop("_broken")
+def records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, most: int | None = None) -> DataFrame:
+    """The records of a folder with a JSON document in each object, with ``_modified`` and ``_path``; what can't be read is left out."""
+    parsed = F.from_json("content", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    rows = read_objects(spark, path, most).select(parsed.alias("r"), F.col("modified").alias("_modified"), F.col("path").alias("_path"))
+    return rows.where("r is not null and r._broken is null").select("r.*", "_modified", "_path").drop("_broken")
 
 
 def json_lake(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, most: int = 10_000) -> DataFrame:
-    """The records of the newest files, at most so many."""
-    return records(spark, path, schema).orderBy(F.desc("_modified"), "_file").limit(most).drop("_modified", "_file")
+    """The records of the newest objects, at most so many: listed and cut before any is opened."""
+    return records(spark, path, schema, most).drop("_modified", "_path")
 
 
 def one_record(spark: SparkSession, path: str, record: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    """The record of this id, of the newest file that has it; however many files are newer."""
-    return records(spark, path, schema).where(F.col("id") == record).orderBy(F.desc("_modified"), "_file").limit(1).drop("_modified", "_file")
+    """The record of this id, of the newest object that has it; however many objects are newer."""
+    return records(spark, path, schema).where(F.col("id") == record).orderBy(F.desc("_modified"), "_path").limit(1).drop("_modified", "_path")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +74,6 @@ def images(spark: SparkSession, path: str, kinds: tuple[str, ...] = IMAGE_KINDS)
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
 
 
-def objects(spark: SparkSession, path: str) -> DataFrame:
-    """Objects by path (one, or a pattern of many) with their bytes and, as UTF-8, their text."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content", F.decode("content", "UTF-8").alias("text"))
-
-
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
