@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,3 +193,16 @@ def prompt(title: Column, context: Column, history: Column, question: Column) ->
     """A question about a book with what is known; parts that are empty are left out."""
     part = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c, F.lit("\n"))).otherwise("")
     return F.concat(part("Book: ", title), part("Context: ", context), part("Conversation: ", history), F.lit("Question: "), question)
+
+
+def sentences(c: Column) -> Column:
+    """The words of a text, given as an array, as an array of (start, words, text): a sentence ends with a word that ends in a closing sign,
+    unless that is an abbreviation before a small letter. Words behind the last such end are a sentence too."""
+    n = F.size(c)
+    small = lambda after: F.coalesce(after.rlike("^[a-z]"), F.lit(False))
+    short = lambda word: F.rlike(F.lower(word), F.lit("(?:" + "|".join(re.escape(a.lower()) for a in ABBREVIATIONS) + r")\z"))
+    closes = F.zip_with(c, F.slice(c, F.lit(2), n), lambda word, after: word.rlike(r"[.!?]\z") & ~(small(after) & short(word)))
+    cuts = F.filter(F.transform(closes, lambda yes, i: F.when(yes, i + 1)), lambda at: at.isNotNull())
+    stops = F.array_distinct(F.concat(cuts, F.filter(F.array(n), lambda x: x > 0)))
+    starts = F.slice(F.concat(F.array(F.lit(0)), stops), F.lit(1), F.size(stops))
+    return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b - a).alias("words"), F.array_join(F.slice(c, a + 1, b - a), " ").alias("text")))

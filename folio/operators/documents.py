@@ -114,7 +114,8 @@ def buffered_sentences(texts: DataFrame, key: str, text: str, least: int = 5) ->
             rows = []
             for k, t in zip(f[key], f[text], strict=True):
                 held, n, nth = [], 0, 0
-                for part in SENTENCE.findall(t or ""):
+                # behind the last closing sign nothing can match, and looking for it from every place would take long
+                for part in SENTENCE.findall((t or "")[: max((t or "").rfind(c) for c in ".!?") + 1]):
                     words = part.split()
                     if words:
                         held.append(part.strip())

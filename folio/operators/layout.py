@@ -12,6 +12,10 @@ from folio.functions import text as T
 
 LINE_GAP = 5
 TOLERANCE = 50
+#: Side of a cell of the grid in points, and how many cells a rectangle may touch before it meets its whole page.
+CELL, MOST_CELLS = 64.0, 256
+#: Rows of a key beyond which it is parted, and into how many runs.
+RUN_ROWS, RUNS = 200_000, 256
 
 
 def lines_of_items(items: DataFrame) -> DataFrame:
@@ -52,19 +56,56 @@ def overlaps(a: str, b: str) -> Column:
     return (F.col(f"{a}x1") <= F.col(f"{b}x2")) & (F.col(f"{b}x1") <= F.col(f"{a}x2")) & (F.col(f"{a}y1") <= F.col(f"{b}y2")) & (F.col(f"{b}y1") <= F.col(f"{a}y2"))
 
 
-def text_under(links: DataFrame, items: DataFrame) -> DataFrame:
+def in_cells(rects: DataFrame, p: str, grow: float = 0.0, cell: float = CELL) -> tuple[DataFrame, DataFrame]:
+    """Rectangles of a prefix in each cell (``_cx``, ``_cy``) that they touch, and apart those of ``no_cells``.
+
+    A rectangle without all four corners touches nothing and is in neither.
+    """
+    low, high = lambda c: F.floor((F.col(p + c) - grow) / cell), lambda c: F.floor((F.col(p + c) + grow) / cell)
+    whole = rects.where(F.expr(" and ".join(f"{p}{c} is not null" for c in ("x1", "x2", "y1", "y2")))).withColumn("_apart", no_cells(p, grow, cell))
+    narrow = whole.where(~F.col("_apart")).withColumn("_cx", F.explode(F.sequence(low("x1"), high("x2")))).withColumn("_cy", F.explode(F.sequence(low("y1"), high("y2"))))
+    return narrow.drop("_apart"), whole.where("_apart").drop("_apart")
+
+
+def no_cells(p: str, grow: float = 0.0, cell: float = CELL) -> Column:
+    """Whether a rectangle touches more than ``MOST_CELLS`` cells or has its corners exchanged, so that it is to meet its whole page."""
+    n = [(F.floor((F.col(p + c + "2") + grow) / cell) - F.floor((F.col(p + c + "1") - grow) / cell) + 1).cast("double") for c in ("x", "y")]
+    return F.coalesce((n[0] * n[1] > MOST_CELLS) | (F.col(p + "x1") > F.col(p + "x2")) | (F.col(p + "y1") > F.col(p + "y2")), F.lit(False))
+
+
+def touching(a: DataFrame, b: DataFrame, p: str, q: str, cell: float = CELL) -> DataFrame:
+    """Pairs of rectangles of one document's page (``doc_id``, ``page``) that share a point, each pair once.
+
+    By a grid: only what lies in one cell meets, and the cell of the lower corner of what both share gives out the pair. What is
+    not in cells meets all of its page.
+    """
+    (small_a, wide_a), (small_b, wide_b) = in_cells(a, p, cell=cell), in_cells(b, q, cell=cell)
+    near = small_a.join(small_b, ["doc_id", "page", "_cx", "_cy"]).where(overlaps(p, q))
+    corner = [F.floor(F.greatest(F.col(p + c), F.col(q + c)) / cell) == F.col(k) for c, k in (("x1", "_cx"), ("y1", "_cy"))]
+    columns = ["doc_id", "page", *[c for d in (a, b) for c in d.columns if c not in ("doc_id", "page")]]
+    far = wide_a.join(b, ["doc_id", "page"]).where(overlaps(p, q))
+    rest = a.join(wide_b, ["doc_id", "page"]).where(overlaps(p, q) & ~no_cells(p, cell=cell))
+    return near.where(corner[0] & corner[1]).select(*columns).unionByName(far.select(*columns)).unionByName(rest.select(*columns))
+
+
+def text_under(links: DataFrame, items: DataFrame, cell: float = CELL) -> DataFrame:
     """links (link_id, doc_id, page, l..) with the items (doc_id, page, pos, text, i..) that their rectangle touches, in order; "Link" if none."""
-    placed = items.withColumnRenamed("page", "_page").withColumnRenamed("doc_id", "_doc")
-    touched = links.join(placed, (F.col("doc_id") == F.col("_doc")) & (F.col("page") == F.col("_page")) & overlaps("l", "i"), "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "text")))), lambda r: r["text"]), " ")
-    return touched.groupBy("link_id", "doc_id", "page").agg(F.when(F.count("pos") == 0, "Link").otherwise(text).alias("text"))
+    places = links.select("link_id", "doc_id", "page", "lx1", "lx2", "ly1", "ly2")
+    touched = touching(places, items.select("doc_id", "page", "pos", "text", "ix1", "ix2", "iy1", "iy2"), "l", "i", cell)
+    found = touched.groupBy("link_id", "doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), " ").alias("text"))
+    return links.select("link_id", "doc_id", "page").join(found, ["link_id", "doc_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("Link")))
+
 
+def nearest_chunk(points: DataFrame, chunks: DataFrame, tolerance: float = TOLERANCE, cell: float = CELL) -> DataFrame:
+    """points (point_id, doc_id, page, x, y) with the chunk of the page whose rectangle, widened, has the point and whose middle is nearest.
 
-def nearest_chunk(points: DataFrame, chunks: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """points (point_id, doc_id, page, x, y) with the chunk of the page whose rectangle, widened, has the point and whose middle is nearest."""
+    By a grid too: a point is in one cell, and meets the chunks that reach it.
+    """
     inside = F.col("x").between(F.col("cx1") - tolerance, F.col("cx2") + tolerance) & F.col("y").between(F.col("cy1") - tolerance, F.col("cy2") + tolerance)
     middle = F.pow(F.col("x") - (F.col("cx1") + F.col("cx2")) / 2, 2) + F.pow(F.col("y") - (F.col("cy1") + F.col("cy2")) / 2, 2)
-    met = points.join(chunks, ["doc_id", "page"]).where(inside)
+    placed, wide = in_cells(chunks, "c", tolerance, cell)
+    near = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)}).join(placed, ["doc_id", "page", "_cx", "_cy"]).drop("_cx", "_cy")
+    met = near.unionByName(points.join(wide, ["doc_id", "page"])).where(inside)
     return met.groupBy("point_id").agg(F.min_by("chunk_id", F.struct(middle, F.col("chunk_id"))).alias("chunk_id"))
 
 
@@ -160,13 +201,27 @@ def estimated_rectangles(chunks: DataFrame, height: float = 792.0) -> DataFrame:
     return chunks.withColumn("cy2", height - i * height / n).withColumn("cy1", height - (i + 1) * height / n)
 
 
-def word_at(times: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+def word_at(times: DataFrame, marks: DataFrame, keys: list[str], run_rows: int = RUN_ROWS) -> DataFrame:
     """As-of join: for each time the word whose mark is the latest not after it, the first before all marks; none without marks.
 
-    Marks (keys, word, mark) and times (keys, t, ..) stand in one order, and a time looks back to the last mark.
+    Marks (keys, word, mark) and times (keys, t, ..) stand in one order, and a time looks back to the last mark. A key with more than
+    ``run_rows`` of them is parted into runs at its quantiles: inside a run by a window, and what is the last mark before a
+    run comes from a second window over the runs of the key. A null time, key or mark: a null time stands before all marks,
+    null keys match nothing, a null mark is none.
     """
+    known = marks.where(F.col("mark").isNotNull()).select(*keys, F.col("mark").cast("double").alias("_at"), F.lit(0).alias("_kind"), "word")
+    asked = times.withColumns({"_at": F.col("t").cast("double"), "_kind": F.lit(1)})
+    both = known.unionByName(asked, allowMissingColumns=True).where(F.coalesce(*[F.col(k).isNotNull() for k in keys]))
+    cuts = F.percentile_approx("_at", [i / RUNS for i in range(1, RUNS)])
+    parted = both.groupBy(*keys).agg(F.count("*").alias("_n"), cuts.alias("_cuts")).where(F.col("_n") > run_rows).select(*keys, F.array_distinct("_cuts").alias("_cuts"))
+    run = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))), F.lit(0))
+    rows = both.join(parted, keys, "left").withColumn("_run", F.when(F.col("_cuts").isNull(), 0).otherwise(run)).drop("_cuts")
+    mark = F.when(F.col("_kind") == 0, F.struct("_at", "word"))
+    runs = rows.groupBy(*keys, "_run").agg(F.max(mark).alias("_last"), F.min(mark).alias("_first"))
     w = Window.partitionBy(*keys)
-    both = marks.select(*keys, F.col("mark").alias("_at"), F.lit(0).alias("_kind"), "word").unionByName(times.withColumns({"_at": F.col("t"), "_kind": F.lit(1)}), allowMissingColumns=True)
-    last = F.last("word", ignorenulls=True).over(w.orderBy("_at", "_kind", "word").rowsBetween(Window.unboundedPreceding, 0))
-    first = F.min_by("word", F.when(F.col("_kind") == 0, F.struct("_at", "word"))).over(w)
-    return both.withColumn("word", F.coalesce(last, first)).where("_kind = 1 and word is not null").select(*times.columns, "word")
+    before = F.last("_last", ignorenulls=True).over(w.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    carried = runs.select(*keys, "_run", F.coalesce(before, F.min("_first").over(w)).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_run").orderBy("_at", "_kind", "word").rowsBetween(Window.unboundedPreceding, 0)
+    latest = rows.withColumn("_latest", F.last(mark, ignorenulls=True).over(inside)).where("_kind = 1")
+    met = latest.drop("word").join(carried, [*keys, "_run"]).withColumn("word", F.coalesce("_latest", "_carried")["word"])
+    return met.where(F.coalesce("_latest", "_carried").isNotNull()).select(*times.columns, "word")

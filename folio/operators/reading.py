@@ -163,11 +163,17 @@ def active_minutes(logs: DataFrame, most_seconds: int = 10) -> DataFrame:
 def saved_minutes(logs: DataFrame, most_seconds: int = 10) -> DataFrame:
     """(log_id, user_id, seconds, minutes) of each log of the type ``saved``: the active time since the save before, and its rounded minutes.
 
-    What is less than half a minute is lost with a save, as the count begins anew.
+    What is less than half a minute is lost with a save, as the count begins anew. In two steps, rows inside a day and days of a user; the
+    time of a span is a sum by span, so neither a user nor a span is one task's.
     """
-    w = Window.partitionBy("user_id").orderBy("ts", "log_id")
-    gap = minutes_between(F.lag("ts").over(w), F.col("ts")) * 60
-    counted = logs.withColumn("_active", F.when(gap < most_seconds, gap).otherwise(0.0)).withColumn("_is_save", (F.col("event_type") == "saved").cast("int"))
-    spans = counted.withColumn("_span", F.sum("_is_save").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_is_save"))
-    seconds = F.sum("_active").over(Window.partitionBy("user_id", "_span"))
-    return spans.withColumn("seconds", F.round(seconds, 3)).where("_is_save = 1").select("log_id", "user_id", "seconds", F.round(F.col("seconds") / 60).cast("long").alias("minutes"))
+    logs = logs.withColumns({"_day": F.to_date("ts"), "_is_save": (F.col("event_type") == "saved").cast("int")})
+    by_user = Window.partitionBy("user_id").orderBy("_day")
+    days = logs.groupBy("user_id", "_day").agg(F.max("ts").alias("_last"), F.sum("_is_save").alias("_saves"))
+    earlier = F.coalesce(F.sum("_saves").over(by_user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("user_id", "_day", F.lag("_last").over(by_user).alias("_before"), earlier.alias("_earlier"))
+    inside = Window.partitionBy("user_id", "_day").orderBy("ts", "log_id")
+    gap = minutes_between(F.coalesce(F.lag("ts").over(inside), F.col("_before")), F.col("ts")) * 60
+    rows = logs.join(days, ["user_id", "_day"]).withColumn("_active", F.when(gap < most_seconds, gap).otherwise(0.0))
+    rows = rows.withColumn("_span", F.col("_earlier") + F.sum("_is_save").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_is_save"))
+    spans = rows.groupBy("user_id", "_span").agg(F.max(F.when(F.col("_is_save") == 1, F.col("log_id"))).alias("log_id"), F.round(F.sum("_active"), 3).alias("seconds"))
+    return spans.where("log_id is not null").select("log_id", "user_id", "seconds", F.round(F.col("seconds") / 60).cast("long").alias("minutes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import catalog, documents, usage
+from folio.plans import chunk_sql
 from folio.plans.base import cte, frame
 from folio.plans.reading_queries import CHUNKS, chunks
 from folio.plans.registry import query
@@ -59,7 +60,7 @@ def x17(spark, folder):
     return contents(spark, folder)
 
 
-@query("x22_buffered_sentences")
+@query("x22_buffered_sentences", chunk_sql.X22)
 def x22(spark, folder):
     return documents.buffered_sentences(docs(spark, folder), "doc_id", "text")
 
@@ -85,9 +86,10 @@ def x07(spark, folder):
     return pairs.where(documents.goes_on(first, second) & ~F.trim(first).endswith(".")).select("doc_id", "line")
 
 
-@query("x01_sentence_ends", "SELECT doc_id, len(regexp_extract_all(text, '[.!?]+(?:\\s|$)')) AS ends FROM documents")
+@query("x01_sentences", chunk_sql.X01)
 def x01(spark, folder):
-    return docs(spark, folder).select("doc_id", F.regexp_count("text", F.lit(r"[.!?]+(?:\s|\z)")).cast("long").alias("ends"))
+    worded = docs(spark, folder).select("doc_id", T.words("text").alias("w"))
+    return worded.select("doc_id", F.posexplode(T.sentences(F.col("w"))).alias("nth", "s")).select("doc_id", "nth", "s.start", "s.words", "s.text")
 
 
 @query("p11_text_chunks", cte("chunk_rows") + "SELECT book_id, chapter_number, count(*) FILTER (type = 'text') AS texts FROM chunk_rows GROUP BY ALL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import chunker
 from folio.functions import text as T
 from folio.functions.fixed import ABBREVIATIONS, NUMBER_WORDS, ROMAN
+from folio.plans import chunk_sql
 from folio.plans.base import cte, frame
 from folio.plans.registry import query
 
@@ -241,7 +242,7 @@ def x03(spark, folder):
     return marked(spark, folder).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query("x02_chunks")
+@query("x02_chunks", chunk_sql.x02(LINES + ", " + HEAD))
 def x02(spark, folder):
     return chunker.chunk_table(marked(spark, folder), "doc_id", "text")
 
@@ -251,7 +252,7 @@ def x02_headers(spark, folder):
     return x02(spark, folder).where("type = 'header'").groupBy("doc_id").agg(F.count("*").alias("headers"), F.sum("word_count").alias("words"))
 
 
-@query("x21_plain_chunks")
+@query("x21_plain_chunks", chunk_sql.X21)
 def x21(spark, folder):
     return chunker.chunk_table(docs(spark, folder), "doc_id", "text", plain=True)
 
@@ -266,11 +267,6 @@ def x02_totals(spark, folder):
     return x02(spark, folder).groupBy("doc_id").agg(F.sum("word_count").alias("words"))
 
 
-@query("a16_a17_document_summary", "SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(round(avg(n_chars)) AS BIGINT) AS mean_chars FROM documents GROUP BY lang")
-def a16(spark, folder):
-    return docs(spark, folder).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars")).cast("long").alias("mean_chars"))
-
-
 @query("a18_book_totals", cte("chunk_rows") + "SELECT book_id, count(DISTINCT chapter_number) AS chapters, CAST(sum(word_count) AS BIGINT) AS words, CAST(round(avg(word_count)) AS BIGINT) AS mean_words FROM chunk_rows GROUP BY 1")
 def a18(spark, folder):
     return frame(spark, folder, "chunk_rows").groupBy("book_id").agg(F.count_distinct("chapter_number").alias("chapters"), F.sum("word_count").alias("words"), F.round(F.avg("word_count")).cast("long").alias("mean_words"))
