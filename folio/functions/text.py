@@ -11,13 +11,20 @@ from folio.functions.fixed import ABBREVIATIONS, NUMBER_WORDS, ROMAN
 
 #: The marks around a heading in a page's text.
 HEADING_OPENS, HEADING_CLOSES = "⟨⟨HEADING⟩⟩", "⟨⟨/HEADING⟩⟩"
-SPACE = r"(?U)[\s\x{FEFF}]+"
+#: White space inside a class of characters, the no-break and the zero-width one of U+FEFF too, the next-line sign not.
+SPACES = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACE = rf"[{SPACES}]+"
 
 
 def words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE), lambda w: w != "")
 
 
+def trimmed(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(c, rf"\A{SPACE}|{SPACE}\z", "")
+
+
 def split_size(c: Column) -> Column:
     """Parts between white space, empty ones too: 1 for an empty text."""
     return F.size(F.split(c, r"\s+"))
@@ -58,7 +65,7 @@ def folded(c: Column) -> Column:
     """A title or line with plain quotes, single spaces and no page number at its end."""
     out = F.regexp_replace(c, SPACE, " ")
     out = F.translate(out, "“”″‶‘’\\", "\"\"\"\"''")
-    return F.trim(F.regexp_replace(out, r"(?i)\s+(?:ix|xi{1,3}|[0-9]+)\s*\z", ""))
+    return trimmed(F.regexp_replace(out, r"(?i) +(?:ix|xi{1,3}|[0-9]+) *\z", ""))
 
 
 def folded_match(a: Column, b: Column) -> Column:
@@ -93,28 +100,28 @@ def number_of(word: Column) -> Column:
 
 def ends_abbreviated(c: Column) -> Column:
     """Whether a text's end is an abbreviation, by its last letters alone."""
-    low = F.lower(F.trim(c))
+    low = F.lower(trimmed(c))
     return F.exists(F.array(*[F.lit(a.lower()) for a in ABBREVIATIONS]), lambda a: F.endswith(low, a))
 
 
 def is_heading(line: Column, following: Column, previous: Column) -> Column:
     """Whether a line of a page is a heading, by itself and the lines around it."""
-    t = F.trim(line)
+    t = trimmed(line)
     w = words(t)
     n, first, second = F.size(w), F.get(w, F.lit(0)), F.get(w, F.lit(1))
     shape = (F.char_length(t) >= 3) & ~t.contains("@") & (n <= 10) & ~t.rlike(r"[.!?;)@]\z") & t.rlike("^[A-Z]")
-    before = F.trim(previous)
+    before = trimmed(previous)
     after_end = previous.isNull() | (F.char_length(before) == 0) | before.rlike(r"[.!?;0-9]\z")
     symbol = (n >= 2) & first.rlike(r"^[A-Z][a-z]?\z") & second.rlike(r"^[a-z]|^\d+\z")
     index = t.rlike(r"\b\d+[-–]\d+|\b\d+n\d+|\b\d+,\s*\d+|\s\d+\z") | t.rlike(r"^[A-Z]\)\s")
     strong = (t == F.upper(t)) | t.endswith(":")
-    weak = (n <= 6) & F.coalesce(F.trim(following).rlike("^[A-Z0-9]"), F.lit(False))
+    weak = (n <= 6) & F.coalesce(trimmed(following).rlike("^[A-Z0-9]"), F.lit(False))
     return shape & F.coalesce(after_end, F.lit(True)) & ~F.coalesce(symbol, F.lit(False)) & ~index & (strong | weak)
 
 
 def marked_heading(line: Column, following: Column, previous: Column) -> Column:
     """A trimmed line, in a heading's marks where it is one."""
-    t = F.trim(line)
+    t = trimmed(line)
     return F.when(is_heading(line, following, previous), F.concat(F.lit(HEADING_OPENS), t, F.lit(HEADING_CLOSES))).otherwise(t)
 
 
@@ -145,27 +152,60 @@ def toc_entry(line: Column) -> Column:
     Four forms are tried in turn: a number, a title and a page; an introduction (number 0) with a page, that may be Roman;
     an appendix with its letter; letters and a page.
     """
-    t = F.trim(line)
-    forms = [(r"^(\d+)\.?\s+(.+?)\s+(\d+)\z", 2, 3), (r"(?i)^(introduction[:\s]*.*?)\s+([ivx]+|\d+)\z", 1, 2), (r"(?i)^(appendix\s+[a-z][:\s]*.*?)\s+(\d+)\z", 1, 2), (r"^([A-Za-z\s]+)\s+(\d+)\z", 1, 2)]
-    out = F.when(t.rlike(r"(?i)^(?:contents?|table of contents|page|chapter)\z"), None)
+    t = trimmed(line)
+    forms = [
+        (rf"^([0-9]+)\.?{SPACE}(.+?){SPACE}([0-9]+)\z", 2, 3), (rf"(?iu)^(introduction[:{SPACES}]*.*?){SPACE}([ivx]+|[0-9]+)\z", 1, 2),
+        (rf"(?iu)^(appendix{SPACE}[a-z][:{SPACES}]*.*?){SPACE}([0-9]+)\z", 1, 2), (rf"^([A-Za-z{SPACES}]+){SPACE}([0-9]+)\z", 1, 2),
+    ]
+    out = F.when(t.rlike(r"(?iu)^(?:contents?|table of contents|page|chapter)\z"), None)
     for form, at_title, at_page in forms:
-        title = F.trim(F.regexp_extract(t, form, at_title))
-        number = F.regexp_extract(t, form, 1).cast("int") if at_title == 2 else F.when(F.lower(title).contains("introduction"), 0)
-        letter = F.regexp_extract(title, r"(?i)appendix\s+([a-z])", 1)
+        title = trimmed(F.regexp_extract(t, form, at_title))
+        number = F.regexp_extract(t, form, 1).try_cast("int") if at_title == 2 else F.when(F.lower(title).contains("introduction"), 0)
+        letter = F.regexp_extract(title, rf"(?iu)appendix{SPACE}([a-z])", 1)
         label = F.when((F.lit(at_title == 1)) & number.isNull() & (letter != ""), F.concat(F.lit("Appendix "), letter))
         entry = F.struct(number.alias("number"), label.alias("label"), title.alias("title"), F.regexp_extract(t, form, at_page).alias("page"))
         out = out.when(t.rlike(form), entry)
     return out
 
 
+WORDED = "|".join(NUMBER_WORDS)
+
+
 def chapter_of_title(title: Column) -> Column:
-    """(number, label, title) of a chapter's heading."""
-    numbered = F.regexp_extract(title, r"(?i)^(?:chapter\s+)?(\d+)[.:\s]+(.*)\z", 1)
-    worded = F.regexp_extract(title, rf"(?i)^chapter\s+({'|'.join(NUMBER_WORDS)})\b", 1)
-    rest = F.trim(F.regexp_replace(title, rf"(?i)^(?:chapter\s+)?(?:\d+|{'|'.join(NUMBER_WORDS)})[.:\s]+", ""))
-    number = F.when(numbered != "", numbered.cast("int")).when(worded != "", number_of(worded)).when(title.rlike("(?i)^(?:introduction|preface|prologue)"), 0)
-    label = F.when(title.rlike("(?i)^appendix"), F.regexp_extract(title, r"(?i)^(appendix(?:\s+\w+)?)", 1)).when(title.rlike("(?i)^epilogue"), "Epilogue")
-    return F.struct(number.alias("number"), label.alias("label"), F.when(numbered.eqNullSafe("") & worded.eqNullSafe(""), title).otherwise(rest).alias("title"))
+    """(number, label, title) of a bookmark's title: "1. Title" has a number and the rest; "Chapter Two: Title" a number, an introduction 0,
+    an appendix and an epilogue a label, all with the whole title; any other title is just that."""
+    t = trimmed(title)
+    numbered, worded = rf"^([0-9]+)\.?{SPACE}(.+)\z", rf"(?iu)^chapter{SPACE}({WORDED}):[{SPACES}]*(.+)\z"
+    appendix = F.regexp_extract(t, rf"(?iu)^appendix{SPACE}([a-z0-9]+)", 1)
+    has = lambda word: F.lower(t).contains(word)
+    whole = lambda number, label: F.struct(number.cast("int").alias("number"), label.cast("string").alias("label"), t.alias("title"))
+    none = F.lit(None)
+    by_number = F.struct(F.regexp_extract(t, numbered, 1).try_cast("int").alias("number"), none.cast("string").alias("label"), trimmed(F.regexp_extract(t, numbered, 2)).alias("title"))
+    return (
+        F.when(t.rlike(numbered), by_number).when(t.rlike(worded), whole(number_of(F.regexp_extract(t, worded, 1)), none)).when(has("introduction"), whole(F.lit(0), none))
+        .when(appendix != "", whole(none, F.concat(F.lit("Appendix "), appendix))).when(has("epilogue"), whole(none, F.lit("Epilogue"))).otherwise(whole(none, none))
+    )
+
+
+#: fixed values: titles that are chapters by themselves, in the second set of rules
+SPECIAL_TITLES = ["introduction", "conclusion", "epilogue", "prologue", "preface", "foreword", "afterword"]
+
+
+def chapter_of_outline(title: Column) -> Column:
+    """(number, label, title) by the second set of rules: "Chapter 3: Title", with words to twelve; "3. Title"; "III. Title", with a label where the
+    numeral is above ten; "Chapter Sixteen" is none, as no word is taken for its beginning; titles that are chapters by themselves, with these as labels. Null for any other title."""
+    t = trimmed(title)
+    chapter = rf"(?iu)^chapter{SPACE}([0-9]+|(?:{'|'.join(NUMBER_WORDS[:12])})\b):?[{SPACES}]*(.+)"
+    numbered, roman = rf"^([0-9]+)\.?{SPACE}(.+)", rf"(?iu)^([ivxlcdm]+)\.{SPACE}(.+)"
+    which, numeral = F.regexp_extract(t, chapter, 1), F.lower(F.regexp_extract(t, roman, 1))
+    entry = lambda number, label, rest: F.struct(number.cast("int").alias("number"), label.cast("string").alias("label"), rest.alias("title"))
+    none, rest = F.lit(None), lambda form: trimmed(F.regexp_extract(t, form, 2))
+    return (
+        F.when(t.rlike(chapter), entry(F.coalesce(which.try_cast("int"), number_of(which)), none, rest(chapter)))
+        .when(t.rlike(numbered), entry(F.regexp_extract(t, numbered, 1).try_cast("int"), none, rest(numbered)))
+        .when(t.rlike(roman), entry(number_of(numeral), F.when(number_of(numeral).isNull(), numeral), rest(roman)))
+        .when(F.lower(t).isin(SPECIAL_TITLES), entry(none, F.lower(t), t))
+    )
 
 
 def navigation_kind(text: Column, has_point: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators.documents import PUBLISHING, preferred, sections
 
-SPACES = " \t\n\r\f\v"
 #: Lines behind a title in which its content is counted, and letters of a line that counts.
 BODY, LEAST_BODY = 99, 20
 #: Lines in which the contents' heading is looked for, and from where to where behind it the first title.
@@ -21,13 +20,13 @@ CONTENTS_WITHIN, TITLE_FROM, TITLE_TO = 200, 5, 100
 
 def book_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, text): the trimmed lines that are not empty, counted from 0."""
-    trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)))
+    trimmed = F.transform(F.split("text", "\n"), T.trimmed)
     return docs.select("doc_id", F.posexplode(F.filter(trimmed, lambda x: x != "")).alias("line", "text"))
 
 
 def content_line(text: Column) -> Column:
     """Whether a line is a chapter's content: long enough, no page number, no publishing data."""
-    return (F.char_length(text) > 10) & ~text.rlike(r"^\d+\z") & ~text.rlike(rf"(?i)^(?:{PUBLISHING})")
+    return (F.char_length(text) > 10) & ~text.rlike(r"^\d+\z") & ~text.rlike(rf"(?iu)^(?:{PUBLISHING})")
 
 
 def content_chapter(number: Column, label: Column, title: Column, page: Column, names: list[str]) -> Column:

@@ -14,6 +14,8 @@ from folio.sources.files import shared_path
 
 SENTENCE = re.compile(r"[^.!?]+[.!?]")
 
+#: Digits of a position in a path; as many as the largest one has.
+PLACES = 19
 LEAST_CHAPTER = 200
 LEAST_PAGE = 50
 
@@ -25,7 +27,7 @@ def outline_paths(outline: DataFrame, most_levels: int = 100) -> DataFrame:
     """
     spark = outline.sparkSession
     path = shared_path(spark, "outline")
-    entries = outline.where(F.lower("title") != "contents").withColumn("_place", F.lpad(F.col("pos").cast("string"), 6, "0"))
+    entries = outline.where(F.lower("title") != "contents").withColumn("_place", F.lpad(F.col("pos").cast("string"), PLACES, "0"))
     level = entries.where("parent is null").select("id", "title", F.lit(0).alias("depth"), F.col("_place").alias("path"))
     for depth in range(most_levels):
         level.write.parquet(f"{path}/level-{depth}")
@@ -38,36 +40,36 @@ def outline_paths(outline: DataFrame, most_levels: int = 100) -> DataFrame:
 
 
 # fixed values: what a chapter's line begins with, what a line of publishing data begins with, and what a reference has
-CHAPTER_PATTERNS = (r"(?i)^chapter\s+\w+", r"^\d+[.:]\s+\S", r"(?i)^[a-z][a-z\s]{4,}\z")
+CHAPTER_PATTERNS = (rf"(?iu)^chapter{T.SPACE}\w+", rf"^\d+[.:]{T.SPACE}[^{T.SPACES}]", rf"(?iu)^[a-z][a-z{T.SPACES}]{{4,}}\z")
 PUBLISHING = "isbn|copyright|typeset|printed|published|all rights|first published|volume"
 REFERENCE = r"\(\w+,|\d{4}\)|press|oxford|university|journal"
 
 
 def chapter_line(line: Column, patterns: tuple[str, ...] = CHAPTER_PATTERNS) -> Column:
     """Whether a line can be a chapter's heading: it fits a pattern, and is no page number, publishing data, part of a sentence or reference."""
-    t = F.trim(line)
+    t = T.trimmed(line)
     fits = F.lit(False)
     for p in patterns:
         fits = fits | t.rlike(p)
     part = t.rlike("[,;]") | t.rlike(r"(?:of|the|and)\z")
-    return fits & ~t.rlike(r"(?i)^(?:page\s+)?\d+\z") & ~t.rlike(f"(?i)^(?:{PUBLISHING})") & F.char_length(t).between(5, 50) & ~part & ~t.rlike(f"(?i){REFERENCE}")
+    return fits & ~t.rlike(rf"(?iu)^(?:page{T.SPACE})?\d+\z") & ~t.rlike(f"(?iu)^(?:{PUBLISHING})") & F.char_length(t).between(5, 50) & ~part & ~t.rlike(f"(?iu){REFERENCE}")
 
 
 def without_heading(text: Column, title: Column) -> Column:
     """A text without its chapter's title, where that stands in the first 200 letters and enough is left."""
     plain = F.upper(F.regexp_replace(title, "[:?]", ""))
     at = F.instr(F.upper(text), plain)
-    left = F.trim(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.char_length(plain), F.char_length(text))))
+    left = T.trimmed(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.char_length(plain), F.char_length(text))))
     return F.when((at > 0) & (at <= LEAST_CHAPTER) & (F.char_length(left) > 10), joined_first_letter(left)).otherwise(text)
 
 
 def joined_first_letter(text: Column) -> Column:
-    return F.regexp_replace(text, r"^([A-Z])\s+([a-z])", "$1$2")
+    return F.regexp_replace(text, rf"^([A-Z]){T.SPACE}([a-z])", "$1$2")
 
 
 def goes_on(first: Column, second: Column, first_kind: Column | None = None, second_kind: Column | None = None) -> Column:
     """Whether a second piece of text goes on with the first one's sentence; never a header, nor what looks like a heading behind the first."""
-    a, b = F.trim(first), F.trim(second)
+    a, b = T.trimmed(first), T.trimmed(second)
     plain = ~T.is_heading(b, F.lit(None).cast("string"), a)
     for kind in (first_kind, second_kind):
         if kind is not None:
@@ -82,7 +84,7 @@ def sections(lines: DataFrame, heading: Column) -> DataFrame:
     """(doc_id, chapter, title, chars, lines) of the parts between heading lines; short ones are dropped, and a document without any is one chapter."""
     w = Window.partitionBy("doc_id").orderBy("line")
     marked = lines.withColumn("_h", F.coalesce(heading, F.lit(False))).withColumn("chapter", F.sum(F.col("_h").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = marked.where("chapter > 0").groupBy("doc_id", "chapter").agg(F.max(F.when(F.col("_h"), F.trim("text"))).alias("title"), F.sum(F.when(~F.col("_h"), F.char_length("text")).otherwise(0)).cast("long").alias("chars"))
+    parts = marked.where("chapter > 0").groupBy("doc_id", "chapter").agg(F.max(F.when(F.col("_h"), T.trimmed("text"))).alias("title"), F.sum(F.when(~F.col("_h"), F.char_length("text")).otherwise(0)).cast("long").alias("chars"))
     parts = parts.where(F.col("chars") > LEAST_CHAPTER)
     whole = lines.groupBy("doc_id").agg(F.sum(F.char_length("text")).cast("long").alias("chars"))
     none = whole.join(parts.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("chapter"), F.lit("Full Text").alias("title"), "chars")

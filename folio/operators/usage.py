@@ -89,6 +89,15 @@ def estimated_cost(df: DataFrame) -> DataFrame:
     return with_model_cost(df.withColumn("completion_tokens", expected))
 
 
+def voice_class(provider: Column, voice_id: Column) -> Column:
+    """A voice's tier by its name: of one provider by lists, of another by a part of the name; standard where nothing else is known."""
+    out = None
+    for tier in ("long-form", "neural", "standard"):
+        test = (provider == "polly") & voice_id.isin([i for i, _, _, t in VOICES["polly"] if t == tier])
+        out = F.when(test, tier) if out is None else out.when(test, tier)
+    return out.when((provider == "google") & voice_id.contains("Neural2"), "neural").otherwise("standard")
+
+
 def character_price(provider: Column, tier: Column) -> Column:
     """Price of a character of speech."""
     polly = F.when(tier == "neural", 0.000025).when(tier == "long-form", 0.0001).when(tier == "generative", 0.0002).otherwise(0.000004)

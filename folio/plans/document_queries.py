@@ -16,8 +16,8 @@ from folio.plans.text_queries import LINES, docs, lines
 OUTLINE = "outline AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN p_partkey // 4 END AS parent, CASE WHEN p_partkey = 7 THEN 'Contents' ELSE p_name END AS title, p_partkey % 4 AS pos FROM part)"
 
 
-@query("x10_outline", "WITH RECURSIVE " + OUTLINE + """, tree(id, title, depth, path) AS (SELECT id, title, 0, lpad(CAST(pos AS VARCHAR), 6, '0') FROM outline WHERE parent IS NULL AND lower(title) <> 'contents'
- UNION ALL SELECT o.id, o.title, t.depth + 1, t.path || '.' || lpad(CAST(o.pos AS VARCHAR), 6, '0') FROM outline o JOIN tree t ON o.parent = t.id WHERE lower(o.title) <> 'contents') SELECT * FROM tree""")
+@query("x10_outline", "WITH RECURSIVE " + OUTLINE + """, tree(id, title, depth, path) AS (SELECT id, title, 0, lpad(CAST(pos AS VARCHAR), 19, '0') FROM outline WHERE parent IS NULL AND lower(title) <> 'contents'
+ UNION ALL SELECT o.id, o.title, t.depth + 1, t.path || '.' || lpad(CAST(o.pos AS VARCHAR), 19, '0') FROM outline o JOIN tree t ON o.parent = t.id WHERE lower(o.title) <> 'contents') SELECT * FROM tree""")
 def x10(spark, folder):
     k = F.col("p_partkey")
     outline = spark.read.parquet(f"{folder}/part.parquet").select(k.alias("id"), F.when(k >= 10, F.floor(k / 4)).alias("parent"), F.when(k == 7, "Contents").otherwise(F.col("p_name")).alias("title"), (k % 4).alias("pos"))
@@ -134,10 +134,13 @@ def f24(spark, folder):
     return frame(spark, folder, "progress").select("progress_id", percent(F.col("current_chapter"), F.col("current_chunk")).alias("percent"))
 
 
-@query("f33_voice_classes", "SELECT * FROM (VALUES ('polly', 'Danielle', 'long-form'), ('polly', 'Ivy', 'neural'), ('polly', 'Amy', 'standard'), ('polly', 'Nobody', 'standard'), ('google', 'en-US-Neural2-C', 'neural')) t(provider, voice_id, tier)")
+VOICE_NAME = "CASE usage_id % 7 WHEN 0 THEN 'Danielle' WHEN 1 THEN 'Ivy' WHEN 2 THEN 'Amy' WHEN 3 THEN 'Nobody' WHEN 4 THEN 'en-US-Neural2-C' WHEN 5 THEN 'en-GB-Wavenet-A' ELSE 'Stephen' END"
+
+
+@query("f33_voice_classes", cte("tts_usage") + f", v AS (SELECT provider, {VOICE_NAME} AS voice_id FROM tts_usage) SELECT provider, voice_id, CASE WHEN provider = 'polly' AND voice_id IN ('Danielle', 'Gregory', 'Burrow') THEN 'long-form' WHEN provider = 'polly' AND voice_id IN ('Emma', 'Olivia', 'Aria', 'Ayanda', 'Ivy') THEN 'neural' WHEN provider = 'google' AND contains(voice_id, 'Neural2') THEN 'neural' ELSE 'standard' END AS tier, count(*) AS n FROM v GROUP BY ALL")
 def f33(spark, folder):
-    rows = spark.createDataFrame([("polly", "Danielle"), ("polly", "Ivy"), ("polly", "Amy"), ("polly", "Nobody"), ("google", "en-US-Neural2-C")], "provider string, voice_id string")
-    return usage.with_voice_tier(rows).select("provider", "voice_id", "tier")
+    voices = frame(spark, folder, "tts_usage").select("provider", F.expr(VOICE_NAME).alias("voice_id"))
+    return voices.groupBy("provider", "voice_id", usage.voice_class(F.col("provider"), F.col("voice_id")).alias("tier")).agg(F.count("*").alias("n"))
 
 
 @query("f42_k02_generated_ids", "SELECT count(*) AS n, count(*) AS different, count(*) AS well_formed, true AS stamped FROM orders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -71,10 +73,29 @@ def f11(spark, folder):
     return frame(spark, folder, "users").select("user_id", T.regex_escaped(F.concat("username", F.lit("(a.b)*"))).alias("escaped"))
 
 
-@query("f13_f18_numbers", f"SELECT w AS word, n AS number FROM (VALUES {', '.join(f'({chr(39)}{w}{chr(39)}, {i + 1})' for i, w in enumerate(NUMBER_WORDS))}, {', '.join(f'({chr(39)}{r}{chr(39)}, {i + 1})' for i, r in enumerate(ROMAN[:10]))}, ('zero', NULL)) t(w, n)")
+# a title of each kind from a part's name; white space is of several kinds
+NUMBER_LIST = "[" + ", ".join(f"'{w}'" for w in NUMBER_WORDS) + "]"
+ROMAN_LIST = "[" + ", ".join(f"'{r}'" for r in ROMAN) + "]"
+KINDS_OF_TITLES = [
+    "k || '. ' || n", "k || chr(160) || 'The ' || n || '  '", "'Chapter ' || word || ': ' || n", "'CHAPTER' || chr(8195) || upper(word) || ':' || n", "'Chapter ' || k || ': ' || n", "chr(65279) || 'Introduction to ' || n",
+    "'Appendix ' || k || ' ' || n", "'Epilogue'", "roman || '. ' || n", "n || ' (notes)'", "'Preface'", "'Chapter ' || word || ' ' || n",
+]
+TITLED = f"p AS (SELECT p_partkey AS k, p_name AS n, ({NUMBER_LIST})[CAST(p_partkey % 20 AS INT) + 1] AS word, ({ROMAN_LIST})[CAST(p_partkey % 15 AS INT) + 1] AS roman FROM part), titled AS (SELECT *, CASE k % {len(KINDS_OF_TITLES)} {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(KINDS_OF_TITLES))} END AS raw FROM p), trimmed AS (SELECT *, regexp_replace(raw, '^{T.SPACE}|{T.SPACE}$', '', 'g') AS t FROM titled)"
+
+
+def titled(spark, folder):
+    k = F.col("p_partkey")
+    named = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+    p = spark.read.parquet(f"{folder}/part.parquet").select(k.alias("k"), F.col("p_name").alias("n"), named(NUMBER_WORDS).alias("word"), named(ROMAN).alias("roman"))
+    kind = F.col("k") % len(KINDS_OF_TITLES)
+    raw = F.coalesce(*[F.when(kind == i, F.expr(re.sub(r"chr\((\d+)\)", lambda m: f"decode(unhex('{chr(int(m[1])).encode().hex()}'), 'UTF-8')", e))) for i, e in enumerate(KINDS_OF_TITLES)])
+    return p.withColumn("raw", raw)
+
+
+@query("f13_f18_numbers", "WITH " + TITLED + f", c AS (SELECT k, nullif(lower(regexp_extract(t, '(?i)^(?:chapter{T.SPACE})?([a-z]+|[0-9]+)[.:]', 1)), '') AS captured FROM trimmed) SELECT k, captured, CAST(coalesce(TRY_CAST(captured AS INT), nullif(list_position({NUMBER_LIST}, captured), 0), nullif(list_position({ROMAN_LIST}[1:10], captured), 0)) AS INT) AS number FROM c")
 def f18(spark, folder):
-    names = spark.createDataFrame([(w,) for w in [*NUMBER_WORDS, *ROMAN[:10], "zero"]], "word string")
-    return names.select("word", T.number_of(F.col("word")).alias("number"))
+    captured = F.nullif(F.lower(F.regexp_extract(T.trimmed(F.col("raw")), rf"(?i)^(?:chapter{T.SPACE})?([a-z]+|[0-9]+)[.:]", 1)), F.lit(""))
+    return titled(spark, folder).select("k", captured.alias("captured")).select("k", "captured", F.coalesce(F.col("captured").try_cast("int"), T.number_of(F.col("captured"))).alias("number"))
 
 
 @query("f14_marked_parts", "SELECT page_id, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")
@@ -215,10 +236,16 @@ def x08(spark, folder):
     return frame(spark, folder, "reading_logs").select("log_id", T.without_page_number(raw, F.col("chapter_number") + 1).alias("text"))
 
 
-@query("x11_chapter_titles", "SELECT * FROM (VALUES ('1. The Search', 1, NULL, 'The Search'), ('Chapter Two: Air', 2, NULL, 'Air'), ('Introduction', 0, NULL, 'Introduction'), ('Appendix B', NULL, 'Appendix B', 'Appendix B'), ('Epilogue', NULL, 'Epilogue', 'Epilogue'), ('The End', NULL, NULL, 'The End')) t(raw, number, label, title)")
+@query("x11_chapter_titles", "WITH " + TITLED + """ SELECT k, CASE WHEN k % 12 < 2 THEN CAST(k AS INT) WHEN k % 12 IN (2, 3) THEN CAST(k % 20 + 1 AS INT) WHEN k % 12 = 5 THEN 0 END AS number,
+ CASE k % 12 WHEN 6 THEN 'Appendix ' || k WHEN 7 THEN 'Epilogue' END AS label, CASE k % 12 WHEN 0 THEN n WHEN 1 THEN 'The ' || n ELSE t END AS title FROM trimmed""")
 def x11(spark, folder):
-    rows = spark.createDataFrame([(t,) for t in ("1. The Search", "Chapter Two: Air", "Introduction", "Appendix B", "Epilogue", "The End")], "raw string")
-    return rows.select("raw", T.chapter_of_title(F.col("raw")).alias("c")).select("raw", "c.number", "c.label", "c.title")
+    return titled(spark, folder).select("k", T.chapter_of_title(F.col("raw")).alias("c")).select("k", "c.number", "c.label", "c.title")
+
+
+@query("x11_outline_titles", "WITH " + TITLED + """ SELECT k, CASE WHEN k % 12 < 2 OR k % 12 = 4 THEN CAST(k AS INT) WHEN k % 12 IN (2, 3, 11) AND k % 20 < 12 THEN CAST(k % 20 + 1 AS INT) WHEN k % 12 = 8 AND k % 15 < 10 THEN CAST(k % 15 + 1 AS INT) END AS number,
+ CASE WHEN k % 12 = 8 AND k % 15 >= 10 THEN roman WHEN k % 12 IN (7, 10) THEN lower(t) END AS label, CASE WHEN k % 12 IN (7, 10) THEN t WHEN k % 12 = 1 THEN 'The ' || n WHEN k % 12 IN (0, 4, 8) OR k % 12 IN (2, 3, 11) AND k % 20 < 12 THEN n END AS title FROM trimmed""")
+def x11_outline(spark, folder):
+    return titled(spark, folder).select("k", T.chapter_of_outline(F.col("raw")).alias("c")).select("k", "c.number", "c.label", "c.title")
 
 
 @query("x16_index_pages", cte("images") + "SELECT image_id, array_to_string(list_sort(list_distinct(list_concat(range(150 + image_id % 40, 152 + image_id % 40), [CAST(7 AS BIGINT)]))), ',') AS pages FROM images")
