@@ -86,11 +86,6 @@ def stamped(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumns({"id": F.uuid(), "created_at": now, "updated_at": now})
 
 
-def in_batches(rows: DataFrame, order: list[str], key: str, size: int = 10) -> DataFrame:
-    """The rows of each key with the number of their batch, of so many rows in order."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size))
-
-
 def deleted(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     return table.join(keys.select(*key).distinct(), key, "left_anti")
 

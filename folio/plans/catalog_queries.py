@@ -8,6 +8,8 @@ from folio.operators import catalog as C
 from folio.plans.base import cte, frame
 from folio.plans.reading_queries import CHAPTERS, chapters
 from folio.plans.registry import query
+from folio.sources.files import shared_path
+from folio.sources.tables import BucketTable, cascaded_delete
 
 POSITION = ["user_id", "book_id", "chapter_number", "chunk_index"]
 
@@ -155,7 +157,9 @@ def j22(spark, folder):
 @query("k05_updated_users", cte("users", "settings") + "SELECT u.user_id, CASE WHEN s.user_id IS NULL THEN u.segment ELSE s.theme END AS segment, username FROM users u LEFT JOIN settings s ON s.user_id = u.user_id")
 def k05(spark, folder):
     changes = frame(spark, folder, "settings").select("user_id", F.col("theme").alias("segment"))
-    return C.updated(frame(spark, folder, "users").select("user_id", "segment", "username"), changes, ["user_id"])
+    table = BucketTable(spark, shared_path(spark, "users"), ["user_id"]).create(frame(spark, folder, "users").select("user_id", "segment", "username"))
+    table.update(changes)
+    return table.read()
 
 
 @query("k06_upserted_positions", cte("progress", "reading_logs") + """, p AS (SELECT user_id, book_id, max(current_chapter) AS current_chapter, max(current_chunk) AS current_chunk, CAST(sum(minutes) AS BIGINT) AS words, max(minutes) AS minutes FROM progress GROUP BY ALL),
@@ -164,18 +168,24 @@ def k05(spark, folder):
 def k06(spark, folder):
     p = frame(spark, folder, "progress").groupBy("user_id", "book_id").agg(F.max("current_chapter").alias("current_chapter"), F.max("current_chunk").alias("current_chunk"), F.sum("minutes").alias("words"), F.max("minutes").alias("minutes"))
     s = frame(spark, folder, "reading_logs").groupBy("user_id", "book_id").agg(F.max("chapter_number").alias("current_chapter"), F.max("chunk_index").alias("current_chunk"), F.count("*").alias("words"), F.count("*").alias("minutes"))
-    return C.upserted_positions(p, s)
+    table = BucketTable(spark, shared_path(spark, "positions"), ["user_id", "book_id"]).create(p)
+    table.upsert(s, C.upserted_positions)
+    return table.read()
 
 
 @query("k08_deleted_by_user", cte("bookmarks") + "SELECT bookmark_id FROM bookmarks WHERE user_id NOT IN (3, 5)")
 def k08(spark, folder):
-    return C.deleted(frame(spark, folder, "bookmarks"), spark.createDataFrame([(3,), (5,)], "user_id long"), ["user_id"]).select("bookmark_id")
+    table = BucketTable(spark, shared_path(spark, "bookmarks"), ["bookmark_id"]).create(frame(spark, folder, "bookmarks"))
+    table.delete_by(spark.createDataFrame([(3,), (5,)], "user_id long"))
+    return table.read().select("bookmark_id")
 
 
 @query("k09_cascaded_delete", cte("books", "bookmarks", "progress", "reading_logs") + ", gone AS (SELECT book_id FROM books WHERE uploaded_by = 4) SELECT 'books' AS what, count(*) AS n FROM books WHERE book_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'bookmarks', count(*) FROM bookmarks WHERE book_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'progress', count(*) FROM progress WHERE book_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'logs', count(*) FROM reading_logs")
 def k09(spark, folder):
-    books = frame(spark, folder, "books")
-    left = C.cascaded({n: frame(spark, folder, n) for n in ("books", "bookmarks", "progress")}, books.where("uploaded_by = 4"), "book_id") | {"logs": frame(spark, folder, "reading_logs")}
+    keys = {"books": ["book_id"], "bookmarks": ["bookmark_id"], "progress": ["progress_id"]}
+    tables = {n: BucketTable(spark, shared_path(spark, n), k).create(frame(spark, folder, n)) for n, k in keys.items()}
+    cascaded_delete(tables["books"], [tables["bookmarks"], tables["progress"]], frame(spark, folder, "books").where("uploaded_by = 4"))
+    left = {n: t.read() for n, t in tables.items()} | {"logs": frame(spark, folder, "reading_logs")}
     out = None
     for name, df in left.items():
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
@@ -224,6 +234,11 @@ def k17(spark, folder):
     return done.select("book_id", "chapter_number", F.size("chunks").cast("long").alias("chunks"), F.size(F.filter("chunks", lambda c: c["name"].isNotNull())).cast("long").alias("named"), F.md5(shown.cast("binary")).alias("names"))
 
 
-@query("k04_batches_of_ten", cte("bookmarks") + "SELECT user_id, (n - 1) // 10 AS batch, count(*) AS rows FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, bookmark_id) AS n FROM bookmarks) GROUP BY ALL")
+@query("k04_batches_of_ten", cte("bookmarks") + "SELECT CAST(user_id % 16 AS INT) AS bucket, count(*) AS rows, true AS in_tens, CAST(count(*) FILTER (bookmark_id % 2 = 1) AS BIGINT) AS later FROM bookmarks GROUP BY 1")
 def k04(spark, folder):
-    return C.in_batches(frame(spark, folder, "bookmarks"), ["created_at", "bookmark_id"], "user_id").groupBy("user_id", "batch").agg(F.count("*").alias("rows"))
+    rows = frame(spark, folder, "bookmarks")
+    table = BucketTable(spark, shared_path(spark, "batches"), ["user_id"], bucket=F.col("user_id") % 16)
+    for rest in (0, 1):
+        table.insert(rows.where(F.col("bookmark_id") % 2 == rest), 10)
+    files = table.read().withColumn("later", (F.col("bookmark_id") % 2).cast("long")).groupBy((F.col("user_id") % 16).cast("int").alias("bucket"), F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.sum("later").alias("later"))
+    return files.groupBy("bucket").agg(F.sum("n").alias("rows"), (F.max("n") <= 10).alias("in_tens"), F.sum("later").alias("later"))
