@@ -13,8 +13,16 @@ from folio.streaming import logs as S
 
 
 def log_stream(spark, folder):
-    path = f"{folder}/events.parquet"
-    return S.stream_of(spark, path, spark.read.parquet(path)).selectExpr(*TABLES["reading_logs"][1])
+    return event_stream(spark, folder).selectExpr(*TABLES["reading_logs"][1])
+
+
+def event_stream(spark, folder):
+    path = S.arranged(spark, f"{folder}/events.parquet")
+    return S.stream_of(spark, path, spark.read.parquet(f"{folder}/events.parquet"))
+
+
+#: What stands in pieces of an hour that are over ten minutes before the last event.
+OVER = "epoch_ms(ts) < (SELECT (epoch_ms(max(ts)) - 600000) // 3600000 * 3600000 FROM events)"
 
 
 @query("t01_t02_streamed_sessions", cte("reading_logs") + ", " + sessionized_sql() + ", s AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS logs FROM s2 GROUP BY ALL) SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, logs FROM s WHERE ended + INTERVAL 5 MINUTE <= to_timestamp(floor(epoch_ms((SELECT max(ts) FROM reading_logs) - INTERVAL 10 MINUTE) / 1000.0))::TIMESTAMP")
@@ -30,22 +38,21 @@ def t01_days(spark, folder):
     return out.join(F.broadcast(last), F.col("_batch") == F.col("_last")).select("day", "logs")
 
 
-@query("t01_streamed_changes", cte("reading_logs") + ", l AS (SELECT *, lag(chunk_index) OVER (PARTITION BY user_id, book_id, chapter_number ORDER BY ts, log_id) AS prev FROM reading_logs) SELECT log_id, user_id, chunk_index FROM l WHERE chunk_index IS DISTINCT FROM prev")
+@query("t01_streamed_changes", cte("reading_logs") + f", l AS (SELECT *, lag(chunk_index) OVER (PARTITION BY user_id, book_id, chapter_number ORDER BY ts, log_id) AS prev FROM reading_logs WHERE {OVER}) SELECT log_id, user_id, chunk_index FROM l WHERE chunk_index IS DISTINCT FROM prev")
 def t01_changes(spark, folder):
     return S.run_once(S.live_changes(log_stream(spark, folder)), "append").select("log_id", "user_id", "chunk_index")
 
 
-@query("t03_streamed_active_time", cte("reading_logs") + ", g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, log_id))) / 1000000 AS gap FROM reading_logs) SELECT user_id, round(sum(CASE WHEN gap < 600 THEN gap ELSE 0 END), 3) AS seconds FROM g GROUP BY user_id")
+@query("t03_streamed_active_time", cte("reading_logs") + f", g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, log_id))) / 1000000 AS gap FROM reading_logs WHERE {OVER}) SELECT user_id, round(sum(CASE WHEN gap < 600 THEN gap ELSE 0 END), 3) AS seconds FROM g GROUP BY user_id")
 def t03(spark, folder):
-    out = S.run_once(S.live_active_seconds(log_stream(spark, folder), 600.0), "update")
-    return out.where("saved_minutes is null").groupBy("user_id").agg(F.round(F.max_by("seconds", "_batch"), 3).alias("seconds"))
+    out = S.run_once(S.live_active_seconds(log_stream(spark, folder), 600.0), "append")
+    return out.where("saved_minutes is null").groupBy("user_id").agg(F.round(F.max("seconds"), 3).alias("seconds"))
 
 
-@query("t03_streamed_saves", "WITH e AS (SELECT event_id AS log_id, user_id, ts, event_type FROM events), g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000 AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, log_id)), s AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS save FROM g), p AS (SELECT *, sum(save) OVER (PARTITION BY user_id ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) - save AS span FROM s) SELECT user_id, span, round(sum(CASE WHEN gap < 900 THEN gap ELSE 0 END), 3) AS seconds FROM p GROUP BY user_id, span HAVING sum(save) = 1".replace("SELECT user_id, span, round", "SELECT user_id, round"))
+@query("t03_streamed_saves", f"WITH e AS (SELECT event_id AS log_id, user_id, ts, event_type FROM events WHERE {OVER}), g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000 AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, log_id)), s AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS save FROM g), p AS (SELECT *, sum(save) OVER (PARTITION BY user_id ORDER BY ts, log_id ROWS UNBOUNDED PRECEDING) - save AS span FROM s) SELECT user_id, max(CASE WHEN save = 1 THEN log_id END) AS log_id, round(sum(CASE WHEN gap < 900 THEN gap ELSE 0 END), 3) AS seconds FROM p GROUP BY user_id, span HAVING sum(save) = 1")
 def t03_saves(spark, folder):
-    path = f"{folder}/events.parquet"
-    events = S.stream_of(spark, path, spark.read.parquet(path)).select(F.col("event_id").alias("log_id"), "user_id", "ts", F.when(F.col("event_type") == "purchase", "saved").otherwise(F.col("event_type")).alias("event_type"))
-    return S.run_once(S.live_active_seconds(events, 900.0), "update").where("saved_minutes is not null").select("user_id", F.round("seconds", 3).alias("seconds"))
+    events = event_stream(spark, folder).select(F.col("event_id").alias("log_id"), "user_id", "ts", F.when(F.col("event_type") == "purchase", "saved").otherwise(F.col("event_type")).alias("event_type"))
+    return S.run_once(S.live_active_seconds(events, 900.0), "append").where("saved_minutes is not null").select("user_id", "log_id", F.round("seconds", 3).alias("seconds"))
 
 
 def record_files(spark, folder, where="true", path=None):

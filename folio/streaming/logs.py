@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio.sources.files import hadoop_path, shared_path
 
 
-#: Idle state goes after so long, by the time of the events.
-KEEP = "60 days"
+#: Rows may come so late; what a key has been is forgotten after so long, by the time of the rows; pieces of time in which rows wait.
+LATE, KEEP_MS, PIECE_MS = "10 minutes", 60 * 86_400_000, 3_600_000
+#: Waiting rows of a key that Python holds before it puts them into the state.
+FLUSH = 4096
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def stream_of(spark: SparkSession, path: str, like: DataFrame, files_at_once: int = 100_000) -> DataFrame:
-    """A stream of a Parquet table's files. ``like`` has the schema.
-
-    The files of a table that is there already need not be in order of time, so they come in one batch, unless told otherwise.
-    """
+def stream_of(spark: SparkSession, path: str, like: DataFrame, files_at_once: int = 1000) -> DataFrame:
+    """A stream of a Parquet table's files, so many in a batch. ``like`` has the schema. Files are to be in order of time: see ``arranged``."""
     found = path[:-1] + f"[{path[-1]}]"  # a pattern, so a single file will do as well as a folder
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_at_once).parquet(found)
 
@@ -39,81 +40,152 @@ def live_days(logs: DataFrame, late: str = "1 day") -> DataFrame:
     return timed.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("logs")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "logs")
 
 
-def _kept_until(state: GroupState, last: float, days: float) -> None:
-    """Let idle state go so long after its last event (seconds), but not before what has passed already."""
-    until = int((last + days * 86400) * 1000)
-    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-
+class InOrder(StatefulProcessor):
+    """The rows of a key in order of time, each once its time is over, given one by one to ``fold`` with what the key has been so far.
 
-def live_changes(logs: DataFrame, late: str = KEEP, keep_days: float = 60) -> DataFrame:
-    """Logs whose chunk differs from the last one that the stream has seen of the same user, book and chapter, if that was not too long ago."""
+    Rows come as they like and wait in pieces of ``piece_ms`` of their time, a map in the state store; when the watermark has
+    passed the end of a piece its timer brings them, in order of (time, log_id). ``fold`` takes (state or None, row) and gives the state and
+    the rows that come out; ``ended`` what comes out at the end of a piece. A key without rows for ``keep_ms`` of the rows' time is forgotten.
+    Python holds ``FLUSH`` waiting rows of a key and one piece at most, never a key's history.
+    """
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, state: str, fold, ended=None, piece_ms: int = PIECE_MS, keep_ms: int = KEEP_MS):
+        self.schema, self.fold, self.ended, self.piece_ms, self.keep_ms = state, fold, ended, piece_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "until long", "rows string")
+        self.state = handle.getValueState("state", self.schema)
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held: dict[int, list] = {}
+        n = 0
+        for r in rows:
+            until = (r["us"] // 1000 // self.piece_ms + 1) * self.piece_ms
+            held.setdefault(until, []).append([r["us"], r["log_id"], r["what"]])
+            n += 1
+            if n == FLUSH:
+                self._put(held)
+                held, n = {}, 0
+        self._put(held)
+        return iter(())
+
+    def _put(self, held: dict[int, list]) -> None:
+        for until, rows in held.items():
+            if self.waiting.containsKey((until,)):
+                rows = json.loads(self.waiting.getValue((until,))[0]) + rows
+            else:
+                self.handle.registerTimer(until)
+            self.waiting.updateValue((until,), (json.dumps(rows),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.containsKey((now,)):
+            if self.last.exists() and self.last.get()[0] + self.keep_ms <= now:
+                self.state.clear()
+                self.last.clear()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "log_id"])
-        before = rows["chunk_index"].shift(1)
-        before.iloc[0] = -1 if last is None else last
-        state.update((int(rows["chunk_index"].iloc[-1]),))
-        _kept_until(state, rows["ts"].max().timestamp(), keep_days)
-        yield rows[rows["chunk_index"] != before][["log_id", "user_id", "chunk_index"]]
+        rows = sorted(json.loads(self.waiting.getValue((now,))[0]))
+        self.waiting.removeKey((now,))
+        state = tuple(self.state.get()) if self.state.exists() else None
+        for us, log_id, what in rows:
+            state, out = self.fold(state, key, us, log_id, what)
+            yield from out
+        if self.ended:
+            yield from self.ended(state, key)
+        self.state.update(state)
+        self.last.update((rows[-1][0] // 1000,))
+        self.handle.registerTimer(now + self.keep_ms)
+
+
+def _in_order(logs: DataFrame, keys: list[str], what: Column, processor: InOrder, out: str, late: str) -> DataFrame:
+    timed = logs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.select(*keys, "ts", "log_id", F.unix_micros("ts").alias("us"), what.alias("what"))
+    return rows.groupBy(*keys).transformWithState(processor, out, "Append", "EventTime")
 
-    keyed = logs.select("log_id", "user_id", "book_id", "chapter_number", "chunk_index", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return keyed.groupBy("user_id", "book_id", "chapter_number").applyInPandasWithState(step, "log_id long, user_id long, chunk_index int", "last int", "append", GroupStateTimeout.EventTimeTimeout)
 
+def live_changes(logs: DataFrame, late: str = LATE, piece_ms: int = PIECE_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Logs whose chunk differs from the last one of the same user, book and chapter, if that was not too long ago."""
 
-def live_active_seconds(logs: DataFrame, most: float = 10.0, late: str = KEEP, keep_days: float = 60) -> DataFrame:
-    """Active time of each user, over all batches: each gap of less than so many seconds between logs counts.
+    def fold(state, key, us, log_id, chunk):
+        return (chunk,), [] if state and state[0] == chunk else [Row(log_id=log_id, user_id=key[0], chunk_index=chunk)]
+
+    return _in_order(logs, ["user_id", "book_id", "chapter_number"], F.col("chunk_index"), InOrder("chunk int", fold, None, piece_ms, keep_ms), "log_id long, user_id long, chunk_index int", late)
+
+
+def live_active_seconds(logs: DataFrame, most: float = 10.0, late: str = LATE, piece_ms: int = PIECE_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Active time of each user: each gap of less than so many seconds between logs counts.
 
     A log of the type ``saved``, where ``logs`` have one, ends a count: its minutes, rounded, are given out and the count begins anew.
-    Rows are (user_id, seconds, saved_minutes), the last of them a user's running count.
+    Rows are (user_id, log_id, seconds, saved_minutes); those without minutes are a user's running count, at the end of each piece of time with logs.
     """
-    has_type = "event_type" in logs.columns
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, total = state.get if state.exists else (None, 0.0)
-        rows, out = pd.concat(list(frames)).sort_values(["ts", "log_id"]), []
-        for t, saved in zip(rows["ts"].map(lambda x: x.timestamp()), rows["saved"], strict=True):
-            if last is not None and 0 <= t - last < most:
-                total += t - last
-            last = t
-            if saved:
-                out.append((key[0], total, int(total / 60 + 0.5)))
-                total = 0.0
-        state.update((last, total))
-        _kept_until(state, last, keep_days)
-        yield pd.DataFrame([*out, (key[0], total, None)], columns=["user_id", "seconds", "saved_minutes"]).astype({"saved_minutes": "Int64"})
-
-    saved = F.col("event_type") == "saved" if has_type else F.lit(False)
-    timed = logs.select("user_id", "log_id", F.col("ts").cast("timestamp").alias("ts"), saved.alias("saved")).withWatermark("ts", late)
-    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, seconds double, saved_minutes long", "last double, total double", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_once(stream: DataFrame, mode: str, seconds: int | None = None) -> DataFrame:
+    def fold(state, key, us, log_id, saved):
+        last, total = state or (None, 0.0)
+        if last is not None and us - last < most * 1e6:
+            total += (us - last) / 1e6
+        if saved:
+            return (us, 0.0), [Row(user_id=key[0], log_id=log_id, seconds=total, saved_minutes=int(total / 60 + 0.5))]
+        return (us, total), []
+
+    def ended(state, key):
+        return [Row(user_id=key[0], log_id=None, seconds=state[1], saved_minutes=None)]
+
+    saved = F.col("event_type") == "saved" if "event_type" in logs.columns else F.lit(False)
+    return _in_order(logs, ["user_id"], saved, InOrder("us long, seconds double", fold, ended, piece_ms, keep_ms), "user_id long, log_id long, seconds double, saved_minutes long", late)
+
+
+def disorder(spark: SparkSession, path: str, ts: str = "ts") -> float:
+    """By how many seconds a file of a table, in the order in which a stream takes files, goes back behind files before it. Reads one column."""
+    rows = spark.read.parquet(path).select(F.col(ts).cast("timestamp").alias("_ts"), "_metadata.file_path", "_metadata.file_modification_time")
+    of_file = rows.groupBy("file_modification_time", "file_path").agg(F.min("_ts").alias("first"), F.max("_ts").alias("last"))
+    before = F.max("last").over(Window.orderBy("file_modification_time", "file_path").rowsBetween(Window.unboundedPreceding, -1))
+    back = of_file.select((F.unix_micros(before) - F.unix_micros("first")).alias("back"))
+    return max(0, back.agg(F.max("back")).first()[0] or 0) / 1e6
+
+
+def arranged(spark: SparkSession, path: str, ts: str = "ts", late_seconds: float = 600, parts: int = 16) -> str:
+    """A path of the table whose files a stream can take one after another: the table's own where they are in order of time, up to ``late_seconds``.
+
+    Else a copy in the shared folder, put there part by part of the time, so that no file goes back behind one before.
+    """
+    if disorder(spark, path, ts) <= late_seconds:
+        return path
+    rows = spark.read.parquet(path)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = sorted(set(rows.select(us.cast("double").alias("us")).approxQuantile("us", [i / parts for i in range(1, parts)], 0.5 / parts)))
+    copy = shared_path(spark, "arranged")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(us > int(low))
+        (part if high is None else part.where(us <= int(high))).write.mode("append").parquet(copy)
+        time.sleep(0.01)  # files are taken by the time of their last change, in thousandths of a second
+    return copy
+
+
+def run_once(stream: DataFrame, mode: str, seconds: int | None = None, path: str | None = None) -> DataFrame:
     """Run over all that is there, write to a table in the shared folder and read it, with the batch of each row.
 
-    A batch that comes again takes its own place. With ``seconds`` a stream that needs longer is stopped and is an error.
+    A batch that comes again takes its own place. With ``seconds`` a stream that needs longer is stopped and is an error. With a
+    ``path`` of an earlier run it goes on from there.
     """
     spark = stream.sparkSession
-    path = shared_path(spark, "stream")
+    path = path or shared_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(write).start()
-    if seconds is None:
-        query.awaitTermination()
-    elif not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError(f"the stream had not ended after {seconds} seconds")
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(write).start()
+        if seconds is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(seconds):
+            query.stop()
+            raise TimeoutError(f"the stream had not ended after {seconds} seconds")
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
     fs, folder = hadoop_path(spark, path)
-    names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
-    out = spark.createDataFrame([], StructType([*stream.schema.fields, StructField("_batch", IntegerType(), False)]))
-    for name in names:
-        out = out.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/{name}").withColumn("_batch", F.lit(int(name.split("-")[1]))))
-    return out
+    return spark.read.schema(schema).parquet(path) if fs.exists(folder) else spark.createDataFrame([], schema)
