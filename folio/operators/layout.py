@@ -225,3 +225,10 @@ def word_at(times: DataFrame, marks: DataFrame, keys: list[str], run_rows: int =
     latest = rows.withColumn("_latest", F.last(mark, ignorenulls=True).over(inside)).where("_kind = 1")
     met = latest.drop("word").join(carried, [*keys, "_run"]).withColumn("word", F.coalesce("_latest", "_carried")["word"])
     return met.where(F.coalesce("_latest", "_carried").isNotNull()).select(*times.columns, "word")
+
+
+def with_sections(markers: DataFrame, contents: DataFrame, keys: list[str]) -> DataFrame:
+    """Chapters (keys, chapter_number, ..) with the sections of the first entry of their book's contents (keys, chapter_number, pos, sections) that has
+    their number; none where there is no such entry. A book's entries are few and its sections are those of one chapter, as they stand there."""
+    first = contents.where(F.col("chapter_number").isNotNull()).groupBy(*keys, "chapter_number").agg(F.min_by("sections", "pos").alias("sections"))
+    return markers.join(first, [*keys, "chapter_number"], "left").withColumn("sections", F.coalesce("sections", F.array().cast(dict(contents.dtypes)["sections"])))

@@ -132,7 +132,11 @@ def j19(spark, folder):
     return L.word_at(times, marks, ["user_id"]).select("event_id", "word")
 
 
-@query("j14_sections_by_number", "SELECT c.chapter, coalesce(n, 0) AS sections FROM (SELECT unnest(range(1, 9)) AS chapter) c LEFT JOIN (SELECT l_linenumber AS chapter, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) s USING (chapter)")
+@query("j14_sections_by_number", cte("chunk_rows") + """, m AS (SELECT DISTINCT book_id, chapter_number FROM chunk_rows), t AS (SELECT book_id, chapter_number, line % 3 AS pos, list(side ORDER BY side) AS sections FROM (SELECT DISTINCT book_id, chapter_number, line, side FROM chunk_rows WHERE book_id % 4 <> 1) GROUP BY ALL),
+ f AS (SELECT book_id, chapter_number, arg_min(sections, pos) AS sections FROM t GROUP BY ALL) SELECT m.book_id, m.chapter_number, coalesce(array_to_string(sections, ','), '') AS sections FROM m LEFT JOIN f USING (book_id, chapter_number)""")
 def j14(spark, folder):
-    sections = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy(F.col("l_linenumber").cast("long").alias("chapter")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
-    return spark.range(1, 9).withColumnRenamed("id", "chapter").join(sections, "chapter", "left").select("chapter", F.size(F.coalesce("s", F.array().cast("array<bigint>"))).cast("long").alias("sections"))
+    rows = frame(spark, folder, "chunk_rows")
+    sides = rows.where("book_id % 4 <> 1").select("book_id", "chapter_number", "line", "side").distinct()
+    contents = sides.groupBy("book_id", "chapter_number", (F.col("line") % 3).alias("pos")).agg(F.sort_array(F.collect_list("side")).alias("sections"))
+    done = L.with_sections(rows.select("book_id", "chapter_number").distinct(), contents, ["book_id"])
+    return done.select("book_id", "chapter_number", F.array_join("sections", ",").alias("sections"))

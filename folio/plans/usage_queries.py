@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions.fixed import ERROR_RULES, FREE_CHARACTERS, MODELS, PRICES, VOICES
+from folio.functions import bpe
 from folio.operators import usage as U
 from folio.plans.base import cte, frame
 from folio.plans.registry import query
@@ -217,3 +218,12 @@ def f31(spark, folder):
 def f32(spark, folder):
     n = F.char_length("text")
     return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.ceil(n / 4).alias("by_four"), F.ceil(n / 3.5).alias("by_three_and_half"))
+
+
+#: A vocabulary of byte-pair encoding; any file of this kind will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("f32_bpe_counts")
+def f32_bpe(spark, folder):
+    return bpe.token_counts(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", VOCABULARY)
