@@ -65,7 +65,7 @@ def folded(c: Column) -> Column:
     """A title or line with plain quotes, single spaces and no page number at its end."""
     out = F.regexp_replace(c, SPACE, " ")
     out = F.translate(out, "“”″‶‘’\\", "\"\"\"\"''")
-    return trimmed(F.regexp_replace(out, r"(?i) +(?:ix|xi{1,3}|[0-9]+) *\z", ""))
+    return F.trim(F.regexp_replace(out, r"(?i) +(?:ix|xi{1,3}|[0-9]+) *\z", ""))
 
 
 def folded_match(a: Column, b: Column) -> Column:

@@ -1,6 +1,6 @@
 """Chapters by a book's configured titles: where these stand in its lines, which place of each is meant, what is between.
 
-Titles are a table (doc_id, nth, title), so lines meet only their own document's titles, in an equi-join. All steps after
+Titles are a table (doc_id, nth, title), and lines meet those of their own document that share a word with them, in an equi-join. All steps after
 it are windows over a document's lines, dealt once.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators.documents import PUBLISHING, preferred, sections
 
+#: Letters of a title that is short, and of a word's beginning.
+SHORT_TITLE, BEGINS = 10, 4
 #: Lines behind a title in which its content is counted, and letters of a line that counts.
 BODY, LEAST_BODY = 99, 20
 #: Lines in which the contents' heading is looked for, and from where to where behind it the first title.
@@ -41,14 +43,55 @@ def usable_link(subtype: Column, dest: Column, url: Column) -> Column:
     return F.coalesce((subtype == "Link") & (dest != "") & (F.coalesce(url, F.lit("")) == ""), F.lit(False))
 
 
+def title_key(f: Column) -> Column:
+    """What a line that matches a folded title must have: the title as its beginning where that is short; else its longest inner word, or how its
+    second and last word begins. Null for the titles, single long words above all, that need not leave a whole word in a line.
+
+    A line may lack up to three letters at the title's beginning, and go on behind its end, so the first and the last word may be parts there.
+    """
+    words = F.split(f, " ")
+    n, second = F.size(words), F.char_length(F.get(words, F.lit(0))) >= 2
+    inner = F.slice(words, F.when(second, 2).otherwise(3), F.greatest(n - F.when(second, 2).otherwise(3), F.lit(0)))
+    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    last = F.get(words, n - 1)
+    begins = F.when((n == 2) & second & (F.char_length(last) >= BEGINS), F.concat(F.lit("q"), F.substring(last, 1, BEGINS)))
+    return F.when(F.char_length(f) <= SHORT_TITLE, F.concat(F.lit("p"), f)).otherwise(F.coalesce(F.concat(F.lit("w"), longest), begins))
+
+
+def line_keys(x: Column) -> Column:
+    """All keys of a folded line that a title could have."""
+    words = F.split(x, " ")
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.lit(SHORT_TITLE), F.char_length(x))), lambda k: F.concat(F.lit("p"), F.substring(x, F.lit(1), k)))
+    begins = F.transform(F.filter(words, lambda w: F.char_length(w) >= BEGINS), lambda w: F.concat(F.lit("q"), F.substring(w, 1, BEGINS)))
+    return F.array_distinct(F.concat(prefixes, F.transform(words, lambda w: F.concat(F.lit("w"), w)), begins))
+
+
+def candidates(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, line, nth) of lines (.., _text) and titles (.., _folded) of one document that can match: those with a key in common, and all
+    lines with the titles that have no key."""
+    keyed = titles.withColumn("_key", title_key(F.col("_folded")))
+    found = lines.select("doc_id", "line", F.explode(line_keys(F.col("_text"))).alias("_key")).join(keyed.where("_key is not null").select("doc_id", "_key", "nth"), ["doc_id", "_key"])
+    without = keyed.where("_key is null").groupBy("doc_id").agg(F.collect_list(F.struct("nth", "_folded")).alias("_rest"))
+    hits = F.filter("_rest", lambda t: F.col("_text").contains(F.substring(t["_folded"], 4, 10_000)))
+    rest = lines.join(without, "doc_id").select("doc_id", "line", F.explode(hits).alias("t")).select("doc_id", "line", "t.nth")
+    return found.select("doc_id", "line", "nth").unionByName(rest).distinct()
+
+
 def with_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """Lines with ``title``, the first of their document's titles that they match, and ``joined``, the same for a line and the next one together."""
-    entry = F.struct("nth", "title", T.folded(F.col("title")).alias("folded"))
-    of_document = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_titles"))
+    """Lines with ``title``, the first of their document's titles that they match, and ``joined``, the same for a line and the next one together.
+
+    Lines meet only titles that share a key with them (``title_key``), and these few are then compared in full.
+    """
+    titles = titles.where(F.col("title").isNotNull()).select("doc_id", "nth", "title", T.folded(F.col("title")).alias("_folded"))
     after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("line"))
     both = lines.withColumn("_one", T.folded(F.col("text"))).withColumn("_two", T.folded(F.concat(F.col("text"), F.lit(" "), after)))
-    first = lambda c: F.get(F.filter("_titles", lambda t: T.folded_match(F.col(c), t["folded"])), F.lit(0))["title"]
-    return both.join(of_document, "doc_id", "left").select("doc_id", "line", "text", first("_one").alias("title"), first("_two").alias("joined"))
+    asked = both.join(titles.select("doc_id").distinct(), "doc_id", "left_semi")
+    # a line's own folded text is a beginning of that of both lines, so the longer one has all keys
+    met = candidates(asked.select("doc_id", "line", F.coalesce("_two", "_one").alias("_text")), titles)
+    near = met.join(asked.select("doc_id", "line", "_one", "_two"), ["doc_id", "line"]).join(titles, ["doc_id", "nth"])
+    first = lambda c: F.min(F.when(T.folded_match(F.col(c), F.col("_folded")), F.struct("nth", "title")))["title"]
+    found = near.groupBy("doc_id", "line").agg(first("_one").alias("title"), first("_two").alias("joined"))
+    return lines.join(found, ["doc_id", "line"], "left").select("doc_id", "line", "text", "title", "joined")
 
 
 def occurrences(matched: DataFrame) -> DataFrame:

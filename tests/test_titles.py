@@ -61,3 +61,42 @@ def test_positions_of_seven_digits_stay_in_order(spark):
 @pytest.mark.parametrize("provider, voice, want", [("polly", "Burrow", "long-form"), ("polly", "Aria", "neural"), ("polly", "Kevin", "standard"), ("polly", "x-Neural2", "standard"), ("google", "de-Neural2-A", "neural"), ("google", "Aria", "standard"), ("elevenlabs", "Adam", "standard"), (None, None, "standard")])
 def test_voice_classes(spark, provider, voice, want):
     assert one(spark, usage.voice_class(F.lit(provider).cast("string"), F.lit(voice).cast("string"))) == want
+
+
+def plain_match(a, b):
+    """Whether a folded line a matches a folded title b."""
+    return a.startswith(b) or len(b) > 10 and (b in a or any(len(b) - k > 8 and a.startswith(b[k:]) for k in (1, 2, 3)))
+
+
+def test_matches_beside_all_pairs(spark):
+    """Titles of all shapes; lines that have them whole, cut at the front, going on behind, inside words, and over two lines."""
+    import random
+
+    rng = random.Random(8)
+    names = ["", "A", "The", "Air", "Breathing", "A cat sat on it", "Introduction", "Acknowledgements", "On it all", "The Long Road Home", "Oxygenation advantages", "I am the walrus here", "Of mice", "Xy", "Two  words here", "ab cdefghijkl", "The Oxygen"]
+    texts = []
+    for _ in range(400):
+        n = rng.choice(names)
+        texts.append(rng.choice([n, n[rng.randint(0, 4) :], n + "s and more", "Re" + n.lower(), "in " + n + " 12", n[: len(n) // 2], n.upper(), "x" + n, n + " " + rng.choice(names)]) or "-")
+    lines = spark.createDataFrame([(1 + i % 2, i // 2, t) for i, t in enumerate(texts)], "doc_id long, line int, text string")
+    titles = spark.createDataFrame([(1, i, n) for i, n in enumerate(names) if n] + [(2, 5, "The Long Road Home"), (2, 3, "The Long"), (2, 9, None)], "doc_id long, nth int, title string")
+    folded = {r["text"]: r["f"] for r in lines.select("text", T.folded(F.col("text")).alias("f")).collect()}
+    rows = {(r["doc_id"], r["line"]): r["text"] for r in lines.collect()}
+    after = lines.select("doc_id", "line", T.folded(F.concat("text", F.lit(" "), F.lead("text").over(chapters.Window.partitionBy("doc_id").orderBy("line")))).alias("two"))
+    two = {(r["doc_id"], r["line"]): r["two"] for r in after.collect()}
+    own = {1: [(n, one(spark, T.folded(F.lit(n)))) for n in names if n], 2: [("The Long", "The Long"), ("The Long Road Home", "The Long Road Home")]}
+    got = {(r["doc_id"], r["line"]): (r["title"], r["joined"]) for r in chapters.with_titles(lines, titles).collect()}
+    first = lambda x, d: next((n for n, f in own[d] if x is not None and plain_match(x, f)), None)
+    want = {k: (first(folded[t], k[0]), first(two[k], k[0])) for k, t in rows.items()}
+    assert got == want and sum(v[0] is not None for v in want.values()) > 100
+
+
+def test_many_titles_are_not_lines_times_titles(spark):
+    """A book with 10,000 titles and 10,000 lines: what meets is in proportion to them."""
+    n = 10_000
+    name = F.concat(F.lit("The tale of w"), F.md5(F.col("id").cast("string")), F.lit(" and others"))
+    titles = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("nth"), name.alias("title"))
+    lines = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("line"), F.concat(F.lit("so "), name, F.lit(" went on")).alias("text"))
+    keyed = titles.withColumn("_folded", T.folded(F.col("title")))
+    assert chapters.candidates(lines.withColumn("_text", T.folded(F.col("text"))), keyed).count() == n
+    assert chapters.with_titles(lines, titles).where("title = concat(substring(text, 4, length(text) - 11))").count() == n
