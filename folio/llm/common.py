@@ -87,31 +87,14 @@ def quantile(numerator: int, denominator: int) -> int:
     return max(1, -(-numerator // max(1, denominator)))
 
 
-#: A key is hot that has more than one part in so many of all rows; so there are no more hot keys than this.
-HOT_KEYS = 1000
-#: Rows of a table that is small in itself: no key of it can be too much for a task.
-SMALL = 100_000
+def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """The rows with the columns of ``facts``, which has one row for each key.
 
-
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
-    """The rows with the columns of ``facts``, which has one row for each key and how many of all ``total`` rows have it.
-
-    Hot keys' facts, at most ``HOT_KEYS`` of them, are broadcast, so their rows stay where they are; the others' are joined
-    sorted. With at most ``SMALL`` rows in all there is nothing to part, and Spark joins them as it likes.
+    One plan at all sizes: Spark broadcasts facts that it has found to be small; else both sides are sorted, and what a hot key has too much
+    of is parted while the join runs, as the other side of it is one row.
     """
-    spark = rows.sparkSession
     facts = facts.withColumnRenamed(key, "_fact_key").where("_fact_key is not null")
-    same = F.col(key) == F.col("_fact_key")
-    if total <= SMALL:
-        return rows.join(facts, same).drop("_fact_key")
-    facts = written(facts, "facts")
-    hot = facts.where(F.col(n) > max(1, total // HOT_KEYS)).collect()
-    if not hot:
-        return rows.join(facts.hint("merge"), same).drop("_fact_key")
-    keys = [r["_fact_key"] for r in hot]
-    many = rows.join(F.broadcast(spark.createDataFrame(hot, facts.schema)), same)
-    few = rows.where(~F.col(key).isin(keys)).join(facts.where(~F.col("_fact_key").isin(keys)).hint("merge"), same)
-    return many.unionByName(few).drop("_fact_key")
+    return rows.join(facts, F.col(key) == F.col("_fact_key")).drop("_fact_key")
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,10 +14,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _toward(pairs: DataFrame, total: int) -> DataFrame:
-    """Pairs (u, v) with the least of u and its v. It comes from partial minima and a hub's is broadcast, so a hub is no one's task."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return with_facts(pairs, least, "u", total).select("u", "v", "m")
+def _toward(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the least of u and its v. It comes from partial minima and is joined back, so a hub is no one's task."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return with_facts(pairs, least, "u").select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _toward(both, 2 * state[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = _toward(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.where("a > b").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = _toward(down, state[0])
+        small = _toward(down)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = written(small.where("a > b").distinct(), "links")
         before, state = state, _state(edges)

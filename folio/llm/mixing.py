@@ -31,6 +31,8 @@ from folio.llm.common import DOCUMENT_COLUMNS, SPACE_RUN, quantile, row_hash, ta
 SEED = 31_013
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
+#: Sources for which quotas are made; each is a row on the driver.
+MOST_SOURCES = 100_000
 SHARDS = 32
 BLOCKS_PER_SHARD = 64
 #: Documents of a source that close what its head leaves open of the target, at most.
@@ -145,7 +147,7 @@ def dealt(quotas: Sequence[Sequence[int]], blocks: Sequence[int], seed: int = SE
 
 def rows_of(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and two hashes of the whole row, which tell different documents apart."""
-    size = F.col("size") if "size" in docs.columns else word_count(text_or_empty())
+    size = word_count(text_or_empty()) if "text" in docs.columns else F.col("size")
     return docs.select("doc_id", "source", size.alias("size"), *[row_hash(k, docs.columns).alias(f"_k{k}") for k in (1, 2)])
 
 
@@ -164,7 +166,9 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most_passes: int =
     groups = written(groups, "mix-rows")
     size = F.col("size")
     sums = groups.groupBy("source", "_run").agg(F.sum(size * F.col("_copies")).alias("words"), F.sum(F.when(size > 0, F.col("_copies"))).alias("documents"))
-    found = sums.groupBy("source").agg(F.sum("words").alias("words"), F.sum("documents").alias("documents")).collect()
+    found = sums.groupBy("source").agg(F.sum("words").alias("words"), F.sum("documents").alias("documents")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: their quotas are made on the driver")
     have = {r["source"]: int(r["words"] or 0) for r in found}
     mean = sum(have.values()) / max(1, sum(r["documents"] or 0 for r in found))
     goal = targets(have, weights, most_passes, total)

@@ -11,12 +11,12 @@ the full sets, and components are formed. Then only buckets that still hold seve
 pairs of blocks of bounded size their members' signatures are compared across components, pairs within the distance
 ``reach`` are confirmed on the full sets, in the same pairs of blocks, and links that join components are all that leaves
 the task. A pair that is left out is connected already. Documents of equal words are one text throughout, and facts about
-a bucket, a first or a component that very many rows share are broadcast, so none of these is one task's.
+a bucket, a first or a component are sums of partial sums that are joined back, so none of these is one task's.
 
 Defined cases: letters A to Z count as small ones; a null, empty or blank text has an empty set and no links; with
 fewer words than a shingle has, the whole sequence is the one shingle; a null ``doc_id`` is not linked and has no
 component, and its row is kept; rows of one ``doc_id`` are one document, which is linked with all that any of its texts
-is linked with; an empty table gives no rows.
+is linked with, rows without words included; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int,
     pairs = written(pairs, "pairs")
     total = pairs.count()
     groups = quantile(total, PAIRS)
-    placed = with_facts(pairs, pairs.groupBy("a").agg(F.count("*").alias("n")), "a", total)
+    placed = with_facts(pairs, pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
     beside = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BESIDE))
     placed = placed.select(F.pmod(F.xxhash64("a", beside), F.lit(groups)).alias("group"), "a", "b")
     needed = placed.select("group", "a", F.col("b").alias("id")).unionAll(placed.select("group", "a", F.col("a").alias("id")).distinct())
@@ -203,7 +203,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_pairs(members: DataFrame, total: int) -> DataFrame:
+def block_pairs(members: DataFrame) -> DataFrame:
     """The members, in each pair of blocks (x, y) of their bucket that they belong to; y holds no rows of the largest component.
 
     A bucket's largest component needs no pairs inside; its rows are dealt to blocks of their own, the others' to further
@@ -212,7 +212,7 @@ def block_pairs(members: DataFrame, total: int) -> DataFrame:
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mains = counts.groupBy("bucket").agg(F.max_by(F.struct("component", "n"), F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     mains = mains.select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("o"), "n")
-    rows = with_facts(members, mains, "bucket", total)
+    rows = with_facts(members, mains, "bucket")
     m, o, mine = F.col("m"), F.col("o"), F.col("block")
     other = F.col("component") != F.col("main")
     rows = rows.withColumn("block", F.when(other, m + F.pmod(F.xxhash64("id"), o)).otherwise(F.pmod(F.xxhash64("id"), m)).cast("int"))
@@ -252,7 +252,7 @@ def across(members: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, p
     Signatures are compared first, by pairs of blocks. Only who is near another one there comes again, with its text, once
     for each pair of blocks; pairs are compared where they are, and only links that join components leave the task.
     """
-    rows = written(block_pairs(members, members.count()), "blocks")
+    rows = written(block_pairs(members), "blocks")
     # which pair of blocks goes to which task is the same both times
     dealt = lambda df, most: df.withColumn("group", F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(quantile(df.count(), most))))
     columns = "bucket long, id long, component long, signature binary, block int, x int, y int"
@@ -280,45 +280,74 @@ def across(members: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, p
     return with_texts(dealt(some, BLOCK), firsts, docs).groupBy("group").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row.
+def components_of(docs: DataFrame, words: int, percent: int, same_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): the rows with key and size of their set, and the different texts (id, doc, text_hash, label) with the label of their component.
 
     What is linked are different texts, each with an ``id``, the hash of its words; ``doc`` is the least of its documents.
+    ``same_ids``: rows of one ``doc_id`` are linked too.
     """
     chunks, reach = shape(percent)
     places = chunks * WIDTH
     rows = written(sketched(docs, words, places), "signatures")
     usable = rows.where("doc_id is not null and n > 0")
-    firsts = usable.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_hash", "signature"), F.struct("doc_id", "text_hash")).alias("x"), F.count("*").alias("n"))
-    firsts = written(firsts.select(F.col("key").alias("id"), F.col("x.doc_id").alias("doc"), "x.text_hash", "x.signature", "n"), "firsts")
+    firsts = usable.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_hash", "signature"), F.struct("doc_id", "text_hash")).alias("x"))
+    firsts = written(firsts.select(F.col("key").alias("id"), F.col("x.doc_id").alias("doc"), "x.text_hash", "x.signature"), "firsts")
     buckets = written(bucketed(firsts, places), "buckets")
     # buckets of one group of copies name different firsts, so a copy that is far from one of them is near another
-    shared = buckets.groupBy("bucket").agg(F.min_by("id", F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(FIRSTS))), F.col("id"))).alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = written(with_facts(buckets, shared, "bucket", buckets.count()).select("bucket", "id", "first", F.col("n").alias("members")), "met")
+    shared = buckets.groupBy("bucket").agg(F.min_by("id", F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(FIRSTS))), F.col("id"))).alias("first"), F.count("*").alias("members")).where("members > 1")
+    met = written(with_facts(buckets, shared, "bucket").select("bucket", "id", "first", "members"), "met")
     pairs = met.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(pairs, firsts, docs, words, percent).unionAll(of_one_document(usable, rows.count()))
+    links = confirmed(pairs, firsts, docs, words, percent)
+    if same_ids:
+        links = links.unionAll(of_one_document(usable))
     found = written(components(links), "components")
     more = written(met.where("members > 2").select("bucket", "id").distinct().join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "more")
-    mixed_ = more.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-    more = with_facts(more, mixed_, "bucket", more.count()).drop("n")
+    mixed_ = more.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    more = with_facts(more, mixed_, "bucket")
     more = written(more.join(firsts.select(F.col("id").alias("_i"), "signature").hint("merge"), F.col("id") == F.col("_i")).drop("_i"), "open")
     if not more.isEmpty():
         again = written(across(more, firsts, docs, words, percent, places, reach), "across")
         found = written(components(links.unionAll(again)), "components")
+    texts = firsts.join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", "doc", "text_hash", F.coalesce("component", "id").alias("label"))
+    return rows, written(texts, "labels")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    rows, texts = components_of(docs, words, percent, same_ids=True)
     # the least document of a component, then of each text, then of each row
-    labelled = firsts.select("id", "doc", F.col("n").alias("rows_")).join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", "doc", "rows_", F.coalesce("component", "id").alias("label"))
-    labelled = written(labelled, "labels")
-    least = labelled.groupBy("label").agg(F.min("doc").alias("component_id"), F.count("*").alias("n"))
-    of_text = with_facts(labelled, least, "label", labelled.count()).select(F.col("id").alias("key"), "component_id", F.col("rows_").alias("copies"))
-    linked = with_facts(usable.select("doc_id", "key", F.col("n").alias("n_shingles")), of_text, "key", rows.count(), "copies").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    least = texts.groupBy("label").agg(F.min("doc").alias("component_id"))
+    of_text = with_facts(texts, least, "label").select(F.col("id").alias("key"), "component_id")
+    usable = rows.where("doc_id is not null and n > 0").select("doc_id", "key", F.col("n").alias("n_shingles"))
+    linked = written(with_facts(usable, of_text, "key").select("doc_id", "n_shingles", "component_id"), "linked")
+    alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    # a row without words is of the component that other rows of its document are of
+    empty = alone.select("doc_id").distinct().withColumnRenamed("doc_id", "_d")
+    of_id = linked.join(empty, F.col("doc_id") == F.col("_d"), "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_c")).withColumnRenamed("doc_id", "_d")
+    alone = alone.join(of_id, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def of_one_document(usable: DataFrame, total: int) -> DataFrame:
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (its columns, ``text`` and ``doc_id`` among them) that stay when of each group of near copies one text does.
+
+    Here a text is judged by itself: of a group the text of the least ``doc_id`` stays, and of its texts the one of least hash. Different texts of one
+    ``doc_id`` are no copies of each other by that. Of rows with the same id and text one stays; without words or id all others do.
+    """
+    rows, texts = components_of(docs, words, percent, same_ids=False)
+    tops = texts.groupBy("label").agg(F.min(F.struct("doc", "text_hash")).alias("t")).select(F.col("t.doc").alias("_d"), F.col("t.text_hash").alias("_h"))
+    stay = tops.unionByName(rows.where("doc_id is not null and n = 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct())
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # equal rows are brought together where they are read, before they are dealt out
+    single = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64(text_or_empty())).groupBy("doc_id", "_hash").agg(F.min(F.struct(*others, "text")).alias("_r"))
+    kept = single.join(stay, (F.col("doc_id") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi").select("doc_id", "_r.*")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def of_one_document(usable: DataFrame) -> DataFrame:
     """Links between the different texts of rows with the same doc_id, which are one document."""
-    several = usable.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low < high").select("doc_id", "low", "n")
-    found = with_facts(usable.select("doc_id", "key"), several, "doc_id", total).where("key != low")
+    several = usable.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("doc_id", "low")
+    found = with_facts(usable.select("doc_id", "key"), several, "doc_id").where("key != low")
     return written(found.select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "same-ids")
 
 

@@ -34,7 +34,7 @@ BUCKET_BYTES = 64 << 20
 RECORD_BYTES = 16
 #: Buckets whose first slots may be broadcast.
 MOST_BROADCAST = 100_000
-MADE = ("shard", "grown_shard", "bucket", "place", "slot")
+MADE = ("shard", "grown_shard", "bucket", "place", "slot", "_weight", "_s", "_b", "_first")
 
 
 def size_of(text: str = "text") -> Column:

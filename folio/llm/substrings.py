@@ -361,16 +361,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     ship(docs.sparkSession)
     of_text = F.xxhash64(text_or_empty()).bitwiseAND(F.lit(-LEAST_ID - 1)) + F.lit(2 * LEAST_ID)
-    facts = docs.agg(F.sum(F.octet_length("text")).alias("total"), F.min("doc_id").alias("least")).first()
-    if facts["least"] is not None and facts["least"] < LEAST_ID:
-        raise ValueError(f"a doc_id below {LEAST_ID}")
+    nulls = F.count_if(F.col("doc_id").isNull()).alias("nulls")
+    facts = docs.agg(F.sum(F.octet_length("text")).alias("total"), F.min("doc_id").alias("least"), nulls).first()
+    if facts["nulls"] and facts["least"] is not None and facts["least"] < LEAST_ID:
+        raise ValueError(f"rows without doc_id beside a doc_id below {LEAST_ID}: there is no number left for them")
     docs = docs.select(F.coalesce("doc_id", of_text).alias("doc_id"), text_or_empty().alias("text"))
     groups = quantile(facts["total"] or 0, GROUP_BYTES)
     repeated = written(repeated_anchors(docs, groups), "anchors")
     texts = documents_by_group(docs, groups)
     found = spans(contexts(texts, repeated, groups), groups)
     out = remaining(texts, written(found, "spans"))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id"))) if facts["nulls"] else out
 
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm import common, tokens
-from folio.llm.common import quantile, ship, table, written
+from folio.llm.common import quantile, ship, table, text_or_empty, written
 
 END = 0
 LIMIT = 16  # a block's 32-bit reads hold a code of up to 25 bits at any bit offset
@@ -143,9 +143,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, special: bool
             ids = [x.astype(kind).tobytes() for x in tokens.documents_ids(f["text"], path, tokens.by_run, end, special)]
             for at in range(0, len(ids), 500):
                 total += np.bincount(np.frombuffer(b"".join(ids[at : at + 500]), kind), minlength=vocabulary)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "ids": ids, "counts": None})
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text_hash": f["text_hash"], "ids": ids, "counts": None})
         # the last row of a task has its counts, so the ids aren't read again for them
-        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [total.tobytes()]})
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "text_hash": [0], "ids": [None], "counts": [total.tobytes()]})
 
     def counted(frames):
         for f in frames:
@@ -154,8 +154,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, special: bool
                 used = np.flatnonzero(total)
                 yield pd.DataFrame({"id": used, "n": total[used]})
 
-    both = written(docs.select("doc_id", "text").mapInPandas(tokenized, "doc_id long, ids binary, counts binary"), "ids")
-    ids = both.where("ids is not null").select("doc_id", "ids")
+    hashed = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash"))
+    both = written(hashed.mapInPandas(tokenized, "doc_id long, text_hash long, ids binary, counts binary"), "ids")
+    ids = both.where("ids is not null").select("doc_id", "text_hash", "ids")
     counts = np.zeros(vocabulary, np.int64)
     for r in both.where("counts is not null").select("counts").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["id"]] = r["n"]
@@ -183,7 +184,8 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, special: bool
             yield close(doc_ids, run)
 
     schema = "part int, block int, doc_ids array<long>, doc_lengths array<long>, n_ids long, bits binary, checkpoints binary"
-    ranged = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id stand in the order of their texts' hashes, so starts do not hang on the plan and an id with very many rows is parted too
+    ranged = ids.repartitionByRange(parts, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     ranged.mapInPandas(coded, schema).write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/code")
 

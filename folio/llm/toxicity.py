@@ -6,7 +6,7 @@ directions; attention pools a window's states to one, from which comes its score
 highest window, and all windows of the whole text are scored. A label belongs to a document: in training, all windows of a document
 with label 0 are such, and of one with label 1 the window that the network itself scores highest.
 
-The model is fitted on at most ``MOST_POSITIVE`` and ``MOST_NEGATIVE`` labelled rows, the first by a hash of doc_id; nothing
+The model is fitted on at most ``MOST_POSITIVE`` and ``MOST_NEGATIVE`` labelled documents and ``MOST_BYTES`` of their texts, the first by a hash of doc_id; nothing
 else is bounded by a number of rows. Labels, languages, sources and ids are no inputs of a score.
 
 Defined cases: a null or blank text is a window without words and gets the network's score of that; a null label is no
@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -32,6 +32,8 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 6, 8
 TRIGRAMS = 1024
 MOST_WORDS = 8192
 MOST_POSITIVE, MOST_NEGATIVE = 800, 1600
+#: Bytes of their texts; one text for each id, that of the least hash, and none above this by itself.
+MOST_BYTES = 64 << 20
 EPOCHS = 24
 #: Epochs in which the odds of words choose the windows of documents with label 1.
 LED = 6
@@ -301,7 +303,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     for c, most in ((1, MOST_POSITIVE), (0, MOST_NEGATIVE)):
         part = marks.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toPandas()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    size, before = F.octet_length("text"), Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # the least hashes first, until the bytes are reached; the window has the sizes of the chosen ids only
+    within = one.select("doc_id", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("_before")).where(F.col("_before") < MOST_BYTES).select("doc_id")
+    found = one.where(size <= MOST_BYTES).join(F.broadcast(within), "doc_id", "left_semi").orderBy("doc_id", "text").toPandas()
     return found["text"].tolist(), found["toxic"].astype(int).tolist()
 
 

@@ -55,7 +55,7 @@ def test_secrets_without_ids(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in got) == ["3", "None"] and {r["value"] for r in got} == {SECRET}
 
 
-@pytest.mark.parametrize("name, left", [("toxicity", 4), ("near_duplicates", 3), ("secrets", 4), ("mixing", None), ("packing", None)])
+@pytest.mark.parametrize("name, left", [("toxicity", 4), ("near_duplicates", 4), ("secrets", 4), ("mixing", None), ("packing", None)])
 def test_stage_without_ids(spark, tmp_path, name, left):
     folder = without_ids(tmp_path)
     got = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()

@@ -136,19 +136,18 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-def test_facts_of_hot_keys(spark, monkeypatch):
-    """Rows meet their key's facts, whether these are broadcast, joined sorted or, in small tables, as Spark likes."""
+def test_facts_of_hot_keys(spark):
+    """Rows meet their key's facts, whether these are broadcast or joined sorted."""
     from folio.llm import common
 
     rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(400)], "v long, k long")
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("n > 1 or k > 100")
     want = sorted(map(tuple, rows.join(facts, "k").select("v", "k", "n", "least").collect()))
-    for small in (0, 1000):
-        monkeypatch.setattr(common, "SMALL", small)
-        assert sorted(map(tuple, common.with_facts(rows, facts, "k", 400).select("v", "k", "n", "least").collect())) == want
+    for way in ("broadcast", "merge"):
+        assert sorted(map(tuple, common.with_facts(rows, facts.hint(way), "k").select("v", "k", "n", "least").collect())) == want
 
 
-def test_components(spark, monkeypatch):
+def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(60)]
     top = {}
@@ -161,12 +160,8 @@ def test_components(spark, monkeypatch):
     for a, b in edges:
         x, y = find(a), find(b)
         top[max(x, y)] = min(x, y)
-    from folio.llm import common
-
-    for small in (common.SMALL, 0):
-        monkeypatch.setattr(common, "SMALL", small)
-        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-        assert got == {x: find(x) for e in edges for x in e}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges for x in e}
 
 
 def sizes(folder):
