@@ -4,8 +4,8 @@ Each stage takes (session, documents, folder) and returns a DataFrame that is wr
 next one's documents. All but the last return the columns of documents.
 
 1. toxicity: documents whose score reaches the threshold go; a null text is scored as an empty one;
-2. near_duplicates: of each group of near copies the one with the least doc_id stays (of rows of one doc_id the one
-   whose text comes first); documents without words or id have no copies and stay;
+2. near_duplicates: of each group of near copies the text with the least doc_id stays; different texts of one doc_id are
+   judged one by one, of rows with the same id and text one stays, and documents without words or id have no copies and stay;
 3. secrets: what the scan takes for a secret is replaced in its text, and n_chars follows; a null text stays null;
 4. mixing: documents are repeated or left out so that sources reach their target weights; without words they are left out;
 5. packing: the pieces of all that is left, in sequences of one window.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import common, mixing, neardup, packing, secrets, toxicity
@@ -33,11 +33,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    kept = neardup.near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
-    single = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*DOCUMENT_COLUMNS)
-    return single.unionByName(docs.where("doc_id is null"))
+    return neardup.without_near_copies(docs.select(*DOCUMENT_COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
