@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folio.llm import fingerprints, mixing, neardup, packing, quality, secrets, sharding, substrings, suffixes, tokenfile, tokens, toxicity
@@ -292,22 +294,62 @@ def test_written_shards(spark, tmp_path, request, which):
     assert sorted(map(tuple, got.astype(str).values.tolist())) == sorted(map(tuple, again.astype(str).values.tolist()))
 
 
-def test_slots_are_those_of_plain_sorting(spark, tmp_path):
+def plain_fisher_yates(n, *seeds):
+    """The numbers below n in the order of swaps, with Spark's hash of ints in plain Python."""
+    order = list(range(n))
+    for i in range(n - 1, 0, -1):
+        h = 42
+        for v in (*seeds, i):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", v), seed=h)
+        j = (h - (1 << 64) if h >> 63 else h) % (i + 1)
+        order[i], order[j] = order[j], order[i]
+    return order
+
+
+def test_fisher_yates(spark):
+    sizes = [1, 2, 3, 10, 257]
+    got = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", sharding.fisher_yates(F.col("n"), F.lit(7), F.lit(3)).alias("o")).collect()
+    assert {r["n"]: r["o"] for r in got} == {n: plain_fisher_yates(n, 7, 3) for n in sizes}
+    orders = spark.range(6000).select(sharding.fisher_yates(F.lit(3), F.col("id").cast("int")).alias("o")).groupBy("o").count().collect()
+    assert len(orders) == 6 and all(850 < r["count"] < 1150 for r in orders)
+
+
+def test_slots_are_those_of_plain_swaps(spark, tmp_path):
     """Places and slots beside plain Python over Spark's hashes; rows of one id and of none have buckets of their own."""
     docs = spark.createDataFrame([(None if i % 3 == 0 else i % 50, f"text {i}") for i in range(600)], "doc_id long, text string")
     schema = sharding.write_shards(docs, f"{tmp_path}/s", 3, bucket_bytes=1000)
     seed = sharding.SEED
-    hashed = docs.select("doc_id", "text", *[row_hash(seed - k, ["doc_id", "text"]).alias(f"h{k}") for k in (1, 2)], *[F.xxhash64("doc_id", F.lit(seed + k)).alias(f"w{k}") for k in range(4)]).collect()
+    bucket = F.xxhash64(row_hash(seed - 1, ["doc_id", "text"]), F.lit(0).cast("long")).alias("h1")
+    hashed = docs.select("doc_id", "text", bucket, row_hash(seed - 2, ["doc_id", "text"]).alias("h2"), *[F.xxhash64("doc_id", F.lit(seed + k)).alias(f"w{k}") for k in range(4)]).collect()
     buckets = -(-sum(len(r["text"]) + 16 for r in hashed) // 3000)
     rows = {}
     for r in hashed:
         w = [r[f"w{k}"] for k in range(4)]
-        rows.setdefault(w[:3].index(max(w[:3])), []).append((r["h1"] % buckets, r["h2"], r["text"], w.index(max(w))))
-    want = {text: (shard, slot, grown) for shard, some in rows.items() for slot, (_, _, text, grown) in enumerate(sorted(some))}
+        rows.setdefault((w[:3].index(max(w[:3])), r["h1"] % buckets), []).append((r["h2"], r["text"], w.index(max(w))))
+    want, slots = {}, Counter()
+    for (shard, b), some in sorted(rows.items()):
+        some.sort()
+        for k in plain_fisher_yates(len(some), seed, shard, b):
+            want[some[k][1]] = (shard, slots[shard], some[k][2])
+            slots[shard] += 1
     got = {r["text"]: (r["shard"], r["slot"], r["grown_shard"]) for r in sharding.with_slots(sharding.read_shards(spark, f"{tmp_path}/s", schema)).collect()}
     assert got == want and len({r["h1"] % buckets for r in hashed if r["doc_id"] is None}) == buckets
 
 
+def test_many_equal_rows_are_in_many_buckets(spark, tmp_path):
+    """A whole row with more copies than a bucket holds: all copies stay, no bucket has them all, and slots are those of any plan."""
+    docs = spark.createDataFrame([(None, None)] * 500 + [(7, "same")] * 130 + [(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    got = []
+    for k, parts in enumerate((1, 7)):
+        schema = sharding.write_shards(docs.repartition(parts), f"{tmp_path}/{k}", 3, bucket_rows=20)
+        rows = sharding.read_shards(spark, f"{tmp_path}/{k}", schema)
+        assert rows.exceptAll(rows.limit(0)).count() == 930 and rows.select("doc_id", "text").exceptAll(docs).isEmpty()
+        counts = {r["bucket"]: r["count"] for r in rows.where("text is null").groupBy("bucket").count().collect()}
+        assert len(counts) == 16 and max(counts.values()) < 70
+        got.append(sorted(map(str, sharding.with_slots(rows).collect())))
+    assert got[0] == got[1]
+
+
 def test_forest_is_the_same_in_spark(spark):
     found = secrets.labelled_findings(600, seed=9)
     x, y = secrets.feature_rows(spark, found)
