@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of letters and digits (some of each or of a known form) or a value that is assigned to a name
-of secrets; a word can hold many, and each is scored with the part of the word it stands in. Its features are its length, shares of character classes, transitions between classes,
-coverage by the words of a vocabulary, whether it looks like a path or address, and what its neighbouring words say. The
+A candidate is a long run of letters and digits (some of each or of a known form), a value that is assigned to a name
+of secrets or said to be one ("the password is .."), each word of such a value in quotes (of ``QUOTED_WORDS`` words at most), the password in an address, or
+what stands behind "Authorization: Basic"; a word can hold many, and each is scored with the part of the word it stands in. Its features are its length, shares of character classes, transitions between classes,
+coverage by the words of a vocabulary, whether it looks like a path, address, placeholder or code, and what its neighbouring words say. The
 forest is grown in numpy from labelled findings (``labelled_findings``: a seeded list of secrets and of what is taken
 for them, with words around them), whose features are found by the same expressions, and is then an expression itself:
 scanning is one projection of the documents, with no shuffle and no Python on the executors.
@@ -13,6 +14,7 @@ each; an empty table gives no rows; other columns are kept by ``scanned``.
 
 from __future__ import annotations
 
+import base64
 import json
 import random
 import re
@@ -30,8 +32,8 @@ from folio.llm.fingerprints import bound
 from folio.llm.mixing import literal_table
 
 SEED = 404
-TREES, DEPTH, LEAST_LEAF = 15, 6, 5
-FINDINGS = 2400
+TREES, DEPTH, LEAST_LEAF = 15, 8, 5
+FINDINGS = 4000
 LIMIT = 0.5
 MARK = "[SECRET]"
 
@@ -49,10 +51,23 @@ ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[=:]+[\"']?([^\s\"',;&<>]{{6,}})"
 EACH_ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[=:]+[\"']?(?=([^\s\"',;&<>]{{6,}}))"
 #: From where on a value is the next assignment.
 NEXT_ASSIGNED = rf"(?i)[^A-Za-z0-9](?:{NAMES})[\"']?[=:].*$"
+#: A password in an address, between a name and a host.
+IN_ADDRESS = r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@]*:([^\s/@]{3,})@[^\s@]"
+#: A name of secrets whose value begins with a quote: anywhere in a text, with the quote open at the end of a word, and of some words.
+QUOTE = rf"(?i)(?:{NAMES})[\"']?\s*[:=]+\s*[\"']"
+OPEN_IN_WORD = rf"(?i)(?:{NAMES})[\"']?[:=]+[\"']([^\"']+)$"
+OPEN_BEFORE = rf"(?i)(?:{NAMES})[\"']?\s*[:=]+\s*[\"'][^\"']*$"
+QUOTED_WORDS = 8
+#: Words before a value that say it is one: a name of secrets and a verb, or a scheme of authorization.
+SAID = rf"(?i)(?:{NAMES})\s+(?:is|was)$"
+SCHEME = r"(?i)authorization[\"']?\s*[:=]\s*[\"']?(?:basic|bearer|digest|token)$"
+#: What stands in place of a value, and code that finds it.
+PLACEHOLDER = r"(?i)change[_-]?me|example|dummy|sample|placeholder|xxx|\*\*\*|your|here$|^test|^enter|^insert|^<|^null$|^none$|^true$|^false$|^string$|^required$|^optional$|^undefined$|^boolean$|^redacted|^hidden|^password$|^secret$"
+CODE = r"^[$%]\{?[A-Za-z_]+\}?%?$|\w\(|\w\[|\{\{|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$"
 #: Between the parts of a word.
 PARTS = r"[?&|,;]+(?=.)"
 HAS_NAME = rf"(?i)(?:{NAMES})"
-FEATURES = ("length", "digits", "upper", "lower", "transitions", "dictionary", "path", "named", "no_secret", "hex", "uuid", "form", "assigned")
+FEATURES = ("length", "digits", "upper", "lower", "transitions", "dictionary", "path", "named", "no_secret", "hex", "uuid", "form", "assigned", "placeholder", "one_word", "code", "in_address", "said", "quoted")
 
 
 @lru_cache(maxsize=4)
@@ -82,8 +97,8 @@ def _flag(c: Column) -> Column:
     return F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def features(word: Column, value: Column, near: Column) -> dict[str, Column]:
-    """word: the word or part of a word; value: the candidate in it; near: the three words before."""
+def features(word: Column, value: Column, near: Column, phrase: Column) -> dict[str, Column]:
+    """word: the word or part of a word; value: the candidate in it; near: the three words before; phrase: all words of a value in quotes, else empty."""
     low = F.lower(value)
     return {
         "length": F.char_length(value).cast("double"),
@@ -99,6 +114,12 @@ def features(word: Column, value: Column, near: Column) -> dict[str, Column]:
         "uuid": _flag(value.rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
         "form": _flag(value.rlike(FORMS)),
         "assigned": _flag(word.rlike(ASSIGNED) | near.rlike(rf"(?i)(?:{NAMES})[\"']?\s*[:=]+$")),
+        "placeholder": _flag(value.rlike(PLACEHOLDER) | phrase.rlike(PLACEHOLDER)),
+        "one_word": _flag(low.rlike(rf"^(?:{dictionary()})$")),
+        "code": _flag(value.rlike(CODE)),
+        "in_address": _flag(word.rlike(IN_ADDRESS)),
+        "said": _flag(near.rlike(SAID) | near.rlike(SCHEME)),
+        "quoted": _flag(phrase != ""),
     }
 
 
@@ -113,7 +134,9 @@ def kind(word: Column, value: Column) -> Column:
 def candidates(text: Column) -> Column:
     """An array of (at, word, value, kind, features..) of all candidates of a text; ``at`` counts words from 0."""
 
-    def of(w: Column) -> Column:
+    def of(text_: Column) -> Column:
+        w, has_quotes = text_["w"], text_["q"]
+
         def before(i: Column, k: int) -> Column:
             return F.when(i >= k, F.get(w, i - k)).otherwise("")
 
@@ -121,20 +144,47 @@ def candidates(text: Column) -> Column:
             x, last = F.get(w, i), before(i, 1)
             return (F.octet_length(x) >= 6) & (last.endswith("=") | last.endswith(":")) & F.concat_ws(" ", before(i, 2), last).rlike(rf"(?i)(?:{NAMES})[\"']?\s*[:=]+$")
 
+        def some_before(i: Column, k: int) -> Column:
+            return F.concat_ws(" ", *[before(i, j) for j in range(k, 0, -1)])
+
+        def phrase(i: Column) -> Column:
+            """The words around, if the word is one of some in quotes that a name of secrets stands before; else empty."""
+            x = F.get(w, i)
+            end = F.regexp_extract(F.array_join(F.slice(w, i + 2, QUOTED_WORDS), " "), r"^([^\"']*)[\"']", 1)
+            opens = F.regexp_extract(x, OPEN_IN_WORD, 1)
+            inside = F.regexp_extract(F.concat_ws(" ", some_before(i, QUOTED_WORDS), F.regexp_replace(x, r"[\"'].*$", "")), OPEN_BEFORE, 0)
+            starts = F.when(before(i, 1).rlike(r"[:=]$") & x.rlike(r"^[\"'][^\"']+$"), F.regexp_extract(F.concat_ws(" ", before(i, 2), before(i, 1), x), OPEN_BEFORE, 0)).otherwise("")
+            found = (
+                F.when((opens != "") & (end != ""), F.concat_ws(" ", opens, end))
+                .when((starts != "") & (end != ""), F.concat_ws(" ", F.regexp_replace(x, r"^[\"']", ""), end))
+                .when((inside != "") & (x.rlike(r"^[^\"']+[\"']") | ((end != "") & ~x.rlike(r"[\"']"))), F.concat_ws(" ", F.regexp_replace(inside, QUOTE, ""), end))
+            )
+            return F.when(has_quotes, F.coalesce(F.trim(found), F.lit(""))).otherwise("")
+
+        def is_said(i: Column) -> Column:
+            x, near = F.get(w, i), F.concat_ws(" ", before(i, 2), before(i, 1))
+            said = F.lower(before(i, 1)).isin("is", "was") & near.rlike(SAID) & (x.rlike("[0-9]") | x.rlike(r"^[\"'][^\"']+[\"']"))
+            return (F.octet_length(x) >= 6) & (said | (F.lower(before(i, 1)).isin("basic", "bearer", "digest", "token") & near.rlike(SCHEME)))
+
         def is_candidate(i: Column) -> Column:
             x = F.get(w, i)
+            address = (F.octet_length(x) >= 10) & x.contains("://") & x.contains("@") & x.rlike(IN_ADDRESS)
             long_ = (F.octet_length(x) >= 16) & x.rlike(LONG) & (x.rlike("[0-9]") | F.exists(F.regexp_extract_all(x, F.lit(LONG), F.lit(1)), lambda v: v.rlike(FORMS)))
             assigned = (F.octet_length(x) >= 10) & x.rlike(ASSIGNED)
-            return long_ | assigned | is_behind(i)
+            return long_ | assigned | is_behind(i) | address | is_said(i) | (has_quotes & (phrase(i) != ""))
 
-        def values(word: Column, parts: Column, behind: Column) -> Column:
+        def values(word: Column, parts: Column, behind: Column, quoted: Column) -> Column:
             """All candidates of a word, each once."""
             none = F.array().cast("array<string>")
             assigned = F.regexp_extract_all(word, F.lit(EACH_ASSIGNED), F.lit(1))
             cut = F.transform(F.filter(assigned, lambda v: v.rlike(NEXT_ASSIGNED)), lambda v: F.regexp_replace(v, NEXT_ASSIGNED, ""))
             long_ = F.filter(F.regexp_extract_all(word, F.lit(LONG), F.lit(1)), lambda v: word.rlike("[0-9]") | v.rlike(FORMS))
             head = F.when(behind & (F.size(parts) > 1), F.array(F.regexp_replace(F.get(parts, 0), r"^[\"'(\[{]+|[\"')\]}]+$", ""))).otherwise(none)
-            found = F.concat(assigned, long_, F.filter(F.concat(cut, head), lambda v: F.char_length(v) >= 6))
+            whole = F.filter(F.array(F.regexp_extract(word, r"^[\"']([^\"']{6,})[\"']", 1)), lambda v: behind & (v != ""))
+            address = F.filter(F.regexp_extract_all(word, F.lit(IN_ADDRESS), F.lit(1)), lambda v: word.contains("@"))
+            found = F.concat(assigned, whole, address, long_, F.filter(F.concat(cut, head), lambda v: F.char_length(v) >= 6))
+            piece = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, rf"(?i)^.*(?:{NAMES})[\"']?[:=]+[\"']", ""), r"^[\"']", ""), r"[\"'].*$", "")
+            found = F.when(quoted & (piece != ""), F.array(piece)).otherwise(found)
             bare = F.regexp_replace(word, r"^[\"'(\[]+|[\"')\],;#.]+$", "")
             found = bound(found, lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(F.coalesce(F.nullif(F.regexp_extract(word, LONG, 1), F.lit("")), bare))))
             return F.array_distinct(F.transform(found, lambda v: F.regexp_replace(v, r"[.\-]+$", "")))
@@ -147,15 +197,16 @@ def candidates(text: Column) -> Column:
                     mine = F.filter(parts, lambda p: p.contains(value))
                     return F.coalesce(F.get(F.filter(mine, lambda p: p.rlike(ASSIGNED)), 0), F.get(mine, 0), word)
 
-                return F.transform(values(word, parts, is_behind(i)), lambda v: F.struct(i.alias("at"), part(v).alias("word"), v.alias("value"), near.alias("near")))
+                of_phrase = lambda p: F.transform(values(word, parts, is_behind(i) | is_said(i), p != ""), lambda v: F.struct(i.alias("at"), part(v).alias("word"), v.alias("value"), near.alias("near"), p.alias("phrase")))
+                return bound(phrase(i), of_phrase)
 
             return bound(F.split(word, PARTS), of_parts)
 
         at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), is_candidate)
-        raw = F.when(F.size(w) == 0, F.array().cast("array<struct<at:int,word:string,value:string,near:string>>")).otherwise(F.flatten(F.transform(at, found)))
-        return F.transform(raw, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), kind(c["word"], c["value"]).alias("kind"), *[v.alias(k) for k, v in features(c["word"], c["value"], c["near"]).items()]))
+        raw = F.when(F.size(w) == 0, F.array().cast("array<struct<at:int,word:string,value:string,near:string,phrase:string>>")).otherwise(F.flatten(F.transform(at, found)))
+        return F.transform(raw, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), kind(c["word"], c["value"]).alias("kind"), *[v.alias(k) for k, v in features(c["word"], c["value"], c["near"], c["phrase"]).items()]))
 
-    return bound(F.filter(F.split(text, SPACE_RUN), lambda x: x != ""), of)
+    return bound(F.struct(F.filter(F.split(text, SPACE_RUN), lambda x: x != "").alias("w"), text.rlike(QUOTE).alias("q")), of)
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int]]:
@@ -168,7 +219,34 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
     name = lambda: rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret", "SECRET_KEY", "API_TOKEN", "credential"])
     after = lambda: rng.choice(["", "", "", ",", ".", "###", "$$$", "***", "%%%", ";"])
 
+    ordinary = sorted(ordinary_words(), key=lambda w: (-len(w), w))
+    # ordinary words, and made-up ones of other languages
+    word = lambda: rng.choice(ordinary) if rng.random() < 0.5 else "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    sign = lambda: rng.choice("!@#&*_-.")
+
+    def chosen() -> str:
+        """A password as people choose it, of words mostly; 10 letters or more, or some digits in it."""
+        w = word()
+        out = rng.choice([
+            lambda: "".join(word() for _ in range(rng.randint(3, 4))), lambda: f"{w}{rng.randint(1, 99)}" * 2, lambda: f"{w}{rng.randint(1, 999)}{word()}", lambda: f"{w.capitalize()}{sign()}{take(digits, rng.randint(2, 4))}", lambda: take(string.ascii_lowercase, rng.randint(12, 20)),
+            lambda: f"{w.capitalize()}{word()}".replace("o", "0").replace("e", "3").replace("a", "4") + sign() + take(digits + letters, 2), lambda: f"{w}{sign()}{word()}{sign()}{word()}", lambda: f"{w}{take(digits, rng.randint(3, 6))}",
+        ])()
+        return out if len(out) >= 10 else out + take(digits, 4)
+
+    def placeholder() -> str:
+        return rng.choice(["changeme", "example", "dummy", "xxxxxxxx", "********", "test1234", "required", "optional", "string", "undefined", "placeholder", "password", f"your_{word()}_here", f"your-{word()}", f"example{word()}{rng.randint(1, 99)}"])
+
+    def address(value: str) -> str:
+        return f"{rng.choice(['postgres', 'mysql', 'redis', 'amqp', 'https', 'mongodb+srv', 'ftp'])}://{rng.choice(['admin', 'root', 'user', word()])}:{value}@{word()}.{rng.choice(['host', 'com', 'local', 'net'])}{rng.choice(['', ':5432', ':6379'])}{rng.choice(['', '/' + word()])}"
+
     def secret() -> str:
+        if rng.random() < 0.4:
+            c = chosen()
+            return rng.choice([
+                lambda: f"{name()}={c}", lambda: f"{name()}: {c}", lambda: f'{name()} = "{c}"', lambda: f"{name()} = {c}", lambda: f"{name()}='{c}';{name()}={take(letters + digits, 20)}", lambda: f'my {rng.choice(["password", "passphrase", "secret"])} {rng.choice(["is", "was"])} "{c}"', lambda: f"{rng.choice(['password', 'pwd'])} is {word()}{take(digits, 3)}{word()}",
+                lambda: f'{name()}="{" ".join(word() for _ in range(rng.randint(1, 4)))} {c}"', lambda: f'{name()}: "{c} {word()} {word()}"', lambda: address(c), lambda: address(c), lambda: address(take(letters + digits, rng.randint(8, 20))),
+                lambda: f"Authorization: Basic {base64.b64encode(f'{word()}:{c}'.encode()).decode()}", lambda: f"Authorization: Bearer {take(letters + digits, 24)}",
+            ])()
         value = rng.choice([
             lambda: take(hexes, rng.choice([18, 20, 24, 32, 40, 64])), lambda: take(letters + digits, rng.randint(16, 44)),
             lambda: take(letters + digits + "+/", rng.choice([32, 40, 44])) + rng.choice(["", "="]), lambda: take(letters, 4) + take(digits, 4) + take(letters + digits, 8), lambda: take(letters + digits + "!@$%^*_-", rng.randint(12, 24)), lambda: take(digits + digits + hexes, rng.choice([16, 18, 24])) + rng.choice("abcdef") + take(digits, 2),
@@ -178,11 +256,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
             lambda: f"bearer {value}", lambda: rng.choice(["ghp_", "gho_", "xoxb-", "sk-", "AIza", "glpat-", "npm_"]) + take(letters + digits, 34) + "1", lambda: "eyJ" + take(letters + digits, 30) + "1." + take(letters + digits, 40),
         ])()
 
-    ordinary = sorted(ordinary_words(), key=lambda w: (-len(w), w))
-
     def other() -> str:
-        # ordinary words, and made-up ones of other languages
-        word = lambda: rng.choice(ordinary) if rng.random() < 0.5 else "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+        if rng.random() < 0.3:
+            return rng.choice([
+                lambda: f"{name()}: {rng.choice(ordinary)}", lambda: f"{name()} = {rng.choice(ordinary)}", lambda: f"{name()}={placeholder()}", lambda: f"{name()}: {placeholder()}", lambda: f"{name()} = get{word().capitalize()}{word().capitalize()}()", lambda: f"{name()}=${{{word().upper()}_{word().upper()}}}", lambda: f"{name()} = {word()}.{word()}.{word()}", lambda: f"{name()}={word()}[{word()}]",
+                lambda: f'{name()}: "{rng.choice(["enter", "insert"])} your {word()} here"', lambda: f'{name()}="your {word()} {word()}"', lambda: address(placeholder()), lambda: f"https://{word()}.com:8080/@{word()}/{word()}{rng.randint(1, 99)}", lambda: f"basic {word()}{word()}{word()}{rng.randint(1, 9)}", lambda: f'the {rng.choice(["password", "secret"])} is "{rng.choice(ordinary)}"', lambda: f"the {rng.choice(['token', 'secret'])} was {word()}-{rng.randint(1, 9)}-{word()}",
+            ])()
         return rng.choice([
             lambda: f"{rng.choice(['sha1', 'md5', 'checksum', 'commit', 'digest', 'etag', 'revision', 'sha256'])} {take(hexes, rng.choice([32, 40, 64]))}", lambda: f"sha256:{take(hexes, 64)}",
             lambda: f"{rng.choice(['id', 'uuid', 'see', 'of'])} {take(hexes, 8)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 12)}", lambda: take(digits, rng.randint(16, 19)), lambda: f"card {take(digits, 16)}",
