@@ -60,7 +60,9 @@ def copies_apart(docs: DataFrame, most: int, seed: int = SEED) -> DataFrame:
     apart in blocks.
     """
     hashes = [row_hash(seed - k, docs.columns) for k in (4, 5)]
-    many = docs.select(F.struct(*hashes).alias("_k")).groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_k")
+    counts = docs.select(F.struct(*hashes).alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
+    # written, so that its size is known and texts are shuffled for the joins only where it can't be broadcast
+    many = common.written(counts.where(F.col("_n") > most).select("_k"), "copies")
     hashed = docs.withColumn("_h", F.struct(*hashes))
     usual = hashed.join(many, F.col("_h") == F.col("_k"), "left_anti").select(*docs.columns, F.lit(0).cast("long").alias("_copy"))
     counted = hashed.join(many, F.col("_h") == F.col("_k"), "left_semi").groupBy(*docs.columns).agg(F.count("*").alias("_n"))
