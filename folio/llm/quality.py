@@ -3,12 +3,13 @@
 Base rules count words, symbols, repeated lines and repeated windows of words in whole texts. What passes them becomes
 a vector of transformed statistics (word length, symbols, repeated lines, repeated words), and for each language and
 source a minimum-covariance-determinant estimate of mean and covariance is made from all its documents: from several
-starts (``STARTS``), concentration steps take the part ``KEPT_SHARE`` of nearest documents and estimate again from these,
-until the determinant stops falling; the estimate of least determinant is taken. A document
+starts (``STARTS``), concentration steps take the part ``KEPT_SHARE`` of nearest documents and estimate again from these.
+After ``FIRST_STEPS`` the ``BEST_STARTS`` of least determinant go on until it stops falling (or ``MOST_STEPS`` have been
+made), and the estimate of least determinant is taken. A document
 further than a far quantile of the chi-square distribution (squared Mahalanobis distance) is rejected.
 
-All steps are sums by group, with a partial sum before the shuffle, so a hot source is no one's task; the nearest part is
-found by a histogram of distances of bounded size. Groups with fewer than ``LEAST`` documents take the estimate of their
+All steps are sums by group, with a partial sum before the shuffle, so a hot source is no one's task. A step reads the rows
+once: the sums of each bin of a histogram of distances, of bounded size, are added up from the nearest bin to the share. Groups with fewer than ``LEAST`` documents take the estimate of their
 language, and if that is small too of all documents. Each statistic has a least spread (``FLOOR``): where all documents
 agree, a slight difference is no outlier.
 
@@ -42,6 +43,10 @@ STARTS = ((0.25, 0.5, 0.75), (0.4, 0.5, 0.6), (0.05, 0.25, 0.45), (0.55, 0.75, 0
 CLOSE = 0.975
 #: A determinant that falls by a smaller part has stopped.
 STOPPED = 1e-4
+#: After so many steps of all starts those of the least determinants go on, until they stop or for so many steps in all.
+FIRST_STEPS = 2
+BEST_STARTS = 2
+MOST_STEPS = 60
 LEAST = 60
 #: Chance that a document of a normal distribution is further than the limit.
 FAR = 1e-3
@@ -171,14 +176,18 @@ def estimate(sums: DataFrame, scale: float) -> DataFrame:
     return sums.mapInPandas(run, "level int, lang string, source string, start int, n long, mean array<double>, inverse array<double>, det double")
 
 
+#: The sums that an estimate is made from; sums of parts add up to those of the whole.
+MOMENTS = ("n", *[f"s{i}" for i in range(DIMS)], *[f"p{i}{j}" for i in range(DIMS) for j in range(i, DIMS)])
+
+
 def moments() -> list[Column]:
-    x = [F.col(f"x{i}") for i in range(DIMS)]
-    return [F.count("*").alias("n"), *[F.sum(a).alias(f"s{i}") for i, a in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]]
+    sums = {f"s{i}": f"x{i}" for i in range(DIMS)} | {f"p{i}{j}": f"x{i} * x{j}" for i in range(DIMS) for j in range(i, DIMS)}
+    return [F.count("*").alias("n"), *[F.expr(f"sum({x})").alias(name) for name, x in sums.items()]]
 
 
 def distance() -> Column:
-    d = [F.col(f"x{i}") - F.col("mean")[i] for i in range(DIMS)]
-    return sum((d[i] * d[j] * F.col("inverse")[i * DIMS + j] for i in range(DIMS) for j in range(DIMS)), F.lit(0.0))
+    """The squared Mahalanobis distance of x0.. from a row's mean by its inverse."""
+    return F.expr(" + ".join(f"(x{i} - mean[{i}]) * (x{j} - mean[{j}]) * inverse[{i * DIMS + j}]" for i in range(DIMS) for j in range(DIMS)))
 
 
 def near(df: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -210,29 +219,34 @@ def robust_estimates(df: DataFrame, share: float = KEPT_SHARE) -> DataFrame:
     starts = mid.select(*group, "n", F.explode(F.array(*[start(k) for k in range(len(STARTS))])).alias("s")).select(*group, "s.start", "n", "s.mean", "s.inverse", F.lit(float("inf")).alias("det"))
     moving = written(starts, "estimates")
     scale = consistency(share, DIMS)
+    by_det = W.partitionBy(*group).orderBy("det", "start")
+    w = W.partitionBy(*keys)
     stopped = []
-    while True:
-        d = near(df, moving).withColumn("bin", F.floor(F.log1p(F.col("distance")) * 100).cast("int"))
-        bins = d.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-        w = W.partitionBy(*keys)
-        bins = bins.select(*keys, "bin", (F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1))).alias("before"), F.sum("n").over(w).alias("all"))
-        limits = bins.where(F.coalesce("before", F.lit(0)) < share * F.col("all")).groupBy(*keys).agg(F.max("bin").alias("limit")).select(*[F.col(k).alias(f"_{k}") for k in keys], "limit")
-        nearest = d.join(limits, same_group(d, limits)).where("bin <= limit")
-        new = estimate(nearest.groupBy(*keys).agg(*moments()), scale)
+    for nth in range(1, MOST_STEPS + 1):
+        # one pass over the rows: the sums of each bin of distances, of which the nearest bins are added up
+        binned = near(df, moving).withColumn("bin", F.floor(F.log1p(F.col("distance")) * 100).cast("int")).groupBy(*keys, "bin").agg(*moments())
+        before_it, all_of = F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.sum("n").over(w)
+        nearest = binned.withColumn("_before", F.coalesce(before_it, F.lit(0))).withColumn("_all", all_of).where(F.col("_before") < share * F.col("_all"))
+        new = estimate(nearest.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in MOMENTS]), scale)
         before = moving.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("det").alias("_det"), F.col("mean").alias("_mean"), F.col("inverse").alias("_inverse"))
         fell = F.col("det") < F.col("_det") - STOPPED
         less = F.col("det") < F.col("_det")
-        step = new.join(before, same_group(new, before)).select(*keys, "n", F.when(less, F.col("mean")).otherwise(F.col("_mean")).alias("mean"), F.when(less, F.col("inverse")).otherwise(F.col("_inverse")).alias("inverse"), F.least("det", "_det").alias("det"), fell.alias("_fell"))
+        step = new.join(before, same_group(new, before)).select(*keys, "n", F.when(less, F.col("mean")).otherwise(F.col("_mean")).alias("mean"), F.when(less, F.col("inverse")).otherwise(F.col("_inverse")).alias("inverse"), F.least("det", "_det").alias("det"), (fell & F.lit(nth < MOST_STEPS)).alias("_fell"))
+        if nth == FIRST_STEPS:
+            step = step.withColumn("_nth", F.row_number().over(by_det)).where(F.col("_nth") <= BEST_STARTS).drop("_nth")
         step = written(step, "estimates")
-        stopped.append(step.where(~F.col("_fell")).drop("_fell"))
         moving = step.where("_fell").drop("_fell")
+        if nth < FIRST_STEPS:
+            # all starts go on to where the best are chosen
+            moving = step.drop("_fell")
+            continue
+        stopped.append(step.where(~F.col("_fell")).drop("_fell"))
         if moving.isEmpty():
             break
     every = stopped[0]
     for s in stopped[1:]:
         every = every.unionByName(s)
-    least = W.partitionBy(*group).orderBy("det", "start")
-    best = written(every.withColumn("_nth", F.row_number().over(least)).where("_nth = 1").drop("_nth"), "estimates")
+    best = written(every.withColumn("_nth", F.row_number().over(by_det)).where("_nth = 1").drop("_nth"), "estimates")
     # the usual last step: once more from all rows that are not far
     close = near(df, best).where(F.col("distance") <= chi_square_quantile(CLOSE, DIMS))
     return written(estimate(close.groupBy(*keys).agg(*moments()), consistency(CLOSE, DIMS)), "estimates")
