@@ -14,6 +14,8 @@ HEADING_OPENS, HEADING_CLOSES = "⟨⟨HEADING⟩⟩", "⟨⟨/HEADING⟩⟩"
 #: White space inside a class of characters, the no-break and the zero-width one of U+FEFF too, the next-line sign not.
 SPACES = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = rf"[{SPACES}]+"
+#: The same characters one by one.
+SPACE_CHARACTERS = "\t\n\v\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def words(c: Column) -> Column:
@@ -22,7 +24,7 @@ def words(c: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """A text without white space of any kind at its ends."""
-    return F.regexp_replace(c, rf"\A{SPACE}|{SPACE}\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def split_size(c: Column) -> Column:
@@ -100,8 +102,8 @@ def number_of(word: Column) -> Column:
 
 def ends_abbreviated(c: Column) -> Column:
     """Whether a text's end is an abbreviation, by its last letters alone."""
-    low = F.lower(trimmed(c))
-    return F.exists(F.array(*[F.lit(a.lower()) for a in ABBREVIATIONS]), lambda a: F.endswith(low, a))
+    end = F.lower(F.right(trimmed(c), F.lit(max(map(len, ABBREVIATIONS)))))
+    return end.rlike("(?:" + "|".join(re.escape(a.lower()) for a in ABBREVIATIONS) + r")\z")
 
 
 def is_heading(line: Column, following: Column, previous: Column) -> Column:
