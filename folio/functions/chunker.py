@@ -10,8 +10,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folio.functions.fixed import ABBREVIATIONS, PLAIN_ABBREVIATIONS
 from folio.functions.text import HEADING_CLOSES, HEADING_OPENS
@@ -20,6 +21,8 @@ _SHORT = tuple(a.lower() for a in ABBREVIATIONS)
 _PLAIN_SHORT = frozenset(PLAIN_ABBREVIATIONS)
 _END = re.compile(r"[.!?]\Z")
 HEADING = re.compile(f"{HEADING_OPENS}(.*?){HEADING_CLOSES}")
+#: Rows and letters that a task gives out at once, so that it never holds what a batch of texts makes.
+ROWS_AT_ONCE, LETTERS_AT_ONCE = 5000, 1 << 20
 
 
 @dataclass
@@ -109,18 +112,49 @@ def chunked(text: str | None, least: int = 5, most: int = 15, plain: bool = Fals
     return joined(raw, most)
 
 
+def in_pieces(rows: Iterator[tuple], text: int) -> Iterator[list[tuple]]:
+    """Rows in lists of ``ROWS_AT_ONCE`` rows or ``LETTERS_AT_ONCE`` letters in the column ``text`` at most, but for a row that is longer."""
+    held, letters = [], 0
+    for row in rows:
+        n = len(row[text])
+        if held and (len(held) >= ROWS_AT_ONCE or letters + n > LETTERS_AT_ONCE):
+            yield held
+            held, letters = [], 0
+        held.append(row)
+        letters += n
+    if held:
+        yield held
+
+
+def texts_of(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[tuple]:
+    """(key, text) one by one, as a batch of many texts as Python's own would be several times its size."""
+    for batch in batches:
+        for k, t in zip(batch.column(key), batch.column(text), strict=True):
+            yield k.as_py(), t.as_py()
+
+
+def by_text(texts: DataFrame, key: str, text: str, rows, columns: dict[str, str]) -> DataFrame:
+    """``rows(key, text)`` of each text, as a table of these columns, of which one is ``text``."""
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = (row for k, t in texts_of(batches, key, text) for row in rows(k, t))
+        for piece in in_pieces(made, names.index("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*piece, strict=True), kinds, strict=True)], schema=kinds)
+
+    ddl = ", ".join(f"{c} {t}" for c, t in columns.items())
+    kinds = to_arrow_schema(texts.sparkSession.createDataFrame([], ddl).schema)
+    return texts.select(key, text).mapInArrow(run, ddl)
+
+
 def chunk_table(texts: DataFrame, key: str, text: str, least: int = 5, most: int = 15, plain: bool = False) -> DataFrame:
     """(key, chunk_index, type, text, word_count, start_word, end_word) of each chunk."""
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for k, t in zip(f[key], f[text], strict=True):
-                at = 0
-                for i, c in enumerate(chunked(t, least, most, plain)):
-                    rows.append((k, i, c.kind, " ".join(c.words), len(c.words), at, at + len(c.words) - 1))
-                    at += len(c.words)
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "type", "text", "word_count", "start_word", "end_word"])
-
-    kind = dict(texts.dtypes)[key]
-    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, type string, text string, word_count int, start_word int, end_word int")
+    def rows(k, t):
+        at = 0
+        for i, c in enumerate(chunked(t, least, most, plain)):
+            yield k, i, c.kind, " ".join(c.words), len(c.words), at, at + len(c.words) - 1
+            at += len(c.words)
+
+    columns = {key: dict(texts.dtypes)[key], "chunk_index": "int", "type": "string", "text": "string", "word_count": "int", "start_word": "int", "end_word": "int"}
+    return by_text(texts, key, text, rows, columns)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.chunker import by_text
 from folio.sources.files import shared_path
 
 SENTENCE = re.compile(r"[^.!?]+[.!?]")
@@ -111,26 +110,23 @@ def preferred(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataF
 def buffered_sentences(texts: DataFrame, key: str, text: str, least: int = 5) -> DataFrame:
     """(key, nth, text): sentences, joined until each has so many words; what is left at the end stands alone. In batches, as a sentence's place hangs on those before."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, t in zip(f[key], f[text], strict=True):
-                held, n, nth = [], 0, 0
-                # behind the last closing sign nothing can match, and looking for it from every place would take long
-                for part in SENTENCE.findall((t or "")[: max((t or "").rfind(c) for c in ".!?") + 1]):
-                    words = part.split()
-                    if words:
-                        held.append(part.strip())
-                        n += len(words)
-                    if n >= least:
-                        rows.append((k, nth, " ".join(held)))
-                        held, n, nth = [], 0, nth + 1
-                if held:
-                    rows.append((k, nth, " ".join(held)))
-            yield pd.DataFrame(rows, columns=[key, "nth", "text"])
-
-    kind = dict(texts.dtypes)[key]
-    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, nth int, text string")
+    def rows(k, t):
+        held, n, nth = [], 0, 0
+        t = t or ""
+        # behind the last closing sign nothing can match, and looking for it from every place would take long
+        for found in SENTENCE.finditer(t[: max(t.rfind(c) for c in ".!?") + 1]):
+            part = found.group()
+            words = part.split()
+            if words:
+                held.append(part.strip())
+                n += len(words)
+            if n >= least:
+                yield k, nth, " ".join(held)
+                held, n, nth = [], 0, nth + 1
+        if held:
+            yield k, nth, " ".join(held)
+
+    return by_text(texts, key, text, rows, {key: dict(texts.dtypes)[key], "nth": "int", "text": "string"})
 
 
 def split_at(text: Column, markers: list[str]) -> Column:

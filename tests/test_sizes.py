@@ -16,3 +16,25 @@ def test_abbreviated_ends_look_at_a_text_once(spark):
     assert got == {t: stripped[t].endswith(tuple(a.lower() for a in ABBREVIATIONS)) for t in texts}
     plan = df.where(ends)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "regexp_replace" not in plan
+
+
+def test_chunks_are_given_out_in_small_pieces(monkeypatch):
+    """What a task holds is bounded by rows and by letters, whatever number of texts comes in a batch."""
+    from folio.functions import chunker
+
+    monkeypatch.setattr(chunker, "ROWS_AT_ONCE", 10)
+    monkeypatch.setattr(chunker, "LETTERS_AT_ONCE", 100)
+    taken = []
+
+    def rows():
+        for i in range(95):
+            taken.append(i)
+            yield i, "x" * (1 + i % 30), i
+        yield 95, "y" * 500, 95
+
+    pieces = []
+    for piece in chunker.in_pieces(rows(), 1):
+        assert len(taken) <= sum(map(len, pieces)) + len(piece) + 1
+        assert len(piece) <= 10 and (len(piece) == 1 or sum(len(r[1]) for r in piece) <= 100)
+        pieces.append(piece)
+    assert [r[0] for p in pieces for r in p] == list(range(96))
