@@ -77,14 +77,15 @@ def touching(a: DataFrame, b: DataFrame, p: str, q: str, cell: float = CELL) ->
     """Pairs of rectangles of one document's page (``doc_id``, ``page``) that share a point, each pair once.
 
     By a grid: only what lies in one cell meets, and the cell of the lower corner of what both share gives out the pair. What is
-    not in cells meets all of its page.
+    not in cells meets all of its page. The joins are sorted ones at all sizes: of rows in cells, which are many times their
+    rectangles, the planner knows no size, and would send them through the driver.
     """
     (small_a, wide_a), (small_b, wide_b) = in_cells(a, p, cell=cell), in_cells(b, q, cell=cell)
-    near = small_a.join(small_b, ["doc_id", "page", "_cx", "_cy"]).where(overlaps(p, q))
+    near = small_a.join(small_b.hint("merge"), ["doc_id", "page", "_cx", "_cy"]).where(overlaps(p, q))
     corner = [F.floor(F.greatest(F.col(p + c), F.col(q + c)) / cell) == F.col(k) for c, k in (("x1", "_cx"), ("y1", "_cy"))]
     columns = ["doc_id", "page", *[c for d in (a, b) for c in d.columns if c not in ("doc_id", "page")]]
-    far = wide_a.join(b, ["doc_id", "page"]).where(overlaps(p, q))
-    rest = a.join(wide_b, ["doc_id", "page"]).where(overlaps(p, q) & ~no_cells(p, cell=cell))
+    far = wide_a.join(b.hint("merge"), ["doc_id", "page"]).where(overlaps(p, q))
+    rest = a.join(wide_b.hint("merge"), ["doc_id", "page"]).where(overlaps(p, q) & ~no_cells(p, cell=cell))
     return near.where(corner[0] & corner[1]).select(*columns).unionByName(far.select(*columns)).unionByName(rest.select(*columns))
 
 
@@ -99,13 +100,13 @@ def text_under(links: DataFrame, items: DataFrame, cell: float = CELL) -> DataFr
 def nearest_chunk(points: DataFrame, chunks: DataFrame, tolerance: float = TOLERANCE, cell: float = CELL) -> DataFrame:
     """points (point_id, doc_id, page, x, y) with the chunk of the page whose rectangle, widened, has the point and whose middle is nearest.
 
-    By a grid too: a point is in one cell, and meets the chunks that reach it.
+    By a grid too, and by sorted joins: a point is in one cell, and meets the chunks that reach it.
     """
     inside = F.col("x").between(F.col("cx1") - tolerance, F.col("cx2") + tolerance) & F.col("y").between(F.col("cy1") - tolerance, F.col("cy2") + tolerance)
     middle = F.pow(F.col("x") - (F.col("cx1") + F.col("cx2")) / 2, 2) + F.pow(F.col("y") - (F.col("cy1") + F.col("cy2")) / 2, 2)
     placed, wide = in_cells(chunks, "c", tolerance, cell)
-    near = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)}).join(placed, ["doc_id", "page", "_cx", "_cy"]).drop("_cx", "_cy")
-    met = near.unionByName(points.join(wide, ["doc_id", "page"])).where(inside)
+    near = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)}).join(placed.hint("merge"), ["doc_id", "page", "_cx", "_cy"]).drop("_cx", "_cy")
+    met = near.unionByName(points.join(wide.hint("merge"), ["doc_id", "page"])).where(inside)
     return met.groupBy("point_id").agg(F.min_by("chunk_id", F.struct(middle, F.col("chunk_id"))).alias("chunk_id"))
 
 

@@ -38,3 +38,10 @@ def test_chunks_are_given_out_in_small_pieces(monkeypatch):
         assert len(piece) <= 10 and (len(piece) == 1 or sum(len(r[1]) for r in piece) <= 100)
         pieces.append(piece)
     assert [r[0] for p in pieces for r in p] == list(range(96))
+
+
+def test_rows_in_cells_are_not_broadcast(spark, small):
+    """However small the planner takes them to be."""
+    from folio.plans import layout_queries as Q
+
+    assert "Broadcast" not in Q.j10(spark, small)._jdf.queryExecution().executedPlan().toString()
