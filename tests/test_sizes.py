@@ -45,3 +45,17 @@ def test_rows_in_cells_are_not_broadcast(spark, small):
     from folio.plans import layout_queries as Q
 
     assert "Broadcast" not in Q.j10(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bounded_stream_leaves_nothing_waiting(spark, tmp_path):
+    """The last hour's rows come too, those without a user among them, and the row that ends the stream does not."""
+    from folio.streaming import logs as S
+
+    rows = [(1, 1, 5, "2024-01-01 10:00:00"), (2, 1, 6, "2024-01-01 10:30:00"), (3, 1, 6, "2024-01-01 10:31:00"), (4, None, 1, "2024-01-01 10:59:59"), (5, 2, 3, "2024-01-01 10:59:59.5")]
+    df = spark.createDataFrame(rows, "log_id long, user_id long, chunk_index int, ts string").selectExpr("log_id", "user_id", "chunk_index", "cast(ts as timestamp_ntz) as ts", "1L as book_id", "1 as chapter_number")
+    path = f"file://{tmp_path}/t"
+    df.coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    logs, end = S.with_end(spark, S.stream_of(spark, path, table))
+    got = S.run_to_end(S.live_changes(logs, keep_ms=None), logs, end, table)
+    assert sorted(r["log_id"] for r in got.collect()) == [1, 2, 4, 5]
