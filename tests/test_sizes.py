@@ -59,3 +59,13 @@ def test_a_bounded_stream_leaves_nothing_waiting(spark, tmp_path):
     logs, end = S.with_end(spark, S.stream_of(spark, path, table))
     got = S.run_to_end(S.live_changes(logs, keep_ms=None), logs, end, table)
     assert sorted(r["log_id"] for r in got.collect()) == [1, 2, 4, 5]
+
+
+def test_sessions_are_over_by_the_whole_second(spark, tmp_path):
+    """As in the SQL: 10:00:00.2 and five minutes are behind 10:15:00.5 less ten, but not in whole seconds."""
+    from folio.plans import stream_queries as Q
+
+    rows = [(1, 1, "2024-01-01 10:00:00.2"), (2, 2, "2024-01-01 10:00:00"), (3, 3, "2024-01-01 10:15:00.5")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    assert [r["user_id"] for r in Q.t02(spark, f"file://{tmp_path}").collect()] == [2]
