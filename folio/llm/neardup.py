@@ -109,10 +109,9 @@ def sketched(docs: DataFrame, words: int, places: int) -> DataFrame:
     return hashed.mapInPandas(run, "doc_id long, text_hash long, key long, n long, signature binary")
 
 
-def with_texts(needed: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows of ``needed`` with the text of their ``id``. All is joined sorted: what is needed grows with the corpus."""
-    places = firsts.select(F.col("id").alias("_i"), F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"))
-    placed = needed.join(places.hint("merge"), F.col("id") == F.col("_i")).drop("_i")
+def with_texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``needed`` with the text of their ``doc`` and ``text_hash``. All is joined sorted: what is needed grows with the corpus."""
+    placed = needed.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
     wanted = placed.select(F.col("_doc").alias("_d"), F.col("_hash").alias("_h")).distinct()
     texts = docs.select(F.col("doc_id").alias("_of"), F.xxhash64(text_or_empty()).alias("_of_hash"), "text").where("_of is not null")
     texts = texts.join(wanted.hint("merge"), (F.col("_of") == F.col("_d")) & (F.col("_of_hash") == F.col("_h")), "left_semi").dropDuplicates(["_of", "_of_hash"])
@@ -138,9 +137,11 @@ def confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int,
     groups = quantile(total, PAIRS)
     placed = with_facts(pairs, pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
     beside = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BESIDE))
-    placed = placed.select(F.pmod(F.xxhash64("a", beside), F.lit(groups)).alias("group"), "a", "b")
+    # written, as what stands before a table that is read twice is made twice
+    placed = written(placed.select(F.pmod(F.xxhash64("a", beside), F.lit(groups)).alias("group"), "a", "b"), "dealt")
     needed = placed.select("group", "a", F.col("b").alias("id")).unionAll(placed.select("group", "a", F.col("a").alias("id")).distinct())
-    texts = with_texts(needed, firsts, docs).select("group", "a", "id", "text")
+    needed = written(needed.join(firsts.select(F.col("id").alias("_i"), "doc", "text_hash").hint("merge"), F.col("id") == F.col("_i")).drop("_i"), "needed")
+    texts = with_texts(needed, docs).select("group", "a", "id", "text")
 
     def run(f):
         sets = sets_of(f["text"], words)
@@ -221,7 +222,8 @@ def block_pairs(members: DataFrame) -> DataFrame:
     before = F.transform(F.sequence(F.lit(0), mine), lambda x: pair(x, mine))
     behind = F.when(mine + 1 < m + o, F.transform(F.sequence(mine + 1, m + o - 1), lambda y: pair(mine, y))).otherwise(none)
     pairs = F.when(other, F.concat(before, behind)).otherwise(F.transform(F.sequence(m, m + o - 1), lambda y: pair(mine, y)))
-    return rows.select("bucket", "id", "component", "signature", "block", F.explode(pairs).alias("_p")).select("bucket", "id", "component", "signature", "block", "_p.x", "_p.y")
+    rows = rows.select(*members.columns, "block", F.explode(pairs).alias("_p"))
+    return rows.select(*members.columns, "block", "_p.x", "_p.y")
 
 
 def close_pairs(f: pd.DataFrame, places: int, reach: int):
@@ -246,8 +248,8 @@ def close_pairs(f: pd.DataFrame, places: int, reach: int):
             yield i, j
 
 
-def across(members: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, percent: int, places: int, reach: int) -> DataFrame:
-    """Links between different components of the same bucket. members: bucket, id, component, signature.
+def across(members: DataFrame, docs: DataFrame, words: int, percent: int, places: int, reach: int) -> DataFrame:
+    """Links between different components of the same bucket. members: bucket, id, component, doc, text_hash, signature.
 
     Signatures are compared first, by pairs of blocks. Only who is near another one there comes again, with its text, once
     for each pair of blocks; pairs are compared where they are, and only links that join components leave the task.
@@ -255,7 +257,7 @@ def across(members: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, p
     rows = written(block_pairs(members), "blocks")
     # which pair of blocks goes to which task is the same both times
     dealt = lambda df, most: df.withColumn("group", F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(quantile(df.count(), most))))
-    columns = "bucket long, id long, component long, signature binary, block int, x int, y int"
+    columns = "bucket long, id long, component long, doc long, text_hash long, signature binary, block int, x int, y int"
 
     def near(f):
         own = [np.unique(np.concatenate([i, j])) for i, j in close_pairs(f, places, reach)]
@@ -277,7 +279,7 @@ def across(members: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, p
             out += zip(np.maximum(ids[i], ids[j])[keep].tolist(), np.minimum(ids[i], ids[j])[keep].tolist(), strict=True)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return with_texts(dealt(some, BLOCK), firsts, docs).groupBy("group").applyInPandas(run, "a long, b long")
+    return with_texts(dealt(some, BLOCK), docs).groupBy("group").applyInPandas(run, "a long, b long")
 
 
 def components_of(docs: DataFrame, words: int, percent: int, same_ids: bool) -> tuple[DataFrame, DataFrame]:
@@ -304,9 +306,9 @@ def components_of(docs: DataFrame, words: int, percent: int, same_ids: bool) ->
     more = written(met.where("members > 2").select("bucket", "id").distinct().join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "more")
     mixed_ = more.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     more = with_facts(more, mixed_, "bucket")
-    more = written(more.join(firsts.select(F.col("id").alias("_i"), "signature").hint("merge"), F.col("id") == F.col("_i")).drop("_i"), "open")
+    more = written(more.join(firsts.select(F.col("id").alias("_i"), "doc", "text_hash", "signature").hint("merge"), F.col("id") == F.col("_i")).drop("_i"), "open")
     if not more.isEmpty():
-        again = written(across(more, firsts, docs, words, percent, places, reach), "across")
+        again = written(across(more, docs, words, percent, places, reach), "across")
         found = written(components(links.unionAll(again)), "components")
     texts = firsts.join(found.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", "doc", "text_hash", F.coalesce("component", "id").alias("label"))
     return rows, written(texts, "labels")

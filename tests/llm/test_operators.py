@@ -138,6 +138,25 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_facts_of_pairs_are_joined_once(spark, monkeypatch):
+    """A document has at most a pair for each open chunk, and a pair meets its first's facts once, not again for each branch of the plan."""
+    made, real = [], neardup.written
+
+    def noted(df, name):
+        out = real(df, name)
+        joins = re.findall(r"Join Inner, \(a#\d+L? = _fact_key", df._jdf.queryExecution().optimizedPlan().toString())
+        made.append((name, out.count(), len(joins)))
+        return out
+
+    monkeypatch.setattr(neardup, "written", noted)
+    rng = np.random.default_rng(5)
+    rows = [(d, " ".join(f"z{d}" if rng.random() < 0.01 else f"w{i}" for i in range(120))) for d in range(80)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == linked({d: shingles(t, 5) for d, t in rows}, 80)
+    assert sum(joins for _, _, joins in made) == 1
+    assert 80 <= next(n for name, n, _ in made if name == "pairs") <= 80 * neardup.shape(80)[0] * neardup.WIDTH
+
+
 def test_facts_of_hot_keys(spark):
     """Rows meet their key's facts, whether these are broadcast or joined sorted."""
     from folio.llm import common
