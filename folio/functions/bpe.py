@@ -1,7 +1,7 @@
 """Tokens of byte-pair encoding: texts are cut into words by a pattern, and a word's bytes are merged pair by pair, the pair of lowest rank first.
 
-Each different word of a corpus is merged once: words are counted by document, merged as a table of words, and joined back. Ranks come
-from a vocabulary file (a line for each token: base64 and rank), which is a parameter; they are some tens of thousands, whatever the corpus.
+Spark cuts the words of a text, and a task merges each different word of a batch of texts once, most of them once for all of its batches; words are
+never dealt out. Ranks come from a vocabulary file (a line for each token: base64 and rank), which is a parameter; they are some tens of thousands, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -10,13 +10,18 @@ import base64
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: fixed value: how texts are cut into words before merging
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: How many words of how many bytes at most a task knows the tokens of; it begins anew beyond that.
+MOST_KNOWN, LONGEST_KNOWN = 200_000, 100
+
 
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -53,14 +58,28 @@ def token_count(word: bytes, ranks: dict[bytes, int]) -> int:
 
 
 def token_counts(texts: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """(key, tokens) of each row's text; 0 for an empty or null text. The key is to be unique."""
+    """(key, tokens) of each row's text; 0 for an empty or null text."""
     ranks = ranks_of(path)
+    known: dict[bytes, int] = {}
+
+    def counted(word: bytes) -> int:
+        n = known.get(word)
+        if n is None:
+            n = token_count(word, ranks)
+            if len(known) >= MOST_KNOWN:
+                known.clear()
+            if len(word) <= LONGEST_KNOWN:
+                known[word] = n
+        return n
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"_word": f["_word"], "_tokens": [token_count(w.encode("utf-8", "surrogatepass"), ranks) for w in f["_word"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            coded = words.flatten().dictionary_encode()
+            each = np.array([counted(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)]))
+            sums = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy(zero_copy_only=False)])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())], names=[key, "tokens"])
 
-    words = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("_word")).groupBy(key, "_word").agg(F.count("*").alias("_n"))
-    merged = words.select("_word").distinct().mapInPandas(run, "_word string, _tokens long")
-    counts = words.join(merged, "_word").groupBy(key).agg(F.sum(F.col("_n") * F.col("_tokens")).alias("tokens"))
-    return texts.select(key).join(counts, key, "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    words = texts.select(key, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("_words"))
+    return words.mapInArrow(run, f"`{key}` {dict(texts.dtypes)[key]}, tokens long")

@@ -37,6 +37,16 @@ def test_counts_of_odd_texts(spark, library):
     assert got == {i: len(library.encode_ordinary(t or "")) for i, t in enumerate(texts)}
 
 
+def test_words_are_not_dealt_out(spark, library, monkeypatch):
+    """A row's words stay in its task, rows of one key too; what a task knows begins anew when it is full."""
+    monkeypatch.setattr(bpe, "MOST_KNOWN", 3)
+    rows = [(i % 7, f"one two three four {i} " * (i % 3) + "x" * 5 * i if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = bpe.token_counts(df, "doc_id", "text", usage_queries.VOCABULARY)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted((i, len(library.encode_ordinary(t or ""))) for i, t in rows)
+
+
 def test_a_very_long_word_ends(library):
     ranks, word = bpe.ranks_of(usage_queries.VOCABULARY), "abcdefgh" * 20_000
     began = time.time()
