@@ -67,16 +67,17 @@ def joined_first_letter(text: Column) -> Column:
 
 
 def goes_on(first: Column, second: Column, first_kind: Column | None = None, second_kind: Column | None = None) -> Column:
-    """Whether a second piece of text goes on with the first one's sentence; never a header, nor what looks like a heading behind the first."""
+    """Whether a second piece of text goes on with the first one's sentence; never a header. It begins with a small letter, so it is no heading
+    by its looks, as these begin with a large one."""
     a, b = T.trimmed(first), T.trimmed(second)
-    plain = ~T.is_heading(b, F.lit(None).cast("string"), a)
+    plain = F.lit(True)
     for kind in (first_kind, second_kind):
         if kind is not None:
             plain = plain & F.coalesce(kind != "header", F.lit(True))
     small = b.rlike("^[a-z]")
     open_ = ~a.rlike(r"[.!?;:]\z")
     short = a.rlike(r"\b\w{1,3}\.\z") | T.ends_abbreviated(a)
-    return plain & (F.char_length(a) > 0) & (F.char_length(b) > 0) & small & (open_ | (a.endswith(".") & short))
+    return plain & small & (F.char_length(a) > 0) & (open_ | (a.endswith(".") & short))
 
 
 def sections(lines: DataFrame, heading: Column) -> DataFrame:

@@ -100,3 +100,12 @@ def test_many_titles_are_not_lines_times_titles(spark):
     keyed = titles.withColumn("_folded", T.folded(F.col("title")))
     assert chapters.candidates(lines.withColumn("_text", T.folded(F.col("text"))), keyed).count() == n
     assert chapters.with_titles(lines, titles).where("title = concat(substring(text, 4, length(text) - 11))").count() == n
+
+
+def test_what_goes_on_is_not_asked_for_a_headings_looks(spark):
+    """A small letter at its beginning tells it, so the patterns of headings are not run over all lines."""
+    texts = ["on it went", "HEADING:", "The Air", "x", "", None, "1 a", "so: it is:", "ab@c", " small", "Éa"]
+    df = spark.createDataFrame([(a, b) for a in ["It was", "It was.", "see Mr.", "", None, "a;", "etc."] for b in texts], "a string, b string")
+    out = df.select("a", "b", documents.goes_on(F.col("a"), F.col("b")).alias("on"), (~T.is_heading(T.trimmed("b"), F.lit(None).cast("string"), T.trimmed("a"))).alias("plain"))
+    assert all(r["plain"] for r in out.collect() if r["on"]) and {(r["a"], r["b"]) for r in out.where("on").collect()} >= {("It was", "on it went"), ("see Mr.", "x"), ("It was", " small"), ("It was", "ab@c")}
+    assert "[.!?;)@]" not in out.select("on")._jdf.queryExecution().optimizedPlan().toString()
