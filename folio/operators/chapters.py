@@ -58,40 +58,48 @@ def title_key(f: Column) -> Column:
     return F.when(F.char_length(f) <= SHORT_TITLE, F.concat(F.lit("p"), f)).otherwise(F.coalesce(F.concat(F.lit("w"), longest), begins))
 
 
-def line_keys(x: Column) -> Column:
-    """All keys of a folded line that a title could have."""
+def kinds_of_titles(titles: DataFrame) -> DataFrame:
+    """(doc_id, _lengths, _pairs): the lengths that a document's short titles have, and whether one of its titles goes by how words begin."""
+    n = F.char_length("_folded")
+    return titles.groupBy("doc_id").agg(F.collect_set(F.when(n <= SHORT_TITLE, n)).alias("_lengths"), F.coalesce(F.bool_or(title_key(F.col("_folded")).startswith("q")), F.lit(False)).alias("_pairs"))
+
+
+def line_keys(x: Column, lengths: Column, pairs: Column) -> Column:
+    """The hashes of all keys of a folded line that a title of its document could have."""
     words = F.split(x, " ")
-    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.lit(SHORT_TITLE), F.char_length(x))), lambda k: F.concat(F.lit("p"), F.substring(x, F.lit(1), k)))
-    begins = F.transform(F.filter(words, lambda w: F.char_length(w) >= BEGINS), lambda w: F.concat(F.lit("q"), F.substring(w, 1, BEGINS)))
-    return F.array_distinct(F.concat(prefixes, F.transform(words, lambda w: F.concat(F.lit("w"), w)), begins))
+    key = lambda kind, c: F.xxhash64(F.concat(F.lit(kind), c))
+    prefixes = F.transform(F.filter(lengths, lambda k: k <= F.char_length(x)), lambda k: key("p", F.substring(x, F.lit(1), k)))
+    begins = F.when(pairs, F.transform(F.filter(words, lambda w: F.char_length(w) >= BEGINS), lambda w: key("q", F.substring(w, 1, BEGINS)))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.concat(prefixes, F.transform(words, lambda w: key("w", w)), begins))
 
 
 def candidates(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, line, nth) of lines (.., _text) and titles (.., _folded) of one document that can match: those with a key in common, and all
-    lines with the titles that have no key."""
+    """(doc_id, line, nth, title, _folded) of lines (.., _text) and titles (.., _folded) of one document that can match: those with a key in
+    common, by its hash, and all lines with the titles that have no key."""
     keyed = titles.withColumn("_key", title_key(F.col("_folded")))
-    found = lines.select("doc_id", "line", F.explode(line_keys(F.col("_text"))).alias("_key")).join(keyed.where("_key is not null").select("doc_id", "_key", "nth"), ["doc_id", "_key"])
-    without = keyed.where("_key is null").groupBy("doc_id").agg(F.collect_list(F.struct("nth", "_folded")).alias("_rest"))
+    asked = lines.join(kinds_of_titles(titles), "doc_id")
+    keys = asked.select("doc_id", "line", F.explode(line_keys(F.col("_text"), F.col("_lengths"), F.col("_pairs"))).alias("_key"))
+    found = keys.join(keyed.where("_key is not null").select("doc_id", F.xxhash64("_key").alias("_key"), "nth", "title", "_folded"), ["doc_id", "_key"])
+    without = keyed.where("_key is null").groupBy("doc_id").agg(F.collect_list(F.struct("nth", "title", "_folded")).alias("_rest"))
     hits = F.filter("_rest", lambda t: F.col("_text").contains(F.substring(t["_folded"], 4, 10_000)))
-    rest = lines.join(without, "doc_id").select("doc_id", "line", F.explode(hits).alias("t")).select("doc_id", "line", "t.nth")
-    return found.select("doc_id", "line", "nth").unionByName(rest).distinct()
+    rest = lines.join(without, "doc_id").select("doc_id", "line", F.explode(hits).alias("t")).select("doc_id", "line", "t.*")
+    return found.drop("_key").unionByName(rest)
 
 
 def with_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
     """Lines with ``title``, the first of their document's titles that they match, and ``joined``, the same for a line and the next one together.
 
-    Lines meet only titles that share a key with them (``title_key``), and these few are then compared in full.
+    Lines meet only titles that share a key with them (``title_key``), and these few are then compared in full. Texts are dealt twice: by document
+    for the next line, and by line, where they stay until the first title is found.
     """
     titles = titles.where(F.col("title").isNotNull()).select("doc_id", "nth", "title", T.folded(F.col("title")).alias("_folded"))
     after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("line"))
-    both = lines.withColumn("_one", T.folded(F.col("text"))).withColumn("_two", T.folded(F.concat(F.col("text"), F.lit(" "), after)))
-    asked = both.join(titles.select("doc_id").distinct(), "doc_id", "left_semi")
+    both = lines.select("doc_id", "line", "text", F.concat(F.col("text"), F.lit(" "), after).alias("_both"))
     # a line's own folded text is a beginning of that of both lines, so the longer one has all keys
-    met = candidates(asked.select("doc_id", "line", F.coalesce("_two", "_one").alias("_text")), titles)
-    near = met.join(asked.select("doc_id", "line", "_one", "_two"), ["doc_id", "line"]).join(titles, ["doc_id", "nth"])
-    first = lambda c: F.min(F.when(T.folded_match(F.col(c), F.col("_folded")), F.struct("nth", "title")))["title"]
-    found = near.groupBy("doc_id", "line").agg(first("_one").alias("title"), first("_two").alias("joined"))
-    return lines.join(found, ["doc_id", "line"], "left").select("doc_id", "line", "text", "title", "joined")
+    met = candidates(both.select("doc_id", "line", T.folded(F.coalesce("_both", "text")).alias("_text")), titles)
+    near = both.withColumn("_one", T.folded(F.col("text"))).withColumn("_two", T.folded(F.col("_both"))).join(met.withColumnsRenamed({"doc_id": "_doc", "line": "_line", "title": "_title"}), (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line")), "left")
+    first = lambda c: F.min(F.when(T.folded_match(F.col(c), F.col("_folded")), F.struct("nth", F.col("_title").alias("title"))))["title"]
+    return near.groupBy("doc_id", "line").agg(F.first("text").alias("text"), first("_one").alias("title"), first("_two").alias("joined"))
 
 
 def occurrences(matched: DataFrame) -> DataFrame:

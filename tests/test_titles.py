@@ -102,6 +102,15 @@ def test_many_titles_are_not_lines_times_titles(spark):
     assert chapters.with_titles(lines, titles).where("title = concat(substring(text, 4, length(text) - 11))").count() == n
 
 
+def test_lines_are_dealt_twice_only(spark):
+    """By document for the next line and by line for the titles; short prefixes and beginnings of words are keys only where a title goes by them."""
+    lines = spark.createDataFrame([(1, i, f"line {i} of the tale of many words") for i in range(9)], "doc_id long, line int, text string")
+    titles = spark.createDataFrame([(1, 0, "the tale of many others"), (1, 1, "5 of the tale of many")], "doc_id long, nth int, title string")
+    found = chapters.with_titles(lines, titles)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
+    assert {r["line"]: (r["title"], r["joined"]) for r in found.collect()} == {i: ("5 of the tale of many",) * 2 if i == 5 else (None, "5 of the tale of many" if i == 4 else None) for i in range(9)}
+
+
 def test_what_goes_on_is_not_asked_for_a_headings_looks(spark):
     """A small letter at its beginning tells it, so the patterns of headings are not run over all lines."""
     texts = ["on it went", "HEADING:", "The Air", "x", "", None, "1 a", "so: it is:", "ab@c", " small", "Éa"]
