@@ -97,9 +97,10 @@ def with_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
     both = lines.select("doc_id", "line", "text", F.concat(F.col("text"), F.lit(" "), after).alias("_both"))
     # a line's own folded text is a beginning of that of both lines, so the longer one has all keys
     met = candidates(both.select("doc_id", "line", T.folded(F.coalesce("_both", "text")).alias("_text")), titles)
-    near = both.withColumn("_one", T.folded(F.col("text"))).withColumn("_two", T.folded(F.col("_both"))).join(met.withColumnsRenamed({"doc_id": "_doc", "line": "_line", "title": "_title"}), (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line")), "left")
+    # each line is a row of its own, also where an id is null or comes again
+    near = both.withColumn("_row", F.monotonically_increasing_id()).withColumn("_one", T.folded(F.col("text"))).withColumn("_two", T.folded(F.col("_both"))).join(met.withColumnsRenamed({"doc_id": "_doc", "line": "_line", "title": "_title"}), (F.col("doc_id") == F.col("_doc")) & (F.col("line") == F.col("_line")), "left")
     first = lambda c: F.min(F.when(T.folded_match(F.col(c), F.col("_folded")), F.struct("nth", F.col("_title").alias("title"))))["title"]
-    return near.groupBy("doc_id", "line").agg(F.first("text").alias("text"), first("_one").alias("title"), first("_two").alias("joined"))
+    return near.groupBy("doc_id", "line", "_row").agg(F.first("text").alias("text"), first("_one").alias("title"), first("_two").alias("joined")).drop("_row")
 
 
 def occurrences(matched: DataFrame) -> DataFrame:

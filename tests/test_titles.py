@@ -118,3 +118,10 @@ def test_what_goes_on_is_not_asked_for_a_headings_looks(spark):
     out = df.select("a", "b", documents.goes_on(F.col("a"), F.col("b")).alias("on"), (~T.is_heading(T.trimmed("b"), F.lit(None).cast("string"), T.trimmed("a"))).alias("plain"))
     assert all(r["plain"] for r in out.collect() if r["on"]) and {(r["a"], r["b"]) for r in out.where("on").collect()} >= {("It was", "on it went"), ("see Mr.", "x"), ("It was", " small"), ("It was", "ab@c")}
     assert "[.!?;)@]" not in out.select("on")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_without_an_id_or_with_the_same_one_stay(spark):
+    lines = spark.createDataFrame([(None, 0, "a"), (None, 0, "a"), (1, 0, "The tale of it"), (1, 0, "other"), (1, 0, "other")], "doc_id long, line int, text string")
+    titles = spark.createDataFrame([(1, 0, "The tale of it")], "doc_id long, nth int, title string")
+    got = [(r["doc_id"], r["text"], r["title"]) for r in chapters.with_titles(lines, titles).collect()]
+    assert sorted(got, key=str) == [(1, "The tale of it", "The tale of it"), (1, "other", None), (1, "other", None), (None, "a", None), (None, "a", None)]
