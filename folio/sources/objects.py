@@ -213,3 +213,8 @@ def put_objects(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Put an object for each row of (id, content)."""
     df.sparkSession.dataSource.register(ObjectSource)
     df.select("id", "content").write.format("folio_objects").mode("overwrite" if overwrite else "append").save(path)
+
+
+def folders(path: str) -> str:
+    """The pattern of the folders with the objects of a store that has been put once, for Spark's own readers of files."""
+    return f"{path.rstrip('/')}/_write-*/task-*"

@@ -96,3 +96,15 @@ def test_what_no_manifest_names_is_not_there(tmp_path):
     (share,) = objects.ObjectReader({"path": str(tmp_path)}).partitions()
     assert [e.path for e in share.objects] == [f"{tmp_path}/{kept.task}/1"] and not (tmp_path / lost.task).exists()
     assert time.time() - share.objects[0].modified < 60
+
+
+def test_whole_texts_are_files_of_rows_in_few_folders(spark, tmp_path):
+    """A key that comes again or is missing has a file for each of its rows, and no row has a folder of its own."""
+    from folio.plans import all_queries  # noqa: F401
+    from folio.plans.registry import QUERIES
+
+    rows = [(i, f"name {i}") for i in range(40)] + [(3, "again"), (3, "again"), (-7, "below"), (None, "none")]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = QUERIES["s13_whole_texts"](spark, str(tmp_path))
+    assert sorted([tuple(r) for r in found.collect()], key=str) == sorted([(None if k is None else str(k), n + "\n") for k, n in rows], key=str)
+    assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) <= spark.sparkContext.defaultParallelism < len(found.inputFiles()) == len(rows)
