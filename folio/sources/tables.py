@@ -82,8 +82,10 @@ class BucketTable:
     def _write(self, rows: DataFrame, most_in_file: int = 0) -> tuple[str, list[int]]:
         version = uuid.uuid4().hex
         folder = f"{self.path}/data/{version}"
-        # a bucket is one task's, but for one that is too large, which is dealt to several
-        rows.withColumn(BUCKET, self.bucket).hint("rebalance", BUCKET).write.partitionBy(BUCKET).option("maxRecordsPerFile", most_in_file).parquet(folder)
+        placed = rows.withColumn(BUCKET, self.bucket)
+        # a bucket is one task's, but for one that is too large, which is dealt to several; small files cost their number, so all tasks share those
+        dealt = placed.repartition(self.spark.sparkContext.defaultParallelism) if most_in_file else placed.hint("rebalance", BUCKET)
+        dealt.write.partitionBy(BUCKET).option("maxRecordsPerFile", most_in_file).parquet(folder)
         fs, p = hadoop_path(self.spark, folder)
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return version, [int(n.split("=")[1]) for n in names if n.startswith(BUCKET + "=") and n.split("=")[1].lstrip("-").isdigit()]

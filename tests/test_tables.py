@@ -93,6 +93,17 @@ def test_empty_buckets_null_keys_and_nothing(spark, tmp_path):
         BucketTable(spark, f"file://{tmp_path}/none", ["a"]).read()
 
 
+def test_batches_are_written_by_all_tasks(spark, tmp_path):
+    """Files of ten rows cost their number, so none of the tasks has them all."""
+    t = BucketTable(spark, f"file://{tmp_path}/b", ["user_id"], 4)
+    for start in (0, 400):
+        t.insert(people(spark, 400).withColumn("user_id", F.col("user_id") + start), 10)
+    files = t.read().groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.min("user_id").alias("k"))
+    rows = files.select("n", "k", F.regexp_extract("file", r"part-(\d+)-", 1).alias("task")).collect()
+    assert len(values(t.read())) == 800 and sum(r["n"] for r in rows) == 800 and max(r["n"] for r in rows) <= 10
+    assert {len({r["task"] for r in rows if (r["k"] >= 400) == late}) for late in (False, True)} == {spark.sparkContext.defaultParallelism}
+
+
 def test_cascade_rewrites_only_what_it_touches(spark, tmp_path):
     books = BucketTable(spark, f"file://{tmp_path}/books", ["book_id"], 8).create(spark.range(50).withColumnRenamed("id", "book_id"))
     marks = BucketTable(spark, f"file://{tmp_path}/marks", ["mark_id"], 32).create(spark.range(400).select(F.col("id").alias("mark_id"), (F.col("id") % 50).alias("book_id")))
