@@ -84,3 +84,25 @@ def test_saves_over_days(spark):
     rows = [(1, "2024-01-01 23:59:50", "view"), (2, "2024-01-01 23:59:58", "view"), (3, "2024-01-02 00:00:04", "saved"), (4, "2024-01-02 00:00:09", "view"), (5, "2024-01-02 00:10:00", "view"), (6, "2024-01-05 00:00:00", "saved"), (7, "2024-01-05 00:00:03", "view")]
     logs = spark.createDataFrame([(i, 1, t, e) for i, t, e in rows], "log_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert sorted(map(tuple, R.saved_minutes(logs, 10).collect())) == [(3, 1, 14.0, 0), (6, 1, 5.0, 0)]
+
+
+def test_images_of_chapters_beside_all_pairs(spark):
+    """Pages of many blocks, of one and of none, equal rows, spans over buckets, exchanged and null ends, pages below 0, no page."""
+    rng = random.Random(6)
+    spans = [(i, f, f + rng.choice([-3, 0, 0, 4, 25])) for i, f in enumerate(rng.randint(-12, 30) for _ in range(150))] + [(150, None, 5), (151, 5, None), (0, *[None] * 2)]
+    spans += spans[:3]
+    images = [(i, p) for i, p in enumerate([7] * 600 + [rng.randint(-15, 45) for _ in range(300)] + [None] * 5)] + [(3, 7), (3, 7)]
+    chapters = spark.createDataFrame(spans, "n long, first_page long, last_page long")
+    got = L.images_of_chapters(chapters, spark.createDataFrame(images, "image_id long, page_number long"))
+    assert got.columns == ["n", "first_page", "last_page", "image_id", "page_number"]
+    want = [(*c, *i) for c in spans for i in images if None not in (*c, i[1]) and c[1] <= i[1] <= c[2]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_images_of_many_chapters_take_little_disk(spark, tmp_path):
+    """2000 chapters with 3000 images of one page: files of less than a fifth of a byte a row."""
+    chapters = spark.range(20_000, 22_000).select(F.col("id").alias("book_id"), F.lit(3).alias("first_page"), F.lit(5).alias("last_page"))
+    images = spark.range(3000).select((F.col("id") * 7919 % 100_003).alias("image_id"), F.lit(4).alias("page_number"))
+    L.images_of_chapters(chapters, images).select("book_id", "image_id").write.parquet(f"file://{tmp_path}/t")
+    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 6_000_000
+    assert sum(f.stat().st_size for f in tmp_path.glob("t/*.parquet")) < 6_000_000 / 5
