@@ -80,26 +80,44 @@ def goes_on(first: Column, second: Column, first_kind: Column | None = None, sec
     return plain & small & (F.char_length(a) > 0) & (open_ | (a.endswith(".") & short))
 
 
+def marked_lines(lines: DataFrame, heading: Column) -> DataFrame:
+    """(doc_id, line, is_heading, title, chars): what ``sections_of`` asks of lines, so that their texts are not dealt."""
+    return lines.select("doc_id", "line", F.coalesce(heading, F.lit(False)).alias("is_heading"), F.char_length("text").cast("long").alias("chars"), "text").select(
+        "doc_id", "line", "is_heading", F.when(F.col("is_heading"), T.trimmed("text")).alias("title"), "chars"
+    )
+
+
 def sections(lines: DataFrame, heading: Column) -> DataFrame:
-    """(doc_id, chapter, title, chars, lines) of the parts between heading lines; short ones are dropped, and a document without any is one chapter."""
+    """(doc_id, chapter, title, chars) of the parts between heading lines; short ones are dropped, and a document without any is one chapter."""
+    return sections_of(marked_lines(lines, heading))
+
+
+def sections_of(marked: DataFrame) -> DataFrame:
+    """``sections`` of ``marked_lines``."""
     w = Window.partitionBy("doc_id").orderBy("line")
-    marked = lines.withColumn("_h", F.coalesce(heading, F.lit(False))).withColumn("chapter", F.sum(F.col("_h").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = marked.where("chapter > 0").groupBy("doc_id", "chapter").agg(F.max(F.when(F.col("_h"), T.trimmed("text"))).alias("title"), F.sum(F.when(~F.col("_h"), F.char_length("text")).otherwise(0)).cast("long").alias("chars"))
+    placed = marked.withColumn("chapter", F.sum(F.col("is_heading").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = placed.where("chapter > 0").groupBy("doc_id", "chapter").agg(F.max("title").alias("title"), F.sum(F.when(~F.col("is_heading"), F.col("chars")).otherwise(0)).alias("chars"))
     parts = parts.where(F.col("chars") > LEAST_CHAPTER)
-    whole = lines.groupBy("doc_id").agg(F.sum(F.char_length("text")).cast("long").alias("chars"))
+    whole = marked.groupBy("doc_id").agg(F.sum("chars").alias("chars"))
     none = whole.join(parts.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("chapter"), F.lit("Full Text").alias("title"), "chars")
     return parts.unionByName(none)
 
 
-def chapters_of_contents(toc: DataFrame, pages: DataFrame) -> DataFrame:
-    """Chapters (doc_id, chapter, start_page) with their pages' texts: up to the next start, and only of pages with text.
+def pages_of_contents(toc: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page, chars, ..) with the chapter of a table (doc_id, chapter, start_page) that they are in, without pages of little text.
 
     Each page finds its chapter as the last start that isn't behind it, by a window over both.
     """
-    starts = toc.select("doc_id", F.col("start_page").alias("page"), "chapter", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"))
-    both = starts.unionByName(pages.select("doc_id", "page", F.lit(None).cast("long").alias("chapter"), "text", F.lit(1).alias("kind")))
+    starts = toc.select("doc_id", F.col("start_page").alias("page"), "chapter", F.lit(0).alias("kind"))
+    both = pages.withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
     w = Window.partitionBy("doc_id").orderBy("page", "kind", "chapter").rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("chapter", F.last("chapter", ignorenulls=True).over(w)).where((F.col("kind") == 1) & F.col("chapter").isNotNull() & (F.char_length("text") > LEAST_PAGE))
+    placed = both.withColumn("chapter", F.last("chapter", ignorenulls=True).over(w))
+    return placed.where((F.col("kind") == 1) & F.col("chapter").isNotNull() & (F.col("chars") > LEAST_PAGE)).drop("kind")
+
+
+def chapters_of_contents(toc: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chapters (doc_id, chapter, start_page) with their pages' texts: up to the next start, and only of pages with text."""
+    placed = pages_of_contents(toc, pages.withColumn("chars", F.char_length("text")))
     return placed.groupBy("doc_id", "chapter").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
 
 

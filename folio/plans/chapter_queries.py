@@ -116,10 +116,11 @@ TITLED = BY_TITLE.replace("length(text) > 10)", "length(text) > 10 AND doc_id %
 @query("x18_contents_or_text", "WITH " + TITLED + PAGED + ", lines AS (SELECT * FROM bl WHERE doc_id NOT IN (SELECT doc_id FROM ti)), " + SECTIONS_OF_LINES + ", r AS (SELECT doc_id, CAST(chapter AS BIGINT) AS chapter, length(content) AS chars FROM ch UNION ALL SELECT doc_id, chapter, chars FROM sections) SELECT * FROM t UNION ALL SELECT * FROM r WHERE doc_id NOT IN (SELECT doc_id FROM t)")
 def x18(spark, folder):
     all_lines = lines(spark, folder)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), " ")
-    pages = all_lines.where("doc_id % 3 = 0").groupBy("doc_id", F.floor(F.col("line") / 4).alias("page")).agg(text.alias("text"))
+    # a page is its lines with spaces between, and a chapter its pages with line feeds: only their lengths are asked for
+    chars = F.sum(F.char_length("text").cast("long")) + F.count("*") - 1
+    pages = all_lines.where("doc_id % 3 = 0").groupBy("doc_id", F.floor(F.col("line") / 4).alias("page")).agg(chars.alias("chars"))
     toc = pages.select("doc_id", F.floor(F.col("page") / 2).alias("chapter")).distinct().withColumn("start_page", F.col("chapter") * 2)
-    by_contents = documents.chapters_of_contents(toc, pages).select("doc_id", "chapter", F.char_length("text").cast("long").alias("chars"))
+    by_contents = documents.pages_of_contents(toc, pages).groupBy("doc_id", "chapter").agg((F.sum("chars") + F.count("*") - 1).alias("chars"))
     return C.detected(by_contents, all_lines, titles(spark, folder).where("doc_id % 3 = 1"), documents.chapter_line(F.col("text")))
 
 
