@@ -63,11 +63,21 @@ def regex_escaped(c: Column) -> Column:
     return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 
+def spaced(c: Column) -> Column:
+    """A text with plain quotes and single spaces, without backslashes."""
+    odd = SPACE_CHARACTERS.replace(" ", "", 1)
+    out = F.translate(c, odd + "“”″‶‘’", " " * len(odd) + "\"\"\"\"''")
+    return F.replace(F.regexp_replace(out, " {2,}", " "), F.lit("\\"), F.lit(""))
+
+
+def ended(c: Column) -> Column:
+    """A spaced text without the page number at its end."""
+    return F.trim(F.regexp_replace(c, r"(?i) +(?:ix|xi{1,3}|[0-9]+) *\z", ""))
+
+
 def folded(c: Column) -> Column:
     """A title or line with plain quotes, single spaces and no page number at its end."""
-    out = F.regexp_replace(c, SPACE, " ")
-    out = F.translate(out, "“”″‶‘’\\", "\"\"\"\"''")
-    return F.trim(F.regexp_replace(out, r"(?i) +(?:ix|xi{1,3}|[0-9]+) *\z", ""))
+    return ended(spaced(c))
 
 
 def folded_match(a: Column, b: Column) -> Column:

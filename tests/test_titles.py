@@ -1,10 +1,13 @@
 """Titles with white space of all kinds, with letters that are no ASCII, and by both sets of rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import chapters, documents, usage
+from folio.plans import all_queries, registry  # noqa: F401
 
 
 def one(spark, c):
@@ -125,3 +128,33 @@ def test_lines_without_an_id_or_with_the_same_one_stay(spark):
     titles = spark.createDataFrame([(1, 0, "The tale of it")], "doc_id long, nth int, title string")
     got = [(r["doc_id"], r["text"], r["title"]) for r in chapters.with_titles(lines, titles).collect()]
     assert sorted(got, key=str) == [(1, "The tale of it", "The tale of it"), (1, "other", None), (1, "other", None), (None, "a", None), (None, "a", None)]
+
+
+def exchanges_of_texts(spark, df):
+    """What the plan's exchanges deal that has a line's text."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", df._jdf.queryExecution().explainString(mode))
+    assert dealt
+    return [x for x in dealt if re.search(r"\b(?:text|_own|_both|_one|_two|_text|_after)#", x)]
+
+
+@pytest.mark.parametrize("name, most", [("x05_j12_title_matches", 1), ("w10_best_occurrence", 1), ("x13_content_start", 1), ("x14_chapters_by_title", 2), ("x15_chapters_by_pattern", 0), ("x18_contents_or_text", 1)])
+def test_texts_are_not_dealt_again(spark, small, name, most):
+    """Once to look for titles and once for the chapters' contents; six times for x14 and nine for x18 before."""
+    assert len(exchanges_of_texts(spark, registry.QUERIES[name](spark, small))) <= most
+
+
+def test_only_keys_of_titles_are_dealt(spark):
+    """A long line of words of which one title shares one: one row goes on, as does a line that shares none; before, each word did."""
+    lines = spark.createDataFrame([(1, 0, " ".join(f"word{i}" for i in range(500)) + " breathing"), (1, 1, "no more"), (2, 0, "other")], "doc_id long, line int, text string").withColumn("_text", F.col("text"))
+    titles = spark.createDataFrame([(1, i, t, t) for i, t in enumerate(["On breathing in", *[f"On tale{i} of" for i in range(99)]])], "doc_id long, nth int, title string, _folded string")
+    asked = lines.join(chapters.kinds_of_titles(titles).drop("_given"), "doc_id", "left")
+    got = sorted((r["doc_id"], r["line"], r["_title"], r["text"] is None) for r in chapters.with_candidates(asked, titles, "text").collect())
+    assert got == [(1, 0, "On breathing in", False), (1, 1, None, True), (2, 0, None, True)]
+
+
+@pytest.mark.parametrize("few", [0, 3, 32])
+def test_few_titles_and_many_are_found_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(chapters, "FEW_TITLES", few)
+    test_matches_beside_all_pairs(spark)
+    test_lines_without_an_id_or_with_the_same_one_stay(spark)
