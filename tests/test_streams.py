@@ -98,3 +98,30 @@ def test_a_stream_of_nothing(spark, tmp_path):
     empty = S.stream_of(spark, path, spark.read.parquet(path)).where("user_id = 5")
     for live in (S.live_changes, S.live_active_seconds, S.live_sessions):
         assert S.run_once(live(empty), "append").count() == 0
+
+
+def test_many_keys_are_few_calls_and_stores(spark, tmp_path, monkeypatch):
+    """Keys of a bucket share one call and one state in a batch, and stores follow the cores; before, each key had its own and each partition of a shuffle a store."""
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    rows = [(i, i % 50 if i % 9 else None, i // 100 % 2, f"2024-01-01 {i // 60 % 10:02d}:{i % 60:02d}:00", "view") for i in range(600)]
+    path = put(spark, tmp_path / "t", [rows, [FLUSHER]])
+    out, stores = f"file://{tmp_path}/out", S.STORES * spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * stores))
+    try:
+        got = sorted(r["log_id"] for r in S.run_once(S.live_changes(stream(spark, path)), "append", path=out).collect())
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(3 * stores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    last, want = {}, []
+    for log_id, user, chunk, _, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        if last.get(user) != chunk:
+            want.append(log_id)
+        last[user] = chunk
+    assert got == sorted(want) and len(want) > 100
+    assert all(len([p for p in op.iterdir() if p.name.isdigit()]) <= stores for op in (tmp_path / "out-state" / "state").iterdir())
+    spark.conf.set(S.STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        assert spark.read.format("statestore").option("stateVarName", "states").load(out + "-state").count() <= 3
+    finally:
+        spark.conf.unset(S.STATE_STORE)
